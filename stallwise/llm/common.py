@@ -35,3 +35,14 @@ def sample_below(df: DataFrame, key: str, most: int) -> DataFrame:
     if n <= most:
         return df
     return df.where(F.pmod(F.xxhash64(F.col(key).cast("string"), F.lit("sample")), F.lit(1 << 30)) < int((1 << 30) * (most / n)))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, column: str, most: int, folds: int = 5) -> DataFrame:
+    """(doc_id, text, label) of at most about ``most`` labelled documents outside the held-out fold; materialised.
+
+    Rows without an id or a label are left out; of repeated labels the larger counts. The bound makes
+    the ids safe to broadcast.
+    """
+    known = labels.where(F.col("doc_id").isNotNull() & F.col(column).isNotNull() & (fold(F.col("doc_id"), folds) != 0)).groupBy("doc_id").agg(F.max(F.col(column).cast("int")).alias("label"))
+    known = cut(sample_below(cut(known), "doc_id", most))
+    return cut(docs.select("doc_id", "text").join(F.broadcast(known), "doc_id"))

@@ -18,23 +18,25 @@ _BASE_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
 _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
+_DARK = ~_WHITE
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[ord("A") : ord("Z") + 1] += 32
+_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 
 #: Bytes of text that are handled in one piece; a longer text is a piece of its own.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 _powers: dict[str, np.ndarray] = {}
 
 
 def _power_table(n: int, base: np.uint64, name: str) -> np.ndarray:
     table = _powers.get(name)
     if table is None or len(table) < n:
-        steps = np.full(max(n, 1 << 16), base, np.uint64)
+        steps = np.full(max(n, PIECE_BYTES + (PIECE_BYTES >> 2)), base, np.uint64)
         steps[0] = 1
         table = np.cumprod(steps, dtype=np.uint64)
-        if n <= 2 * PIECE_BYTES:
+        if len(table) <= 2 * PIECE_BYTES:
             _powers[name] = table
     return table
 
@@ -87,14 +89,16 @@ def split_words(run: list[bytes], plain: bool = False) -> Words:
     offsets = np.zeros(len(run) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in run], out=offsets[1:])
     # A separator stands after each text, so that no word crosses two texts.
-    inside = _PLAIN[buffer] if plain else ~_WHITE[buffer]
+    inside = (_PLAIN if plain else _DARK)[buffer]
     edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     if len(inside) and inside[0]:
         edge = np.concatenate(([0], edge))
     starts, ends = edge[0::2], edge[1::2]
     n = len(buffer)
-    value = (_LOWER[buffer].astype(np.uint64) + np.uint64(1)) * _power_table(n, _BASE, "up")[:n]
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
+    value = _VALUE[buffer]
+    value *= _power_table(n, _BASE, "up")[:n]
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum(value, out=total[1:])
     down = _power_table(n, _BASE_INVERSE, "down")
     hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
     return Words(buffer, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))

@@ -3,15 +3,39 @@
 from __future__ import annotations
 
 from .common import table
+from .decontaminate import find_benchmark
 from .jaccard_join import jaccard_components
+from .quality import score_quality
+from .toxicity import score_toxicity
+from .vector_dedup import near_vectors
+
+
+def op2_quality(spark, sf_dir):
+    return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_decontaminate(spark, sf_dir):
+    return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
 def op6_jaccard_join(spark, sf_dir):
     return jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op7_vector_dedup(spark, sf_dir):
+    return near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+def op8_toxicity(spark, sf_dir):
+    return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
+    "op2_quality": op2_quality,
+    "op4_decontaminate": op4_decontaminate,
     "op6_jaccard_join": op6_jaccard_join,
+    "op7_vector_dedup": op7_vector_dedup,
+    "op8_toxicity": op8_toxicity,
 }
 
 OP6_SQL = r"""
