@@ -10,7 +10,8 @@ occurrences are counted by pair of documents.
 
 Hot groups never turn into all their pairs. Equal sets collapse into one representative first. Then
 each list links its members to one pivot; whoever verified links join is not compared again, and
-only members of lists that still span several components are compared with each other.
+only members of lists that still span several components are compared with each other, where the
+places of the shared shingle in both sets leave room for the required overlap.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing; a text of
 fewer than five words has its whole sequence as its one shingle. Repeated doc_ids count as one
@@ -31,13 +32,11 @@ from .components import components
 from .kernels import distinct_sorted, mix64, pieces, shingle_hashes, split_words
 
 #: A shingle found at least so often, counting tasks in which it stands three times, has a long list.
-LONG_LIST = 32
+LONG_LIST = 8
 #: Bound on the table of long lists that goes to every task, in entries of 12 bytes.
 MOST_LONG = 1 << 18
 #: Up to so many ids of candidates are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
-#: Lists longer than this get a second pivot before their members are compared across components.
-SECOND_PIVOT = 48
 _TALLY = 3 << 20
 
 
@@ -142,9 +141,14 @@ def _overlaps(num: int, den: int):
     return of
 
 
+def _need(n, m, num, den):
+    """Shingles that sets of sizes n and m must share at least."""
+    return F.floor(((n + m) * num + num + den - 1) / F.lit(num + den))
+
+
 def _reaching(pairs: DataFrame, num: int, den: int) -> DataFrame:
     """pairs: (a, na, b, nb, c), c shingles shared within both prefixes. Keeps those that can still reach the required overlap."""
-    need = F.ceil((F.col("na") + F.col("nb")) * F.lit(num) / F.lit(float(num + den)) - F.lit(1e-9))
+    need = _need(F.col("na"), F.col("nb"), num, den)
     rest = F.greatest(F.floor((F.col("na") * num + den - 1) / den), F.floor((F.col("nb") * num + den - 1) / den)) - 1
     return pairs.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("c") >= need - rest))
 
@@ -161,9 +165,9 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # Equal sets have the same prefix; one representative stands for them all.
     reps = docs.mapInArrow(_prefixes(width, num, den, shared), "doc_id long, n long, hi long, lo long, tokens array<long>").where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.any_value("tokens").alias("tokens"))
-    postings = reps.select("doc", "n", F.explode("tokens").alias("token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1")
-    members = cut(postings.join(lists, "token").select("token", "doc", "n", "size", F.col("pivot.doc").alias("a"), F.col("pivot.n").alias("na")))
+    postings = reps.select("doc", "n", F.posexplode("tokens").alias("place", "token"))
+    lists = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
+    members = cut(postings.join(lists, "token").select("token", "doc", "n", "place", F.col("pivot.doc").alias("a"), F.col("pivot.n").alias("na")))
 
     def verified(pairs: DataFrame) -> DataFrame:
         ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
@@ -176,27 +180,20 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
         got = m.where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.first("na").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
         return cut(_reaching(got, num, den).select("a", "b"))
 
-    def split(m: DataFrame, groups: DataFrame) -> DataFrame:
-        """Members with their component, of the lists that still span several."""
-        now = m.select("token", "doc", "n", "size").join(groups.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
-        over = now.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct(F.xxhash64("doc"), "doc", "n", "component")).alias("pivot")).where("least <> most")
-        return now.join(over.select("token", "pivot"), "token")
-
     tested = star(members)
     links = verified(tested)
     groups = components(links)
-    left = cut(split(members, groups))
-    if left.where(F.col("size") > SECOND_PIVOT).limit(1).count():
-        again = left.where((F.col("size") > SECOND_PIVOT) & (F.col("component") != F.col("pivot.component"))).select("doc", "n", F.col("pivot.doc").alias("a"), F.col("pivot.n").alias("na"))
-        more = star(again).join(tested, ["a", "b"], "left_anti")
-        links = cut(links.union(verified(cut(more))))
-        tested = tested.union(more)
-        groups = components(links)
-        left = cut(split(members, groups))
-    one, two = left.select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("component").alias("ka")), left.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("component").alias("kb"))
-    cross = one.join(two, "token").where((F.col("a") < F.col("b")) & (F.col("ka") != F.col("kb")) & (F.least("na", "nb") * den >= F.greatest("na", "nb") * num))
-    cross = _reaching(cross.groupBy("a", "b").agg(F.first("na").alias("na"), F.first("nb").alias("nb"), F.count("*").alias("c")), num, den).select("a", "b")
-    known = tested.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    now = members.select("token", "doc", "n", "place").join(groups.select(F.col("id").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+    several = now.groupBy("token").agg(F.min("component").alias("least"), F.max("component").alias("most")).where("least <> most").select("token")
+    left = cut(now.join(several, "token"))
+    # The first shingle that two linked documents share stands early enough in both to leave room for
+    # the overlap; in the smaller one, that is within the room that a partner of its own size leaves.
+    small = left.where(F.col("n") - F.col("place") >= _need(F.col("n"), F.col("n"), num, den)).select("token", F.col("doc").alias("a"), F.col("n").alias("na"), F.col("place").alias("pa"), F.col("component").alias("ka"))
+    large = left.select("token", F.col("doc").alias("b"), F.col("n").alias("nb"), F.col("place").alias("pb"), F.col("component").alias("kb"))
+    smaller = (F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("a") < F.col("b")))
+    room = F.least(F.col("na") - F.col("pa"), F.col("nb") - F.col("pb")) >= _need(F.col("na"), F.col("nb"), num, den)
+    cross = small.join(large, "token").where(smaller & (F.col("ka") != F.col("kb")) & (F.col("na") * den >= F.col("nb") * num) & room).select("a", "b").distinct()
+    known = tested.union(tested.select("b", "a"))
     rest = verified(cut(cross.join(known, ["a", "b"], "left_anti")))
     groups = components(links.union(rest)) if rest.limit(1).count() else groups
 

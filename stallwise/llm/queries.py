@@ -5,15 +5,26 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import find_benchmark
 from .jaccard_join import jaccard_components
+from .packing import pack
+from .pii import find_pii
 from .quality import score_quality
+from .secrets import find_secrets
 from .toxicity import score_toxicity
 from .vector_dedup import near_vectors
 
 
+def op1_pii(spark, sf_dir):
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op2_quality(spark, sf_dir):
     return score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"))
+
+
 def op4_decontaminate(spark, sf_dir):
     return find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -30,9 +41,16 @@ def op8_toxicity(spark, sf_dir):
     return score_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_secrets(spark, sf_dir):
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_pii": op1_pii,
     "op2_quality": op2_quality,
+    "op3_packing": op3_packing,
     "op4_decontaminate": op4_decontaminate,
+    "op5_secrets": op5_secrets,
     "op6_jaccard_join": op6_jaccard_join,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_toxicity": op8_toxicity,
