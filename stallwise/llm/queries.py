@@ -5,6 +5,7 @@ from __future__ import annotations
 from .common import table
 from .decontaminate import find_benchmark
 from .jaccard_join import jaccard_components
+from .main_text import main_text
 from .packing import pack
 from .pii import find_pii
 from .quality import score_quality
@@ -45,6 +46,10 @@ def op5_secrets(spark, sf_dir):
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
+def op9_main_text(spark, sf_dir):
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -54,6 +59,7 @@ QUERIES = {
     "op6_jaccard_join": op6_jaccard_join,
     "op7_vector_dedup": op7_vector_dedup,
     "op8_toxicity": op8_toxicity,
+    "op9_main_text": op9_main_text,
 }
 
 OP6_SQL = r"""
