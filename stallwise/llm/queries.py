@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .common import table
+from .context_mixing import score_texts
 from .decontaminate import find_benchmark
 from .jaccard_join import jaccard_components
 from .main_text import main_text
@@ -50,6 +51,10 @@ def op9_main_text(spark, sf_dir):
     return main_text(table(spark, sf_dir, "pages"))
 
 
+def op10_context_mixing(spark, sf_dir):
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_pii": op1_pii,
     "op2_quality": op2_quality,
@@ -60,6 +65,7 @@ QUERIES = {
     "op7_vector_dedup": op7_vector_dedup,
     "op8_toxicity": op8_toxicity,
     "op9_main_text": op9_main_text,
+    "op10_context_mixing": op10_context_mixing,
 }
 
 OP6_SQL = r"""
