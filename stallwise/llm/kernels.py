@@ -88,11 +88,28 @@ def split_words(run: list[bytes], plain: bool = False) -> Words:
     buffer = np.frombuffer(b"\n".join(run) + b"\n", np.uint8)
     offsets = np.zeros(len(run) + 1, np.int64)
     np.cumsum([len(x) + 1 for x in run], out=offsets[1:])
-    # A separator stands after each text, so that no word crosses two texts.
-    inside = (_PLAIN if plain else _DARK)[buffer]
-    edge = np.flatnonzero(inside[1:] != inside[:-1]) + 1
-    if len(inside) and inside[0]:
+    # A separator stands after each text, so that no word crosses two texts. Long buffers go in parts
+    # that end between words, so that what is needed for each byte is bounded.
+    inside = _PLAIN if plain else _DARK
+    found, at = [], 0
+    while at < len(buffer):
+        end = min(len(buffer), at + 2 * PIECE_BYTES)
+        while end < len(buffer) and inside[buffer[end - 1]]:
+            end += 1
+        found.append(_hash_words(buffer[at:end], inside, at))
+        at = end
+    hashes, starts, ends = (np.concatenate(x) for x in zip(*found))
+    return Words(buffer, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))
+
+
+def _hash_words(buffer: np.ndarray, inside: np.ndarray, at: int):
+    """Hashes, starts and ends (both moved by ``at``) of the words of a buffer that ends between words."""
+    dark = inside[buffer]
+    edge = np.flatnonzero(dark[1:] != dark[:-1]) + 1
+    if dark[0]:
         edge = np.concatenate(([0], edge))
+    if dark[-1]:
+        edge = np.concatenate((edge, [len(buffer)]))
     starts, ends = edge[0::2], edge[1::2]
     n = len(buffer)
     value = _VALUE[buffer]
@@ -100,8 +117,7 @@ def split_words(run: list[bytes], plain: bool = False) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum(value, out=total[1:])
     down = _power_table(n, _BASE_INVERSE, "down")
-    hashes = mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
-    return Words(buffer, offsets, hashes, starts, ends, np.searchsorted(starts, offsets))
+    return mix64((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64)), starts + at, ends + at
 
 
 def shingle_hashes(words: Words, width: int = 5) -> tuple[np.ndarray, np.ndarray]:
