@@ -20,7 +20,7 @@ def weighted_quantiles(rows: DataFrame, key: str, value: str, weight: str, tie:
     """Per key, quantiles of weighted values.
 
     Rows without a positive weight are dropped. A quantile is the first row at which the running weight
-    reaches its share; unless it is the first row, it lies between the row before and that row.
+    reaches its share; unless it is the first row, it lies between the row before and that row, rounded.
     """
     order = W.partitionBy(key).orderBy(value, tie)
     whole = W.partitionBy(key)
@@ -30,7 +30,7 @@ def weighted_quantiles(rows: DataFrame, key: str, value: str, weight: str, tie:
         need = F.col("_all") * F.lit(p)
         prior = F.col("_upto") - F.col(weight)
         between = half_up(F.col("_before") + (F.col(value) - F.col("_before")) * F.least((need - prior) / F.col(weight), F.lit(1.0)))
-        hit = F.when(F.col("_upto") >= need, F.struct(F.col("_upto").alias("u"), F.col(value).alias("v"), F.col(tie).alias("t"), F.when(F.col("_before").isNull(), F.col(value).cast("long")).otherwise(between).alias("x")))
+        hit = F.when(F.col("_upto") >= need, F.struct(F.col("_upto").alias("u"), F.col(value).alias("v"), F.col(tie).alias("t"), F.when(F.col("_before").isNull(), F.col(value).cast("double")).otherwise(between.cast("double")).alias("x")))
         out.append(F.min(hit)["x"].alias(f"wq{k + 1}"))
     return rows.groupBy(key).agg(*out)
 

@@ -1 +1,279 @@
-ORACLE_SQL = {}
+"""SQL restatements of the registered queries, written apart from the DataFrame code."""
+
+from __future__ import annotations
+
+
+def _h(x: str) -> str:
+    """Nearest integer, halves upwards."""
+    return f"CAST(floor(({x}) + 0.5::DOUBLE) AS BIGINT)"
+
+
+_DAY = "DATE '1999-06-30'"
+
+_ROLES = f"""
+product AS (
+  SELECT p_partkey AS product_id, p_name AS product_type, p_type AS category, p_brand AS brand, p_size,
+    CAST(regexp_extract(p_brand, '([0-9]+)', 1) AS INT) % 3 AS tier,
+    p_brand || ' ' || p_name || ' (' || p_type || ')' AS canonical_name,
+    min(p_partkey) OVER (PARTITION BY p_name, p_brand) AS identity_id,
+    DATE '1995-01-01' + CAST(p_partkey % 365 AS INT) AS first_seen_at,
+    CASE WHEN p_partkey % 11 <> 0 THEN p_partkey % 7 END AS grade
+  FROM part),
+seller AS (SELECT s_suppkey AS seller_id, s_name AS seller_name, n_regionkey AS marketplace_id, s_suppkey % 10 AS seller_group FROM supplier JOIN nation ON s_nationkey = n_nationkey),
+every_obs AS (
+  SELECT l_partkey * 1000000 + l_suppkey AS offer_id, l_partkey AS product_id, l_suppkey AS seller_id, marketplace_id, l_partkey * 10 + marketplace_id AS listing_id,
+    CAST(l_shipdate AS DATE) AS observed_at, l_orderkey * 10 + l_linenumber AS seq, {_h('l_extendedprice * 100')} AS selling, {_h('l_tax * 100')} * 100 AS shipping,
+    {_h('l_discount * 100')} AS disc, l_returnflag <> 'R' AS in_stock, CAST(l_quantity AS BIGINT) AS quantity, l_linenumber
+  FROM lineitem JOIN seller ON seller_id = l_suppkey),
+observation AS (SELECT *, CAST(floor(selling * (110 + disc) / 100) AS BIGINT) AS mrp, CASE WHEN disc >= 8 THEN 'deal-' || disc END AS sale_label FROM every_obs),
+offer AS (SELECT DISTINCT offer_id, listing_id, product_id, marketplace_id, seller_id FROM observation),
+listing AS (SELECT *, confidence_pct >= 97 AS human_confirmed FROM (SELECT DISTINCT listing_id, product_id, marketplace_id, 90 + (product_id * 5 + marketplace_id) % 10 AS confidence_pct FROM offer)),
+promotion AS (
+  SELECT offer_id, k, CASE WHEN k <= 2 THEN 'universal' WHEN k <= 6 THEN 'conditional' WHEN k = 7 THEN 'deferred' ELSE 'financing' END AS availability, discount,
+    CASE WHEN k <> 3 THEN DATE '1995-01-01' + CAST(200 * k AS INT) END AS valid_from, CASE WHEN k <> 5 THEN DATE '1995-01-01' + CAST(200 * k + 900 AS INT) END AS valid_to
+  FROM (SELECT offer_id, (product_id * 31 + seller_id * 17) % 9 AS k, 500 + (product_id + seller_id) % 20 * 250 AS discount FROM offer)),
+fee_rule(ord, marketplace_id, category, referral_bp, fixed_fee, effective_from, effective_to) AS (VALUES
+  (0, 0, NULL, 1200, 25, DATE '1995-01-01', DATE '1998-12-31'), (1, 0, NULL, 1300, 30, DATE '1999-01-01', NULL), (2, 0, 'PROMO', 800, 20, DATE '1996-01-01', NULL), (3, 1, NULL, 1100, 20, DATE '1995-01-01', NULL),
+  (4, 1, 'SMALL', 700, 15, DATE '1997-01-01', DATE '1999-03-31'), (5, 1, 'SMALL', 750, 15, DATE '1999-04-01', NULL), (6, 2, NULL, 1500, 40, DATE '1995-01-01', NULL), (7, 3, 'LARGE', 900, 35, DATE '1995-01-01', NULL)),
+seller_cost AS (SELECT product_id, product_id % 50 * 10000 + 50000 AS cost FROM product WHERE product_id % 3 = 0),
+tree AS (
+  SELECT 'r' || r_regionkey AS id, NULL AS parent_id, 1 AS level, r_name AS name FROM region UNION ALL SELECT 'n' || n_nationkey, 'r' || n_regionkey, 2, n_name FROM nation UNION ALL SELECT 's' || s_suppkey, 'n' || s_nationkey, 3, s_name FROM supplier),
+laddered AS (
+  SELECT *, landed - universal_discount AS universal_effective FROM (
+    SELECT o.*, selling + shipping AS landed, least(CASE WHEN p.availability = 'universal' THEN p.discount ELSE 0 END, selling + shipping) AS universal_discount,
+      CASE WHEN p.availability = 'conditional' THEN p.discount ELSE 0 END AS conditional, CASE WHEN p.availability = 'deferred' THEN p.discount ELSE 0 END AS deferred_benefit, CASE WHEN p.availability = 'financing' THEN p.discount ELSE 0 END AS financing_benefit
+    FROM observation o LEFT JOIN promotion p ON p.offer_id = o.offer_id AND (valid_from IS NULL OR valid_from <= observed_at) AND (valid_to IS NULL OR valid_to >= observed_at))),
+seen AS (SELECT * FROM laddered WHERE observed_at <= {_DAY}),
+state AS (
+  SELECT *, least(conditional, universal_effective) AS conditional_discount, universal_effective - least(conditional, universal_effective) AS conditional_best,
+    CASE WHEN mrp <> 0 THEN {_h('(mrp - universal_effective) * 10000 / mrp')} END AS below_mrp_bp
+  FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS rn FROM seen) WHERE rn = 1),
+price AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY universal_effective, listing_id, offer_id) AS best FROM state WHERE in_stock) WHERE best = 1),
+series AS (
+  SELECT product_id, observed_at, universal_effective AS price, landed, sale_label FROM (
+    SELECT *, row_number() OVER (PARTITION BY product_id, observed_at ORDER BY universal_effective, listing_id, offer_id, seq, landed, sale_label NULLS FIRST) AS best FROM seen WHERE in_stock) WHERE best = 1),
+history AS (
+  SELECT product_id, count(*) AS n_days, min(observed_at) AS first_date, max(observed_at) AS last_date, min_by(price, observed_at) AS first_price, max_by(price, observed_at) AS current_price, min(price) AS lowest, max(price) AS highest,
+    quantile_cont(CASE WHEN observed_at >= {_DAY} - 365 THEN price END, 0.5) AS median_365, quantile_cont(CASE WHEN observed_at >= {_DAY} - 730 THEN price END, 0.5) AS median_730, quantile_cont(CASE WHEN observed_at >= {_DAY} - 1095 THEN price END, 0.5) AS median_1095,
+    count(sale_label) AS sale_days, count(DISTINCT sale_label) AS sale_labels
+  FROM series GROUP BY product_id),
+monthly AS (SELECT listing_id, product_id, CAST(date_trunc('month', observed_at) AS DATE) AS captured_at, sum(quantity) AS q, sum(l_linenumber) AS r FROM observation GROUP BY ALL),
+review AS (SELECT listing_id, product_id, captured_at, CAST(sum(q) OVER w AS BIGINT) AS review_count, CAST(30 + sum(r) OVER w % 20 AS BIGINT) AS rating_tenths FROM monthly WINDOW w AS (PARTITION BY listing_id ORDER BY captured_at)),
+velocity AS (
+  SELECT listing_id, product_id, captured_at, review_count, rating_tenths, CASE WHEN captured_at - before_at > 0 THEN {_h('(review_count - before) * 1000 / (captured_at - before_at)')} END AS velocity_milli
+  FROM (SELECT *, row_number() OVER w AS n, lead(review_count) OVER w AS before, lead(captured_at) OVER w AS before_at FROM review WHERE captured_at <= {_DAY} WINDOW w AS (PARTITION BY listing_id ORDER BY captured_at DESC)) WHERE n = 1),
+metrics AS (
+  SELECT product_id, count(*) AS listings, coalesce({_h('sum(CASE WHEN review_count > 0 THEN review_count * rating_tenths END) / sum(CASE WHEN review_count > 0 THEN review_count END)')}, {_h('sum(rating_tenths) / count(*)')}) AS rating_tenths,
+    CAST(sum(CASE WHEN review_count > 0 THEN review_count END) AS BIGINT) AS review_count, CAST(sum(velocity_milli) AS BIGINT) AS velocity_milli
+  FROM velocity GROUP BY product_id),
+seller_rating AS (
+  SELECT seller_id, CAST(date_trunc('year', observed_at) AS DATE) AS captured_at, count(*) AS rating_count, CAST(30 + sum(l_linenumber) % 20 AS BIGINT) AS rating_tenths FROM observation GROUP BY ALL),
+last_rating AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY seller_id ORDER BY captured_at DESC) AS n FROM seller_rating WHERE captured_at <= {_DAY}) WHERE n = 1),
+rule_for AS (
+  SELECT marketplace_id, category, is_default, referral_bp, fixed_fee FROM (
+    SELECT m.marketplace_id, c.category, f.category IS NULL AS is_default, referral_bp, fixed_fee, row_number() OVER (PARTITION BY m.marketplace_id, c.category ORDER BY (f.category IS NULL), f.ord) AS n
+    FROM (SELECT r_regionkey AS marketplace_id FROM region) m, (SELECT DISTINCT category FROM product) c, fee_rule f
+    WHERE f.marketplace_id = m.marketplace_id AND (f.category IS NULL OR f.category = c.category) AND effective_from <= {_DAY} AND (effective_to IS NULL OR effective_to >= {_DAY})) WHERE n = 1),
+reach AS (SELECT product_id, list_sort(list(DISTINCT marketplace_id)) AS marketplaces FROM listing GROUP BY product_id),
+competition AS (
+  SELECT product_id, count(*) AS offers, count_if(in_stock) AS in_stock_offers, count(DISTINCT listing_id) AS listings, count(DISTINCT marketplace_id) AS marketplaces,
+    min(universal_effective) FILTER (in_stock) AS least, max(universal_effective) FILTER (in_stock) AS most, quantile_cont(universal_effective, 0.5) FILTER (in_stock) AS median
+  FROM state GROUP BY product_id),
+mrp AS (
+  SELECT s.product_id, applicable_mrp, CASE WHEN applicable_mrp IS NULL THEN 'unknown' WHEN coalesce(universal_effective, 0) = 0 THEN 'reliable' WHEN applicable_mrp * 10 > universal_effective * 22 THEN 'inflated' ELSE 'reliable' END AS reliability
+  FROM (SELECT product_id, max(CASE WHEN mrp > 0 THEN mrp END) AS applicable_mrp FROM state GROUP BY product_id) s LEFT JOIN price USING (product_id)),
+summary AS (
+  SELECT p.product_id, canonical_name, product_type, category, brand, first_seen_at, min_price, max_price, marketplaces, s.listings, offers, any_in_stock, rating_tenths, coalesce(review_count, 0) AS review_count
+  FROM product p LEFT JOIN (
+    SELECT product_id, min(universal_effective) FILTER (in_stock) AS min_price, max(universal_effective) FILTER (in_stock) AS max_price, list_sort(list(DISTINCT marketplace_id)) AS marketplaces, count(DISTINCT listing_id) AS listings, count(*) AS offers, bool_or(in_stock) AS any_in_stock
+    FROM state GROUP BY product_id) s USING (product_id) LEFT JOIN metrics m USING (product_id)),
+asked AS (
+  SELECT *, brand IN ('Brand#1', 'Brand#10', 'Brand#12', 'Brand#15') AS ok_brand, coalesce(min_price >= 0 AND min_price < 5000000, false) AS ok_price, coalesce(rating_tenths, 0) >= 35 AS ok_rating,
+    coalesce(list_has_any(marketplaces, [0, 1, 2]), false) AS ok_market, coalesce(any_in_stock, false) AS ok_stock, category IN ('SMALL', 'LARGE', 'PROMO') AS ok_specs
+  FROM summary WHERE contains(lower(canonical_name), 'brand#1') OR contains(lower(brand), 'brand#1') OR contains(lower(product_type), 'brand#1')),
+tracked AS (SELECT product_id FROM product WHERE product_id % 10 = 3),
+asof_week AS (
+  SELECT product_id, min(universal_effective) AS price_asof FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS rn FROM laddered WHERE in_stock AND observed_at <= DATE '1999-06-23') WHERE rn = 1 GROUP BY product_id),
+track AS (
+  SELECT product_id, canonical_name, universal_effective AS current_price, price_asof, coalesce(n, 0) AS listings, universal_effective - price_asof AS change, {_h('CASE WHEN price_asof <> 0 THEN (universal_effective - price_asof) * 10000 / price_asof END')} AS change_bp
+  FROM tracked JOIN product USING (product_id) LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN asof_week USING (product_id) LEFT JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY product_id) USING (product_id)),
+quality AS (
+  SELECT l.product_id, coalesce(observations, 0) AS observations, coalesce(in_stock_offers, 0) AS in_stock_offers,
+    (greatest(least((confidence - 70) / 29::DOUBLE, 1), 0) + least(coalesce(observations, 0) / 90::DOUBLE, 1) + (CASE WHEN coalesce(in_stock_offers, 0) > 0 THEN 1 ELSE 0 END) + (CASE WHEN rating_tenths IS NOT NULL THEN 1 ELSE 0 END) + least(breadth / 2::DOUBLE, 1)) / 5::DOUBLE AS quality
+  FROM (SELECT product_id, min(confidence_pct) AS confidence, count(DISTINCT marketplace_id) AS breadth FROM listing GROUP BY product_id) l
+  LEFT JOIN (SELECT product_id, count(*) AS observations FROM seen GROUP BY product_id) USING (product_id) LEFT JOIN competition USING (product_id) LEFT JOIN metrics USING (product_id)),
+profile AS (
+  SELECT p.product_id, product_type, brand, tier, identity_id, category AS material, p_size AS size, grade, universal_effective AS price, universal_discount > 0 AS has_promo, marketplaces, quality, rating_tenths, review_count, applicable_mrp
+  FROM product p JOIN (SELECT product_id, universal_effective, universal_discount FROM price) USING (product_id) JOIN reach USING (product_id) JOIN (SELECT product_id, quality FROM quality) USING (product_id) LEFT JOIN (SELECT product_id, rating_tenths, review_count FROM metrics) USING (product_id) LEFT JOIN mrp USING (product_id)),
+compared AS (
+  SELECT a.product_id, b.product_id AS c, a.price, b.price AS c_price, a.identity_id AS family, b.identity_id AS c_family, a.applicable_mrp AS cap, b.quality AS c_quality, b.brand AS c_brand, b.tier AS c_tier, b.marketplaces AS c_marketplaces, b.has_promo AS c_promo,
+    a.rating_tenths, a.review_count, a.tier, a.size, a.grade, b.rating_tenths AS c_rating, b.review_count AS c_reviews, b.size AS c_size, b.grade AS c_grade,
+    1 - least(abs(a.size - b.size) / greatest(abs(a.size), abs(b.size), 1)::DOUBLE, 1) AS s_size, CASE WHEN a.grade IS NOT NULL AND b.grade IS NOT NULL THEN 1 - least(abs(a.grade - b.grade) / greatest(abs(a.grade), abs(b.grade), 1)::DOUBLE, 1) END AS s_grade, CASE WHEN a.material = b.material THEN 1 ELSE 0 END AS s_material, CASE WHEN (a.size > 25) = (b.size > 25) THEN 1 ELSE 0 END AS s_large,
+    len(list_intersect(a.marketplaces, b.marketplaces)) AS shared, len(list_intersect(a.marketplaces, b.marketplaces)) / len(list_distinct(list_concat(a.marketplaces, b.marketplaces))) AS market_score,
+    1 - least(abs(ln(a.price / b.price)) / ln(3::DOUBLE), 1) AS price_score, 1 - abs(a.tier - b.tier) / 2 AS tier_score
+  FROM profile a JOIN profile b USING (product_type) WHERE a.product_id <> b.product_id),
+scored AS (
+  SELECT *, (0.45::DOUBLE * spec_score + (0.25::DOUBLE * price_score + 0.15::DOUBLE * tier_score + 0.15::DOUBLE * market_score)) / (0.45::DOUBLE + 0.25::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE) AS similarity
+  FROM (SELECT *, (s_size * 2::DOUBLE + coalesce(s_grade * 2::DOUBLE, 0) + s_material + s_large) / (4::DOUBLE + CASE WHEN s_grade IS NULL THEN 0 ELSE 2 END) AS spec_score FROM compared)),
+step1 AS (SELECT *, CASE WHEN shared = 0 THEN 'marketplace' WHEN c_price > cap * 1.15::DOUBLE THEN 'mrp' END AS reason1 FROM scored),
+step2 AS (
+  SELECT *, CASE WHEN reason1 IS NOT NULL THEN 'excluded' WHEN similarity >= 0.55::DOUBLE AND c_price BETWEEN price * 0.6::DOUBLE AND price * 1.7::DOUBLE AND family <> c_family THEN 'direct' WHEN similarity >= 0.4::DOUBLE AND c_price BETWEEN price * 0.45::DOUBLE AND price * 2.2::DOUBLE THEN 'comparable' ELSE 'reference' END AS tier1,
+    row_number() OVER (PARTITION BY product_id, c_family, reason1 IS NULL ORDER BY similarity DESC, c) AS slot
+  FROM step1),
+step3 AS (SELECT *, CASE WHEN reason1 IS NULL AND slot > 1 THEN 'excluded' ELSE tier1 END AS tier2, CASE WHEN reason1 IS NULL AND slot > 1 THEN 'family' ELSE reason1 END AS reason2 FROM step2),
+fence AS (SELECT product_id, count(*) AS n, quantile_cont(c_price, 0.25) AS q1, quantile_cont(c_price, 0.75) AS q3 FROM step3 WHERE tier2 IN ('direct', 'comparable') GROUP BY product_id),
+step4 AS (
+  SELECT s.*, tier2 IN ('direct', 'comparable') AND f.n >= 3 AND (c_price < q1 - (q3 - q1) * 1.5::DOUBLE OR c_price > q3 + (q3 - q1) * 1.5::DOUBLE) AS outlier FROM step3 s LEFT JOIN fence f USING (product_id)),
+step5 AS (SELECT *, CASE WHEN outlier THEN 'reference' ELSE tier2 END AS tier3, CASE WHEN outlier THEN 'outlier' ELSE reason2 END AS reason3, similarity * c_quality AS worth FROM step4),
+step6 AS (
+  SELECT *, CASE WHEN tier3 IN ('direct', 'comparable') THEN row_number() OVER (PARTITION BY product_id, tier3 IN ('direct', 'comparable') ORDER BY (CASE WHEN tier3 = 'direct' THEN 10 ELSE 0 END) + worth DESC, c) END AS place FROM step5),
+classified AS (
+  SELECT *, CASE WHEN place > 10 THEN 'reference' ELSE tier3 END AS final, CASE WHEN place > 10 THEN 'rank' ELSE reason3 END AS reason FROM step6),
+member AS (SELECT *, {_h("worth * (CASE WHEN final = 'direct' THEN 1::DOUBLE ELSE 0.6::DOUBLE END) * 1000")} AS weight_milli FROM classified WHERE final IN ('direct', 'comparable')),
+coverage AS (
+  SELECT *, CASE WHEN direct >= 5 AND effective_hundredths >= 350 THEN 'strong' WHEN direct + comparable >= 5 AND effective_hundredths >= 275 THEN 'adequate' WHEN direct + comparable >= 3 THEN 'thin' ELSE 'insufficient' END AS level FROM (
+    SELECT k.product_id, candidates, direct, comparable, reference, no_marketplace, over_mrp, same_family, {_h('coalesce(w, 0) / 10')} AS effective_hundredths FROM (
+      SELECT product_id, count(*) AS candidates, count_if(final = 'direct') AS direct, count_if(final = 'comparable') AS comparable, count_if(final = 'reference') AS reference,
+        count_if(final = 'excluded' AND reason = 'marketplace') AS no_marketplace, count_if(final = 'excluded' AND reason = 'mrp') AS over_mrp, count_if(final = 'excluded' AND reason = 'family') AS same_family FROM classified GROUP BY product_id) k
+    LEFT JOIN (SELECT product_id, sum(weight_milli) AS w FROM member GROUP BY product_id) USING (product_id)))
+"""
+
+
+def _weighted(name: str, source: str, key: str, value: str, weight: str, tie: str) -> str:
+    """CTEs of a weighted distribution of ``source``: ``name`` has n, total_weight, least, most and wq1..wq3."""
+    quarter = []
+    for k, p in enumerate(("0.25", "0.5", "0.75")):
+        need = f"(total * {p}::DOUBLE)"
+        step = _h(f"before + (v - before) * least(({need} - (upto - w)) / w::DOUBLE, 1)")
+        quarter.append(f"arg_min(CASE WHEN before IS NULL THEN v::DOUBLE ELSE {step}::DOUBLE END, (upto, v, t)) FILTER (upto >= {need}) AS wq{k + 1}")
+    return f"""{name}_rows AS (
+  SELECT {key} AS k, {value} AS v, {weight} AS w, {tie} AS t, sum({weight}) OVER (PARTITION BY {key} ORDER BY {value}, {tie} ROWS UNBOUNDED PRECEDING) AS upto, sum({weight}) OVER (PARTITION BY {key}) AS total, lag({value}) OVER (PARTITION BY {key} ORDER BY {value}, {tie}) AS before
+  FROM {source} WHERE {weight} > 0),
+{name} AS (SELECT k AS {key}, count(*) AS n, CAST(sum(w) AS BIGINT) AS total_weight, min(v) AS least, max(v) AS most, {', '.join(quarter)} FROM {name}_rows GROUP BY k)"""
+
+
+_RECOMMEND = f"""
+own AS (SELECT product_id, in_stock_offers AS own_n, least AS own_min, most AS own_max, median AS own_median FROM competition WHERE in_stock_offers > 0),
+{_weighted('mstats', 'member', 'product_id', 'c_price', 'weight_milli', 'c')},
+pooled AS (
+  SELECT product_id, own_median AS value, 1000 AS weight, 0 AS tie FROM own WHERE product_id IN (SELECT product_id FROM member) UNION ALL SELECT product_id, c_price::DOUBLE, weight_milli, c FROM member),
+{_weighted('pool', 'pooled', 'product_id', 'value', 'weight', 'tie')},
+zones AS (SELECT product_id, n AS pool, least AS floor_zone, wq1 AS low, wq2 AS middle, wq3 AS high, most AS above, {_h('(wq3 - wq1) * 1000 / wq2')} AS concentration_milli FROM pool),
+anchors AS (
+  SELECT *, CASE WHEN own_median / normal <= 0.9::DOUBLE THEN 'depressed' WHEN own_median / normal >= 1.1::DOUBLE THEN 'elevated' ELSE 'normal' END AS distortion,
+    CASE WHEN own_n >= 2 THEN {_h('0.65::DOUBLE * own_median + 0.35::DOUBLE * normal')} ELSE least(greatest({_h('0.75::DOUBLE * own_median + 0.25::DOUBLE * comp_median')}, {_h('own_median * 0.9::DOUBLE')}), {_h('own_median * 1.1::DOUBLE')}) END AS anchor
+  FROM (SELECT own.*, wq2 AS comp_median, coalesce(median_1095, median_730, own_median, wq2) AS normal FROM own JOIN mstats USING (product_id) LEFT JOIN history USING (product_id))),
+be AS (
+  SELECT product_id, marketplace_id, is_default AS is_category_default, {_h('(cost + fixed_fee * 118) / (1 - referral_bp * 118 / 1000000)')} AS break_even FROM seller_cost JOIN product USING (product_id) JOIN rule_for USING (category)),
+bounds AS (
+  SELECT *, greatest(market_floor, break_even_floor) AS floor, ceiling < greatest(market_floor, break_even_floor) AS conflict FROM (
+    SELECT *, least({_h('floor_zone * 0.92::DOUBLE')}, {_h('ceiling * 0.85::DOUBLE')}) AS market_floor FROM (
+      SELECT product_id, least({_h('above * 1.1::DOUBLE')}, applicable_mrp) AS ceiling, CASE WHEN applicable_mrp < {_h('above * 1.1::DOUBLE')} THEN 'mrp' ELSE 'range' END AS ceiling_source, {_h('worst * 1.02::DOUBLE')} AS break_even_floor, floor_zone, middle
+      FROM zones LEFT JOIN mrp USING (product_id) LEFT JOIN (SELECT product_id, max(break_even) AS worst FROM be GROUP BY product_id) USING (product_id)))),
+promo_share AS (SELECT product_id, count(*) AS n_prices, count_if(promo) AS n_promo FROM (SELECT product_id, universal_discount > 0 AS promo FROM state WHERE in_stock UNION ALL SELECT product_id, c_promo FROM member) GROUP BY product_id),
+checks AS (
+  SELECT product_id, direct >= 5 AS ok_breadth, effective_hundredths >= 350 AS ok_depth, coalesce((wq3 - wq1) / wq2 <= 0.35::DOUBLE, false) AS ok_coherence, coalesce(n_days, 0) >= 30 AS ok_history, coalesce(in_stock_offers, 0) >= 2 AS ok_competition,
+    cost IS NOT NULL AS ok_cost, NOT coalesce(uses_default, false) AS ok_fees, coalesce(reliability = 'reliable', false) AS ok_mrp, coalesce(confidence >= 95, false) AS ok_match, coalesce(n_prices > 0 AND n_promo * 100 <= n_prices * 34, false) AS ok_promotions, level
+  FROM coverage LEFT JOIN (SELECT product_id, wq1, wq2, wq3 FROM mstats) USING (product_id) LEFT JOIN history USING (product_id) LEFT JOIN competition USING (product_id) LEFT JOIN seller_cost USING (product_id) JOIN (SELECT product_id, category FROM product) USING (product_id)
+  LEFT JOIN (SELECT category, bool_or(is_default) AS uses_default FROM rule_for GROUP BY category) USING (category) LEFT JOIN mrp USING (product_id) LEFT JOIN (SELECT product_id, min(confidence_pct) AS confidence FROM listing GROUP BY product_id) USING (product_id) LEFT JOIN promo_share USING (product_id)),
+points AS (SELECT *, 2 * ok_breadth::INT + 2 * ok_depth::INT + 2 * ok_coherence::INT + ok_history::INT + ok_competition::INT + ok_cost::INT + ok_fees::INT + ok_mrp::INT + ok_match::INT + ok_promotions::INT AS points FROM checks),
+evidence AS (
+  SELECT * EXCLUDE (rank, top, level), {_h('points * 100 / 13')} AS score_hundredths, ['low', 'medium', 'medium-high', 'high'][least(rank, top) + 1] AS evidence, top < rank AS capped FROM (
+    SELECT *, CASE WHEN points * 10 >= 104 THEN 3 WHEN points * 10 >= 78 THEN 2 WHEN points * 10 >= 52 THEN 1 ELSE 0 END AS rank, CASE level WHEN 'strong' THEN 3 WHEN 'adequate' THEN 2 WHEN 'thin' THEN 1 ELSE 0 END AS top FROM points))
+"""
+
+
+def _sql(body: str, recommend: bool = False) -> str:
+    return f"WITH RECURSIVE {_ROLES.strip()}" + (f",\n{_RECOMMEND.strip()}" if recommend else "") + f"\n{body}"
+
+
+_BUT = {g: " AND ".join(f"ok_{x}" for x in ("brand", "price", "rating", "market", "stock", "specs") if x != g) for g in ("brand", "price", "rating", "market", "stock", "specs", None)}
+_SORTS = {"relevance": "review_count DESC", "reviews": "review_count DESC", "price_asc": "min_price ASC NULLS LAST", "price_desc": "min_price DESC NULLS LAST", "rating": "rating_tenths DESC NULLS LAST", "recent": "first_seen_at DESC"}
+_WPRICE = "wprice AS (SELECT product_id, product_type, universal_effective, product_id % 5 AS weight FROM price JOIN product USING (product_id))"
+_STEP = "CASE WHEN p < 100000 THEN 1000 WHEN p < 1000000 THEN 5000 ELSE 10000 END"
+_NET = f"selling - {_h('selling * referral_bp / 10000')} - fixed_fee * 100 - shipping - {_h('(%s + fixed_fee * 100 + shipping) * 18 / 100' % _h('selling * referral_bp / 10000'))}"
+_SPEC_LONG = "long_spec AS (SELECT product_id, 'size' AS attribute_key, 0 AS ord, CAST(p_size AS VARCHAR) AS value, CASE WHEN p_size < 10 THEN 'up to 10' WHEN p_size < 25 THEN '10 to 25' ELSE '25 and more' END AS option FROM product UNION ALL SELECT product_id, 'grade', 1, CAST(grade AS VARCHAR), CAST(grade AS VARCHAR) FROM product WHERE grade IS NOT NULL UNION ALL SELECT product_id, 'material', 2, category, category FROM product UNION ALL SELECT product_id, 'large', 3, CASE WHEN p_size > 25 THEN '1' END, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END FROM product)"
+
+ORACLE_SQL = {
+    "current_effective_price": _sql("SELECT product_id, universal_effective, listing_id, offer_id, landed, conditional_best, universal_discount, marketplace_id, seller_id FROM price"),
+    "join_chain": _sql("SELECT p.product_id, product_type, l.listing_id, l.marketplace_id, confidence_pct, human_confirmed, count(*) AS offers FROM product p JOIN listing l USING (product_id) JOIN offer o ON o.listing_id = l.listing_id GROUP BY ALL"),
+    "latest_observation": _sql("SELECT offer_id, listing_id, product_id, marketplace_id, seller_id, observed_at, seq, selling, shipping, mrp, in_stock, sale_label FROM state"),
+    "price_layers": _sql("SELECT offer_id, listing_id, product_id, marketplace_id, seller_id, observed_at, seq, selling, shipping, mrp, in_stock, landed, deferred_benefit, financing_benefit, universal_discount, universal_effective, conditional_discount, conditional_best, below_mrp_bp FROM state"),
+    "price_ladder_rows": _sql("SELECT offer_id, rung, label, amount FROM (" + " UNION ALL ".join(f"SELECT offer_id, {k} AS rung, '{c}' AS label, {c} AS amount, {k in (1, 2, 4, 6, 8)} AS always FROM state" for k, c in enumerate(("mrp", "selling", "shipping", "landed", "universal_discount", "universal_effective", "conditional_discount", "conditional_best", "deferred_benefit", "financing_benefit"), 1)) + ") WHERE always OR amount > 0"),
+    "commercial_state": _sql(f"SELECT offer_id, seller_id, rating_tenths, in_stock, universal_effective, is_default AS is_category_default, {_NET} AS net, {_NET} - cost AS margin FROM state JOIN (SELECT product_id, category FROM product) USING (product_id) LEFT JOIN rule_for USING (marketplace_id, category) LEFT JOIN last_rating USING (seller_id) LEFT JOIN seller_cost USING (product_id)"),
+    "effective_price_asof": _sql("SELECT product_id, min(universal_effective) AS price_asof FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC, selling DESC, shipping DESC, mrp DESC) AS rn FROM laddered WHERE in_stock AND observed_at <= DATE '1998-01-01') WHERE rn = 1 GROUP BY product_id"),
+    "product_price_series": _sql("SELECT * FROM series"),
+    "history_stats": _sql(f"SELECT *, {_h('(current_price - first_price) * 10000 / first_price')} AS trend_bp, {_h('(current_price - lowest) * 10000 / lowest')} AS above_low_bp FROM history"),
+    "buybox_winner": _sql("SELECT listing_id, observed_at, offer_id, landed FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, observed_at ORDER BY landed, offer_id) AS n FROM seen WHERE in_stock) WHERE n = 1"),
+    "sale_windows": _sql("SELECT product_id, min(observed_at) AS window_start, max(observed_at) AS window_end, min_by(sale_label, observed_at) AS label, count(*) AS days FROM (SELECT *, n - row_number() OVER (PARTITION BY product_id ORDER BY observed_at) AS island FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at) AS n FROM series) WHERE sale_label IS NOT NULL) GROUP BY product_id, island"),
+    "recent_rows": _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at DESC) AS back FROM series) WHERE back <= 30"),
+    "merged_price_grid": _sql("SELECT listing_id, observed_at, count(*) AS offers, count_if(in_stock) AS in_stock_offers, min(universal_effective) FILTER (in_stock) AS least_price, max(universal_effective) FILTER (in_stock) AS most_price, arg_max(sale_label, offer_id) FILTER (sale_label IS NOT NULL) AS sale_label, arg_max(mrp, offer_id) AS mrp FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, observed_at, offer_id ORDER BY seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS n FROM seen) WHERE n = 1 GROUP BY listing_id, observed_at"),
+    "listing_history_summary": _sql(f"SELECT listing_id, min(low) AS low, max(high) AS high, {_h('sum(f) / count(*)')} AS mean_first, {_h('sum(l) / count(*)')} AS mean_last, {_h('(sum(l) - sum(f)) * 10000 / sum(f)')} AS change_bp FROM (SELECT listing_id, offer_id, min(universal_effective) FILTER (in_stock) AS low, max(universal_effective) FILTER (in_stock) AS high, arg_min(universal_effective, (observed_at, seq, selling, shipping, mrp, in_stock)) AS f, arg_max(universal_effective, (observed_at, seq, selling, shipping, mrp, in_stock)) AS l FROM seen GROUP BY listing_id, offer_id) GROUP BY listing_id"),
+    "tracked_summary": _sql("SELECT * FROM track"),
+    "price_alerts": _sql("SELECT product_id, change, change_bp, CASE WHEN change_bp <= -400 THEN 'drop' ELSE 'rise' END AS alert FROM track WHERE change_bp <= -400 OR change_bp >= 400"),
+    "portfolio_position": _sql(f"SELECT (SELECT count(*) FROM tracked) AS tracked, (SELECT count(DISTINCT marketplace_id) FROM listing JOIN tracked USING (product_id)) AS marketplaces, coalesce({_h('(SELECT avg(change_bp) FROM track)')}, 0) AS mean_change_bp"),
+    "fee_rule_asof": _sql("SELECT marketplace_id, category, listing_id, is_default AS is_category_default, referral_bp, fixed_fee FROM listing JOIN (SELECT product_id, category FROM product) USING (product_id) LEFT JOIN rule_for USING (marketplace_id, category)"),
+    "net_realization": _sql(f"SELECT offer_id, {_h('selling * referral_bp / 10000')} AS referral, {_h('(%s + fixed_fee * 100 + shipping) * 18 / 100' % _h('selling * referral_bp / 10000'))} AS gst, {_NET} AS net FROM state JOIN (SELECT product_id, category FROM product) USING (product_id) LEFT JOIN rule_for USING (marketplace_id, category)"),
+    "break_even": _sql("SELECT * FROM be", True),
+    "strategy_margins": _sql(f"SELECT product_id, 'current' AS strategy, marketplace_id, price, margin, {_h('margin * 10000 / price')} AS margin_bp FROM (SELECT *, price - ref - fixed_fee * 100 - {_h('(ref + fixed_fee * 100) * 18 / 100')} - cost AS margin FROM (SELECT product_id, r.marketplace_id, universal_effective AS price, cost, fixed_fee, {_h('universal_effective * referral_bp / 10000')} AS ref FROM (SELECT product_id, universal_effective FROM price) JOIN seller_cost USING (product_id) JOIN product USING (product_id) JOIN rule_for r USING (category)))"),
+    "review_metrics": _sql("SELECT * FROM metrics"),
+    "review_velocity": _sql("SELECT * FROM velocity"),
+    "seller_latest_rating": _sql("SELECT seller_id, captured_at, rating_tenths, rating_count FROM last_rating"),
+    "seller_group_members": _sql("SELECT a.seller_id, b.seller_id AS member_id FROM seller a JOIN seller b USING (seller_group) WHERE a.seller_id <> b.seller_id"),
+    "marketplace_comparison": _sql(f"""SELECT listing_id, offers, price, offer_id, net, rating_tenths, review_count, velocity_milli, cheapest, gap, coalesce(listing_id = last, false) AS is_cheapest FROM (
+      SELECT *, max(CASE WHEN price = cheapest THEN listing_id END) OVER (PARTITION BY product_id) AS last FROM (
+        SELECT *, min(price) OVER (PARTITION BY product_id) AS cheapest, coalesce(max(price) OVER (PARTITION BY product_id) - min(price) OVER (PARTITION BY product_id), 0) AS gap FROM (
+          SELECT s.*, {_NET} AS net FROM (SELECT listing_id, product_id, marketplace_id, count(*) AS offers, min(universal_effective) FILTER (in_stock) AS price, arg_min(offer_id, (universal_effective, offer_id)) FILTER (in_stock) AS offer_id, arg_min(selling, (universal_effective, offer_id)) FILTER (in_stock) AS selling, arg_min(shipping, (universal_effective, offer_id)) FILTER (in_stock) AS shipping FROM state GROUP BY ALL) s
+          JOIN (SELECT product_id, category FROM product) USING (product_id) LEFT JOIN rule_for USING (marketplace_id, category)))) LEFT JOIN (SELECT listing_id, rating_tenths, review_count, velocity_milli FROM velocity) USING (listing_id)"""),
+    "product_summary": _sql("SELECT * REPLACE (array_to_string(marketplaces, ',') AS marketplaces) FROM summary"),
+    "search_catalogue": _sql(f"SELECT product_id, canonical_name, min_price, rating_tenths, review_count FROM asked WHERE {_BUT[None]}"),
+    "search_products": _sql("SELECT product_id, canonical_name, brand, coalesce(n, 0) AS listings, universal_effective AS price, rating_tenths FROM product LEFT JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY product_id) USING (product_id) LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN (SELECT product_id, rating_tenths FROM metrics) USING (product_id) WHERE contains(lower(canonical_name), 'blue') AND category = 'SMALL'"),
+    "catalogue_sorted": _sql(" UNION ALL ".join(f"SELECT '{k}' AS sort, place, product_id FROM (SELECT product_id, row_number() OVER (ORDER BY {o}, product_id) AS place FROM summary) WHERE place <= 20" for k, o in _SORTS.items())),
+    "price_buckets": _sql("""SELECT bucket, low * 100 AS low, high * 100 AS high, (SELECT count(*) FROM summary WHERE min_price >= low * 100 AND (high IS NULL OR min_price < high * 100)) AS n FROM (
+      SELECT unnest(range(0, 5)) AS bucket, unnest(list_concat([0], edges)) AS low, unnest(list_concat(edges, [NULL])) AS high FROM (
+        SELECT CASE WHEN top <= 8000 THEN [500, 1000, 2000, 5000] WHEN top <= 16000 THEN [1000, 2500, 5000, 10000] WHEN top <= 64000 THEN [5000, 10000, 20000, 40000] WHEN top <= 160000 THEN [10000, 25000, 50000, 100000] ELSE [25000, 50000, 100000, 200000] END AS edges FROM (SELECT max(min_price) / 100 AS top FROM summary)))"""),
+    "facet_brand": _sql(f"SELECT brand, count(*) AS n FROM asked WHERE {_BUT['brand']} GROUP BY brand"),
+    "facet_price": _sql(f"SELECT CASE WHEN min_price < 1000000 THEN 0 WHEN min_price < 2500000 THEN 1 WHEN min_price < 5000000 THEN 2 WHEN min_price < 10000000 THEN 3 ELSE 4 END AS bucket, count(*) AS n FROM asked WHERE {_BUT['price']} AND min_price >= 0 GROUP BY bucket"),
+    "facet_rating": _sql(f"SELECT option, count(*) AS n FROM asked, (VALUES ('r4', 40), ('r35', 35), ('r3', 30)) o(option, least_rating) WHERE {_BUT['rating']} AND coalesce(rating_tenths, 0) >= least_rating GROUP BY option"),
+    "facet_marketplace": _sql(f"SELECT marketplace_id, count(*) AS n FROM (SELECT unnest(marketplaces) AS marketplace_id FROM asked WHERE {_BUT['market']}) GROUP BY marketplace_id"),
+    "facet_availability": _sql(f"SELECT count_if(any_in_stock) AS in_stock FROM asked WHERE {_BUT['stock']}"),
+    "facet_specs": _sql(f"SELECT attribute_key, option, n FROM (SELECT *, count(*) OVER (PARTITION BY attribute_key) AS k FROM (SELECT attribute_key, option, count(*) AS n FROM long_spec JOIN asked USING (product_id) WHERE {_BUT['specs']} GROUP BY ALL)) WHERE k > 1").replace("\nSELECT attribute_key", f",\n{_SPEC_LONG}\nSELECT attribute_key", 1),
+    "key_specs": _sql("SELECT product_id, place, attribute_key, value FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY ord) AS place FROM long_spec WHERE value IS NOT NULL) WHERE place <= 3").replace("\nSELECT product_id, place", f",\n{_SPEC_LONG}\nSELECT product_id, place", 1),
+    "category_path": _sql(", walk AS (SELECT id, level, name AS path FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, t.level, w.path || '/' || t.name FROM tree t JOIN walk w ON t.parent_id = w.id) SELECT * FROM walk"),
+    "category_subtree": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT * FROM under"),
+    "taxonomy_counts": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT ancestor AS id, count(offer_id) AS offers FROM under LEFT JOIN offer ON under.id = 's' || seller_id GROUP BY ancestor"),
+    "marketplace_category_map": _sql("SELECT r_regionkey AS marketplace_id, category, EXISTS (SELECT 1 FROM listing l JOIN product p USING (product_id) WHERE l.marketplace_id = r_regionkey AND p.category = c.category) AS mapped FROM region, (SELECT DISTINCT category FROM product) c"),
+    "variant_siblings": _sql("SELECT a.product_id, b.product_id AS sibling_id FROM product a JOIN product b USING (identity_id) WHERE a.product_id <> b.product_id"),
+    "derive_model_name": _sql("SELECT product_id, product_type AS model FROM product"),
+    "compact_prices": _sql("SELECT product_id, CASE WHEN p >= 100000 THEN printf('%.1f', p / 100000) || 'L' WHEN p >= 1000 THEN printf('%.1f', p / 1000) || 'k' ELSE printf('%.0f', p) END AS label FROM (SELECT product_id, universal_effective / 100 AS p FROM price)"),
+    "psych_snap": _sql(f", snap AS (SELECT *, {_STEP} AS step FROM (SELECT product_id, universal_effective AS p, {_h('universal_effective * 0.9::DOUBLE')} AS low, {_h('universal_effective * 1.1::DOUBLE')} AS high FROM price)), climb AS (SELECT product_id, p, low, high, step, CAST(greatest(floor(p / step) * step - 100, 100) AS BIGINT) AS x FROM snap UNION ALL SELECT product_id, p, low, high, step, x + step FROM climb WHERE x < low), top AS (SELECT product_id, p, low, high, step, max(x) AS x FROM climb GROUP BY ALL), eased AS (SELECT *, CASE WHEN x > high THEN x - step ELSE x END AS y FROM top) SELECT product_id, p AS universal_effective, CASE WHEN y < low OR y > high THEN high ELSE y END AS snapped FROM eased"),
+    "distribution_stats": _sql("SELECT product_type, count(*) AS n, min(universal_effective) AS least, quantile_cont(universal_effective, 0.25) AS q1, quantile_cont(universal_effective, 0.5) AS median, quantile_cont(universal_effective, 0.75) AS q3, max(universal_effective) AS most, quantile_cont(universal_effective, 0.75) - quantile_cont(universal_effective, 0.25) AS iqr FROM price JOIN product USING (product_id) GROUP BY product_type"),
+    "weighted_quantile": _sql(f", {_WPRICE}, {_weighted('wd', 'wprice', 'product_type', 'universal_effective', 'weight', 'product_id')} SELECT product_type, wq1, wq2, wq3 FROM wd"),
+    "weighted_distribution": _sql(f", {_WPRICE}, {_weighted('wd', 'wprice', 'product_type', 'universal_effective', 'weight', 'product_id')} SELECT *, wq3 - wq1 AS iqr FROM wd"),
+    "applicable_mrp": _sql("SELECT * FROM mrp"),
+    "competition_stats": _sql("SELECT *, most - least AS spread FROM competition"),
+    "price_position": _sql(f"SELECT product_id, price, sits_above + 1 AS rank, n + 1 AS of, {_h('sits_above * 10000 / n')} AS percentile_bp, undercuts, sits_above FROM (SELECT product_id, price, count(*) AS n, count_if(universal_effective < price) AS sits_above, count_if(universal_effective > price) AS undercuts FROM state JOIN (SELECT product_id, {_h('median')} AS price FROM competition) USING (product_id) WHERE in_stock GROUP BY ALL)"),
+    "candidate_pairs": _sql("SELECT product_id, count(*) AS candidates, CAST(sum(c) AS BIGINT) AS id_sum FROM compared GROUP BY product_id"),
+    "attr_compare": _sql(f"SELECT product_id, c AS c_product_id, {_h('s_size * 1000000')} AS size, {_h('s_grade * 1000000')} AS grade, s_material * 1000000 AS material, s_large * 1000000 AS large FROM compared WHERE product_id < c AND product_id % 5 = 1 AND c % 5 = 1"),
+    "spec_similarity": _sql(f"SELECT product_id, CAST(sum({_h('spec_score * 1000000')}) AS BIGINT) AS sum_spec, max({_h('spec_score * 1000000')}) AS most_spec FROM scored GROUP BY product_id"),
+    "similarity_score": _sql(f"SELECT product_id, CAST(sum({_h('similarity * 1000000')}) AS BIGINT) AS sum_similarity, max({_h('similarity * 1000000')}) AS most_similarity, CAST(sum({_h('price_score * 1000000')}) AS BIGINT) AS sum_price, CAST(sum({_h('market_score * 1000000')}) AS BIGINT) AS sum_market FROM scored GROUP BY product_id"),
+    "data_quality": _sql(f"SELECT product_id, observations, in_stock_offers, {_h('quality * 1000000')} AS quality FROM quality"),
+    "competitive_set": _sql("SELECT product_id, c AS c_product_id, final AS tier, place, weight_milli, c_price FROM member"),
+    "reference_set": _sql("SELECT product_id, c AS c_product_id, n AS place, reason FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY similarity DESC, c) AS n FROM classified WHERE final = 'reference') WHERE n <= 6"),
+    "coverage_level": _sql("SELECT * FROM coverage"),
+    "set_diversity": _sql(f"SELECT product_id, brands, tiers, marketplaces, spread_tenths, concat_ws(',', CASE WHEN brands = 1 THEN 'one_brand' END, CASE WHEN marketplaces = 1 THEN 'one_marketplace' END, CASE WHEN spread_tenths < 80 AND n >= 3 THEN 'tight' END) AS notes FROM (SELECT product_id, count(DISTINCT c_brand) AS brands, count(DISTINCT c_tier) AS tiers, count(*) AS n, len(list_distinct(flatten(list(c_marketplaces)))) AS marketplaces, {_h('(max(c_price) - min(c_price)) * 1000 / min(c_price)')} AS spread_tenths FROM member GROUP BY product_id)"),
+    "product_strength": _sql(f"""SELECT product_id, {_h('r * 1000')} AS rating_milli, {_h('v * 1000')} AS reviews_milli, {_h('s * 1000')} AS specs_milli, {_h('t * 1000')} AS tier_milli, {_h('(0.3::DOUBLE * r + 0.15::DOUBLE * v + 0.35::DOUBLE * s + 0.2::DOUBLE * t) * 1000')} AS index_milli FROM (
+      SELECT product_id, coalesce(least(greatest((rating_tenths - m_rating) / 4::DOUBLE, -1), 1), 0) AS r, CASE WHEN review_count > 0 AND m_reviews > 0 THEN least(greatest(log10(review_count / m_reviews), -1), 1) ELSE 0::DOUBLE END AS v, CASE WHEN a + b > 0 THEN (a - b) / (a + b) ELSE 0::DOUBLE END AS s, least(greatest(tier - m_tier, -1), 1) AS t FROM (
+        SELECT *, coalesce((size > m_size)::INT, 0) + coalesce((grade < m_grade)::INT, 0) AS a, coalesce((size < m_size)::INT, 0) + coalesce((grade > m_grade)::INT, 0) AS b FROM (
+          SELECT product_id, any_value(rating_tenths) AS rating_tenths, any_value(review_count) AS review_count, any_value(tier) AS tier, any_value(size) AS size, any_value(grade) AS grade, quantile_cont(c_rating, 0.5) AS m_rating, quantile_cont(c_reviews, 0.5) AS m_reviews, quantile_cont(c_tier, 0.5) AS m_tier, quantile_cont(c_size, 0.5) AS m_size, quantile_cont(c_grade, 0.5) AS m_grade FROM member GROUP BY product_id)))"""),
+    "evidence_score": _sql("SELECT * FROM evidence", True),
+    "market_anchor": _sql("SELECT product_id, own_n, normal, anchor FROM anchors", True),
+    "market_distortion": _sql("SELECT distortion, count(*) AS products FROM anchors GROUP BY distortion", True),
+    "price_zones": _sql("SELECT * FROM zones", True),
+    "price_bounds": _sql("SELECT product_id, ceiling, ceiling_source, market_floor, break_even_floor, floor, middle, conflict FROM bounds", True),
+    "source_overview": _sql(f"""SELECT r_regionkey AS marketplace_id, r_name AS marketplace_name, last_run, attempted, succeeded, coalesce(runs, 0) AS runs, coalesce(listings, 0) AS listings, confidence_bp, coalesce(confirmed, 0) AS confirmed FROM region
+      LEFT JOIN (SELECT marketplace_id, max(d) AS last_run, arg_max(a, d) AS attempted, arg_max(s, d) AS succeeded, count(*) AS runs FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS d, count(*) AS a, count_if(event_type <> 'error') AS s FROM events GROUP BY ALL) GROUP BY marketplace_id) run ON run.marketplace_id = r_regionkey
+      LEFT JOIN (SELECT marketplace_id, count(*) AS listings, {_h('sum(confidence_pct) * 100 / count(*)')} AS confidence_bp, count_if(human_confirmed) AS confirmed FROM listing GROUP BY marketplace_id) l ON l.marketplace_id = r_regionkey"""),
+}
+# A body that starts with a comma goes on with the common table expressions.
+ORACLE_SQL = {k: v.replace("\n, ", ",\n", 1) if "\n, " in v else v for k, v in ORACLE_SQL.items()}
