@@ -82,16 +82,16 @@ def results(flags: DataFrame) -> DataFrame:
     return flags.where(_but(None))
 
 
-SORTS = {
-    "relevance": [F.desc("review_count")], "reviews": [F.desc("review_count")], "price_asc": [F.asc_nulls_last("min_price")], "price_desc": [F.desc_nulls_last("min_price")],
-    "rating": [F.desc_nulls_last("rating_tenths")], "recent": [F.desc("first_seen_at")],
-}
+#: Sort -> (column, ascending); nulls come last.
+SORTS = {"relevance": ("review_count", False), "reviews": ("review_count", False), "price_asc": ("min_price", True), "price_desc": ("min_price", False), "rating": ("rating_tenths", False), "recent": ("first_seen_at", False)}
 
 
 def sorted_results(rows: DataFrame, sort: str, top: int) -> DataFrame:
     """The first ``top`` rows of a sort, with their place; ties go to the lesser id."""
-    first = rows.orderBy(*SORTS[sort], "product_id").limit(top)
-    return first.withColumn("place", F.row_number().over(W.orderBy(*SORTS[sort], "product_id")))
+    column, ascending = SORTS[sort]
+    order = [F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column), F.col("product_id")]
+    # Only the few rows that are left are numbered in one place.
+    return rows.orderBy(*order).limit(top).withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
 def facet_brand(flags: DataFrame) -> DataFrame:
