@@ -13,6 +13,9 @@ each list links its members to one pivot; whoever verified links join is not com
 only members of lists that still span several components are compared with each other, where the
 places of the shared shingle in both sets leave room for the required overlap.
 
+A candidate's sets are fetched only if their parity sketches allow the overlap: bits that differ are
+no more than shingles that only one set has, so a pair that the sketches rule out can't link.
+
 Nulls, empty texts and texts without words have an empty set and link with nothing; a text of
 fewer than five words has its whole sequence as its one shingle. Repeated doc_ids count as one
 document each time they have the same text. Extra columns are ignored. Shingles are compared by
@@ -37,6 +40,10 @@ LONG_LIST = 8
 MOST_LONG = 1 << 18
 #: Up to so many ids of candidates are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
+#: Bits of the parity sketch of a set.
+SKETCH = 1024
+#: Candidates of one pivot that are verified by one task.
+PIVOT_SHARE = 1000
 _TALLY = 3 << 20
 
 
@@ -51,15 +58,24 @@ def _signed(x: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(x).view(np.int64)
 
 
+def _sketches(v: np.ndarray, first: np.ndarray) -> list[bytes]:
+    """Per set, a bit for each of SKETCH buckets: whether it holds an odd number of shingles."""
+    bucket = (v >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
+    return [np.packbits(np.bincount(bucket[a:b], minlength=SKETCH) & 1).tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
+
+
+_PROFILE = ["doc_id", "n", "hi", "lo", "sketch", "token", "c"]
+
+
 def _profile(width: int):
-    """Documents -> a row for each (doc_id, n, hi, lo), and rows (token, c) for shingles that a task sees often."""
+    """Documents -> a row for each (doc_id, n, hi, lo, sketch), and rows (token, c) for shingles that a task sees often."""
 
     def tally(parts):
         v, c = np.unique(np.concatenate(parts), return_counts=True)
         often = c >= 3
         k = int(often.sum())
         gone = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.array(_signed(v[often])), pa.array(c[often].astype(np.int64))], ["doc_id", "n", "hi", "lo", "token", "c"])
+        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.nulls(k, pa.binary()), pa.array(_signed(v[often])), pa.array(c[often].astype(np.int64))], _PROFILE)
 
     def of(batches):
         seen, size = [], 0
@@ -71,8 +87,8 @@ def _profile(width: int):
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(v), dtype=np.uint64)))
                 gone = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), gone, gone],
-                    ["doc_id", "n", "hi", "lo", "token", "c"],
+                    [ids.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), pa.array(_sketches(v, first), pa.binary()), gone, gone],
+                    _PROFILE,
                 )
                 seen.append(v)
                 size += len(v)
@@ -114,29 +130,59 @@ def _prefixes(width: int, num: int, den: int, shared):
     return of
 
 
+def _possible(num: int, den: int):
+    """Pairs with sizes and sketches (a, na, x, b, nb, y) -> pairs that may link: at most na + nb - 2 * need shingles may be in one set only."""
+
+    def of(batches):
+        for batch in batches:
+            na, nb = (np.asarray(batch.column(k)).astype(np.int64) for k in (1, 4))
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (2, 5))
+            need = ((na + nb) * num + num + den - 1) // (num + den)
+            ok = np.bitwise_count(x ^ y).sum(1) <= na + nb - 2 * need
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(ok))
+
+    return of
+
+
 def _arrays(width: int):
+    """(key, salt, side, doc_id, text) -> (key, salt, side, doc, set)."""
+
     def of(batches):
         for batch in batches:
-            for begin, v, first in _sets(batch.column(1).to_pylist(), width):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(begin, len(first) - 1), pa.array([v[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["doc", "set"])
+            for begin, v, first in _sets(batch.column(4).to_pylist(), width):
+                columns = [batch.column(k).slice(begin, len(first) - 1) for k in range(4)]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array([v[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["key", "salt", "side", "doc", "set"])
 
     return of
 
 
 def _overlaps(num: int, den: int):
-    """Pairs with both sets -> pairs that link. The shorter set's shingles are probed in the longer by binary search."""
+    """Rows (key, salt, side, doc, set), each pivot (side 0) before its candidates (side 1) -> pairs that link.
+
+    The shorter set's shingles are probed in the longer by binary search.
+    """
+
+    def links(p, q):
+        if len(p) > len(q):
+            p, q = q, p
+        if not len(p):
+            return False
+        common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+        return common > 0 and den * common >= num * (len(p) + len(q) - common)
 
     def of(batches):
+        pivots, mine = [], None
         for batch in batches:
-            keep = []
-            for x, y in zip(batch.column(2), batch.column(3)):
-                p, q = np.frombuffer(x.as_py(), np.uint64), np.frombuffer(y.as_py(), np.uint64)
-                if len(p) > len(q):
-                    p, q = q, p
-                at = np.searchsorted(q, p)
-                common = int((q[np.minimum(at, len(q) - 1)] == p).sum()) if len(q) else 0
-                keep.append(common > 0 and den * common >= num * (len(p) + len(q) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(keep, pa.bool_()))
+            out = []
+            for key, salt, side, doc, got in zip(*(batch.column(k).to_pylist() for k in range(5))):
+                own = np.frombuffer(got, np.uint64)
+                if (key, salt) != mine:
+                    pivots, mine = [], (key, salt)
+                if side == 0:
+                    pivots.append(own)
+                elif any(links(p, own) for p in pivots):
+                    out.append((key, doc))
+            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], ["a", "b"])
 
     return of
 
@@ -157,7 +203,7 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id): the size of each document's set, and the least doc_id that links reach."""
     docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
     spark = docs.sparkSession
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n long, hi long, lo long, token long, c long"))
+    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n long, hi long, lo long, sketch binary, token long, c long"))
     often = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LONG_LIST).orderBy(F.desc("c"), "token").limit(MOST_LONG).toPandas()
     long_tokens = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(long_tokens)
@@ -165,20 +211,29 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # Equal sets have the same prefix; one representative stands for them all.
     reps = docs.mapInArrow(_prefixes(width, num, den, shared), "doc_id long, n long, hi long, lo long, tokens array<long>").where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.any_value("tokens").alias("tokens"))
-    postings = reps.select("doc", "n", F.posexplode("tokens").alias("place", "token"))
-    lists = postings.groupBy("token").agg(F.min(F.struct("doc", "n")).alias("pivot"), F.count("*").alias("size")).where("size > 1").drop("size")
-    members = cut(postings.join(lists, "token").select("token", "doc", "n", "place", F.col("pivot.doc").alias("a"), F.col("pivot.n").alias("na")))
+    # The shuffled rows are kept narrow: n and the shingle's place in the prefix share one number.
+    postings = reps.select("doc", "n", F.posexplode("tokens").alias("place", "token")).select("token", "doc", (F.col("n") * (1 << 32) + F.col("place")).alias("n_place"))
+    lists = postings.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("token", "a")
+    members = cut(postings.join(lists, "token").select("token", "doc", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).alias("place"), "a"))
+    del reps, postings, lists  # lets Spark drop their shuffle files
+    sizes = members.groupBy(F.col("doc").alias("a")).agg(F.first("n").alias("na"))
+
+    sketches = profile.where("n > 0").select("doc_id", "n", "sketch")
 
     def verified(pairs: DataFrame) -> DataFrame:
-        ids = cut(pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
-        mine = F.broadcast(ids) if ids.count() <= MOST_BROADCAST_IDS else ids
-        sets = docs.join(mine, "doc_id", "left_semi").mapInArrow(_arrays(width), "doc long, set binary").groupBy("doc").agg(F.any_value("set").alias("set"))
-        both = pairs.select("a", "b").join(sets.withColumnsRenamed({"doc": "b", "set": "y"}), "b").join(sets.withColumnsRenamed({"doc": "a", "set": "x"}), "a").select("a", "b", "x", "y")
-        return cut(both.mapInArrow(_overlaps(num, den), "a long, b long"))
+        one, two = sketches.toDF("a", "na", "x"), sketches.toDF("b", "nb", "y")
+        near = cut(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "na", "x", "b", "nb", "y").mapInArrow(_possible(num, den), "a long, b long").distinct())
+        salts = near.groupBy("a").agg(F.ceil(F.count("*") / F.lit(float(PIVOT_SHARE))).alias("salts"))
+        candidates = near.join(salts, "a").select(F.col("b").alias("doc_id"), F.col("a").alias("key"), F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.lit(1).alias("side"))
+        pivots = salts.select(F.col("a").alias("doc_id"), F.col("a").alias("key"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("side"))
+        wanted = cut(candidates.union(pivots))
+        wanted = F.broadcast(wanted) if wanted.count() <= MOST_BROADCAST_IDS else wanted
+        sets = docs.join(wanted, "doc_id").select("key", "salt", "side", "doc_id", "text").mapInArrow(_arrays(width), "key long, salt long, side int, doc long, set binary")
+        return cut(sets.repartition("key", "salt").sortWithinPartitions("key", "salt", "side", "doc").mapInArrow(_overlaps(num, den), "a long, b long").distinct())
 
     def star(m: DataFrame) -> DataFrame:
-        got = m.where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.first("na").alias("na"), F.first("n").alias("nb"), F.count("*").alias("c"))
-        return cut(_reaching(got, num, den).select("a", "b"))
+        got = m.where("doc <> a").groupBy("a", F.col("doc").alias("b")).agg(F.first("n").alias("nb"), F.count("*").alias("c"))
+        return cut(_reaching(got.join(sizes, "a"), num, den).select("a", "b"))
 
     tested = star(members)
     links = verified(tested)
