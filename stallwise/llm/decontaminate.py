@@ -1,7 +1,7 @@
 """Finds benchmark items inside documents: SimHash windows, multi-index Hamming search, exact verification.
 
-Words are runs of letters and digits, lower-cased, so case and decoration don't hide a copy. For an
-item of n five-word shingles, every window of n shingles of every document is a candidate. A window's
+Words are runs of letters and digits, lower-cased in every script, so case and decoration don't hide a
+copy. For an item of n five-word shingles, every window of n shingles of every document is a candidate. A window's
 64-bit SimHash is compared with the SimHashes of the items of its size through a multi-index: eight
 blocks of eight bits, each looked up with all values within RADIUS // 8 bits of it, which by the
 pigeonhole principle misses no fingerprint within RADIUS. What is found is verified exactly, by the
@@ -18,6 +18,8 @@ reported. Extra columns are ignored.
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,6 +29,8 @@ from .common import cut
 from .kernels import pieces, shingle_hashes, split_words
 
 WIDTH = 5
+#: Punctuation beyond ASCII that separates words too.
+_MARKS = re.compile("[\u00a0-\u00bf\u2000-\u206f\u3000-\u303f\uff01-\uff0f]+")
 #: Fingerprints that differ in at most so many of 64 bits are candidates. At a similarity of 0.8 about 10 bits differ.
 RADIUS = 16
 #: Bounds on the part of the benchmark that is sent to the tasks at once.
@@ -39,6 +43,11 @@ _BALL = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, d
 _BITS64 = np.arange(64, dtype=np.uint64)
 
 
+def _folded(texts):
+    """Texts in lower case, with a space for each mark beyond ASCII."""
+    return (t if t is None else t.lower() if t.isascii() else _MARKS.sub(" ", t.lower()) for t in texts)
+
+
 def _fingerprints(running: np.ndarray, starts: np.ndarray, n: int) -> np.ndarray:
     """SimHashes, as eight bytes each, of windows of n shingles. running: sums of the shingles' signs up to each position."""
     return np.packbits(running[starts + n] > running[starts], axis=1)
@@ -72,9 +81,9 @@ class _Index:
     def __init__(self, ids: list[int], texts: list[str]):
         self.ids = np.array(ids, np.int64)
         parts = []
-        for _, run in pieces(texts):
-            h, first = shingle_hashes(split_words(run, plain=True), WIDTH)
+        for _, run in pieces(_folded(texts)):
             words = split_words(run, plain=True)
+            h, first = shingle_hashes(words, WIDTH)
             enough = np.diff(words.first) >= WIDTH
             parts += [h[a:b] if ok else h[:0] for a, b, ok in zip(first, first[1:], enough)]
         self.sets = [_weights(h) for h in parts]
@@ -147,7 +156,7 @@ def _scan(shared, least: float):
         for batch in batches:
             ids = batch.column(0).to_pylist()
             out = []
-            for begin, run in pieces(batch.column(1).to_pylist()):
+            for begin, run in pieces(_folded(batch.column(1).to_pylist())):
                 words = split_words(run, plain=True)
                 h, first = shingle_hashes(words, WIDTH)
                 hit = index.holds(h)

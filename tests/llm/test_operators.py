@@ -134,6 +134,13 @@ def test_benchmark_items_are_found_in_any_dress(spark):
     assert decontaminate.find_benchmark(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_benchmark_case_folds_beyond_ascii(spark):
+    item = " ".join(f"éa{chr(97 + k)} ñ{k}o" for k in range(8))
+    bench = spark.createDataFrame([(0, item)], "item_id long, text string")
+    texts = [f"AA!! {item.upper()}!! BB", "«" + item.replace(" ", " — ") + "»"]
+    assert {(x.doc_id, x.similarity) for x in decontaminate.find_benchmark(docs(spark, texts), bench).collect()} == {(0, 1.0), (1, 1.0)}
+
+
 def test_multi_index_misses_nothing_within_its_radius():
     r = np.random.default_rng(0)
     index = decontaminate._Index([0], [" ".join(f"w{k}" for k in range(30))])
