@@ -91,7 +91,7 @@ asked AS (
   SELECT *, brand IN ('Brand#1', 'Brand#10', 'Brand#12', 'Brand#15') AS ok_brand, coalesce(min_price >= 0 AND min_price < 5000000, false) AS ok_price, coalesce(rating_tenths, 0) >= 35 AS ok_rating,
     coalesce(list_has_any(marketplaces, [0, 1, 2]), false) AS ok_market, coalesce(any_in_stock, false) AS ok_stock, category IN ('SMALL', 'LARGE', 'PROMO') AS ok_specs
   FROM summary WHERE contains(lower(canonical_name), 'brand#1') OR contains(lower(brand), 'brand#1') OR contains(lower(product_type), 'brand#1')),
-tracked AS (SELECT product_id FROM product WHERE product_id % 10 = 3),
+tracked AS (SELECT product_id FROM product),
 asof_week AS (
   SELECT product_id, min(universal_effective) AS price_asof FROM (SELECT *, row_number() OVER (PARTITION BY offer_id ORDER BY observed_at DESC, seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS rn FROM laddered WHERE in_stock AND observed_at <= DATE '1999-06-23') WHERE rn = 1 GROUP BY product_id),
 track AS (
@@ -254,7 +254,7 @@ ORACLE_SQL = {
     "competition_stats": _sql("SELECT *, most - least AS spread FROM competition"),
     "price_position": _sql(f"SELECT product_id, price, sits_above + 1 AS rank, n + 1 AS of, {_h('sits_above * 10000 / n')} AS percentile_bp, undercuts, sits_above FROM (SELECT product_id, price, count(*) AS n, count_if(universal_effective < price) AS sits_above, count_if(universal_effective > price) AS undercuts FROM state JOIN (SELECT product_id, {_h('median')} AS price FROM competition) USING (product_id) WHERE in_stock GROUP BY ALL)"),
     "candidate_pairs": _sql("SELECT product_id, count(*) AS candidates, CAST(sum(c) AS BIGINT) AS id_sum FROM compared GROUP BY product_id"),
-    "attr_compare": _sql(f"SELECT product_id, c AS c_product_id, {_h('s_size * 1000000')} AS size, {_h('s_grade * 1000000')} AS grade, s_material * 1000000 AS material, s_large * 1000000 AS large FROM compared WHERE product_id < c AND product_id % 5 = 1 AND c % 5 = 1"),
+    "attr_compare": _sql(f"SELECT product_id, c AS c_product_id, {_h('s_size * 1000000')} AS size, {_h('s_grade * 1000000')} AS grade, s_material * 1000000 AS material, s_large * 1000000 AS large FROM compared WHERE product_id < c"),
     "spec_similarity": _sql(f"SELECT product_id, CAST(sum({_h('spec_score * 1000000')}) AS BIGINT) AS sum_spec, max({_h('spec_score * 1000000')}) AS most_spec FROM scored GROUP BY product_id"),
     "similarity_score": _sql(f"SELECT product_id, CAST(sum({_h('similarity * 1000000')}) AS BIGINT) AS sum_similarity, max({_h('similarity * 1000000')}) AS most_similarity, CAST(sum({_h('price_score * 1000000')}) AS BIGINT) AS sum_price, CAST(sum({_h('market_score * 1000000')}) AS BIGINT) AS sum_market FROM scored GROUP BY product_id"),
     "data_quality": _sql(f"SELECT product_id, observations, in_stock_offers, {_h('quality * 1000000')} AS quality FROM quality"),
