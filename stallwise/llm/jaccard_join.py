@@ -5,8 +5,9 @@ least ``num / den``. A document with s shingles must share T = ceil(s * num / de
 partner, so partners turn up among the inverted lists of its first s - T + 1 shingles, whatever
 order all documents agree on. DivideSkip picks that order: *long* lists (frequent shingles, a
 bounded table) come last, so the lists that are merged are short, and the long ones are only probed
-by binary search when a candidate is verified. Merging is a shuffle: postings meet by shingle, and
-occurrences are counted by pair of documents.
+by binary search when a candidate is verified. Merging is a shuffle. Short lists go packed: a task sends
+what it has of each slice of the shingles as a few arrays, and a slice, bounded in size, merges its lists
+by one sort. Long lists go as rows that Spark can split. Occurrences are counted by pair of documents.
 
 Hot groups never turn into all their pairs. Equal sets collapse into one representative first. Then
 each list links its members to one pivot; whoever verified links join is not compared again, and
@@ -44,7 +45,10 @@ MOST_BROADCAST_IDS = 500_000
 SKETCH = 1024
 #: Candidates of one pivot that are verified by one task.
 PIVOT_SHARE = 1000
+#: Postings of a slice, and so about of what one task merges at once.
+SLICE = 1 << 19
 _TALLY = 3 << 20
+_PACKED = ["slice", "tokens", "places", "docs", "sizes", "counts"]
 
 
 def _sets(texts, width):
@@ -130,6 +134,83 @@ def _prefixes(width: int, num: int, den: int, shared):
     return of
 
 
+def _flat(batch, long_tokens: np.ndarray, is_long: bool):
+    """(doc, n, tokens) -> shingles, their places and rows, of those only that have (or don't have) a long list."""
+    lists = batch.column(2)
+    first = np.asarray(lists.offsets).astype(np.int64)
+    tokens = np.asarray(lists.values)[first[0] : first[-1]].view(np.uint64)
+    row = np.repeat(np.arange(len(lists)), np.diff(first))
+    place = np.arange(len(tokens)) - (first[:-1] - first[0])[row]
+    if len(long_tokens):
+        keep = (long_tokens[np.minimum(np.searchsorted(long_tokens, tokens), len(long_tokens) - 1)] == tokens) == is_long
+    else:
+        keep = np.full(len(tokens), not is_long)
+    return tokens[keep], place[keep], row[keep]
+
+
+def _long_postings(shared):
+    """(doc, n, tokens) -> (token, doc, n_place) of shingles with long lists; n and the place in the prefix share one number."""
+
+    def of(batches):
+        for batch in batches:
+            tokens, place, row = _flat(batch, shared.value[0], True)
+            doc, n = (np.asarray(batch.column(k))[row] for k in (0, 1))
+            yield pa.RecordBatch.from_arrays([pa.array(_signed(tokens)), pa.array(doc), pa.array((n << 32) + place)], ["token", "doc", "n_place"])
+
+    return of
+
+
+def _packed_postings(shared, slices: int):
+    """(doc, n, tokens) -> for each slice of the shingles with short lists: shingles and places, and the documents that follow each other with their sizes and shares."""
+
+    def of(batches):
+        for batch in batches:
+            tokens, place, row = _flat(batch, shared.value[0], False)
+            doc, n = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int32)
+            part = ((mix64(tokens) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
+            order = np.argsort(part, kind="stable")
+            tokens, place, row, part = tokens[order], place[order], row[order], part[order]
+            edge = np.flatnonzero(np.diff(part, prepend=-1, append=slices))
+            small = np.uint16 if not len(place) or place.max() < 1 << 16 else np.uint32
+            out = []
+            for a, b in zip(edge, edge[1:]):
+                turn = np.flatnonzero(np.diff(row[a:b], prepend=-1))
+                own = row[a:b][turn]
+                out.append((int(part[a]), tokens[a:b].tobytes(), place[a:b].astype(small).tobytes(), doc[own].tobytes(), n[own].tobytes(), np.diff(turn, append=b - a).astype(np.int32).tobytes()))
+            columns = list(zip(*out)) or [[]] * 6
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], _PACKED)
+
+    return of
+
+
+def _merged(batches):
+    """Packed postings sorted by slice -> (token, doc, n, place, a) of shingles that several documents share, a the least of them."""
+
+    def merge(parts):
+        join = lambda k, t: np.frombuffer(b"".join(x[k] for x in parts), t)
+        tokens, counts = join(1, np.uint64), join(5, np.int32)
+        place = np.concatenate([np.frombuffer(x[2], np.uint16 if len(x[2]) * 4 == len(x[1]) else np.uint32).astype(np.int64) for x in parts])
+        doc, n = np.repeat(join(3, np.int64), counts), np.repeat(join(4, np.int32), counts)
+        order = np.argsort(tokens, kind="stable")
+        tokens, doc = tokens[order], doc[order]
+        new = np.ones(len(tokens), bool)
+        new[1:] = tokens[1:] != tokens[:-1]
+        first, group = np.flatnonzero(new), np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc, first)
+        keep = (least < np.maximum.reduceat(doc, first))[group]
+        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[keep])), pa.array(doc[keep]), pa.array(n[order][keep].astype(np.int64)), pa.array(place[order][keep]), pa.array(least[group][keep])], ["token", "doc", "n", "place", "a"])
+
+    held = []
+    for batch in batches:
+        for x in zip(*(batch.column(k).to_pylist() for k in range(6))):
+            if held and held[0][0] != x[0]:
+                yield merge(held)
+                held = []
+            held.append(x)
+    if held:
+        yield merge(held)
+
+
 def _possible(num: int, den: int):
     """Pairs with sizes and sketches (a, na, x, b, nb, y) -> pairs that may link: at most na + nb - 2 * need shingles may be in one set only."""
 
@@ -211,11 +292,15 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
     # Equal sets have the same prefix; one representative stands for them all.
     reps = docs.mapInArrow(_prefixes(width, num, den, shared), "doc_id long, n long, hi long, lo long, tokens array<long>").where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.any_value("tokens").alias("tokens"))
-    # The shuffled rows are kept narrow: n and the shingle's place in the prefix share one number.
-    postings = reps.select("doc", "n", F.posexplode("tokens").alias("place", "token")).select("token", "doc", (F.col("n") * (1 << 32) + F.col("place")).alias("n_place"))
+    listed = reps.select("doc", "n", "tokens")
+    postings = listed.mapInArrow(_long_postings(shared), "token long, doc long, n_place long")
     lists = postings.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("token", "a")
-    members = cut(postings.join(lists, "token").select("token", "doc", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).alias("place"), "a"))
-    del reps, postings, lists  # lets Spark drop their shuffle files
+    long_ones = postings.join(lists, "token").select("token", "doc", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).alias("place"), "a")
+    taken = profile.where("n > 0").agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1), F.lit(0))).first()[0]
+    packed = listed.mapInArrow(_packed_postings(shared, max(1, -(-int(taken) // SLICE))), "slice long, tokens binary, places binary, docs binary, sizes binary, counts binary")
+    short_ones = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merged, "token long, doc long, n long, place long, a long")
+    members = cut(long_ones.union(short_ones))
+    del reps, listed, postings, lists, packed  # lets Spark drop their shuffle files
     sizes = members.groupBy(F.col("doc").alias("a")).agg(F.first("n").alias("na"))
 
     sketches = profile.where("n > 0").select("doc_id", "n", "sketch")
