@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 
 from stallwise.llm.common import cut, table
@@ -10,28 +12,45 @@ from stallwise.llm.jaccard_join import keep_one_of_each
 from stallwise.llm.packing import pack
 from stallwise.llm.secrets import redact_secrets
 from stallwise.llm.toxicity import drop_toxic
+from stallwise.sources.session import ship_package
+
+
+def _stage(f):
+    """A stage may be called by itself, so each sees to it that workers can import the package."""
+
+    @wraps(f)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return f(spark, docs, sf_dir)
+
+    return run
 
 
+@_stage
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity grammar rejects go."""
     return drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
+@_stage
 def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays, the one with the least doc_id."""
     return keep_one_of_each(docs)
 
 
+@_stage
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     return drop_contaminated(docs, table(spark, sf_dir, "benchmark"))
 
 
+@_stage
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Secrets are masked; all documents stay."""
     return redact_secrets(docs)
 
 
+@_stage
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Where each piece of each document stands in the packed sequences."""
     return pack(docs)
