@@ -64,7 +64,11 @@ def features(texts: list[bytes], filters: np.ndarray, bias: np.ndarray) -> np.nd
             b = min(first[-1], a + step)
             # The next half's bytes stand behind this stretch, as they do in the text.
             part = _convolve(data[a * _HALF : b * _HALF + (WIDTH if b < first[-1] else 0)], filters)[: (b - a) * _PER_HALF]
-            pooled[a:b] = part.reshape(b - a, _PER_HALF, FILTERS).max(1)
+            part = part.reshape(b - a, _PER_HALF, FILTERS)
+            # The last place of a text would look into the next one, as that of a training chunk would.
+            ends = first[1:] - 1 - a
+            part[ends[(ends >= 0) & (ends < b - a)], -((WIDTH - STEP) // STEP) :] = -9
+            pooled[a:b] = part.max(1)
         chunk = np.maximum(np.maximum(pooled[:-1], pooled[1:]) + bias, 0)
         owner = first[:-1]
         # A text of h halves has h - 1 chunks; the row that joins two texts is left out by a neutral value.
