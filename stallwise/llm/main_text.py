@@ -146,11 +146,13 @@ def _blocks(page: str, weights: Weights):
             text = html.unescape(value)
             yield WORD * len(text.split()), text, False
         else:
+            # What is left out of a region doesn't cost it anything: neither its own tags nor those inside it.
+            out = stack.out > 0
             if kind == "open":
                 stack.open(value, weights.excluded(marks), marks)
             else:
                 stack.close(value)
-            yield weights.cost(value), None, value in _BLOCK
+            yield 0.0 if out or stack.out else weights.cost(value), None, value in _BLOCK
 
 
 def extract(page: str | None, weights: Weights) -> str:
