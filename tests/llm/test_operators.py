@@ -190,6 +190,17 @@ def test_secret_base_spans_are_kept_and_masked(spark):
     assert masked[5].text is None and masked[7].text == "plain words" and len(masked) == len(texts)
 
 
+class _Sure:
+    def score(self, views):
+        return np.ones(len(views))
+
+
+@pytest.mark.parametrize("text, gone", [("SECRET=postgres://user:pa$$w0rd@host", "pa$$w0rd"), ("secret: -----BEGIN PRIVATE KEY-----\nMIIabc0123", "MIIabc0123"), ("DATABASE1_URL=postgres://user:pa$$w0rd@host", "pa$$w0rd")])
+def test_secrets_that_reach_beyond_other_spans_are_masked(text, gone):
+    base, spans = secrets.find(text, (_Sure(), dict.fromkeys(secrets.EXTRA_KINDS, 0.5)))
+    assert set(base) <= set(spans) and gone not in secrets.redact(text, spans)
+
+
 def labelled(spark, seed=1, n=160):
     r = random.Random(seed)
     texts, rows = [], []
