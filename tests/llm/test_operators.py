@@ -201,6 +201,19 @@ def test_secrets_that_reach_beyond_other_spans_are_masked(text, gone):
     assert set(base) <= set(spans) and gone not in secrets.redact(text, spans)
 
 
+class _Sees:
+    def score(self, views):
+        return np.array([float(b"ghp_Zq81Lm" in v[0]) for v in views])
+
+
+@pytest.mark.parametrize("before", [0, 70, 79, 80, 200, 5000])
+def test_long_candidates_are_seen_whole(before):
+    text = "see a1/" + "x" * before + "/ghp_Zq81Lm/" + "y" * 300 + " end"
+    assert ("token", 4, len(text) - 4) in secrets.find(text, (_Sees(), dict.fromkeys(secrets.EXTRA_KINDS, 0.5)))[1]
+    views = secrets._views(text, 4, len(text) - 4)
+    assert views[-1][0].rstrip().endswith(b"y end") and {len(v[0]) for v in views} == {secrets.WINDOW}
+
+
 def labelled(spark, seed=1, n=160):
     r = random.Random(seed)
     texts, rows = [], []
