@@ -214,6 +214,17 @@ def test_long_candidates_are_seen_whole(before):
     assert views[-1][0].rstrip().endswith(b"y end") and {len(v[0]) for v in views} == {secrets.WINDOW}
 
 
+def test_secret_thresholds_keep_their_recall():
+    score, kinds = np.linspace(0.05, 0.5, 40), np.array(["token"] * 20 + ["url"] * 20)
+    y = np.ones(40)
+    y[20:] = 0
+    got = secrets.thresholds(score, y, kinds)
+    for kind in secrets.EXTRA_KINDS:
+        assert (score[y > 0] >= got[kind]).mean() >= secrets.RECALL
+    with pytest.raises(ValueError):
+        secrets.thresholds(score, np.zeros(40), kinds)
+
+
 def labelled(spark, seed=1, n=160):
     r = random.Random(seed)
     texts, rows = [], []
