@@ -112,6 +112,28 @@ def test_vectors_equal_brute_force(spark):
     assert vector_dedup.near_vectors(df.limit(0)).count() == 0
 
 
+def test_vectors_of_a_loose_cluster_meet(spark):
+    """A third of the rows have mutual cosine 0.8; pairs at 0.905 are planted among them, and among the others."""
+    r = np.random.default_rng(11)
+    unit = lambda a: a / np.linalg.norm(a, axis=-1, keepdims=True)
+    n, planted, c = 12_000, 300, 0.905
+    centre = unit(r.standard_normal(128))
+    x = unit(r.standard_normal((n, 128)))
+    x[: n // 3] = unit(0.8**0.5 * centre + 0.2**0.5 * x[: n // 3])
+    away = lambda a: unit((d := r.standard_normal(a.shape)) - (d * a).sum(-1, keepdims=True) * a)
+    # The partner of a row of the cluster stays in the cluster.
+    off = unit(x[:planted] - (x[:planted] @ centre)[:, None] * centre)
+    hot = unit(0.8**0.5 * centre + 0.2**0.5 * unit(0.56 * off + 0.83 * away(off)))
+    cold = c * x[-planted:] + (1 - c * c) ** 0.5 * away(x[-planted:])
+    x = np.concatenate((x, hot, cold))
+    df = spark.createDataFrame([(i, row.tolist()) for i, row in enumerate(x)], "vec_id long, embedding array<double>")
+    got = {q.vec_id: q.component_id for q in vector_dedup.near_vectors(df).collect()}
+    for first, second in ((0, n), (n - planted, n + planted)):
+        pairs = [k for k in range(planted) if x[first + k] @ x[second + k] >= 0.9]
+        assert len(pairs) >= 100
+        assert sum(got[first + k] == got[second + k] for k in pairs) >= 0.9 * len(pairs)
+
+
 def test_big_components_are_counted_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vector_dedup, "BLOCK", 16)
     r = np.random.default_rng(1)
