@@ -94,6 +94,13 @@ def sorted_results(rows: DataFrame, sort: str, top: int) -> DataFrame:
     return rows.orderBy(*order).limit(top).withColumn("place", F.row_number().over(W.orderBy(*order)))
 
 
+def sorted_whole(rows: DataFrame, sort: str) -> DataFrame:
+    """(product_id, place) of all rows of a sort; ties go to the lesser id. Places are counted by range partition."""
+    column, ascending = SORTS[sort]
+    ordered = rows.orderBy(F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column), "product_id").select("product_id")
+    return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("product_id long, place long")
+
+
 def facet_brand(flags: DataFrame) -> DataFrame:
     return flags.where(_but("brand")).groupBy("brand").agg(F.count("*").alias("n"))
 

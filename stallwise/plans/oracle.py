@@ -229,6 +229,7 @@ ORACLE_SQL = {
     "search_catalogue": _sql(f"SELECT product_id, canonical_name, min_price, rating_tenths, review_count FROM asked WHERE {_BUT[None]}"),
     "search_products": _sql("SELECT product_id, canonical_name, brand, coalesce(n, 0) AS listings, universal_effective AS price, rating_tenths FROM product LEFT JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY product_id) USING (product_id) LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN (SELECT product_id, rating_tenths FROM metrics) USING (product_id) WHERE contains(lower(canonical_name), 'blue') AND category = 'SMALL'"),
     "catalogue_sorted": _sql(" UNION ALL ".join(f"SELECT '{k}' AS sort, place, product_id FROM (SELECT product_id, row_number() OVER (ORDER BY {o}, product_id) AS place FROM summary) WHERE place <= 20" for k, o in _SORTS.items())),
+    "catalogue_sorted_whole": _sql(" UNION ALL ".join(f"SELECT '{k}' AS sort, row_number() OVER (ORDER BY {o}, product_id) AS place, product_id FROM summary" for k, o in _SORTS.items())),
     "price_buckets": _sql("""SELECT bucket, low * 100 AS low, high * 100 AS high, (SELECT count(*) FROM summary WHERE min_price >= low * 100 AND (high IS NULL OR min_price < high * 100)) AS n FROM (
       SELECT unnest(range(0, 5)) AS bucket, unnest(list_concat([0], edges)) AS low, unnest(list_concat(edges, [NULL])) AS high FROM (
         SELECT CASE WHEN top <= 8000 THEN [500, 1000, 2000, 5000] WHEN top <= 16000 THEN [1000, 2500, 5000, 10000] WHEN top <= 64000 THEN [5000, 10000, 20000, 40000] WHEN top <= 160000 THEN [10000, 25000, 50000, 100000] ELSE [25000, 50000, 100000, 200000] END AS edges FROM (SELECT max(min_price) / 100 AS top FROM summary)))"""),

@@ -196,6 +196,16 @@ def catalogue_sorted(r):
     return out
 
 
+@_query
+def catalogue_sorted_whole(r):
+    rows = cat.product_summary(r)
+    out = None
+    for sort in cat.SORTS:
+        one = cat.sorted_whole(rows, sort).select(F.lit(sort).alias("sort"), "place", "product_id")
+        out = one if out is None else out.union(one)
+    return out
+
+
 @_query
 def price_buckets(r):
     rows = cat.product_summary(r)

@@ -61,3 +61,10 @@ def test_regression_needs_rows_and_variety():
     assert k == 1 and adjusted > 0.99 and abs(np.exp(predicted) - 640) < 1
     assert hedonic.fit(x[:4], np.log([1.0, 2, 3, 4]), np.array([1.0, 3])) is None
     assert hedonic.fit(np.ones((6, 1)), np.log([1.0, 2, 3, 4, 5, 6]), np.array([1.0])) is None
+
+
+def test_whole_sorts_place_every_row(spark):
+    rows = spark.range(1000).select(F.col("id").alias("product_id"), F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("min_price")).repartition(8)
+    want = sorted(range(1000), key=lambda i: (i % 7 == 0, i % 5 if i % 7 else 0, i))
+    got = sorted((r.place, r.product_id) for r in catalogue.sorted_whole(rows, "price_asc").collect())
+    assert got == [(k + 1, i) for k, i in enumerate(want)]
