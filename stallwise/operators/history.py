@@ -46,12 +46,20 @@ def recent_rows(series: DataFrame, n: int = 30) -> DataFrame:
     return series.withColumn("back", F.row_number().over(back)).where(F.col("back") <= n)
 
 
-def merged_price_grid(r: Roles) -> DataFrame:
-    """Listing and day with each offer's price as a map (null when out of stock), and the label and list price of the last offer that has one."""
+def _offer_days(r: Roles) -> DataFrame:
     rows = with_layers(observed(r), r.promotion)
     # Several rows of an offer on a day: the last counts.
-    day = rows.groupBy("listing_id", "observed_at", "offer_id").agg(F.max(F.struct("seq", "selling", "shipping", "mrp", "in_stock", "universal_effective", "sale_label")).alias("o"))
-    return day.groupBy("listing_id", "observed_at").agg(
+    return rows.groupBy("listing_id", "observed_at", "offer_id").agg(F.max(F.struct("seq", "selling", "shipping", "mrp", "in_stock", "universal_effective", "sale_label")).alias("o"))
+
+
+def merged_price_offers(r: Roles) -> DataFrame:
+    """Each offer's price on each day of its listing that it was observed on, null when out of stock: the cells of the merged grid."""
+    return _offer_days(r).select("listing_id", "observed_at", "offer_id", F.when(F.col("o.in_stock"), F.col("o.universal_effective")).alias("price"))
+
+
+def merged_price_grid(r: Roles) -> DataFrame:
+    """Listing and day with its offers' number and extreme prices, and the label and list price of the last offer that has one. Each offer's price is in merged_price_offers."""
+    return _offer_days(r).groupBy("listing_id", "observed_at").agg(
         F.count("*").alias("offers"), F.count_if("o.in_stock").alias("in_stock_offers"),
         F.min(F.when(F.col("o.in_stock"), F.col("o.universal_effective"))).alias("least_price"), F.max(F.when(F.col("o.in_stock"), F.col("o.universal_effective"))).alias("most_price"),
         F.max_by("o.sale_label", F.when(F.col("o.sale_label").isNotNull(), F.col("offer_id"))).alias("sale_label"), F.max_by("o.mrp", "offer_id").alias("mrp"),

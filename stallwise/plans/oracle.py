@@ -208,6 +208,7 @@ ORACLE_SQL = {
     "sale_windows": _sql("SELECT product_id, min(observed_at) AS window_start, max(observed_at) AS window_end, min_by(sale_label, observed_at) AS label, count(*) AS days FROM (SELECT *, n - row_number() OVER (PARTITION BY product_id ORDER BY observed_at) AS island FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at) AS n FROM series) WHERE sale_label IS NOT NULL) GROUP BY product_id, island"),
     "recent_rows": _sql("SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY observed_at DESC) AS back FROM series) WHERE back <= 30"),
     "merged_price_grid": _sql("SELECT listing_id, observed_at, count(*) AS offers, count_if(in_stock) AS in_stock_offers, min(universal_effective) FILTER (in_stock) AS least_price, max(universal_effective) FILTER (in_stock) AS most_price, arg_max(sale_label, offer_id) FILTER (sale_label IS NOT NULL) AS sale_label, arg_max(mrp, offer_id) AS mrp FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, observed_at, offer_id ORDER BY seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS n FROM seen) WHERE n = 1 GROUP BY listing_id, observed_at"),
+    "merged_price_offers": _sql("SELECT listing_id, observed_at, offer_id, CASE WHEN in_stock THEN universal_effective END AS price FROM (SELECT *, row_number() OVER (PARTITION BY listing_id, observed_at, offer_id ORDER BY seq DESC, selling DESC, shipping DESC, mrp DESC, in_stock DESC) AS n FROM seen) WHERE n = 1"),
     "listing_history_summary": _sql(f"SELECT listing_id, min(low) AS low, max(high) AS high, {_h('sum(f) / count(*)')} AS mean_first, {_h('sum(l) / count(*)')} AS mean_last, {_h('(sum(l) - sum(f)) * 10000 / sum(f)')} AS change_bp FROM (SELECT listing_id, offer_id, min(universal_effective) FILTER (in_stock) AS low, max(universal_effective) FILTER (in_stock) AS high, arg_min(universal_effective, (observed_at, seq, selling, shipping, mrp, in_stock)) AS f, arg_max(universal_effective, (observed_at, seq, selling, shipping, mrp, in_stock)) AS l FROM seen GROUP BY listing_id, offer_id) GROUP BY listing_id"),
     "tracked_summary": _sql("SELECT * FROM track"),
     "price_alerts": _sql("SELECT product_id, change, change_bp, CASE WHEN change_bp <= -400 THEN 'drop' ELSE 'rise' END AS alert FROM track WHERE change_bp <= -400 OR change_bp >= 400"),

@@ -102,6 +102,11 @@ def merged_price_grid(r):
     return history.merged_price_grid(r)
 
 
+@_query
+def merged_price_offers(r):
+    return history.merged_price_offers(r)
+
+
 @_query
 def listing_history_summary(r):
     return history.listing_history_summary(r)

@@ -68,3 +68,12 @@ def test_whole_sorts_place_every_row(spark):
     want = sorted(range(1000), key=lambda i: (i % 7 == 0, i % 5 if i % 7 else 0, i))
     got = sorted((r.place, r.product_id) for r in catalogue.sorted_whole(rows, "price_asc").collect())
     assert got == [(k + 1, i) for k, i in enumerate(want)]
+
+
+def test_merged_prices_keep_every_offer(spark, monkeypatch):
+    day = D(2024, 1, 5)
+    seen = spark.createDataFrame([(1, day, 10, 1, 900, 50, 1000, True), (1, day, 10, 2, 800, 50, 1000, True), (1, day, 11, 1, 700, 0, 1000, False), (1, day, 12, 1, 990, 0, 1000, True)], "listing_id long, observed_at date, offer_id long, seq long, selling long, shipping long, mrp long, in_stock boolean")
+    monkeypatch.setattr(history, "observed", lambda r: seen)
+    monkeypatch.setattr(history, "with_layers", lambda rows, promotion: rows.withColumns({"universal_effective": F.col("selling") + F.col("shipping"), "sale_label": F.lit(None).cast("string")}))
+    got = {r.offer_id: r.price for r in history.merged_price_offers(type("R", (), {"promotion": None})()).collect()}
+    assert got == {10: 850, 11: None, 12: 990}
