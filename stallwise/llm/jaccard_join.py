@@ -41,14 +41,14 @@ LONG_LIST = 8
 MOST_LONG = 1 << 18
 #: Up to so many ids of candidates are broadcast; more are joined by a shuffle.
 MOST_BROADCAST_IDS = 500_000
-#: Bits of the parity sketch of a set.
+#: Least bits of the parity sketch of a set.
 SKETCH = 1024
 #: Candidates of one pivot that are verified by one task.
 PIVOT_SHARE = 1000
 #: Postings of a slice, and so about of what one task merges at once.
 SLICE = 1 << 19
 _TALLY = 3 << 20
-_PACKED = ["slice", "tokens", "places", "docs", "sizes", "counts"]
+_PACKED = ["slice", "postings", "lists"]
 
 
 def _sets(texts, width):
@@ -63,9 +63,41 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def _sketches(v: np.ndarray, first: np.ndarray) -> list[bytes]:
-    """Per set, a bit for each of SKETCH buckets: whether it holds an odd number of shingles."""
-    bucket = (v >> np.uint64(64 - SKETCH.bit_length() + 1)).astype(np.int64)
-    return [np.packbits(np.bincount(bucket[a:b], minlength=SKETCH) & 1).tobytes() for a, b in zip(first.tolist(), first[1:].tolist())]
+    """Per set, a bit for each bucket of its shingles' first bits: whether it holds an odd number of them. A set of n has n buckets, rounded up to a power of two, SKETCH at least."""
+    out = []
+    for a, b in zip(first.tolist(), first[1:].tolist()):
+        bits = max(SKETCH.bit_length() - 1, (b - a - 1).bit_length())
+        out.append(np.packbits(np.bincount((v[a:b] >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits) & 1).tobytes())
+    return out
+
+
+def _differing(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ; the longer is folded to the shorter's buckets."""
+    p, q = (np.frombuffer(z, np.uint8) for z in sorted((x, y), key=len))
+    while len(q) > len(p):
+        q = np.packbits(np.unpackbits(q).reshape(-1, 2).sum(1) & 1)
+    return int(np.bitwise_count(p ^ q).sum())
+
+
+def _shortened(v: np.ndarray) -> bytes:
+    """The first six bytes of each shingle. Lists that fall together this way only add candidates."""
+    return v.astype(">u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+
+
+def _lengthened(raw: bytes) -> np.ndarray:
+    out = np.zeros((len(raw) // 6, 8), np.uint8)
+    out[:, :6] = np.frombuffer(raw, np.uint8).reshape(-1, 6)
+    return out.view(">u8").reshape(-1).astype(np.uint64)
+
+
+def _byte_planes(x: np.ndarray) -> bytes:
+    """Numbers with their first bytes together, then their second ones: what is mostly zero compresses away."""
+    return np.ascontiguousarray(x.view(np.uint8).reshape(-1, x.itemsize).T).tobytes()
+
+
+def _from_planes(raw: bytes, t) -> np.ndarray:
+    width = np.dtype(t).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(t)
 
 
 _PROFILE = ["doc_id", "n", "hi", "lo", "sketch", "token", "c"]
@@ -125,7 +157,9 @@ def _prefixes(width: int, num: int, den: int, shared):
                     out.append(v[a : a + take[i]] if not some_long[i] else v[a:b][np.argsort(rank[a:b], kind="stable")[: take[i]]])
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(v), dtype=np.uint64)))
-                tokens = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(take))).astype(np.int32)), pa.array(_signed(np.concatenate(out)) if out else np.zeros(0, np.int64)))
+                end = 6 * np.cumsum(take)
+                raw = _shortened(np.concatenate(out)) if out else b""
+                tokens = pa.array([raw[b - 6 * k : b] for b, k in zip(end.tolist(), take.tolist())], pa.binary())
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), tokens],
                     ["doc_id", "n", "hi", "lo", "tokens"],
@@ -136,13 +170,14 @@ def _prefixes(width: int, num: int, den: int, shared):
 
 def _flat(batch, long_tokens: np.ndarray, is_long: bool):
     """(doc, n, tokens) -> shingles, their places and rows, of those only that have (or don't have) a long list."""
-    lists = batch.column(2)
-    first = np.asarray(lists.offsets).astype(np.int64)
-    tokens = np.asarray(lists.values)[first[0] : first[-1]].view(np.uint64)
-    row = np.repeat(np.arange(len(lists)), np.diff(first))
-    place = np.arange(len(tokens)) - (first[:-1] - first[0])[row]
+    raw = batch.column(2).to_pylist()
+    size = np.array([len(x) // 6 for x in raw], np.int64)
+    tokens = _lengthened(b"".join(raw))
+    row = np.repeat(np.arange(len(raw)), size)
+    place = np.arange(len(tokens)) - (np.cumsum(size) - size)[row]
     if len(long_tokens):
-        keep = (long_tokens[np.minimum(np.searchsorted(long_tokens, tokens), len(long_tokens) - 1)] == tokens) == is_long
+        short = long_tokens & ~np.uint64(0xFFFF)
+        keep = (short[np.minimum(np.searchsorted(short, tokens), len(short) - 1)] == tokens) == is_long
     else:
         keep = np.full(len(tokens), not is_long)
     return tokens[keep], place[keep], row[keep]
@@ -161,24 +196,25 @@ def _long_postings(shared):
 
 
 def _packed_postings(shared, slices: int):
-    """(doc, n, tokens) -> for each slice of the shingles with short lists: shingles and places, and the documents that follow each other with their sizes and shares."""
+    """(doc, n, tokens) -> for each slice of the shingles with short lists: how many postings, and their shingles, places, documents and sizes, compressed."""
 
     def of(batches):
         for batch in batches:
+            batch = batch.take(pa.array(np.argsort(np.asarray(batch.column(0)), kind="stable")))
             tokens, place, row = _flat(batch, shared.value[0], False)
             doc, n = np.asarray(batch.column(0)), np.asarray(batch.column(1)).astype(np.int32)
             part = ((mix64(tokens) >> np.uint64(32)) * np.uint64(slices) >> np.uint64(32)).astype(np.int64)
             order = np.argsort(part, kind="stable")
-            tokens, place, row, part = tokens[order], place[order], row[order], part[order]
+            tokens, place, row, part = tokens[order], place[order].astype(np.int32), row[order], part[order]
             edge = np.flatnonzero(np.diff(part, prepend=-1, append=slices))
-            small = np.uint16 if not len(place) or place.max() < 1 << 16 else np.uint32
             out = []
             for a, b in zip(edge, edge[1:]):
-                turn = np.flatnonzero(np.diff(row[a:b], prepend=-1))
-                own = row[a:b][turn]
-                out.append((int(part[a]), tokens[a:b].tobytes(), place[a:b].astype(small).tobytes(), doc[own].tobytes(), n[own].tobytes(), np.diff(turn, append=b - a).astype(np.int32).tobytes()))
-            columns = list(zip(*out)) or [[]] * 6
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *(pa.array(c, pa.binary()) for c in columns[1:])], _PACKED)
+                own = row[a:b]
+                # Documents ascend, so their differences are small.
+                raw = [_shortened(tokens[a:b]), _byte_planes(place[a:b]), _byte_planes(np.diff(doc[own], prepend=0)), _byte_planes(np.diff(n[own], prepend=np.int32(0)))]
+                out.append((int(part[a]), int(b - a), pa.compress(b"".join(raw), codec="zstd", asbytes=True)))
+            columns = list(zip(*out)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary()))], _PACKED)
 
     return of
 
@@ -187,10 +223,14 @@ def _merged(batches):
     """Packed postings sorted by slice -> (token, doc, n, place, a) of shingles that several documents share, a the least of them."""
 
     def merge(parts):
-        join = lambda k, t: np.frombuffer(b"".join(x[k] for x in parts), t)
-        tokens, counts = join(1, np.uint64), join(5, np.int32)
-        place = np.concatenate([np.frombuffer(x[2], np.uint16 if len(x[2]) * 4 == len(x[1]) else np.uint32).astype(np.int64) for x in parts])
-        doc, n = np.repeat(join(3, np.int64), counts), np.repeat(join(4, np.int32), counts)
+        tokens, place, doc, n = [], [], [], []
+        for _, k, packed in parts:
+            raw = pa.decompress(packed, 22 * k, codec="zstd", asbytes=True)
+            tokens.append(_lengthened(raw[: 6 * k]))
+            place.append(_from_planes(raw[6 * k : 10 * k], np.int32))
+            doc.append(np.cumsum(_from_planes(raw[10 * k : 18 * k], np.int64)))
+            n.append(np.cumsum(_from_planes(raw[18 * k :], np.int32), dtype=np.int32))
+        tokens, place, doc, n = (np.concatenate(x) for x in (tokens, place, doc, n))
         order = np.argsort(tokens, kind="stable")
         tokens, doc = tokens[order], doc[order]
         new = np.ones(len(tokens), bool)
@@ -198,11 +238,11 @@ def _merged(batches):
         first, group = np.flatnonzero(new), np.cumsum(new) - 1
         least = np.minimum.reduceat(doc, first)
         keep = (least < np.maximum.reduceat(doc, first))[group]
-        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[keep])), pa.array(doc[keep]), pa.array(n[order][keep].astype(np.int64)), pa.array(place[order][keep]), pa.array(least[group][keep])], ["token", "doc", "n", "place", "a"])
+        return pa.RecordBatch.from_arrays([pa.array(_signed(tokens[keep])), pa.array(doc[keep]), pa.array(n[order][keep].astype(np.int64)), pa.array(place[order][keep].astype(np.int64)), pa.array(least[group][keep])], ["token", "doc", "n", "place", "a"])
 
     held = []
     for batch in batches:
-        for x in zip(*(batch.column(k).to_pylist() for k in range(6))):
+        for x in zip(*(batch.column(k).to_pylist() for k in range(3))):
             if held and held[0][0] != x[0]:
                 yield merge(held)
                 held = []
@@ -217,9 +257,9 @@ def _possible(num: int, den: int):
     def of(batches):
         for batch in batches:
             na, nb = (np.asarray(batch.column(k)).astype(np.int64) for k in (1, 4))
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).reshape(-1, SKETCH // 8) for k in (2, 5))
             need = ((na + nb) * num + num + den - 1) // (num + den)
-            ok = np.bitwise_count(x ^ y).sum(1) <= na + nb - 2 * need
+            differ = np.array([_differing(x, y) for x, y in zip(batch.column(2).to_pylist(), batch.column(5).to_pylist())], np.int64)
+            ok = differ <= na + nb - 2 * need
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(3)], ["a", "b"]).filter(pa.array(ok))
 
     return of
@@ -291,13 +331,13 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     shared = spark.sparkContext.broadcast((long_tokens[order], often["c"].to_numpy(np.int64)[order]))
 
     # Equal sets have the same prefix; one representative stands for them all.
-    reps = docs.mapInArrow(_prefixes(width, num, den, shared), "doc_id long, n long, hi long, lo long, tokens array<long>").where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.any_value("tokens").alias("tokens"))
+    reps = docs.mapInArrow(_prefixes(width, num, den, shared), "doc_id long, n long, hi long, lo long, tokens binary").where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("doc"), F.any_value("tokens").alias("tokens"))
     listed = reps.select("doc", "n", "tokens")
     postings = listed.mapInArrow(_long_postings(shared), "token long, doc long, n_place long")
     lists = postings.groupBy("token").agg(F.min("doc").alias("a"), F.max("doc").alias("last")).where("a < last").select("token", "a")
     long_ones = postings.join(lists, "token").select("token", "doc", F.shiftright("n_place", 32).alias("n"), F.col("n_place").bitwiseAND((1 << 32) - 1).alias("place"), "a")
     taken = profile.where("n > 0").agg(F.coalesce(F.sum(F.col("n") - F.ceil(F.col("n") * num / F.lit(den)) + 1), F.lit(0))).first()[0]
-    packed = listed.mapInArrow(_packed_postings(shared, max(1, -(-int(taken) // SLICE))), "slice long, tokens binary, places binary, docs binary, sizes binary, counts binary")
+    packed = listed.mapInArrow(_packed_postings(shared, max(1, -(-int(taken) // SLICE))), "slice long, postings long, lists binary")
     short_ones = packed.repartition("slice").sortWithinPartitions("slice").mapInArrow(_merged, "token long, doc long, n long, place long, a long")
     members = cut(long_ones.union(short_ones))
     del reps, listed, postings, lists, packed  # lets Spark drop their shuffle files
