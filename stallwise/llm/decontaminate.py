@@ -2,9 +2,9 @@
 
 Words are runs of letters and digits, lower-cased in every script, so case and decoration don't hide a
 copy. For an item of n five-word shingles, every window of n shingles of every document is a candidate. A window's
-64-bit SimHash is compared with the SimHashes of the items of its size through a multi-index: eight
-blocks of eight bits, each looked up with all values within RADIUS // 8 bits of it, which by the
-pigeonhole principle misses no fingerprint within RADIUS. What is found is verified exactly, by the
+64-bit SimHash is looked up among the SimHashes of the items of its size through a multi-index: for each of
+eight blocks of eight bits, items sorted by that block, probed with all values within RADIUS // 8 bits of the
+window's, which by the pigeonhole principle misses no fingerprint within RADIUS. What is found is verified exactly, by the
 weighted Jaccard similarity of the shingle multisets.
 
 Most windows needn't be fingerprinted: a window that could reach the threshold must hold at least
@@ -19,13 +19,13 @@ reported. Extra columns are ignored.
 from __future__ import annotations
 
 import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
 from .kernels import pieces, shingle_hashes, split_words
 
 WIDTH = 5
@@ -39,7 +39,8 @@ BLOCK_CHARS = 20_000_000
 _FILTER_BITS = 23
 _STEP = 4096
 
-_BALL = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None] ^ np.arange(256, dtype=np.uint8), axis=1).reshape(256, 256, 8).sum(2) <= RADIUS // 8
+#: Bytes within RADIUS // 8 bits of zero; a byte's ball is these, each flipped onto it.
+_BALL = np.flatnonzero(np.bitwise_count(np.arange(256, dtype=np.uint8)) <= RADIUS // 8).astype(np.uint8)
 _BITS64 = np.arange(64, dtype=np.uint64)
 
 
@@ -75,6 +76,33 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (int(p.sum()) + int(q.sum()) - common)
 
 
+class _Blocks:
+    """The multi-index of one size: for each of the eight blocks of the fingerprints, items sorted by that block."""
+
+    def __init__(self, items: np.ndarray, prints: np.ndarray):
+        self.items, self.prints = items, prints
+        self.order = [np.argsort(prints[:, b], kind="stable") for b in range(8)]
+        self.first = [np.searchsorted(prints[o, b], np.arange(257)) for b, o in enumerate(self.order)]
+
+    def within(self, prints: np.ndarray):
+        """(window, item) pairs of fingerprints within RADIUS: if two differ in no more bits, some block differs in RADIUS // 8 at most.
+
+        A pair is taken at the first such block only, so it comes once.
+        """
+        for b in range(8):
+            probe = (prints[:, b][:, None] ^ _BALL).astype(np.int64)
+            begin, end = self.first[b][probe], self.first[b][probe + 1]
+            n = (end - begin).ravel()
+            if not n.any():
+                continue
+            window = np.repeat(np.arange(len(prints)), n.reshape(len(prints), -1).sum(1))
+            at = np.arange(n.sum()) + np.repeat(begin.ravel() - (np.cumsum(n) - n), n)
+            other = self.order[b][at]
+            differ = np.bitwise_count(prints[window] ^ self.prints[other])
+            ok = (differ.sum(1) <= RADIUS) & (differ[:, :b] > RADIUS // 8).all(1)
+            yield from zip(window[ok].tolist(), self.items[other[ok]].tolist())
+
+
 class _Index:
     """A block of the benchmark: its shingles, and by size its items' fingerprints."""
 
@@ -90,14 +118,14 @@ class _Index:
         self.known = np.unique(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.known >> np.uint64(64 - _FILTER_BITS)] = True
-        self.sizes: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        self.sizes: dict[int, _Blocks] = {}
         by: dict[int, list[int]] = {}
         for i, h in enumerate(parts):
             if len(h):
                 by.setdefault(len(h), []).append(i)
         for n, items in sorted(by.items()):
             prints = np.concatenate([_fingerprints(_signs(parts[i]), np.zeros(1, int), n) for i in items])
-            self.sizes[n] = (np.array(items), prints)
+            self.sizes[n] = _Blocks(np.array(items), prints)
 
     def holds(self, h: np.ndarray) -> np.ndarray:
         out = self.filter[h >> np.uint64(64 - _FILTER_BITS)]
@@ -107,22 +135,6 @@ class _Index:
             out[maybe] = self.known[at] == h[maybe]
         return out
 
-    def within(self, prints: np.ndarray, n: int):
-        """(window, item) pairs of fingerprints within RADIUS, by the multi-index."""
-        items, theirs = self.sizes[n]
-        for lo in range(0, len(items), _STEP):
-            some = theirs[lo : lo + _STEP]
-            step = max(1, (_STEP * 64) // len(some))
-            for a in range(0, len(prints), step):
-                mine = prints[a : a + step]
-                near = np.zeros((len(mine), len(some)), bool)
-                for b in range(8):
-                    near |= _BALL[some[:, b]].T[mine[:, b]]
-                w, i = np.nonzero(near)
-                far = np.bitwise_count(mine[w] ^ some[i]).sum(1)
-                ok = far <= RADIUS
-                yield from zip((w[ok] + a).tolist(), items[i[ok] + lo].tolist())
-
 
 def _matches(index: _Index, h: np.ndarray, hit: np.ndarray, least: float):
     """Best window of each item in one document: item index -> (similarity, start, n)."""
@@ -142,7 +154,7 @@ def _matches(index: _Index, h: np.ndarray, hit: np.ndarray, least: float):
         for group in np.split(starts, cuts):
             base = group[0]
             running = _signs(h[base : group[-1] + width])
-            for w, item in index.within(_fingerprints(running, group - base, width), n):
+            for w, item in index.sizes[n].within(_fingerprints(running, group - base, width)):
                 at = int(group[w])
                 s = similarity(_weights(h[at : at + width]), index.sets[item])
                 if s >= least and (item not in best or (s, -at) > (best[item][0], -best[item][1])):
@@ -173,26 +185,49 @@ def _scan(shared, least: float):
     return of
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> the best window of each item in each document that reaches ``least``.
+def _clean(shared, at: int, least: float):
+    """Batches without the rows that hold an item; ``at`` is the text's column."""
 
-    Columns: doc_id, item_id, similarity, start_word, n_words (positions count words of letters and digits).
-    """
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    def of(batches):
+        index = shared.value
+        for batch in batches:
+            keep = np.ones(batch.num_rows, bool)
+            for begin, run in pieces(_folded(batch.column(at).to_pylist())):
+                words = split_words(run, plain=True)
+                h, first = shingle_hashes(words, WIDTH)
+                hit = index.holds(h)
+                count = np.diff(words.first)
+                for k in np.unique(np.searchsorted(first, np.flatnonzero(hit), side="right") - 1).tolist():
+                    if count[k] >= WIDTH and _matches(index, h[first[k] : first[k + 1]], hit[first[k] : first[k + 1]], least):
+                        keep[begin + k] = False
+            yield batch.filter(pa.array(keep))
+
+    return of
+
+
+def _indexes(benchmark: DataFrame):
+    """The benchmark as broadcast indexes of bounded size."""
     items = benchmark.select("item_id", "text").where("item_id IS NOT NULL AND text IS NOT NULL")
     n, chars = items.agg(F.count("*"), F.coalesce(F.sum(F.length("text")), F.lit(0))).first()
     blocks = max(1, -(-n // BLOCK_ITEMS), -(-chars // BLOCK_CHARS))
-    out = None
     for k in range(blocks):
         part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k)
         rows = part.orderBy("item_id").collect()
-        shared = docs.sparkSession.sparkContext.broadcast(_Index([r[0] for r in rows], [r[1] for r in rows]))
-        found = docs.mapInArrow(_scan(shared, least), "doc_id long, item_id long, similarity double, start_word long, n_words long")
-        out = found if out is None else out.union(found)
-    return out
+        yield benchmark.sparkSession.sparkContext.broadcast(_Index([r[0] for r in rows], [r[1] for r in rows]))
+
+
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
+    """docs (doc_id, text, ...), benchmark (item_id, text, ...) -> the best window of each item in each document that reaches ``least``.
+
+    Columns: doc_id, item_id, similarity, start_word, n_words (positions count words of letters and digits).
+    """
+    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL AND text IS NOT NULL")
+    found = [docs.mapInArrow(_scan(shared, least), "doc_id long, item_id long, similarity double, start_word long, n_words long") for shared in _indexes(benchmark)]
+    return reduce(DataFrame.union, found)
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, least: float = 0.8) -> DataFrame:
-    """Drops documents that hold a benchmark item; all columns stay. Rows without a doc_id or text stay."""
-    bad = cut(find_benchmark(docs, benchmark, least).select("doc_id").distinct())
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drops documents that hold a benchmark item, each row by its own text, without a shuffle; all columns stay. Rows without a doc_id are judged too."""
+    for shared in _indexes(benchmark):
+        docs = docs.mapInArrow(_clean(shared, docs.columns.index("text"), least), docs.schema)
+    return docs

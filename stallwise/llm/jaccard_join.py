@@ -2,12 +2,13 @@
 
 Two documents link when their sets of distinct five-word shingles have a Jaccard similarity of at
 least ``num / den``. A document with s shingles must share T = ceil(s * num / den) of them with any
-partner, so partners turn up among the inverted lists of its first s - T + 1 shingles, whatever
-order all documents agree on. DivideSkip picks that order: *long* lists (frequent shingles, a
-bounded table) come last, so the lists that are merged are short, and the long ones are only probed
-by binary search when a candidate is verified. Merging is a shuffle. Short lists go packed: a task sends
-what it has of each slice of the shingles as a few arrays, and a slice, bounded in size, merges its lists
-by one sort. Long lists go as rows that Spark can split. Occurrences are counted by pair of documents.
+partner. DivideSkip sets the L = T - 1 longest inverted lists of a document aside (frequent shingles come
+last in the order that all documents agree on) and merges the others, its first s - L shingles: partners turn
+up there T - L times at least, and what is still missing is looked up in the long lists. Merging is a shuffle
+and a sort-merge of runs: short lists go packed, as compressed arrays by slices of the shingles, lists that
+many documents share as rows that Spark can split. Occurrences are counted by pair of documents, and a pair
+goes on if its count reaches what the lists set aside leave open. Whether a candidate stands in the long lists
+is then probed by binary search in its sorted set, until the overlap is out of reach.
 
 Hot groups never turn into all their pairs. Equal sets collapse into one representative first. Then
 each list links its members to one pivot; whoever verified links join is not compared again, and
@@ -15,7 +16,8 @@ only members of lists that still span several components are compared with each
 places of the shared shingle in both sets leave room for the required overlap.
 
 A candidate's sets are fetched only if their parity sketches allow the overlap: bits that differ are
-no more than shingles that only one set has, so a pair that the sketches rule out can't link.
+no more than shingles that only one set has, so a pair that the sketches rule out can't link. Sketches grow
+with the sets, so they tell long documents apart as well as short ones.
 
 Nulls, empty texts and texts without words have an empty set and link with nothing; a text of
 fewer than five words has its whole sequence as its one shingle. Repeated doc_ids count as one
@@ -45,6 +47,8 @@ MOST_BROADCAST_IDS = 500_000
 SKETCH = 1024
 #: Candidates of one pivot that are verified by one task.
 PIVOT_SHARE = 1000
+#: Shingles that are probed at once.
+PROBE = 512
 #: Postings of a slice, and so about of what one task merges at once.
 SLICE = 1 << 19
 _TALLY = 3 << 20
@@ -100,30 +104,30 @@ def _from_planes(raw: bytes, t) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(width, -1).T).reshape(-1).view(t)
 
 
-_PROFILE = ["doc_id", "n", "hi", "lo", "sketch", "token", "c"]
+_PROFILE = ["doc_id", "mark", "n", "hi", "lo", "sketch", "token", "c"]
 
 
 def _profile(width: int):
-    """Documents -> a row for each (doc_id, n, hi, lo, sketch), and rows (token, c) for shingles that a task sees often."""
+    """Documents (doc_id, text, mark) -> a row for each (doc_id, mark, n, hi, lo, sketch), and rows (token, c) for shingles that a task sees often."""
 
     def tally(parts):
         v, c = np.unique(np.concatenate(parts), return_counts=True)
         often = c >= 3
         k = int(often.sum())
         gone = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, pa.nulls(k, pa.binary()), pa.array(_signed(v[often])), pa.array(c[often].astype(np.int64))], _PROFILE)
+        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, pa.nulls(k, pa.binary()), pa.array(_signed(v[often])), pa.array(c[often].astype(np.int64))], _PROFILE)
 
     def of(batches):
         seen, size = [], 0
         for batch in batches:
-            ids = batch.column(0)
+            ids, marks = batch.column(0), batch.column(2)
             for begin, v, first in _sets(batch.column(1).to_pylist(), width):
                 n = np.diff(first)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(v), dtype=np.uint64)))
                 gone = pa.nulls(len(n), pa.int64())
                 yield pa.RecordBatch.from_arrays(
-                    [ids.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), pa.array(_sketches(v, first), pa.binary()), gone, gone],
+                    [ids.slice(begin, len(n)), marks.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), pa.array(_sketches(v, first), pa.binary()), gone, gone],
                     _PROFILE,
                 )
                 seen.append(v)
@@ -288,7 +292,13 @@ def _overlaps(num: int, den: int):
             p, q = q, p
         if not len(p):
             return False
-        common = int((q[np.minimum(np.searchsorted(q, p), len(q) - 1)] == p).sum())
+        need = -(-(len(p) + len(q)) * num // (num + den))
+        common = 0
+        for a in range(0, len(p), PROBE):
+            if common + len(p) - a < need:
+                return False
+            some = p[a : a + PROBE]
+            common += int((q[np.minimum(np.searchsorted(q, some), len(q) - 1)] == some).sum())
         return common > 0 and den * common >= num * (len(p) + len(q) - common)
 
     def of(batches):
@@ -320,11 +330,21 @@ def _reaching(pairs: DataFrame, num: int, den: int) -> DataFrame:
     return pairs.where((F.least("na", "nb") * den >= F.greatest("na", "nb") * num) & (F.col("c") >= need - rest))
 
 
+def _mark(docs: DataFrame):
+    """Tells rows of one doc_id with different texts apart."""
+    return F.xxhash64("text")
+
+
 def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
     """docs (doc_id, text, ...) -> (doc_id, n_shingles, component_id): the size of each document's set, and the least doc_id that links reach."""
-    docs = docs.select("doc_id", "text").where("doc_id IS NOT NULL")
+    return _marked_components(docs, width, num, den).drop("mark")
+
+
+def _marked_components(docs: DataFrame, width: int = 5, num: int = 80, den: int = 100) -> DataFrame:
+    """As jaccard_components, with each row's mark."""
+    docs = docs.select("doc_id", "text", _mark(docs).alias("mark")).where("doc_id IS NOT NULL")
     spark = docs.sparkSession
-    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, n long, hi long, lo long, sketch binary, token long, c long"))
+    profile = cut(docs.mapInArrow(_profile(width), "doc_id long, mark long, n long, hi long, lo long, sketch binary, token long, c long"))
     often = profile.where("token IS NOT NULL").groupBy("token").agg(F.sum("c").alias("c")).where(F.col("c") >= LONG_LIST).orderBy(F.desc("c"), "token").limit(MOST_LONG).toPandas()
     long_tokens = often["token"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(long_tokens)
@@ -377,12 +397,32 @@ def jaccard_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
     rest = verified(cut(cross.join(known, ["a", "b"], "left_anti")))
     groups = components(links.union(rest)) if rest.limit(1).count() else groups
 
-    own = profile.where("token IS NULL").select("doc_id", "n", "hi", "lo")
+    own = profile.where("token IS NULL").select("doc_id", "mark", "n", "hi", "lo")
     whole = own.where("n > 0").groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("id")).join(groups, "id", "left").select("hi", "lo", "n", F.coalesce("component", "id").alias("component"))
-    return own.join(whole, ["hi", "lo", "n"], "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return own.join(whole, ["hi", "lo", "n"], "left").select("doc_id", "mark", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Drops every document but the least doc_id of its component; all columns stay. Rows without a doc_id stay."""
-    groups = jaccard_components(docs, **options).where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(groups, "doc_id", "left_anti").select(*docs.columns)
+    """Of each component one row stays, one with the least doc_id; all columns stay.
+
+    Rows without a doc_id stay, and so do rows whose text has no words, as they link with nothing. Rows that
+    share a doc_id are told apart by their texts: only those linked go. Of rows with the same doc_id and text one stays.
+    """
+    groups = cut(_marked_components(docs, **options).where("n_shingles > 0"))
+    own = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("least"), F.count("*").alias("rows"))
+    # A row goes if a smaller doc_id stands for it, or another text of its own doc_id.
+    gone = groups.where("doc_id <> component_id").select("doc_id", "mark")
+    twice = cut(own.where("rows > 1").select("doc_id", "least"))
+    some = twice.limit(1).count() > 0
+    if some:
+        gone = gone.union(groups.where("doc_id = component_id").join(twice, "doc_id").where("mark <> least").select("doc_id", "mark"))
+    gone = cut(gone.distinct().toDF("_gone_id", "_gone_mark"))
+    # Ids go to the tasks only up to a bound; beyond it both sides are shuffled.
+    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_IDS else gone
+    kept = docs.join(side, (F.col("doc_id") == F.col("_gone_id")) & (_mark(docs) == F.col("_gone_mark")), "left_anti")
+    if some:
+        again = F.broadcast(twice.toDF("_id", "_mark")) if twice.count() <= MOST_BROADCAST_IDS else twice.toDF("_id", "_mark")
+        same = (F.col("doc_id") == F.col("_id")) & (_mark(docs) == F.col("_mark"))
+        one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.any_value(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        kept = kept.join(again, same, "left_anti").select(*docs.columns).union(one)
+    return kept.select(*docs.columns)

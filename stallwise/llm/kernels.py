@@ -19,9 +19,9 @@ _CHAIN = np.uint64(0xD6E8FEB86659FD93)
 _WHITE = np.zeros(256, bool)
 _WHITE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _DARK = ~_WHITE
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[ord("A") : ord("Z") + 1] += 32
-_VALUE = _LOWER.astype(np.uint64) + np.uint64(1)
+LOWER = np.arange(256, dtype=np.uint8)
+LOWER[ord("A") : ord("Z") + 1] += 32
+_VALUE = LOWER.astype(np.uint64) + np.uint64(1)
 _PLAIN = np.zeros(256, bool)
 _PLAIN[[*range(48, 58), *range(65, 91), *range(97, 123), *range(128, 256)]] = True
 

@@ -1,15 +1,18 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
-Each text is cut into clauses, each word becomes a symbol (insult, threat, target, negation, report
-or other), and a cascade of transducers rewrites a clause's symbols: a threat needs a target near it,
-an insult near a target is aimed, a negation close before it or a reporting verb in the clause turns
-it into a negated or reported one. The cascade is composed once into a single table. What counts is
-the classes of matched patterns, weighted by the log-odds of their words, never isolated words.
-
-The insult lexicon and the weights of the classes are learned from labelled rows outside the held-out
-fold: a bounded sample (LABELLED rows) gives each word's log-odds and a logistic model over the clause
-features. A short fixed list of common insults counts like a few labelled rows, so that tiny inputs
-work too.
+Each text is cut into clauses, each word becomes a symbol (insult, threat, target, negation, report,
+mention or other), and two cascades of transducers rewrite the symbols. The first reads a clause backwards
+and notes at an insult or threat what follows it: a target near it, a reporting verb, a noun that makes it
+a mere mention ("is an insult"). The second reads forwards: a negation or a mention close before it, a
+reporting verb in the clause, a target before or after it decide the class of the matched pattern. Each cascade
+is composed once into a single table. An insult in no pattern is loose; after an earlier insult of the same text
+it belongs to a pile, a pattern too. Loose, negated, reported and mentioned insults and threats without a target
+never make a text toxic by themselves: what counts is matched clauses, not isolated words.
+
+The insult lexicon (words, and stems for languages that inflect) and the weights of the patterns are learned from
+labelled rows outside the held-out fold: a bounded sample (LABELLED rows) gives each word's log-odds and a
+logistic model over the patterns. A short fixed list of common insults counts like a few labelled rows, so that
+tiny inputs work too.
 
 Whole texts are scored. Nulls count as empty; an empty text gets the score of a text without matches.
 Rows without a doc_id are left out, repeated rows are scored each. Extra columns are ignored.
@@ -23,17 +26,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import fold, labelled_sample
-from .kernels import pieces, split_words
+from .kernels import LOWER, mix64, pieces, split_words
 
 #: Bound on the labelled rows that are learned from.
 LABELLED = 20_000
-#: Bound on the learned lexicon.
-MOST_WORDS = 8192
 #: A word is learned if it stands in so many toxic rows and its log-odds reach LEAST_ODDS.
 LEAST_ROWS, LEAST_ODDS = 4, 3.0
 
-# Symbols of the grammar.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+# Symbols of the grammar, and what the backward cascade makes of insults and threats.
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MENTION, END = range(8)
+INSULT_AT, INSULT_SAID, INSULT_NAMED, THREAT_AT, THREAT_SAID, SYMBOLS = range(8, 14)
 #: Words of the grammar, in four languages.
 GRAMMAR = {
     INSULT: "idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown clowns disgusting imbecile vermin dumb bastard asshole idioten dummkopf abschaum connard crétin imbécile ordure estúpido basura imbécil",
@@ -41,14 +43,18 @@ GRAMMAR = {
     TARGET: "you your yours yourself u they them their he she him her these those people du dich dir dein ihr euch sie tu te toi ton vous votre ils tú ti tus usted ustedes ellos",
     NEGATION: "not never no nor isn aren wasn weren don doesn didn nicht kein keine nie ne pas jamais nunca jamás ni",
     REPORT: "said says say called calls quoted quote wrote writes reported claimed alleged sagte sagt nannte schrieb dit disait écrit appelé dijo dice escribió llamó",
+    MENTION: "word words term terms insult insults slur slurs expression wort wörter beleidigung mot mots insulte palabra palabras insulto",
 }
-#: What the cascade makes of a word: classes of matched patterns.
-PLAIN, AIMED, NEGATED, REPORTED, MENACE, IDLE = range(6)
-_CLASSES = 6
+#: Classes of matched patterns.
+LOOSE, PILED, AIMED, NEGATED, REPORTED, MENTIONED, MENACE, IDLE = range(8)
+_CLASSES = 8
+#: Classes that may make a text toxic.
+_PATTERNS = (PILED, AIMED, MENACE)
+_CLASS = 20
 
 
 class Transducer:
-    """A deterministic transducer: ``step(state, symbol) -> (state, symbol)``; END sets a clause's state back."""
+    """A deterministic transducer: ``step(state, symbol) -> (state, symbol)``."""
 
     def __init__(self, start, step):
         self.start, self.step = start, step
@@ -78,32 +84,65 @@ def _window(opens, rewrites, reach):
     return Transducer(0, step)
 
 
-def grammar() -> Transducer:
-    """negation, report, target and threat, composed. Output symbols over 9 are 10 + class."""
-    negation = _window({NEGATION}, {INSULT: 10 + NEGATED, THREAT: 10 + NEGATED}, 4)
-    report = _window({REPORT}, {INSULT: 10 + REPORTED, THREAT: 10 + REPORTED}, None)
-    target = _window({TARGET}, {INSULT: 10 + AIMED, THREAT: 10 + MENACE}, 8)
-    scored = Transducer(0, lambda state, symbol: (0, {INSULT: 10 + PLAIN, THREAT: 10 + IDLE}.get(symbol, symbol)))
-    return negation.then(report).then(target).then(scored)
+def _pile(state, symbol):
+    """Insults that no pattern took: the first one of a text is loose, later ones pile up. The state outlives a clause."""
+    if symbol == _CLASS + AIMED:
+        return 1, symbol
+    if symbol == INSULT:
+        return 1, _CLASS + (PILED if state else LOOSE)
+    return state, _CLASS + IDLE if symbol == THREAT else symbol
+
 
+def lookahead() -> Transducer:
+    """For clauses read backwards: target, report, mention, composed."""
+    target = _window({TARGET}, {INSULT: INSULT_AT, THREAT: THREAT_AT}, 5)
+    report = _window({REPORT}, {INSULT: INSULT_SAID, INSULT_AT: INSULT_SAID, THREAT: THREAT_SAID, THREAT_AT: THREAT_SAID}, None)
+    mention = _window({MENTION}, {INSULT: INSULT_NAMED, INSULT_AT: INSULT_NAMED, INSULT_SAID: INSULT_NAMED}, 4)
+    return target.then(report).then(mention)
 
-def table_of(t: Transducer, symbols: int = 7) -> list[list[tuple[int, int]]]:
-    """All reachable states of a composed transducer as a table: [state][symbol] -> (state, class or -1)."""
+
+def grammar() -> Transducer:
+    """For clauses read forwards: negation, mention, report, target and piles, composed. Output symbols from _CLASS on are classes."""
+    insults, threats = (INSULT, INSULT_AT, INSULT_SAID, INSULT_NAMED), (THREAT, THREAT_AT, THREAT_SAID)
+    every = lambda which, to: dict.fromkeys(which, _CLASS + to)
+    negation = _window({NEGATION}, every(insults + threats, NEGATED), 4)
+    mention = _window({MENTION}, every(insults, MENTIONED), 3)
+    report = _window({REPORT}, every(insults + threats, REPORTED), None)
+    noted = Transducer(0, lambda state, symbol: (0, {INSULT_SAID: _CLASS + REPORTED, THREAT_SAID: _CLASS + REPORTED, INSULT_NAMED: _CLASS + MENTIONED, INSULT_AT: _CLASS + AIMED, THREAT_AT: _CLASS + MENACE}.get(symbol, symbol)))
+    target = _window({TARGET}, {INSULT: _CLASS + AIMED, THREAT: _CLASS + MENACE}, 8)
+    return negation.then(mention).then(report).then(noted).then(target).then(Transducer(0, _pile))
+
+
+def table_of(t: Transducer) -> list[list[tuple[int, int]]]:
+    """All reachable states of a composed transducer as a table: [state][symbol] -> (state, symbol written)."""
     names, out = {t.start: 0}, []
     queue = [t.start]
     while queue:
-        state = queue.pop(0)
         row = []
-        for symbol in range(symbols):
+        state = queue.pop(0)
+        for symbol in range(SYMBOLS):
             after, wrote = t.step(state, symbol)
             if after not in names:
                 names[after] = len(names)
                 queue.append(after)
-            row.append((names[after], wrote - 10 if wrote >= 10 else -1))
+            row.append((names[after], wrote))
         out.append(row)
     return out
 
 
+def matched(symbols: list[int], back: list, forth: list) -> list[tuple[int, int]]:
+    """(place, class) of each insult or threat among a text's symbols; END stands between clauses."""
+    noted, state = list(symbols), 0
+    for k in range(len(symbols) - 1, -1, -1):
+        state, noted[k] = back[state][symbols[k]]
+    out, state = [], 0
+    for k, symbol in enumerate(noted):
+        state, wrote = forth[state][symbol]
+        if wrote >= _CLASS:
+            out.append((k, wrote - _CLASS))
+    return out
+
+
 def _hash(words: list[str]) -> np.ndarray:
     _, run = next(pieces(words))
     return split_words(run, plain=True).hashes
@@ -113,78 +152,108 @@ _END_BYTE = np.zeros(256, bool)
 _END_BYTE[[ord(c) for c in ".!?;\n"]] = True
 
 
+#: Bytes of the stems that are learned beside whole words, longest first.
+STEMS = (8, 7, 6, 5, 4)
+
+
+def _stems(words) -> list[np.ndarray]:
+    """For each of STEMS the hashes of each word's first bytes; 0 for words that aren't longer."""
+    key, out = np.zeros(len(words.starts), np.uint64), {}
+    size = words.ends - words.starts
+    for j in range(max(STEMS)):
+        key = (key << np.uint64(8)) | LOWER[words.buffer[np.minimum(words.starts + j, len(words.buffer) - 1)]]
+        if j + 1 in STEMS:
+            out[j + 1] = np.where(size > j + 1, mix64(key + np.uint64(j)) | np.uint64(1), np.uint64(0))
+    return [out[k] for k in STEMS]
+
+
 class Lexicon:
-    """Word hashes with their symbol and weight, and the composed grammar."""
+    """Hashes of words and stems with their symbol and weight, and the composed cascades."""
 
     def __init__(self, insults: np.ndarray, weights: np.ndarray):
         fixed = {s: _hash(v.split()) for s, v in GRAMMAR.items() if s != INSULT}
-        h = np.concatenate([insults, *fixed.values()])
-        symbol = np.concatenate([np.full(len(insults), INSULT), *(np.full(len(v), s) for s, v in fixed.items())])
-        weight = np.concatenate([weights, *(np.full(len(v), 3.0 if s == THREAT else 0.0) for s, v in fixed.items())])
+        # Words of the grammar come first: a function word never turns into an insult.
+        h = np.concatenate([*fixed.values(), insults])
+        symbol = np.concatenate([*(np.full(len(v), s) for s, v in fixed.items()), np.full(len(insults), INSULT)])
+        weight = np.concatenate([*(np.full(len(v), 3.0 if s == THREAT else 0.0) for s, v in fixed.items()), weights])
         self.hashes, first = np.unique(h, return_index=True)
         self.symbols, self.weights = symbol[first], weight[first]
-        self.filter = np.zeros(1 << 16, bool)
-        strong = (self.symbols == INSULT) | (self.symbols == THREAT)
-        self.strong = self.hashes[strong]
-        self.filter[self.strong >> np.uint64(48)] = True
-        self.table = table_of(grammar())
-
-    def clauses(self, words, a: int, b: int, hits: np.ndarray):
-        """Classes and weights of the patterns matched in words a..b of a run, from the clauses that hold one of ``hits``."""
-        h = words.hashes[a:b]
+        self.filter = np.zeros(1 << 20, bool)
+        self.filter[self.hashes >> np.uint64(44)] = True
+        self.back, self.forth = table_of(lookahead()), table_of(grammar())
+
+    def read(self, words) -> tuple[np.ndarray, np.ndarray]:
+        """Symbol and weight of each word: of the whole word, or of its longest stem that is an insult."""
+        symbols, weights = np.zeros(len(words.hashes), np.int64), np.zeros(len(words.hashes))
+        for h in (words.hashes, *_stems(words)):
+            maybe = np.flatnonzero(self.filter[h >> np.uint64(44)] & (symbols == OTHER))
+            if len(maybe) and len(self.hashes):
+                at = np.minimum(np.searchsorted(self.hashes, h[maybe]), len(self.hashes) - 1)
+                hit = self.hashes[at] == h[maybe]
+                symbols[maybe[hit]], weights[maybe[hit]] = self.symbols[at[hit]], self.weights[at[hit]]
+        return symbols, weights
+
+    def patterns(self, words, symbols, weights, a: int, b: int):
+        """Per class the weights of what is matched in words a..b, and the most that one clause holds."""
+        known = np.flatnonzero(symbols[a:b])
         ends = np.cumsum(_END_BYTE[words.buffer[words.starts[a] : words.ends[b - 1]]])[words.starts[a:b] - words.starts[a]]
-        at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        known = self.hashes[at] == h
-        symbols = np.where(known, self.symbols[at], OTHER)
-        out, clause_best = np.zeros(_CLASSES), 0.0
-        n = 0
-        for clause in np.unique(ends[hits - a]).tolist():
-            lo, hi = np.searchsorted(ends, clause), np.searchsorted(ends, clause, side="right")
-            state, total = 0, 0.0
-            for k in range(lo, hi):
-                state, got = self.table[state][symbols[k]]
-                if got >= 0:
-                    w = self.weights[at[k]]
-                    out[got] += w
-                    n += 1
-                    total += w * (got in (PLAIN, AIMED, MENACE))
-            clause_best = max(clause_best, total)
-        return out, clause_best, n
+        # Only words near a known one matter; a gap as long as any reach says as much as all its words.
+        run, place, clause, last = [], [], int(ends[known[0]]), int(known[0])
+        for k in known.tolist():
+            if ends[k] != clause:
+                run.append(END)
+                place.append(-1)
+                clause = int(ends[k])
+            else:
+                gap = min(k - last - 1, 9)
+                run += [OTHER] * gap
+                place += [-1] * gap
+            run.append(int(symbols[a + k]))
+            place.append(k)
+            last = k
+        out, in_clause, best = np.zeros(_CLASSES), {}, 0.0
+        for at, got in matched(run, self.back, self.forth):
+            w = float(weights[a + place[at]])
+            out[got] += w
+            if got in _PATTERNS:
+                c = int(ends[place[at]])
+                in_clause[c] = in_clause.get(c, 0.0) + w
+                best = max(best, in_clause[c])
+        return out, best
 
 
 def _count_words(batches):
-    """Labelled rows -> (word, toxic rows, other rows), summed per batch."""
+    """Labelled rows -> (word or stem, toxic rows, other rows), summed per batch."""
     for batch in batches:
         label = np.asarray(batch.column(1)).astype(bool)
         seen: list[np.ndarray] = []
         owner: list[np.ndarray] = []
         for begin, run in pieces(t.lower() if t else "" for t in batch.column(0).to_pylist()):
             words = split_words(run, plain=True)
-            mark = np.unique(np.stack([words.hashes, np.repeat(np.arange(begin, begin + len(run)), np.diff(words.first)).astype(np.uint64)], 1), axis=0)
-            seen.append(mark[:, 0])
-            owner.append(label[mark[:, 1].astype(int)])
+            row = np.repeat(np.arange(begin, begin + len(run)), np.diff(words.first)).astype(np.uint64)
+            for h in (words.hashes, *_stems(words)):
+                mark = np.unique(np.stack([h, row], 1)[h != 0], axis=0)
+                seen.append(mark[:, 0])
+                owner.append(label[mark[:, 1].astype(int)])
         if seen:
             v, at = np.unique(np.concatenate(seen), return_inverse=True)
             toxic = np.bincount(at, np.concatenate(owner), len(v)).astype(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(v)).astype(np.int64) - toxic)], ["word", "toxic", "other"])
 
 
-_FEATURES = ["f_plain", "f_aimed", "f_negated", "f_reported", "f_menace", "f_idle", "f_clause", "f_count"]
+_FEATURES = ["f_loose", "f_piled", "f_aimed", "f_negated", "f_reported", "f_mentioned", "f_menace", "f_idle", "f_clause"]
 
 
 def _features(texts, lexicon: Lexicon) -> np.ndarray:
     out = np.zeros((len(texts), len(_FEATURES)))
     for begin, run in pieces(t.lower() if t else "" for t in texts):
         words = split_words(run, plain=True)
-        maybe = np.flatnonzero(lexicon.filter[words.hashes >> np.uint64(48)])
-        if len(maybe) and len(lexicon.strong):
-            at = np.minimum(np.searchsorted(lexicon.strong, words.hashes[maybe]), len(lexicon.strong) - 1)
-            maybe = maybe[lexicon.strong[at] == words.hashes[maybe]]
-        owner = np.searchsorted(words.first, maybe, side="right") - 1
+        symbols, weights = lexicon.read(words)
+        owner = np.searchsorted(words.first, np.flatnonzero((symbols == INSULT) | (symbols == THREAT)), side="right") - 1
         for k in np.unique(owner).tolist():
-            sums, best, n = lexicon.clauses(words, words.first[k], words.first[k + 1], maybe[owner == k])
+            sums, best = lexicon.patterns(words, symbols, weights, words.first[k], words.first[k + 1])
             # Amounts count in a damped way: a long text with many matches isn't endlessly more toxic.
-            out[begin + k] = [*np.log1p(sums), np.log1p(best), np.log1p(n)]
+            out[begin + k] = [*np.log1p(sums), np.log1p(best)]
     return out
 
 
@@ -200,7 +269,19 @@ def _rows(shared, extra):
 
 
 #: Weights that the labelled rows move: of the features above, then the constant.
-_PRIOR = np.array([1.0, 1.6, 0.1, 0.2, 1.6, 0.1, 0.6, 0.3, -3.0])
+_PRIOR = np.array([0.3, 1.5, 2.6, 0.1, 0.2, 0.1, 2.6, 0.1, 0.6, -3.0])
+
+
+def bounded(weights: np.ndarray) -> np.ndarray:
+    """Weights within what the grammar means: no match makes a text look cleaner, one aimed insult or menace of weight 3 is enough, and without such a pattern or a pile nothing is."""
+    out = np.maximum(weights, 0)
+    out[-1] = min(weights[-1], -1.0)
+    for k in (AIMED, MENACE):
+        out[k] = max(out[k], (0.3 - out[-1]) / np.log(4))
+    rest = [LOOSE, NEGATED, REPORTED, MENTIONED, IDLE]
+    # Any amount of each, up to a sum of 100, and all of them together stay below one half.
+    out[rest] = np.minimum(out[rest], (-0.3 - out[-1]) / np.log(101) / len(rest))
+    return out
 
 
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
@@ -223,18 +304,17 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED):
     rows = labelled_sample(docs, labels, "toxic", most)
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     seeds = _hash(GRAMMAR[INSULT].split())
+    # What can be learned is bounded with the sample.
     words = rows.select("text", "label").mapInArrow(_count_words, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / F.lit(n_all - n_toxic + 1.0))
-    found = words.where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").limit(MOST_WORDS).toPandas()
+    found = words.where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").toPandas()
     learned = found["word"].to_numpy(np.int64).view(np.uint64)
     fresh = seeds[~np.isin(seeds, learned)]
     lexicon = Lexicon(np.concatenate([learned, fresh]), np.concatenate([np.minimum(found["odds"].to_numpy(float), 8.0), np.full(len(fresh), LEAST_ODDS)]))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     pdf = rows.select("label", "text").mapInArrow(_rows(shared, ["label"]), "label int, " + ", ".join(f"{c} double" for c in _FEATURES)).toPandas()
     weights = fit_logistic(pdf[_FEATURES].to_numpy(float), pdf["label"].to_numpy(float), _PRIOR)
-    # A match may never make a text look cleaner than no match.
-    weights[:-1] = np.maximum(weights[:-1], 0)
-    return shared, weights
+    return shared, bounded(weights)
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
@@ -246,7 +326,18 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) ->
     return x.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), score.alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
+def _clean(shared, at: int, weights: np.ndarray):
+    """Batches without the rows that are rejected; ``at`` is the text's column."""
+
+    def of(batches):
+        for batch in batches:
+            z = _features(batch.column(at).to_pylist(), shared.value) @ weights[:-1] + weights[-1]
+            yield batch.filter(pa.array(z < 0))
+
+    return of
+
+
 def drop_toxic(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
-    """Drops the documents that score_toxicity rejects; all columns stay. Rows without a doc_id stay."""
-    bad = score_toxicity(docs, labels, most).where("predicted = 1").select("doc_id").distinct()
-    return docs.join(bad, "doc_id", "left_anti").select(*docs.columns)
+    """Drops the documents that score_toxicity rejects, each row by its own text, without a shuffle; all columns stay. Rows without a doc_id are judged too."""
+    shared, weights = learn(docs, labels, most)
+    return docs.mapInArrow(_clean(shared, docs.columns.index("text"), weights), docs.schema)
