@@ -2,13 +2,15 @@
 
 Base spans follow exact formats (email, ip, card, phone) and are always reported. High-recall
 generators propose further, overlapping spans: disguised addresses, telephone numbers without a plus
-sign, numbers with odd separators, account and identity numbers. Boosted trees score every candidate
-by its format and its surroundings; per kind, the lowest score at which held-out labelled candidates
-reach PRECISION is the threshold. Of overlapping selected spans the best stays; none may overlap a
-base span.
+sign, numbers with odd separators or a wrong check digit, account and identity numbers. Boosted trees score
+every candidate by its format and its surroundings, which tell how much other personal data stands near; per
+kind, the lowest score at which labelled candidates that weren't learned from reach PRECISION is the threshold.
+Of overlapping selected spans the best stays; none may overlap a base span.
 
-Labels are made: candidates of a bounded sample of documents are labelled by whether a base format
-holds them, and known formats and look-alikes are written into those documents' own contexts.
+Labels are made, on a bounded sample of documents. The personal data that base formats find there is written in
+another dress in its own place (label 1), and known formats (label 1) and look-alikes (label 0) are written into
+the documents' contexts, both with and without words that usually stand near them. Thresholds are set on kinds of
+look-alikes that the trees didn't see as well. What base formats don't know in a real text is never taken as a label.
 
 Whole texts are searched; positions are code points. Null and empty texts have no spans. Rows without a
 doc_id are left out, repeated rows are searched each. Extra columns are ignored.
@@ -34,8 +36,7 @@ MADE = 3000
 PRECISION = 0.98
 KINDS = ("email", "ip", "card", "phone")
 EXTRA_KINDS = ("iban", "national_id")
-_AROUND = 40
-_LONGEST = 80
+_AROUND = 60
 
 _DIGIT = re.compile(r"[0-9]")
 _LOCAL = re.compile(r"[A-Za-z0-9._%+-]")
@@ -45,9 +46,10 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GENERATORS = (
-    ("email", re.compile(r"[A-Za-z0-9._%+-]{1,64}+[\x20]?(?:\[at\]|\(at\)|\{at\})[\x20]?[A-Za-z0-9-]{1,63}+(?:[\x20]?(?:\.|\[dot\]|\(dot\))[\x20]?[A-Za-z0-9-]{2,63}+)+", re.I | re.A)),
+    ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:\[at\]|\(at\)|\{at\})[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\[dot\]|\(dot\))[\x20]?[A-Za-z0-9-]{2,}+)+", re.I | re.A)),
     ("phone", re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])")),
+    ("card", re.compile(r"(?<![0-9A-Za-z.+_-])[0-9]{13,19}+(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
     ("iban", re.compile(r"(?<![0-9A-Za-z])[A-Z]{2}[0-9]{2}(?:[\x20]?[0-9A-Z]{4}){3,7}(?:[\x20]?[0-9A-Z]{1,3})?(?![0-9A-Za-z])")),
     ("national_id", re.compile(r"(?<![0-9A-Za-z-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9A-Za-z-])")),
@@ -62,6 +64,10 @@ _CUES = {
     "national_id": "ssn social security passport id",
 }
 _CUE_WORDS = {k: frozenset(v.split()) for k, v in _CUES.items()}
+#: Words near numbers that aren't personal data.
+_OTHER_CUES = frozenset("order invoice part item serial version build ticket sku isbn ref lot model batch page".split())
+#: Usual last parts of addresses.
+_LAST_PARTS = frozenset("com org net edu gov info io de fr es it uk eu".split())
 _WORD = re.compile(r"[^\W\d_]+")
 
 
@@ -109,17 +115,36 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose; spans may overlap."""
     if not _DIGIT.search(text) and "at" + "]" not in text and "at)" not in text and "at}" not in text:
         return []
-    return [(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text) if m.end() - m.start() <= _LONGEST]
+    return [(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
 
 
 _ALL = KINDS + EXTRA_KINDS
 
 
-def describe(text: str, kind: str, a: int, b: int) -> list[float]:
+def _is_date(groups: list[str]) -> bool:
+    """Whether number groups read as a day, in any usual order."""
+    if len(groups) != 3:
+        return False
+    n = [int(g[:9]) for g in groups]
+    for y, m, d in ((0, 1, 2), (2, 1, 0), (2, 0, 1)):
+        if len(groups[y]) in (2, 4) and len(groups[m]) <= 2 and len(groups[d]) <= 2 and 1 <= n[m] <= 12 and 1 <= n[d] <= 31 and (len(groups[y]) == 2 or 1800 <= n[y] <= 2200):
+            return True
+    return False
+
+
+def _near(base: list[tuple[str, int, int]], a: int, b: int) -> int:
+    """Other personal data within _AROUND characters."""
+    return sum(x < b + _AROUND and a - _AROUND < y and not (x < b and a < y) for _, x, y in base)
+
+
+def describe(text: str, kind: str, a: int, b: int, near_base: int = 0) -> list[float]:
     """Format and context features of one candidate."""
     s, before, after = text[a:b], text[max(0, a - _AROUND) : a], text[b : b + _AROUND]
     digits = re.sub(r"[^0-9]", "", s)
-    groups = [len(g) for g in re.findall(r"[0-9]+", s)] or [0]
+    numbers = re.findall(r"[0-9]+", s)
+    groups = [len(g) for g in numbers] or [0]
+    # Identity numbers never have these parts.
+    void = kind == "national_id" and (numbers[0] in ("000", "666") or numbers[0][0] == "9" or numbers[1] == "00" or numbers[2] == "0000")
     seps = {c for c in s if not c.isalnum()}
     words = [w.lower() for w in _WORD.findall(before)][-5:]
     near = lambda x: x[-1:] if x is before else x[:1]
@@ -132,54 +157,75 @@ def describe(text: str, kind: str, a: int, b: int) -> list[float]:
         float(digits[:2] in ("19", "20")), float(digits[:1] == "0"),
         float(any(w in _CUE_WORDS[kind] for w in words)), float(any(w in c for w in words for c in _CUE_WORDS.values())),
         float(before.rstrip()[-1:] in (":", "=")), float(near(before).isalnum()), float(near(after).isalnum()),
+        float(_is_date(numbers)), float(void), float(kind == "email" and re.split(r"[^a-z0-9]+", s.lower())[-1] in _LAST_PARTS), float(groups == [3, 2, 4]),
+        float(near_base), float(any(w in _OTHER_CUES for w in words)),
         float(sum(c.isdigit() for c in before)), float(sum(c.isdigit() for c in after)), float("$" in before[-3:] or "€" in before[-3:]), float("%" in after[:2]),
     ]
 
 
-def _made(contexts: list[str], n: int, seed: int = 11):
-    """Known formats (label 1) and look-alikes (label 0), written into contexts: (text, kind, start, end, label)."""
+def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
+    """Known formats (label 1) and look-alikes (label 0), written into contexts: (text, kind, start, end, label, near). strange: only dresses that are kept from the trees."""
     r = random.Random(seed)
     d = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     word = lambda: "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(r.randint(3, 9)))
+    parts = lambda s, sep: sep.join(s[k : k + 4] for k in range(0, len(s), 4))
+    day = lambda sep: r.choice([f"{r.randint(1950, 2039)}{sep}{r.randint(1, 12):02}{sep}{r.randint(1, 28):02}", f"{r.randint(1, 28):02}{sep}{r.randint(1, 12):02}{sep}{r.randint(1950, 2039)}"])
 
-    def card():
+    def card(wrong=False):
         s = d(15)
-        return s + next(c for c in "0123456789" if luhn(s + c))
-
-    def parts(s, sep):
-        return sep.join(s[k : k + 4] for k in range(0, len(s), 4))
+        return s + r.choice([c for c in "0123456789" if luhn(s + c) != wrong])
 
+    identity = lambda: f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"
+    # Each kind: dresses that are learned from, and one that isn't.
     good = {
-        "email": lambda: f"{word()}.{word()}{r.choice([' [at] ', '(at)', '[at]', ' (at) '])}{word()}{r.choice(['.', ' [dot] ', '(dot)'])}com",
-        "phone": lambda: r.choice([f"({d(3)}) {d(3)}-{d(4)}", f"{d(3)}-{d(3)}-{d(4)}", f"0{d(3)} {d(3)} {d(4)}", f"{d(3)}.{d(3)}.{d(4)}"]),
-        "card": lambda: parts(card(), r.choice([".", "_", "/"])),
-        "ip": lambda: ":".join("%x" % r.randrange(65536) for _ in range(8)),
-        "iban": lambda: r.choice(["DE", "FR", "ES", "GB"]) + parts(d(2) + d(18), r.choice(["", " "])),
-        "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "email": ([lambda: f"{word()}.{word()}{r.choice([' [at] ', '(at)', '[at]'])}{word()}{r.choice(['.', ' [dot] '])}{r.choice(['com', 'org', 'net', 'de'])}"], [lambda: f"{word()}{r.randint(1, 99)} (at) {word()}(dot){r.choice(['io', 'fr'])}"]),
+        "phone": ([lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}"], [lambda: f"{d(3)}.{d(3)}.{d(4)}"]),
+        "card": ([lambda: parts(card(), r.choice([".", "_"])), card, lambda: card(True)], [lambda: parts(card(), "/")]),
+        "ip": ([lambda: ":".join("%x" % r.randrange(65536) for _ in range(8))], [lambda: ":".join("%04x" % r.randrange(65536) for _ in range(8))]),
+        "iban": ([lambda: r.choice(["DE", "FR", "ES"]) + parts(d(2) + d(18), " ")], [lambda: r.choice(["GB", "IT"]) + d(20)]),
+        "national_id": ([identity], [identity]),
     }
     bad = {
-        "email": lambda: f"{word()} (at) {word()}.{word()[:2]}",
-        "phone": lambda: r.choice([f"20{d(2)}-0{r.randint(1, 9)}-{r.randint(10, 28)}", f"{r.randint(10, 28)}.{r.randint(10, 12)}.20{d(2)}", f"{d(2)} {d(3)} {d(3)}", f"{d(3)}/{d(3)}/{d(2)}"]),
-        "card": lambda: parts(d(16), r.choice([".", "_", "/"])),
-        "ip": lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{d(2)}",
-        "iban": lambda: r.choice(["AB", "XK", "PN", "QT"]) + parts(d(2) + d(14), ""),
-        "national_id": lambda: f"{d(3)}-{d(2)}-{d(4)}",
+        "email": ([lambda: f"{word()} (at) {word()}.{word()[:2]}"], [lambda: f"{word()} [at] {word()}.{word()}"]),
+        "phone": ([identity, lambda: day(r.choice("-./ ")), lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{r.randint(1, 9)}{d(1)}.{d(2)}.{d(3)}"], [lambda: day("-"), lambda: f"{d(3)}/{d(3)}/{d(2)}"]),
+        "card": ([lambda: parts(card(True), r.choice([".", "_"])), lambda: d(r.randint(13, 19))], [lambda: parts(d(20), "/"), lambda: "1" + "0" * 12 + d(1)]),
+        "ip": ([lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{d(2)}"], [lambda: f"{d(1)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}"]),
+        "iban": ([lambda: r.choice(["AB", "XK", "PN"]) + parts(d(2) + d(14), "")], [lambda: "QT" + parts(d(2) + d(14), "")]),
+        "national_id": ([lambda: f"{r.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", lambda: f"{d(3)}-00-{d(4)}"], [lambda: f"{d(3)}-{d(2)}-0000"]),
     }
+    other = lambda: r.choice([f"{word()}@{word()}.com", f"{r.randint(1, 223)}.{d(2)}.{d(2)}.{d(2)}", f"+1 ({d(3)}) 555-{d(4)}"])
     for k in range(n):
         kind = _ALL[k % len(_ALL)]
         label = int(r.random() < 0.5)
-        s = (good if label else bad)[kind]()
+        which = r.randrange(len((good if label else bad)[kind][strange]))
+        s = (good if label else bad)[kind][strange][which]()
+        own = r.choice(sorted(_CUE_WORDS[kind])) + r.choice([": ", " ", " = "])
+        away = r.choice(sorted(_OTHER_CUES)) + r.choice([": ", " ", " no "])
+        # A word that fits stands near both, more often near what is meant; a wrong check digit takes more than that.
+        bare = kind == "card" and s.isdigit() and not luhn(s)
+        x = r.random()
+        cue = (own if x < 0.5 else "") if label else (own if x < 0.15 and not bare else away if x < 0.45 else "")
+        near = int(label and (bare or r.random() < 0.5)) * r.randint(1, 3)
         context = r.choice(contexts) if contexts else ""
         cut = r.randint(0, len(context))
-        cue = r.choice(sorted(_CUE_WORDS[kind])) + r.choice([": ", " ", " = "]) if r.random() < (0.6 if label else 0.0) else ""
-        if kind == "national_id" and label and not cue:
-            cue = "ssn "
-        before = context[max(0, cut - _AROUND) : cut] + " " + cue
-        yield before + s + " " + context[cut : cut + _AROUND], kind, len(before), len(before) + len(s), label
+        before = context[max(0, cut - _AROUND) : cut] + " " + (other() + " " if near and r.random() < 0.5 else "") + cue
+        yield before + s + " " + context[cut : cut + _AROUND], kind, len(before), len(before) + len(s), label, near
+
+
+def _dressed(kind: str, s: str) -> tuple[str, str] | None:
+    """Personal data of a base format in a dress that only the generators know: (kind, text)."""
+    if kind == "email":
+        return kind, s.replace("@", " [at] ")
+    if kind == "phone":
+        return kind, s.lstrip("+").partition(" ")[2] or s[1:]
+    if kind == "card":
+        digits = re.sub(r"[^0-9]", "", s)
+        return kind, digits[:-1] + str((int(digits[-1]) + 1) % 10)
+    return None
 
 
 def _sampled(batches):
-    """Documents -> candidates with their surroundings and whether a base format holds them, and a context of each document."""
+    """Documents -> what base formats find, dressed otherwise in its own place, and a context of each document."""
     for batch in batches:
         out = []
         for text in batch.column(0).to_pylist():
@@ -188,22 +234,29 @@ def _sampled(batches):
             middle = len(text) // 2
             out.append((text[max(0, middle - _AROUND) : middle + _AROUND], "", 0, 0, 0))
             base = base_spans(text)
-            for kind, a, b in candidates(text)[:SAMPLE_EACH]:
-                lo = max(0, a - _AROUND)
-                out.append((text[lo : b + _AROUND], kind, a - lo, b - lo, int(any(x < b and a < y for _, x, y in base))))
+            for kind, a, b in base[:SAMPLE_EACH]:
+                dressed = _dressed(kind, text[a:b])
+                before = text[max(0, a - _AROUND) : a]
+                for other, x, y in candidates(before + dressed[1] + text[b : b + _AROUND]) if dressed else []:
+                    if other == kind and x < len(before) + len(dressed[1]) and len(before) < y:
+                        out.append((before + dressed[1] + text[b : b + _AROUND], kind, x, y, _near(base, a, b)))
         columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["text", "kind", "a", "b", "label"])
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["text", "kind", "a", "b", "near"])
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE, seed: int = 3):
     """Boosted trees and the threshold of each kind."""
-    rows = sorted(map(tuple, sample_below(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(_sampled, "text string, kind string, a long, b long, label long").collect()))
-    found = [r for r in rows if r[1]]
-    found += list(_made([r[0] for r in rows if not r[1]], made))
-    x = np.array([describe(*r[:4]) for r in found])
+    rows = sorted(map(tuple, sample_below(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(_sampled, "text string, kind string, a long, b long, near long").collect()))
+    contexts = [r[0] for r in rows if not r[1]]
+    found = [(*r[:4], 1, r[4]) for r in rows if r[1]]
+    seen = len(found) + made
+    found += [*_made(contexts, made), *_made(contexts, made // 2, seed=12, strange=True)]
+    x = np.array([describe(*r[:4], r[5]) for r in found])
     y = np.array([r[4] for r in found], float)
     kinds = np.array([r[1] for r in found])
+    # Strange dresses are all kept from the trees.
     held = np.random.default_rng(seed).random(len(y)) < 0.3
+    held[seen:] = True
     model = BoostedTrees().fit(x[~held], y[~held])
     score = model.score(x)
     return model, {k: max(0.5, threshold_for(score[held & (kinds == k)], y[held & (kinds == k)], precision=PRECISION)) for k in _ALL}
@@ -216,7 +269,7 @@ def find(text: str, model, thresholds) -> tuple[list[tuple[str, int, int]], list
     offered = [c for c in candidates(text) if not any(a < c[2] and c[1] < b for a, b in taken)] if len(taken) < 50 else _clear(candidates(text), taken)
     more = []
     if offered:
-        scores = model.score(np.array([describe(text, *c) for c in offered]))
+        scores = model.score(np.array([describe(text, *c, _near(base, *c[1:])) for c in offered]))
         chosen = sorted((-s, c) for s, c in zip(scores, offered) if s >= thresholds[c[0]])
         cover: dict[int, None] = {}
         for _, (kind, a, b) in chosen:
