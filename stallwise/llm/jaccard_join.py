@@ -403,26 +403,20 @@ def _marked_components(docs: DataFrame, width: int = 5, num: int = 80, den: int
 
 
 def keep_one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """Of each component one row stays, one with the least doc_id; all columns stay.
+    """Of each component the rows with the least doc_id stay, each text of theirs once; all columns stay.
 
     Rows without a doc_id stay, and so do rows whose text has no words, as they link with nothing. Rows that
-    share a doc_id are told apart by their texts: only those linked go. Of rows with the same doc_id and text one stays.
+    share a doc_id are told apart by their texts; a component whose least doc_id has several texts keeps them all.
     """
     groups = cut(_marked_components(docs, **options).where("n_shingles > 0"))
-    own = groups.where("doc_id = component_id").groupBy("doc_id").agg(F.min("mark").alias("least"), F.count("*").alias("rows"))
-    # A row goes if a smaller doc_id stands for it, or another text of its own doc_id.
-    gone = groups.where("doc_id <> component_id").select("doc_id", "mark")
-    twice = cut(own.where("rows > 1").select("doc_id", "least"))
-    some = twice.limit(1).count() > 0
-    if some:
-        gone = gone.union(groups.where("doc_id = component_id").join(twice, "doc_id").where("mark <> least").select("doc_id", "mark"))
-    gone = cut(gone.distinct().toDF("_gone_id", "_gone_mark"))
+    gone = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).distinct())
+    twice = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark")).count().where("count > 1").drop("count"))
     # Ids go to the tasks only up to a bound; beyond it both sides are shuffled.
-    side = F.broadcast(gone) if gone.count() <= MOST_BROADCAST_IDS else gone
-    kept = docs.join(side, (F.col("doc_id") == F.col("_gone_id")) & (_mark(docs) == F.col("_gone_mark")), "left_anti")
-    if some:
-        again = F.broadcast(twice.toDF("_id", "_mark")) if twice.count() <= MOST_BROADCAST_IDS else twice.toDF("_id", "_mark")
-        same = (F.col("doc_id") == F.col("_id")) & (_mark(docs) == F.col("_mark"))
-        one = kept.join(again, same, "left_semi").groupBy("doc_id").agg(F.any_value(F.struct(*docs.columns)).alias("_row")).select("_row.*")
-        kept = kept.join(again, same, "left_anti").select(*docs.columns).union(one)
+    bounded = lambda rows: F.broadcast(rows) if rows.count() <= MOST_BROADCAST_IDS else rows
+    same = (F.col("doc_id") == F.col("_id")) & (_mark(docs) == F.col("_mark"))
+    kept = docs.join(bounded(gone), same, "left_anti")
+    if twice.limit(1).count():
+        again = bounded(twice)
+        one = kept.join(again, same, "left_semi").groupBy("doc_id", _mark(docs)).agg(F.any_value(F.struct(*docs.columns)).alias("_row")).select("_row.*")
+        kept = kept.join(again, same, "left_anti").unionByName(one)
     return kept.select(*docs.columns)

@@ -2,7 +2,7 @@
 
 A page is a run of blocks and tags. Each word of a block scores what its block is worth, from 1 for content to
 JUNK for menus, headers, footers, sidebars, notices, adverts, forms or comments, and tags score negative; one
-linear scan finds the best contiguous region. Blocks inside it that are worth nothing are left out of its text,
+linear scan finds the best contiguous region. Inside an article element they cost less. Blocks inside it that are worth nothing are left out of its text,
 as is whatever is never shown.
 
 What a block is worth follows from labelled pages: a logistic model sums weights of the block's features, which
@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame
 LABELLED_PAGES = 600
 #: Score of a word that is no content at all.
 JUNK = -0.5
+#: What is left of the cost of tags and junk inside an article.
+INSIDE = 0.05
 #: An element with more than this share of a page's words is a wrapper.
 WRAPPER = 0.6
 
@@ -196,11 +198,13 @@ def parse(page: str) -> tuple[list, Element]:
         else:
             stack.close(value)
         if not (top.hidden or stack.items[-1].hidden):
-            run.append(value)
+            run.append((value, any(stack.at.get(t) for t in ("article", "main"))))
     end()
     return run, root
 
 
+#: Elements that say nothing about what they hold.
+_PLAIN = frozenset("p div section b i em strong a span br h1 h2 h3 h4 h5 h6 blockquote ul ol li table tbody tr td th figure figcaption pre code sub sup u small q cite abbr mark font".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6 legend".split())
 
 
@@ -236,46 +240,49 @@ def described(run: list, root: Element) -> list[list[str]]:
     _sum_up(run, root)
     blocks = [x for x in run if isinstance(x, Block)]
     total = max(1, root.words)
-    own: dict[int, tuple[frozenset, bool]] = {id(root): (frozenset(), False)}
+    own: dict[int, tuple[frozenset, bool, bool]] = {id(root): (frozenset(), False, False)}
 
-    def path(e: Element) -> tuple[frozenset, bool]:
-        """Features of an element's path and whether it leads through an article."""
+    def path(e: Element) -> tuple[frozenset, bool, bool]:
+        """Features of an element's path, whether it leads through an article, and whether nothing named or unusual lies between."""
         up = []
         while id(e) not in own:
             up.append(e)
             e = e.parent
         for e in reversed(up):
-            names, inside = own[id(e.parent)]
+            names, inside, plain = own[id(e.parent)]
             main = e.tag in ("article", "main") or "c:main" in e.marks or "c:article" in e.marks
             more = {f"<{e.tag}>"} if e.tag not in ("html", "body", "div", "p", "span", "b", "i", "a", "em", "strong") else set()
             if e.words <= WRAPPER * total or main:
                 more.update(m for m in e.marks if m != "hidden")
-            own[id(e)] = (names | more, inside or main)
+            usual = not e.marks and e.tag in _PLAIN
+            own[id(e)] = (names | more, inside or main, main and not inside or plain and usual)
         return own[id(up[0])] if up else own[id(e)]
 
     paths = [path(b.element) for b in blocks]
-    articles = sum(b.words for b, (_, inside) in zip(blocks, paths) if inside)
+    articles = sum(b.words for b, (_, inside, _) in zip(blocks, paths) if inside)
     out = []
-    for b, (names, inside) in zip(blocks, paths):
+    for b, (names, inside, bare) in zip(blocks, paths):
         holder = b.element
         while holder.parent is not None and holder.tag not in _BLOCK:
             holder = holder.parent
         parent = holder.parent or holder
         share = 0 if articles < 0.2 * total else 1 + inside
         words = b.text().lower().split()
-        plain = [w for w in (w.strip(".,:;!?()[]") for w in words) if len(w) > 3 and w.isalpha()]
+        spoken = [w for w in (w.strip(".,:;!?()[]") for w in words) if len(w) > 3 and w.isalpha()]
         out.append(
             [
                 *names,
                 f"article:{share}",
+                f"plain:{bare}",
                 f"tag:{holder.tag}",
                 f"parent:{parent.tag}",
                 f"links:{_bucket(10 * b.links // b.words, 1, 3, 6, 9)}",
                 f"around:{_bucket(10 * parent.links // max(1, parent.words), 1, 3, 6, 9)}",
                 f"long:{_bucket(b.words, 3, 7, 15, 40)}",
+                f"page:{_bucket(total, 12, 60, 250)}",
                 f"stop:{words[-1][-1] in '.!?…'}",
-                *(f"t:{w}" for w in plain[:12] if len(words) <= 12),
-                *(f"h:{w.strip('.,:;!?()[]')}" for w in b.heading.split()[:6]),
+                *(f"t:{w}" for w in spoken[:12] if len(words) <= 12),
+                *(f"h:{w}" for w in (w.strip(".,:;!?()[]") for w in b.heading.split()[:6]) if len(w) > 3),
             ]
         )
     return out
@@ -313,16 +320,17 @@ def extract(page: str | None, weights: Weights) -> str:
     if not page:
         return ""
     run, root = parse(page)
-    worth = iter([weights.worth(f) for f in described(run, root)])
+    worth = iter([(weights.worth(f), "article:2" in f) for f in described(run, root)])
     scores, keep = [], []
     for x in run:
         if isinstance(x, Block):
-            p = next(worth)
+            p, inside = next(worth)
             keep.append(p >= 0.5)
-            scores.append(x.words * (JUNK + (1 - JUNK) * p) if p >= 0.5 else x.words * JUNK * (1 - 2 * p))
+            # What is left out inside an article is no reason to end it there.
+            scores.append(x.words * (JUNK + (1 - JUNK) * p) if p >= 0.5 else x.words * JUNK * (1 - 2 * p) * (INSIDE if inside else 1))
         else:
             keep.append(False)
-            scores.append(weights.cost(x))
+            scores.append(weights.cost(x[0]) * (INSIDE if x[1] else 1))
     a, b = best_span(scores)
     return " ".join(x.text() for x, ok in zip(run[a:b], keep[a:b]) if ok)
 
@@ -364,6 +372,9 @@ def labelled_page(r: random.Random) -> str:
         each = lambda: f"<{(u := r.choice(['div', 'li', 'article']))} {attr('comment reply response post-comment', 0.1)}><p>{r.choice(['', word() + ' says: ', 'Posted by ' + word() + ' '])}{prose(5, 50)}</p>{r.choice(['', '<a href=#>Reply</a>'])}</{u}>"
         return f"<{tag} {attr('comments comment discussion disqus responses replies thread feedback comment-list')}>{heads('Comments|2 comments|Leave a reply|Responses|Discussion')}" + "".join(each() for _ in range(r.randint(1, 6))) + f"</{tag}>"
 
+    if r.random() < 0.06:
+        # A page of next to nothing.
+        return r.choice(["", "<html><body>"]) + "".join(f"<{(u := r.choice(['p', 'p', 'div']))}>{prose(1, 8, _SIGN)}</{u}>" for _ in range(r.randint(1, 3)))
     part = r.choice(["p", "p", "p", "div class=para", "div"])
     title = f"<h1 {r.choice(['', attr('title headline entry-title', 0.3)])}>{prose(2, 12, _SIGN)}</h1>"
     body = r.choice([title, title, f"<header>{title}</header>", f"<div {attr('article-header entry-header post-header', 0.2)}>{title}</div>"])
@@ -398,7 +409,7 @@ def labelled_page(r: random.Random) -> str:
     return f"<!DOCTYPE html><html><head><title>{prose(2, 10)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{r.choice(['', f' class={chr(34)}{about()}{chr(34)}'])}>{whole}</body></html>"
 
 
-def learn(pages: int = LABELLED_PAGES, seed: int = 23, rounds: int = 400, prior: float = 2e-4) -> Weights:
+def learn(pages: int = LABELLED_PAGES, seed: int = 23, rounds: int = 400, prior: float = 5e-5) -> Weights:
     """Weights from labelled pages: the blocks' features by a logistic model with a Gaussian prior, tags by their log-odds of standing inside content or elsewhere."""
     r = random.Random(seed)
     names: dict[str, int] = {}
@@ -420,7 +431,7 @@ def learn(pages: int = LABELLED_PAGES, seed: int = 23, rounds: int = 400, prior:
         first, last = next((k for k, own in zip(at, signed) if own), 0), max((k for k, own in zip(at, signed) if own), default=0)
         for k, x in enumerate(run):
             if not isinstance(x, Block):
-                (inside if first - 1 <= k <= last + 1 else outside)[x] += 1
+                (inside if first - 1 <= k <= last + 1 else outside)[x[0]] += 1
     flat, size, y, weight = np.array(flat), np.array(size), np.array(label, float), np.array(weight)
     # What was seen on one or two blocks only is left unlearned.
     rare = np.bincount(flat, minlength=len(names)) < 3

@@ -12,7 +12,7 @@ expected to hold. All opening policies (each permitted length as the least that
 and the cheapest whole packing is kept, so the lengths are optimised jointly. Finally every bin shrinks
 to the shortest permitted length that holds its contents.
 
-Rows without a doc_id are left out. Null or empty texts have only the end mark. Repeated rows are packed
+Rows without a doc_id are packed too, with a null in its place. Null or empty texts have only the end mark. Repeated rows are packed
 each. Extra columns are ignored.
 """
 
@@ -122,7 +122,7 @@ def pack(docs: DataFrame, lengths: tuple[int, ...] = LENGTHS, tokens: Column | N
     lengths = tuple(sorted(lengths))
     n = F.coalesce(F.octet_length("text"), F.lit(0)) + 1 if tokens is None else tokens
     most = lengths[-1]
-    sized = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
+    sized = docs.select(F.col("doc_id").cast("long").alias("doc_id"), n.cast("long").alias("n")).where("n > 0")
     pieces = cut(sized.select("doc_id", "n", F.posexplode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1, F.lit(most).cast("long"))).alias("piece", "start")).select("doc_id", F.col("piece").cast("long").alias("piece"), "start", F.least(F.col("n") - F.col("start"), F.lit(most)).alias("n_tokens")))
     shards = max(1, -(-pieces.count() // shard))
     dealt = pieces.select(F.pmod(F.xxhash64("doc_id", "piece", F.lit("shard")), F.lit(shards)).alias("shard"), "n_tokens", "doc_id", "piece", "start")

@@ -34,11 +34,11 @@ from .common import cut
 from .components import components
 
 #: Neighbours on each side that a vector is compared with in a pass.
-WINDOW = 32
+WINDOW = 256
 #: Chance that two vectors at the threshold itself meet in some pass; it sets the number of passes.
 RECALL = 0.97
 #: Passes that measure crowding; passes of all rows at most; and the window of the rows that need more.
-PROBES, COMMON_PASSES, WIDE_WINDOW = 4, 48, 512
+PROBES, COMMON_PASSES, WIDE_WINDOW = 4, 48, 1024
 #: Rows of a block in which direct links are counted.
 BLOCK = 512
 _BITS = 62
@@ -248,9 +248,10 @@ def _across(threshold: float):
 
 def _passes(rows: DataFrame, threshold: float, window: int, parts: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """rows (id, vector, since, until) -> edges (a, b), and of the first passes (id, bits)."""
-    keyed = rows.select("id", "vector", "since", "until").mapInArrow(_keys(seed), "pass long, key long, id long, vector array<double>")
+    kind = rows.schema["vector"].dataType.simpleString()
+    keyed = rows.select("id", "vector", "since", "until").mapInArrow(_keys(seed), f"pass long, key long, id long, vector {kind}")
     ordered = keyed.repartitionByRange(parts, "pass", "key", "id").sortWithinPartitions("pass", "key", "id").select(F.spark_partition_id().cast("long").alias("part"), "pass", "id", "vector", "key")
-    found = cut(ordered.mapInArrow(_windows(threshold, window), "a long, b long, border long, pass long, side long, id long, vector array<double>"))
+    found = cut(ordered.mapInArrow(_windows(threshold, window), f"a long, b long, border long, pass long, side long, id long, vector {kind}"))
     across = found.where("border IS NOT NULL").select("border", "pass", "side", "id", "vector").groupBy("border", "pass").applyInArrow(_borders(threshold, window), "a long, b long")
     return found.where("a IS NOT NULL").select("a", "b").union(across), found.where("a IS NULL AND border IS NULL").select("id", F.col("pass").alias("bits"))
 
@@ -287,7 +288,9 @@ def _crowded(hot: DataFrame, n: int, threshold: float, window: int, parts: int,
 
 def near_vectors(vectors: DataFrame, threshold: float = 0.9, window: int = WINDOW, passes: int | None = None, seed: int = 7) -> DataFrame:
     """vectors (vec_id, embedding, ...) -> (vec_id, n_links, component_id, kept)."""
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where("vec_id IS NOT NULL")
+    # Single-precision vectors are sent as they are; products are in double precision either way.
+    kind = "array<float>" if vectors.schema["embedding"].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast(kind).alias("vector")).where("vec_id IS NOT NULL")
     sound = F.coalesce(F.forall("vector", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("vector", lambda x: x != 0), F.lit(False))
     rows = rows.withColumn("vector", F.when(sound, F.col("vector")))
     classes = cut(rows.where("vector IS NOT NULL").groupBy("vector").agg(F.min("vec_id").alias("id"), F.count("*").alias("copies")))

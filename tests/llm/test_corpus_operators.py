@@ -8,6 +8,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from stallwise.llm import context_mixing, decontaminate, jaccard_join, main_text, packing, pii, quality, secrets, toxicity, vector_dedup
@@ -83,6 +84,16 @@ def test_jaccard_join_of_nothing_and_what_stays(spark, corpus):
     assert {0, 1, 2, 3, 4} <= ids and 5 not in ids
 
 
+def test_rows_that_share_an_id_are_told_apart(spark):
+    r = random.Random(12)
+    a, b, c = (prose(r, 30) for _ in range(3))
+    rows = [(3, a), (3, a), (3, b), (5, a), (6, c), (7, b), (None, a), (8, ""), (8, ""), (9, None)]
+    df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, mark long")
+    kept = sorted(((x.doc_id or -1), x.text or "") for x in jaccard_join.keep_one_of_each(df).collect())
+    # One row of text a, one of b, one of c; rows without words or id link with nothing.
+    assert kept == sorted([(3, a), (3, b), (6, c), (-1, a), (8, ""), (8, ""), (9, "")])
+
+
 def test_one_pivot_is_shared_out(spark, monkeypatch):
     monkeypatch.setattr(jaccard_join, "PIVOT_SHARE", 3)
     r = random.Random(3)
@@ -163,16 +174,49 @@ def test_benchmark_case_folds_beyond_ascii(spark):
     assert {(x.doc_id, x.similarity) for x in decontaminate.find_benchmark(docs(spark, texts), bench).collect()} == {(0, 1.0), (1, 1.0)}
 
 
-def test_multi_index_misses_nothing_within_its_radius():
+def test_multi_index_finds_just_what_is_within_its_radius():
     r = np.random.default_rng(0)
-    index = decontaminate._Index([0], [" ".join(f"w{k}" for k in range(30))])
-    n = next(iter(index.sizes))
-    items, prints = index.sizes[n]
-    flips = np.repeat(prints, 400, 0)
-    for row in flips:
-        for bit in r.choice(64, decontaminate.RADIUS, replace=False):
+    prints = r.integers(0, 256, (50, 8), np.uint8)
+    index = decontaminate._Blocks(np.arange(50), prints)
+    probes = np.repeat(prints, 20, 0)
+    for row in probes:
+        for bit in r.choice(64, r.integers(0, 26), replace=False):
             row[bit // 8] ^= 1 << (bit % 8)
-    assert {w for w, _ in index.within(flips, n)} == set(range(400))
+    near = np.bitwise_count(probes[:, None] ^ prints[None]).sum(2) <= decontaminate.RADIUS
+    got = list(index.within(probes))
+    assert sorted(got) == sorted(zip(*(x.tolist() for x in np.nonzero(near)))) and near.sum() > 500
+
+
+def test_benchmark_search_equals_brute_force_at_every_similarity(spark):
+    """Items with one to three words changed, cut or put in: what is found is all that a scan of every window finds."""
+    r = random.Random(21)
+    items = [prose(r, n) for n in (10, 14, 25, 40, 60)]
+    texts = []
+    for _ in range(120):
+        w = r.choice(items).split()
+        for _ in range(r.randint(0, 3)):
+            k = r.randrange(len(w))
+            w[k : k + 1] = r.choice([["other"], [], [w[k], "more"]])
+        texts.append(prose(r, r.randint(0, 30)) + " " + " ".join(w) + " " + prose(r, r.randint(0, 30)))
+    texts += [items[2], items[2] + " " + items[2], "word " * 30_000 + items[0], None, ""]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    got = {(x.doc_id, x.item_id): x.similarity for x in decontaminate.find_benchmark(docs(spark, texts), bench).collect()}
+    want = {}
+    count = lambda w: collections.Counter(tuple(w[k : k + 5]) for k in range(len(w) - 4))
+    for d, t in enumerate(texts):
+        w = (t or "").split()
+        for i, item in enumerate(items):
+            own = count(item.split())
+            n = sum(own.values())
+            for k in range(max(1, len(w) - n - 3)) if len(w) < 5000 else [len(w) - n - 4]:
+                here = count(w[k : k + n + 4])
+                common = sum((own & here).values())
+                if here and common >= 0.8 * (n + sum(here.values()) - common):
+                    want[d, i] = max(want.get((d, i), 0), common / (n + sum(here.values()) - common))
+    missed = set(want) - set(got)
+    assert not set(got) - set(want) and len(want) > 40
+    # A fingerprint may differ in more than RADIUS bits only near the threshold.
+    assert len(missed) <= 0.03 * len(want) and all(math.isclose(got[k], want[k]) for k in got)
 
 
 def naive_pii(t):
@@ -253,7 +297,7 @@ def labelled(spark, seed=1, n=160):
     for i in range(n):
         bad = i % 3 == 0
         t = prose(r, 40)
-        texts.append(t + " you are a stupid idiot, moron. " + t if bad else t)
+        texts.append(t + (" you are a stupid idiot, moron. " if bad else " you are not an old friend of a kind. ") + t)
         rows.append((i, 0 if i % 4 == 0 else 1, int(bad)))
     texts = [t if i % 4 else re.sub(" ", "%% ", t.upper()) for i, t in enumerate(texts)]
     return texts, spark.createDataFrame(rows + [(None, 1, 1), (3, None, None)], "doc_id long, quality int, toxic int")
@@ -272,19 +316,23 @@ def test_toxicity_learns_and_leaves_clean_text_alone(spark):
 
 
 def test_grammar_composes():
-    t = toxicity.table_of(toxicity.grammar())
-    run = lambda *s: [c for c in _walk(t, s) if c >= 0]
     T = toxicity
-    assert run(T.INSULT) == [T.PLAIN] and run(T.TARGET, T.OTHER, T.INSULT) == [T.AIMED]
-    assert run(T.TARGET, T.NEGATION, T.INSULT) == [T.NEGATED] and run(T.REPORT, T.TARGET, T.INSULT) == [T.REPORTED]
-    assert run(T.TARGET, T.END, T.THREAT) == [T.IDLE] and run(T.TARGET, T.THREAT) == [T.MENACE]
+    back, forth = T.table_of(T.lookahead()), T.table_of(T.grammar())
+    run = lambda *s: [c for _, c in T.matched(list(s), back, forth)]
+    assert run(T.INSULT) == [T.LOOSE] and run(T.INSULT, T.END, T.INSULT) == [T.LOOSE, T.PILED]
+    assert run(T.TARGET, T.OTHER, T.INSULT) == run(T.INSULT, T.OTHER, T.TARGET) == [T.AIMED]
+    assert run(T.TARGET, T.NEGATION, T.INSULT) == [T.NEGATED]
+    assert run(T.REPORT, T.TARGET, T.INSULT) == run(T.TARGET, T.INSULT, T.REPORT) == [T.REPORTED]
+    assert run(T.MENTION, T.INSULT) == run(T.INSULT, T.OTHER, T.MENTION) == [T.MENTIONED]
+    assert run(T.TARGET, T.END, T.THREAT) == [T.IDLE] and run(T.TARGET, T.THREAT) == run(T.THREAT, T.TARGET) == [T.MENACE]
 
 
-def _walk(table, symbols):
-    state = 0
-    for s in symbols:
-        state, got = table[state][s]
-        yield got
+def test_clauses_decide_and_not_words(spark):
+    texts, labels = labelled(spark)
+    worse = ["idiots like you", "you are a moron", "I will kill you", "you idiot"]
+    better = ["moron", "the word stupid is an insult", "kill the process", "he said you are an idiot", "you are idiots, he wrote", "you are not an idiot", "what a disgusting smell", "", None, "clean words only " * 20_000]
+    got = [x.score for x in sorted(toxicity.score_toxicity(docs(spark, texts + worse + better), labels).collect(), key=lambda x: x.doc_id)][len(texts) :]
+    assert min(got[: len(worse)]) >= 0.5 > max(got[len(worse) :])
 
 
 def test_quality_separates_and_scores_everything(spark):
@@ -305,6 +353,24 @@ def test_chunk_features_do_not_depend_on_neighbours():
     assert np.allclose(together, np.concatenate([quality.features([t], f, b) for t in texts]), atol=1e-4)
 
 
+def test_pooling_equals_brute_force():
+    r = np.random.default_rng(6)
+    q = quality
+    filters, bias = r.standard_normal((q.WIDTH, 256, q.FILTERS)).astype(np.float32), r.standard_normal(q.FILTERS).astype(np.float32)
+    texts = [bytes(r.integers(32, 120, n, dtype=np.uint8)) for n in (0, 1, 255, 256, 512, 513, 1500, 4000)]
+    got = q.features(texts, filters, bias)
+    for t, x in zip(texts, got):
+        halves = max(2, -(-len(t) // q._HALF))
+        data = t.ljust(halves * q._HALF, b"\0")
+        chunks = []
+        for k in range(halves - 1):
+            places = range(k * q._HALF, k * q._HALF + q.CHUNK, q.STEP)
+            # A place whose filter would reach beyond the text's end isn't looked at.
+            outs = [sum(filters[j][data[p + j]] for j in range(q.WIDTH)) for p in places if p + q.WIDTH <= len(data)]
+            chunks.append(np.maximum(np.max(outs, 0) + bias, 0))
+        assert np.allclose(x, np.concatenate((np.mean(chunks, 0), np.max(chunks, 0))), atol=1e-3)
+
+
 def test_packing_is_whole_and_fits(spark):
     texts = [None, "", "é" * 10, "x" * 40_000, *("y" * n for n in range(0, 6000, 37))]
     rows = packing.pack(docs(spark, texts), shard=40).collect()
@@ -365,12 +431,43 @@ def test_main_text_of_odd_pages(spark):
 def test_main_text_on_held_out_layouts():
     r = random.Random(99)
     weights = main_text.learn()
-    exact = 0
+    words = lost = extra = 0
     for _ in range(100):
         page = main_text.labelled_page(r)
         text = main_text.extract(page, weights)
-        exact += page.count(main_text._SIGN) == text.count(main_text._SIGN) == len(text.split())
-    assert exact >= 80
+        words += (n := page.count(main_text._SIGN))
+        lost += n - text.count(main_text._SIGN)
+        extra += len(text.split()) - text.count(main_text._SIGN)
+    assert lost <= 0.04 * words and extra <= 0.08 * words
+
+
+TEXT = "real words of the text stand here. " * 20
+ARTICLE = f"<article><h1>Title here</h1><p>{TEXT}</p></article>"
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        f'<body class="single no-sidebar"><nav><a href=/>x</a></nav>{ARTICLE}<footer>foot words</footer></body>',
+        f'<div id="page" class="site has-comments">{ARTICLE}<div class="comments"><p>what a nice comment this is</p></div></div>',
+        f'<article><div class="article-header"><h1>Title here</h1></div><p>{TEXT}</p></article>',
+        f'<article><h1>Title here</h1><div class="social-history"><p>{TEXT}</p></div></article>',
+        f'{ARTICLE}<div class="feedback-thread"><h3>Comments</h3><p>I liked this one much more than others.</p></div>',
+        f'<div class="dfp-slot-3">Buy the new thing today now</div>{ARTICLE}',
+        "<b>" * 2000 + "<div>" * 3000 + ARTICLE + "</div>" * 3000,
+    ],
+)
+def test_wrappers_and_unheard_of_names_lose_no_page(page):
+    assert main_text.extract(page, main_text.learn()) == ("Title here " + TEXT).strip()
+
+
+def test_best_span_equals_brute_force():
+    r = random.Random(4)
+    for _ in range(200):
+        x = [r.choice([-3, -1, -0.5, 0, 1, 2]) for _ in range(r.randint(0, 14))]
+        a, b = main_text.best_span(x)
+        best = max([sum(x[i:j]) for i in range(len(x)) for j in range(i, len(x) + 1)], default=0)
+        assert math.isclose(sum(x[a:b]), max(0, best), abs_tol=1e-9)
 
 
 def test_language_model_base_equals_brute_force(spark, corpus):
@@ -386,13 +483,63 @@ def test_language_model_base_equals_brute_force(spark, corpus):
     assert context_mixing.score_texts(docs(spark, [])).count() == 0
 
 
-def test_language_model_is_a_probability_and_beats_no_model():
+def _gathered_by_itself(texts, train):
+    """One block's exchange, without Spark."""
+    m = context_mixing
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(len(texts))), "text": [t.decode("utf-8", "surrogatepass") for t in texts], "train": train, "block": [0] * len(texts)})
+    packed = pa.Table.from_batches(list(m._packed(1)([batch])))
+    totals = m._summed((pa.scalar(0),), m._gathered(1)((pa.scalar(0),), packed))
+    return m.Gathered(texts, m._replies(totals.slice(0, 1)))
+
+
+def test_language_model_is_a_probability():
     r = np.random.default_rng(2)
-    tables = r.integers(-60, 60, (context_mixing._K, context_mixing._CELLS)).astype(np.int8)
-    weights = r.standard_normal((64, context_mixing._K + 1)) * 0.2
-    # What one-byte texts and the empty text take adds up to the chance of ending after at most one byte.
-    first = 2.0 ** -context_mixing.run_bits(([bytes([b]) for b in range(1, 256)], b"", False), tables, weights, np.zeros((context_mixing._K, 255), np.float32))
-    end = 2.0 ** -context_mixing.text_bits([b""], tables, weights)[0]
-    assert math.isclose(first.sum() + end, 1, rel_tol=1e-3)
+    m = context_mixing
+    # The chances of all bytes, the end byte among them, add up to one.
+    texts = [bytes([b]) for b in range(256)]
+    rows = m.Rows(m._distinct_rows(texts))
+    odds = r.integers(-60, 60, (len(rows.keys), 16)).astype(np.int8)
+    weights = r.standard_normal((m._K + 2, m._GATES)) * 0.2
+    guess, bucket = np.full(256, 77, np.uint8), np.full(256, 3, np.uint8)
+    for trust in (np.zeros(256, np.uint8), bucket):
+        bits = m.run_bits(*m._layout(texts, b"", False), rows, odds, guess, trust, weights, *np.zeros((2, m._K + 1, 256), np.float32))
+        assert math.isclose((2.0**-bits).sum(), 1, rel_tol=1e-3)
     long = bytes(r.integers(97, 120, 700_000, dtype=np.uint8))
-    assert np.isfinite(context_mixing.text_bits([long, b"", b"abc"], tables, weights)).all()
+    more = [long, b"", b"abc"]
+    assert np.isfinite(m.text_bits(more, np.array([True, False, True]), _gathered_by_itself(more, [True, False, True]), weights)).all()
+
+
+def test_counters_are_exact():
+    r = random.Random(5)
+    texts = [prose(r, 60).encode() for _ in range(30)]
+    train = [k % 3 > 0 for k in range(30)]
+    gathered = _gathered_by_itself(texts, train)
+    counts = gathered.counts()
+    want = collections.Counter()
+    for t, own in zip(texts, train):
+        data = b"\0" * 5 + t + b"\0"
+        for k in range(5, len(data)) if own else ():
+            want[data[k - 3 : k], data[k] >> 4] += 1
+    data, place, size = context_mixing._layout([texts[0]])
+    at = context_mixing._positions(place, size)
+    up, _ = list(context_mixing._row_keys(data, at))[context_mixing.ORDERS.index(3)]
+    rows = gathered.rows.find(up)
+    for k, row in zip(at.tolist(), rows.tolist()):
+        for nibble in range(16):
+            n = want[bytes(data[k - 3 : k]), nibble]
+            assert abs(counts[row, nibble] - n) <= (0 if n < 128 else 0.05 * n)
+
+
+def test_texts_that_occur_twice_score_apart(spark):
+    r = random.Random(8)
+    texts = [prose(r, 120) for _ in range(200)]
+    texts += texts[:40]
+    got = {x.doc_id: x.score / (len(texts[x.doc_id]) + 1) for x in context_mixing.score_texts(docs(spark, texts)).collect()}
+    held = [i for i in got if fold(i, 7) == 2]
+    twice = [got[i] for i in held if i < 40 or i >= 200]
+    once = [got[i] for i in held if 40 <= i < 200]
+    assert sum(twice) / len(twice) > 0.8 * sum(once) / len(once)
+    # Mixing beats each of its orders by itself, and no model at all, on texts that weren't learned from.
+    assert -sum(once) / len(once) / math.log10(2) < 5
+
+
