@@ -502,7 +502,7 @@ def test_language_model_is_a_probability():
     weights = r.standard_normal((m._K + 2, m._GATES)) * 0.2
     guess, bucket = np.full(256, 77, np.uint8), np.full(256, 3, np.uint8)
     for trust in (np.zeros(256, np.uint8), bucket):
-        bits = m.run_bits(*m._layout(texts, b"", False), rows, odds, guess, trust, weights, *np.zeros((2, m._K + 1, 256), np.float32))
+        bits = m.run_bits(*m._layout(texts, b"", False), rows, odds, guess, trust, weights, np.zeros((m._K + 1, 256), np.float32), np.zeros(256, np.float32))
         assert math.isclose((2.0**-bits).sum(), 1, rel_tol=1e-3)
     long = bytes(r.integers(97, 120, 700_000, dtype=np.uint8))
     more = [long, b"", b"abc"]
@@ -517,16 +517,16 @@ def test_counters_are_exact():
     counts = gathered.counts()
     want = collections.Counter()
     for t, own in zip(texts, train):
-        data = b"\0" * 5 + t + b"\0"
-        for k in range(5, len(data)) if own else ():
-            want[data[k - 3 : k], data[k] >> 4] += 1
+        data = b"\0" * 4 + t + b"\0"
+        for k in range(4, len(data)) if own else ():
+            want[data[k - 4 : k], data[k] >> 4] += 1
     data, place, size = context_mixing._layout([texts[0]])
     at = context_mixing._positions(place, size)
-    up, _ = list(context_mixing._row_keys(data, at))[context_mixing.ORDERS.index(3)]
+    up = list(context_mixing._row_keys(data, at))[context_mixing.ORDERS.index(4) * 2]
     rows = gathered.rows.find(up)
     for k, row in zip(at.tolist(), rows.tolist()):
         for nibble in range(16):
-            n = want[bytes(data[k - 3 : k]), nibble]
+            n = want[bytes(data[k - 4 : k]), nibble]
             assert abs(counts[row, nibble] - n) <= (0 if n < 128 else 0.05 * n)
 
 
