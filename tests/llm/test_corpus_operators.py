@@ -538,7 +538,7 @@ def test_texts_that_occur_twice_score_apart(spark):
     held = [i for i in got if fold(i, 7) == 2]
     twice = [got[i] for i in held if i < 40 or i >= 200]
     once = [got[i] for i in held if 40 <= i < 200]
-    assert sum(twice) / len(twice) > 0.8 * sum(once) / len(once)
+    assert min(twice) > max(once)
     # Mixing beats each of its orders by itself, and no model at all, on texts that weren't learned from.
     assert -sum(once) / len(once) / math.log10(2) < 5
 
