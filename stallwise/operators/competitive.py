@@ -1,8 +1,9 @@
 """Similarity of products and the competitive set of each.
 
 Candidates are products of one type. That join is quadratic in a type's size, so both sides are cut to
-the few columns that scoring needs, specs as plain columns; nothing is collected per target, and the
-stages after it are windows over the target.
+the few columns that scoring needs, specs as plain columns, and whatever depends on one product only is made
+before the join: texts come as token sets. Nothing is collected per target, and the stages after it are windows
+over the target that share one shuffle.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..functions.scalar import MISSING_TEXTS, clamp, half_up, normal_text, numeric_closeness, price_proximity, scaled, token_jaccard
+from ..functions.scalar import MISSING_TEXTS, clamp, half_up, normal_text, numeric_closeness, price_proximity, scaled
 from ..sources.roles import REGISTRY, Roles
 from .prices import commercial_state, current_effective_price, observed
 from .reviews import review_metrics
@@ -41,18 +42,24 @@ POLICY = Policy()
 
 
 def attribute_score(data_type: str, a, b):
-    """Closeness of two values of one attribute in 0..1; null when either is missing."""
+    """Closeness of two values of one attribute in 0..1; null when either is missing. Texts are given as their token sets."""
     if data_type == "text":
-        missing = lambda x: x.isNull() | normal_text(x).isin(*MISSING_TEXTS)
-        return F.when(~(missing(a) | missing(b)), F.when(a == b, 1.0).otherwise(token_jaccard(a, b)))
+        shared = F.size(F.array_intersect(a, b))
+        return F.when(a.isNotNull() & b.isNotNull(), F.when(a == b, 1.0).otherwise(shared / (F.size(a) + F.size(b) - shared)))
     score = (a == b).cast("double") if data_type == "boolean" else numeric_closeness(a, b)
     return F.when(a.isNotNull() & b.isNotNull(), score)
 
 
+def token_set(x):
+    """A text's distinct normal tokens in order; null for a text that means a missing value."""
+    plain = normal_text(x)
+    return F.when(x.isNotNull() & ~plain.isin(*MISSING_TEXTS), F.array_sort(F.array_distinct(F.split(plain, " "))))
+
+
 def wide_specs(r: Roles) -> DataFrame:
-    """One row per product with a column for each attribute of the registry."""
-    of = lambda key, kind: F.max(F.when(F.col("attribute_key") == key, F.col("txt" if kind == "text" else "num"))).alias(f"spec_{key}")
-    return r.spec.groupBy("product_id").agg(*(of(key, kind) for key, _, kind, *_ in REGISTRY))
+    """One row per product with a column for each attribute of the registry, texts as token sets."""
+    of = lambda key, kind: F.max(F.when(F.col("attribute_key") == key, F.col("txt" if kind == "text" else "num")))
+    return r.spec.groupBy("product_id").agg(*((token_set(of(key, kind)) if kind == "text" else of(key, kind)).alias(f"spec_{key}") for key, _, kind, *_ in REGISTRY))
 
 
 def data_quality(r: Roles, state: DataFrame | None = None) -> DataFrame:
@@ -73,33 +80,34 @@ def data_quality(r: Roles, state: DataFrame | None = None) -> DataFrame:
 
 
 def profiles(r: Roles, state: DataFrame | None = None) -> DataFrame:
-    """What scoring needs of each product with a current price."""
+    """What scoring needs of each listed product; the price is null where no offer is in stock."""
     state = commercial_state(r) if state is None else state
     price = current_effective_price(r, state)
-    out = r.product.select("product_id", "product_type", "brand", "tier", "identity_id").join(price.select("product_id", F.col("universal_effective").alias("price"), (F.col("universal_discount") > 0).alias("has_promo")), "product_id")
+    out = r.product.select("product_id", "product_type", "brand", "tier", "identity_id").join(price.select("product_id", F.col("universal_effective").alias("price"), (F.col("universal_discount") > 0).alias("has_promo")), "product_id", "left")
     out = out.join(wide_specs(r), "product_id").join(marketplace_of(r), "product_id").join(data_quality(r, state).select("product_id", "quality"), "product_id")
     out = out.join(review_metrics(r).select("product_id", "rating_tenths", "review_count"), "product_id", "left")
     return out.join(applicable_mrp(state, price).select("product_id", "applicable_mrp"), "product_id", "left")
 
 
 def candidate_pairs(profile: DataFrame) -> DataFrame:
-    """Ordered pairs of products of one type, target first; candidates have the prefix c_."""
-    other = profile.select(*(F.col(c).alias(c if c == "product_type" else f"c_{c}") for c in profile.columns if c != "applicable_mrp"))
+    """Ordered pairs of products of one type, target first; candidates have the prefix c_ and a current price."""
+    other = profile.where("price IS NOT NULL").select(*(F.col(c).alias(c if c == "product_type" else f"c_{c}") for c in profile.columns if c != "applicable_mrp"))
     return profile.join(other, "product_type").where("product_id <> c_product_id")
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
     """Adds spec_score, price_score, tier_score, market_score, shared and similarity."""
-    weight, total = F.lit(0.0), F.lit(0.0)
-    for key, _, kind, _, pricing, *_ in REGISTRY:
-        score = attribute_score(kind, F.col(f"spec_{key}"), F.col(f"c_spec_{key}"))
-        w = 2.0 if pricing else 1.0
-        total = total + F.coalesce(score * w, F.lit(0.0))
-        weight = weight + F.when(score.isNotNull(), w).otherwise(0.0)
+    scores = {key: attribute_score(kind, F.col(f"spec_{key}"), F.col(f"c_spec_{key}")) for key, _, kind, *_ in REGISTRY}
     out = pairs.withColumns({
-        "spec_score": F.when(weight > 0, total / weight), "price_score": price_proximity(F.col("price"), F.col("c_price")), "tier_score": 1 - F.abs(F.col("tier") - F.col("c_tier")) / 2.0,
-        "shared": F.size(F.array_intersect("marketplaces", "c_marketplaces")), "market_score": F.size(F.array_intersect("marketplaces", "c_marketplaces")) / F.size(F.array_union("marketplaces", "c_marketplaces")),
+        **{f"_{key}": score for key, score in scores.items()}, "price_score": price_proximity(F.col("price"), F.col("c_price")), "tier_score": 1 - F.abs(F.col("tier") - F.col("c_tier")) / 2.0,
+        "shared": F.size(F.array_intersect("marketplaces", "c_marketplaces")),
     })
+    weight, total = F.lit(0.0), F.lit(0.0)
+    for key, _, _, _, pricing, *_ in REGISTRY:
+        w = 2.0 if pricing else 1.0
+        total = total + F.coalesce(F.col(f"_{key}") * w, F.lit(0.0))
+        weight = weight + F.when(F.col(f"_{key}").isNotNull(), w).otherwise(0.0)
+    out = out.withColumns({"spec_score": F.when(weight > 0, total / weight), "market_score": F.col("shared") / (F.size("marketplaces") + F.size("c_marketplaces") - F.col("shared"))}).drop(*(f"_{key}" for key in scores))
     s, p, t, m = POLICY.weights
     rest = p * F.col("price_score") + t * F.col("tier_score") + m * F.col("market_score")
     return out.withColumn("similarity", F.when(F.col("spec_score").isNull(), rest / (p + t + m)).otherwise((s * F.col("spec_score") + rest) / (s + p + t + m)))
@@ -110,10 +118,12 @@ def classified(pairs: DataFrame, policy: Policy = POLICY) -> DataFrame:
 
     The order of the stages is exclusions, tiers, one slot for each model family, the outlier fence, rank and cap.
     """
-    band = lambda rule: (F.col("c_price") >= F.col("price") * rule[1]) & (F.col("c_price") <= F.col("price") * rule[2])
+    # A target without a price has no band to be out of.
+    band = lambda rule: F.col("price").isNull() | (F.col("c_price") >= F.col("price") * rule[1]) & (F.col("c_price") <= F.col("price") * rule[2])
     out = F.when(F.col("shared") == 0, "marketplace").when(F.col("c_price") > F.col("applicable_mrp") * policy.over_mrp, "mrp")
     tier = F.when((F.col("similarity") >= policy.direct[0]) & band(policy.direct) & (F.col("identity_id") != F.col("c_identity_id")), "direct").when((F.col("similarity") >= policy.comparable[0]) & band(policy.comparable), "comparable").otherwise("reference")
-    rows = pairs.withColumn("reason", out).withColumn("tier_now", F.when(F.col("reason").isNull(), tier).otherwise("excluded"))
+    # All windows below are within a target, so one shuffle serves them.
+    rows = pairs.repartition("product_id").withColumn("reason", out).withColumn("tier_now", F.when(F.col("reason").isNull(), tier).otherwise("excluded"))
 
     family = W.partitionBy("product_id", "c_identity_id", F.col("reason").isNull()).orderBy(F.desc("similarity"), "c_product_id")
     rows = rows.withColumn("slot", F.row_number().over(family))

@@ -104,20 +104,20 @@ quality AS (
   LEFT JOIN (SELECT product_id, count(*) AS observations FROM seen GROUP BY product_id) USING (product_id) LEFT JOIN competition USING (product_id) LEFT JOIN metrics USING (product_id)),
 profile AS (
   SELECT p.product_id, product_type, brand, tier, identity_id, category AS material, p_size AS size, grade, universal_effective AS price, universal_discount > 0 AS has_promo, marketplaces, quality, rating_tenths, review_count, applicable_mrp
-  FROM product p JOIN (SELECT product_id, universal_effective, universal_discount FROM price) USING (product_id) JOIN reach USING (product_id) JOIN (SELECT product_id, quality FROM quality) USING (product_id) LEFT JOIN (SELECT product_id, rating_tenths, review_count FROM metrics) USING (product_id) LEFT JOIN mrp USING (product_id)),
+  FROM product p LEFT JOIN (SELECT product_id, universal_effective, universal_discount FROM price) USING (product_id) JOIN reach USING (product_id) JOIN (SELECT product_id, quality FROM quality) USING (product_id) LEFT JOIN (SELECT product_id, rating_tenths, review_count FROM metrics) USING (product_id) LEFT JOIN mrp USING (product_id)),
 compared AS (
   SELECT a.product_id, b.product_id AS c, a.price, b.price AS c_price, a.identity_id AS family, b.identity_id AS c_family, a.applicable_mrp AS cap, b.quality AS c_quality, b.brand AS c_brand, b.tier AS c_tier, b.marketplaces AS c_marketplaces, b.has_promo AS c_promo,
     a.rating_tenths, a.review_count, a.tier, a.size, a.grade, b.rating_tenths AS c_rating, b.review_count AS c_reviews, b.size AS c_size, b.grade AS c_grade,
     1 - least(abs(a.size - b.size) / greatest(abs(a.size), abs(b.size), 1)::DOUBLE, 1) AS s_size, CASE WHEN a.grade IS NOT NULL AND b.grade IS NOT NULL THEN 1 - least(abs(a.grade - b.grade) / greatest(abs(a.grade), abs(b.grade), 1)::DOUBLE, 1) END AS s_grade, CASE WHEN a.material = b.material THEN 1 ELSE 0 END AS s_material, CASE WHEN (a.size > 25) = (b.size > 25) THEN 1 ELSE 0 END AS s_large,
     len(list_intersect(a.marketplaces, b.marketplaces)) AS shared, len(list_intersect(a.marketplaces, b.marketplaces)) / len(list_distinct(list_concat(a.marketplaces, b.marketplaces))) AS market_score,
-    1 - least(abs(ln(a.price / b.price)) / ln(3::DOUBLE), 1) AS price_score, 1 - abs(a.tier - b.tier) / 2 AS tier_score
-  FROM profile a JOIN profile b USING (product_type) WHERE a.product_id <> b.product_id),
+    coalesce(1 - least(abs(ln(a.price / b.price)) / ln(3::DOUBLE), 1), 0) AS price_score, 1 - abs(a.tier - b.tier) / 2 AS tier_score
+  FROM profile a JOIN profile b USING (product_type) WHERE a.product_id <> b.product_id AND b.price IS NOT NULL),
 scored AS (
   SELECT *, (0.45::DOUBLE * spec_score + (0.25::DOUBLE * price_score + 0.15::DOUBLE * tier_score + 0.15::DOUBLE * market_score)) / (0.45::DOUBLE + 0.25::DOUBLE + 0.15::DOUBLE + 0.15::DOUBLE) AS similarity
   FROM (SELECT *, (s_size * 2::DOUBLE + coalesce(s_grade * 2::DOUBLE, 0) + s_material + s_large) / (4::DOUBLE + CASE WHEN s_grade IS NULL THEN 0 ELSE 2 END) AS spec_score FROM compared)),
 step1 AS (SELECT *, CASE WHEN shared = 0 THEN 'marketplace' WHEN c_price > cap * 1.15::DOUBLE THEN 'mrp' END AS reason1 FROM scored),
 step2 AS (
-  SELECT *, CASE WHEN reason1 IS NOT NULL THEN 'excluded' WHEN similarity >= 0.55::DOUBLE AND c_price BETWEEN price * 0.6::DOUBLE AND price * 1.7::DOUBLE AND family <> c_family THEN 'direct' WHEN similarity >= 0.4::DOUBLE AND c_price BETWEEN price * 0.45::DOUBLE AND price * 2.2::DOUBLE THEN 'comparable' ELSE 'reference' END AS tier1,
+  SELECT *, CASE WHEN reason1 IS NOT NULL THEN 'excluded' WHEN similarity >= 0.55::DOUBLE AND (price IS NULL OR c_price BETWEEN price * 0.6::DOUBLE AND price * 1.7::DOUBLE) AND family <> c_family THEN 'direct' WHEN similarity >= 0.4::DOUBLE AND (price IS NULL OR c_price BETWEEN price * 0.45::DOUBLE AND price * 2.2::DOUBLE) THEN 'comparable' ELSE 'reference' END AS tier1,
     row_number() OVER (PARTITION BY product_id, c_family, reason1 IS NULL ORDER BY similarity DESC, c) AS slot
   FROM step1),
 step3 AS (SELECT *, CASE WHEN reason1 IS NULL AND slot > 1 THEN 'excluded' ELSE tier1 END AS tier2, CASE WHEN reason1 IS NULL AND slot > 1 THEN 'family' ELSE reason1 END AS reason2 FROM step2),

@@ -47,7 +47,7 @@ def test_promotions_have_inclusive_and_open_ends(spark):
 
 
 def test_missing_texts_are_not_compared(spark):
-    r = one(spark, a=competitive.attribute_score("text", F.lit("--"), F.lit("x")), b=competitive.attribute_score("text", F.lit("n/a"), F.lit("n/a")), c=competitive.attribute_score("integer", F.lit(0), F.lit(0)))
+    r = one(spark, a=competitive.attribute_score("text", competitive.token_set(F.lit("--")), competitive.token_set(F.lit("x"))), b=competitive.attribute_score("text", competitive.token_set(F.lit("n/a")), competitive.token_set(F.lit("n/a"))), c=competitive.attribute_score("integer", F.lit(0), F.lit(0)))
     assert (r.a, r.b, r.c) == (None, 1.0, 1.0)
 
 
