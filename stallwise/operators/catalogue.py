@@ -41,6 +41,10 @@ class Criteria:
     marketplaces: tuple[int, ...] = ()
     in_stock_only: bool = False
     materials: tuple[str, ...] = ()
+    #: (attribute, labels asked for); all attributes must match, each by one of its labels.
+    specs: tuple[tuple[str, tuple[str, ...]], ...] = ()
+    #: Node of the tree under which a product must be sold.
+    node: str | None = None
 
 
 def in_scope(c: Criteria) -> Column:
@@ -161,6 +165,78 @@ def category_subtree(tree: DataFrame) -> DataFrame:
     return tree.select(F.col("id").alias("ancestor"), "id").union(one).union(two)
 
 
+def sold_under(r: Roles, node: str) -> DataFrame:
+    """(product_id) of the products sold by a seller under a node of the tree, itself included."""
+    under = category_subtree(r.tree).where(F.col("ancestor") == node).select("id")
+    return r.offer.select("product_id", F.concat(F.lit("s"), F.col("seller_id")).alias("id")).join(F.broadcast(under), "id", "left_semi").select("product_id").distinct()
+
+
+def spec_options(r: Roles) -> DataFrame:
+    """(product_id, specs): a map of each filterable attribute to the label that a filter would ask for."""
+    kinds = {key: kind for key, _, _, _, _, filterable, kind, _ in REGISTRY if filterable}
+    of = lambda wanted: F.col("attribute_key").isin(*(k for k, v in kinds.items() if v == wanted))
+    ranged = F.lit(None).cast("string")
+    for label, low, high in SIZE_BUCKETS:
+        ranged = F.when((F.col("num") >= low) & (F.lit(True) if high is None else F.col("num") < high), label).otherwise(ranged)
+    label = F.when(of("range"), ranged).when(of("boolean"), F.when(F.col("num") == 1, "true").otherwise("false")).otherwise(F.coalesce("txt", F.col("num").cast("string")))
+    rows = r.spec.where(F.col("attribute_key").isin(*kinds)).withColumn("label", label).where("label IS NOT NULL")
+    return rows.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_key", "label"))).alias("specs"))
+
+
+def spec_predicate(c: Criteria) -> Column:
+    """Whether a row's ``specs`` match every attribute asked for; an attribute without labels, or one that no registry entry filters by, asks for nothing."""
+    known = {key for key, _, _, _, _, filterable, *_ in REGISTRY if filterable}
+    out = F.lit(True)
+    for key, labels in c.specs:
+        if labels and key in known:
+            out = out & F.coalesce(F.element_at("specs", key).isin(*labels), F.lit(False))
+    return out
+
+
+def catalogue(r: Roles, c: Criteria) -> DataFrame:
+    """A whole catalogue request: scope, subtree, all groups and all specs."""
+    rows = product_summary(r)
+    rows = rows.join(sold_under(r, c.node), "product_id", "left_semi") if c.node else rows
+    return results(flagged(rows, c)).join(spec_options(r), "product_id", "left").where(spec_predicate(c))
+
+
+def taxonomy_products(r: Roles) -> DataFrame:
+    """Distinct products sold under every node of the tree, and of every product type."""
+    sold = r.offer.select("product_id", F.concat(F.lit("s"), F.col("seller_id")).alias("id")).distinct()
+    nodes = category_subtree(r.tree).join(sold, "id", "left").groupBy(F.col("ancestor").alias("id")).agg(F.count_distinct("product_id").alias("products"))
+    return nodes.union(r.product.groupBy(F.concat(F.lit("t:"), F.col("product_type")).alias("id")).agg(F.count("*").alias("products")))
+
+
+def rendered_specs(r: Roles) -> DataFrame:
+    """Each product's specs as shown: Yes or No, numbers with their unit."""
+    dim = F.broadcast(r.registry.select("attribute_key", "data_type", "unit"))
+    shown = F.when(F.col("data_type") == "boolean", F.when(F.col("num") == 1, "Yes").otherwise("No")).otherwise(F.concat_ws(" ", F.coalesce("txt", F.col("num").cast("string")), "unit"))
+    return r.spec.join(dim, "attribute_key").select("product_id", "attribute_key", shown.alias("shown"))
+
+
+def listing_offers(r: Roles, state: DataFrame | None = None) -> DataFrame:
+    """A listing's page: its offers by effective price, the least first, with the listing's last review figures."""
+    state = commercial_state(r) if state is None else state
+    order = W.partitionBy("listing_id").orderBy("universal_effective", "offer_id")
+    rows = state.select("listing_id", "offer_id", "seller_id", "in_stock", "landed", "universal_effective", F.row_number().over(order).alias("place"))
+    return rows.join(review_velocity(r).select("listing_id", "rating_tenths", "review_count", "velocity_milli"), "listing_id", "left")
+
+
+def product_detail(r: Roles) -> DataFrame:
+    """Per product: identity, listings, and its model family's other members with the least of their prices."""
+    price = current_effective_price(r).select("product_id", F.col("universal_effective").alias("price"))
+    own = r.product.select("product_id", "canonical_name", "brand", "product_type", "identity_id").join(price, "product_id", "left")
+    # A family's least price, and the least of those that aren't the one member with it, tell each member the least of the others.
+    known = F.when(F.col("price").isNotNull(), F.struct("price", "product_id"))
+    first = own.groupBy("identity_id").agg(F.count("*").alias("size"), F.min(known).alias("first"))
+    second = own.join(first, "identity_id").where(F.col("price").isNotNull() & (F.col("product_id") != F.col("first.product_id"))).groupBy("identity_id").agg(F.min("price").alias("second"))
+    family = first.join(second, "identity_id", "left")
+    listings = r.listing.groupBy("product_id").agg(F.count("*").alias("listings"))
+    out = own.join(family, "identity_id").join(listings, "product_id", "left")
+    others = F.when(F.col("product_id") == F.col("first.product_id"), F.col("second")).otherwise(F.col("first.price"))
+    return out.select("product_id", "canonical_name", "brand", "product_type", "price", F.coalesce("listings", F.lit(0)).alias("listings"), (F.col("size") - 1).alias("siblings"), others.alias("least_sibling_price"))
+
+
 def taxonomy_counts(r: Roles) -> DataFrame:
     """Offers under every node of the tree."""
     leaf = r.offer.groupBy(F.concat(F.lit("s"), F.col("seller_id")).alias("id")).agg(F.count("*").alias("n"))

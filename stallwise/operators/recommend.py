@@ -61,6 +61,14 @@ def product_strength(p: Parts) -> DataFrame:
     return out.select("product_id", *(half_up(F.col(c) * 1000).alias(n) for c, n in (("r", "rating_milli"), ("v", "reviews_milli"), ("s", "specs_milli"), ("t", "tier_milli"))), half_up((0.3 * F.col("r") + 0.15 * F.col("v") + 0.35 * F.col("s") + 0.2 * F.col("t")) * 1000).alias("index_milli"))
 
 
+def pool_position(p: Parts) -> DataFrame:
+    """Where each target's current price stands among its members' prices; ties count as not cheaper."""
+    own = p.prices.select("product_id", F.col("universal_effective").alias("price"))
+    rows = own.join(p.members.select("product_id", "c_price"), "product_id")
+    got = rows.groupBy("product_id", "price").agg(F.count("*").alias("total"), F.count_if(F.col("c_price") < F.col("price")).alias("sits_above"), F.count_if(F.col("c_price") > F.col("price")).alias("undercuts"))
+    return got.select("product_id", "price", (F.col("sits_above") + 1).alias("rank"), (F.col("total") + 1).alias("of"), "total", half_up(F.col("sits_above") * 10000 / F.col("total")).alias("percentile_bp"), "undercuts", "sits_above")
+
+
 def member_stats(p: Parts) -> DataFrame:
     """Weighted distribution of each target's members."""
     return weighted_distribution(p.members, "product_id", "c_price", "weight_milli", "c_product_id")

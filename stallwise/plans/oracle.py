@@ -245,6 +245,15 @@ ORACLE_SQL = {
     "category_subtree": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT * FROM under"),
     "taxonomy_counts": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT ancestor AS id, count(offer_id) AS offers FROM under LEFT JOIN offer ON under.id = 's' || seller_id GROUP BY ancestor"),
     "marketplace_category_map": _sql("SELECT r_regionkey AS marketplace_id, category, EXISTS (SELECT 1 FROM listing l JOIN product p USING (product_id) WHERE l.marketplace_id = r_regionkey AND p.category = c.category) AS mapped FROM region, (SELECT DISTINCT category FROM product) c"),
+    "catalogue_request": _sql(
+        "SELECT s.product_id, min_price, rating_tenths, listings FROM summary s JOIN (SELECT product_id, p_size, grade FROM product) p ON p.product_id = s.product_id WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7') AND list_has_any(marketplaces, [0, 1, 2, 3])"
+        " AND p_size >= 10 AND category IN ('SMALL', 'LARGE', 'PROMO') AND grade BETWEEN 1 AND 4 AND s.product_id IN (SELECT product_id FROM offer JOIN seller USING (seller_id, marketplace_id) WHERE marketplace_id = 1)"
+    ),
+    "taxonomy_products": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT ancestor AS id, count(DISTINCT product_id) AS products FROM under LEFT JOIN offer ON under.id = 's' || seller_id GROUP BY ancestor UNION ALL SELECT 't:' || product_type, count(*) FROM product GROUP BY product_type"),
+    "rendered_specs": _sql("SELECT product_id, 'size' AS attribute_key, p_size || ' cm' AS shown FROM product UNION ALL SELECT product_id, 'grade', CAST(grade AS VARCHAR) FROM product WHERE grade IS NOT NULL UNION ALL SELECT product_id, 'material', category FROM product UNION ALL SELECT product_id, 'large', CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END FROM product"),
+    "listing_offers": _sql("SELECT s.listing_id, offer_id, seller_id, in_stock, landed, universal_effective, row_number() OVER (PARTITION BY s.listing_id ORDER BY universal_effective, offer_id) AS place, v.rating_tenths, review_count, velocity_milli FROM state s LEFT JOIN velocity v ON v.listing_id = s.listing_id"),
+    "product_detail": _sql("SELECT p.product_id, canonical_name, brand, product_type, c.universal_effective AS price, coalesce(n, 0) AS listings, (SELECT count(*) - 1 FROM product q WHERE q.identity_id = p.identity_id) AS siblings, (SELECT min(universal_effective) FROM product q JOIN price x ON x.product_id = q.product_id WHERE q.identity_id = p.identity_id AND q.product_id <> p.product_id) AS least_sibling_price FROM product p LEFT JOIN price c ON c.product_id = p.product_id LEFT JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY product_id) l ON l.product_id = p.product_id"),
+    "pool_position": _sql(f"SELECT product_id, price, sits_above + 1 AS rank, total + 1 AS of, total, {_h('sits_above * 10000 / total')} AS percentile_bp, undercuts, sits_above FROM (SELECT product_id, price, count(*) AS total, count_if(c_price < price) AS sits_above, count_if(c_price > price) AS undercuts FROM member WHERE price IS NOT NULL GROUP BY ALL)"),
     "variant_siblings": _sql("SELECT a.product_id, b.product_id AS sibling_id FROM product a JOIN product b USING (identity_id) WHERE a.product_id <> b.product_id"),
     "derive_model_name": _sql("SELECT product_id, product_type AS model FROM product"),
     "compact_prices": _sql("SELECT product_id, CASE WHEN p >= 100000 THEN printf('%.1f', p / 100000) || 'L' WHEN p >= 1000 THEN printf('%.1f', p / 1000) || 'k' ELSE printf('%.0f', p) END AS label FROM (SELECT product_id, universal_effective / 100 AS p FROM price)"),

@@ -186,6 +186,40 @@ def search_catalogue(r):
     return cat.results(cat.flagged(cat.product_summary(r), REQUEST)).select("product_id", "canonical_name", "min_price", "rating_tenths", "review_count")
 
 
+#: A request with a subtree and several specs at once.
+SPEC_REQUEST = cat.Criteria(brands=("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6", "Brand#7"), marketplaces=(0, 1, 2, 3), specs=(("size", ("10 to 25", "25 and more")), ("material", ("SMALL", "LARGE", "PROMO")), ("grade", ("1", "2", "3", "4")), ("large", ()), ("colour", ("red",))), node="r1")
+
+
+@_query
+def catalogue_request(r):
+    return cat.catalogue(r, SPEC_REQUEST).select("product_id", "min_price", "rating_tenths", "listings")
+
+
+@_query
+def taxonomy_products(r):
+    return cat.taxonomy_products(r)
+
+
+@_query
+def rendered_specs(r):
+    return cat.rendered_specs(r)
+
+
+@_query
+def listing_offers(r):
+    return cat.listing_offers(r)
+
+
+@_query
+def product_detail(r):
+    return cat.product_detail(r)
+
+
+@_query
+def pool_position(r):
+    return recommend.pool_position(recommend.Parts(r))
+
+
 @_query
 def search_products(r):
     return cat.search_products(r, "  BLUE ", "SMALL")
