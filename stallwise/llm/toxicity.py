@@ -30,8 +30,11 @@ from .kernels import LOWER, mix64, pieces, split_words
 
 #: Bound on the labelled rows that are learned from.
 LABELLED = 20_000
-#: A word is learned if it stands in so many toxic rows and its log-odds reach LEAST_ODDS.
-LEAST_ROWS, LEAST_ODDS = 4, 3.0
+#: A word, or a stem, is learned if it stands in so many toxic rows and its log-odds, less ERROR standard errors, reach so much.
+#: Stems are many more than words, so more of them stand out by chance.
+LEAST_ROWS, LEAST_WORD, LEAST_STEM, ERROR = 4, 2.3, 3.0, 1.64
+#: Log-odds of the fixed insults until they are learned.
+SEED_ODDS = 3.0
 
 # Symbols of the grammar, and what the backward cascade makes of insults and threats.
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MENTION, END = range(8)
@@ -228,17 +231,19 @@ def _count_words(batches):
         label = np.asarray(batch.column(1)).astype(bool)
         seen: list[np.ndarray] = []
         owner: list[np.ndarray] = []
+        stems: list[np.ndarray] = []
         for begin, run in pieces(t.lower() if t else "" for t in batch.column(0).to_pylist()):
             words = split_words(run, plain=True)
             row = np.repeat(np.arange(begin, begin + len(run)), np.diff(words.first)).astype(np.uint64)
-            for h in (words.hashes, *_stems(words)):
+            for stem, h in enumerate((words.hashes, *_stems(words))):
                 mark = np.unique(np.stack([h, row], 1)[h != 0], axis=0)
                 seen.append(mark[:, 0])
                 owner.append(label[mark[:, 1].astype(int)])
+                stems.append(np.full(len(mark), stem > 0))
         if seen:
-            v, at = np.unique(np.concatenate(seen), return_inverse=True)
+            v, first, at = np.unique(np.concatenate(seen), return_index=True, return_inverse=True)
             toxic = np.bincount(at, np.concatenate(owner), len(v)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(v)).astype(np.int64) - toxic)], ["word", "toxic", "other"])
+            yield pa.RecordBatch.from_arrays([pa.array(v.view(np.int64)), pa.array(toxic), pa.array(np.bincount(at, minlength=len(v)).astype(np.int64) - toxic), pa.array(np.concatenate(stems)[first])], ["word", "toxic", "other", "stem"])
 
 
 _FEATURES = ["f_loose", "f_piled", "f_aimed", "f_negated", "f_reported", "f_mentioned", "f_menace", "f_idle", "f_clause"]
@@ -269,7 +274,7 @@ def _rows(shared, extra):
 
 
 #: Weights that the labelled rows move: of the features above, then the constant.
-_PRIOR = np.array([0.3, 1.5, 2.6, 0.1, 0.2, 0.1, 2.6, 0.1, 0.6, -3.0])
+_PRIOR = np.array([0.1, 1.5, 2.6, 0.1, 0.1, 0.1, 2.6, 0.1, 0.6, -3.0])
 
 
 def bounded(weights: np.ndarray) -> np.ndarray:
@@ -284,6 +289,14 @@ def bounded(weights: np.ndarray) -> np.ndarray:
     return out
 
 
+def fit_patterns(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The weights of the patterns and the constant move with the labels; those of what is no pattern stay at their prior, or a pile's first insult would take the pile's weight."""
+    moves = [*_PATTERNS, len(_FEATURES) - 1]
+    weights = _PRIOR.copy()
+    weights[[*moves, -1]] = fit_logistic(x[:, moves], y, _PRIOR[[*moves, -1]])
+    return bounded(weights)
+
+
 def fit_logistic(x: np.ndarray, y: np.ndarray, prior: np.ndarray, strength: float = 1.0, rounds: int = 50) -> np.ndarray:
     """Newton's method for a logistic model with a Gaussian prior around ``prior``; the last weight is the constant."""
     x1 = np.concatenate((x, np.ones((len(x), 1))), 1)
@@ -305,16 +318,16 @@ def learn(docs: DataFrame, labels: DataFrame, most: int = LABELLED):
     n_toxic, n_all = rows.agg(F.coalesce(F.sum("label"), F.lit(0)), F.count("*")).first()
     seeds = _hash(GRAMMAR[INSULT].split())
     # What can be learned is bounded with the sample.
-    words = rows.select("text", "label").mapInArrow(_count_words, "word long, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+    words = rows.select("text", "label").mapInArrow(_count_words, "word long, toxic long, other long, stem boolean").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"), F.first("stem").alias("stem"))
     odds = F.log((F.col("toxic") + 0.5) / F.lit(n_toxic + 1.0)) - F.log((F.col("other") + 0.5) / F.lit(n_all - n_toxic + 1.0))
-    found = words.where((F.col("toxic") >= LEAST_ROWS) & (odds >= LEAST_ODDS)).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").toPandas()
+    sure = odds - ERROR * F.sqrt(1 / (F.col("toxic") + 0.5) + 1 / (F.col("other") + 0.5))
+    found = words.where((F.col("toxic") >= LEAST_ROWS) & (sure >= F.when(F.col("stem"), LEAST_STEM).otherwise(LEAST_WORD))).select("word", odds.alias("odds")).orderBy(F.desc("odds"), "word").toPandas()
     learned = found["word"].to_numpy(np.int64).view(np.uint64)
     fresh = seeds[~np.isin(seeds, learned)]
-    lexicon = Lexicon(np.concatenate([learned, fresh]), np.concatenate([np.minimum(found["odds"].to_numpy(float), 8.0), np.full(len(fresh), LEAST_ODDS)]))
+    lexicon = Lexicon(np.concatenate([learned, fresh]), np.concatenate([np.minimum(found["odds"].to_numpy(float), 8.0), np.full(len(fresh), SEED_ODDS)]))
     shared = docs.sparkSession.sparkContext.broadcast(lexicon)
     pdf = rows.select("label", "text").mapInArrow(_rows(shared, ["label"]), "label int, " + ", ".join(f"{c} double" for c in _FEATURES)).toPandas()
-    weights = fit_logistic(pdf[_FEATURES].to_numpy(float), pdf["label"].to_numpy(float), _PRIOR)
-    return shared, bounded(weights)
+    return shared, fit_patterns(pdf[_FEATURES].to_numpy(float), pdf["label"].to_numpy(float))
 
 
 def score_toxicity(docs: DataFrame, labels: DataFrame, most: int = LABELLED) -> DataFrame:
