@@ -63,6 +63,21 @@ def model_name(name: Column, brand: Column) -> Column:
 
 
 def compact_money(minor: Column) -> Column:
-    """Rupees with a suffix: L for lakhs, k for thousands."""
-    rupees = minor / 100
-    return F.when(rupees >= 100_000, F.concat(F.format_string("%.1f", rupees / 100_000), F.lit("L"))).when(rupees >= 1000, F.concat(F.format_string("%.1f", rupees / 1000), F.lit("k"))).otherwise(F.format_string("%.0f", rupees))
+    """Rupees with a suffix: L for lakhs with two decimals, k for thousands with one; halves go up, null is a dash."""
+    part = lambda by, digits: F.concat(F.floor(half_up(minor / by) / 10**digits).cast("string"), F.lit("."), F.lpad((half_up(minor / by) % 10**digits).cast("string"), digits, "0"))
+    text = F.when(minor >= 10_000_000, F.concat(part(100_000, 2), F.lit("L"))).when(minor >= 100_000, F.concat(part(10_000, 1), F.lit("k"))).otherwise(half_up(minor / 100).cast("string"))
+    return F.when(minor.isNull(), "—").otherwise(F.concat(F.lit("₹"), text))
+
+
+def grouped_money(minor: Column) -> Column:
+    """Whole rupees with Indian grouping: three digits, then pairs; null is a dash."""
+    rupees = half_up(F.abs(minor) / 100).cast("string")
+    sign = F.when(minor < 0, "-").otherwise("")
+    return F.when(minor.isNull(), "—").otherwise(F.concat(sign, F.lit("₹"), F.regexp_replace(rupees, r"(\d)(?=(\d\d)+\d$)", "$1,")))
+
+
+def percent_label(bp: Column, signed: bool = False) -> Column:
+    """Basis points as a percentage with one decimal, halves away from zero, with a plus sign if asked for; null is a dash."""
+    tenths = half_up(F.abs(bp) / 10)
+    sign = F.when(bp < 0, "-").when((bp > 0) & F.lit(signed), "+").otherwise("")
+    return F.when(bp.isNull(), "—").otherwise(F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -47,6 +48,20 @@ class Criteria:
     node: str | None = None
 
 
+def criteria_of(params: Mapping[str, str], ladder: tuple[tuple[int, int | None], ...] = ()) -> Criteria:
+    """A request's parameters as criteria: lists are joined by commas, prices are places in ``ladder``, specs have the prefix spec_.
+
+    Unknown parameters, ratings and price places ask for nothing.
+    """
+    many = lambda key: tuple(x for x in params.get(key, "").split(",") if x)
+    places = {str(k): edges for k, edges in enumerate(ladder)}
+    specs = tuple((key.removeprefix("spec_"), many(key)) for key in params if key.startswith("spec_") and params[key])
+    return Criteria(
+        query=params.get("q", ""), product_type=params.get("pt") or None, node=params.get("cat") or None, brands=many("brand"), buckets=tuple(places[k] for k in many("price") if k in places),
+        rating_tenths=dict(RATING_OPTIONS).get(params.get("rating", "")), marketplaces=tuple(int(x) for x in many("mp") if x.isdigit()), in_stock_only=params.get("stock") == "1", specs=specs,
+    )
+
+
 def in_scope(c: Criteria) -> Column:
     q = c.query.lower()
     text = F.lit(True) if not q else F.contains(F.lower("canonical_name"), F.lit(q)) | F.contains(F.lower("brand"), F.lit(q)) | F.contains(F.lower("product_type"), F.lit(q))

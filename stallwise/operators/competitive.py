@@ -167,6 +167,37 @@ def coverage_level(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return got.select("product_id", "candidates", "direct", "comparable", "reference", "no_marketplace", "over_mrp", "same_family", effective.alias("effective_hundredths"), level.alias("level"))
 
 
+def verdict(data_type: str, score):
+    """match, partial, differ, or missing where there is no score."""
+    full, some = (0.98, 0.15) if data_type in ("integer", "decimal") else (1.0, 0.0)
+    return F.when(score.isNull(), "missing").when(score >= full, "match").when(score > some, "partial").otherwise("differ")
+
+
+def spec_tally(pairs: DataFrame) -> DataFrame:
+    """Per target, over all its candidates and attributes: verdicts of each kind, and the share compared in basis points."""
+    verdicts = F.array(*(verdict(kind, attribute_score(kind, F.col(f"spec_{key}"), F.col(f"c_spec_{key}"))) for key, _, kind, *_ in REGISTRY))
+    rows = pairs.select("product_id", verdicts.alias("v"))
+    of = lambda k: F.sum(F.size(F.filter("v", lambda x: x == k))).alias(k)
+    got = rows.groupBy("product_id").agg(F.count("*").alias("candidates"), *map(of, ("match", "partial", "differ", "missing")))
+    compared = F.col("match") + F.col("partial") + F.col("differ")
+    return got.withColumn("compared_bp", half_up(compared * 10000 / (compared + F.col("missing"))))
+
+
+def coverage_explained(r: Roles, coverage: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """Coverage of every product: level none without specs, and what keeps it from the number of direct competitors aimed at."""
+    counts = ("candidates", "direct", "comparable", "reference", "no_marketplace", "over_mrp", "same_family")
+    specs = r.spec.select("product_id").distinct().withColumn("has_specs", F.lit(True))
+    t = r.product.select("product_id").join(specs, "product_id", "left").join(coverage, "product_id", "left")
+    t = t.withColumns({c: F.coalesce(c, F.lit(0)) for c in counts})
+    level = F.when(F.col("has_specs").isNull(), "none").otherwise(F.coalesce("level", F.lit("insufficient")))
+    part = lambda c, text: F.when(F.col(c) > 0, F.concat(F.col(c).cast("string"), F.lit(text)))
+    parts = F.concat_ws(", ", part("no_marketplace", " on no shared marketplace"), part("same_family", " of a family already in"), part("over_mrp", " over the MRP"), part("reference", " too far in price or specs"), part("comparable", " comparable only"))
+    few = F.concat(F.lit("candidates: "), F.col("candidates").cast("string"), F.lit(f" of {policy.target} needed"))
+    rest = F.concat(F.lit("direct: "), F.col("direct").cast("string"), F.lit(" of "), F.col("candidates").cast("string"), F.lit("; "), parts)
+    shortfall = F.when(F.col("has_specs").isNull(), "no specifications").when(F.col("direct") >= policy.target, F.lit(None)).when(F.col("candidates") < policy.target, few).otherwise(rest)
+    return t.select("product_id", level.alias("level"), (F.col("direct") >= policy.target).alias("meets_target"), (F.col("direct") + F.col("comparable") >= policy.minimum).alias("sufficient"), (F.col("no_marketplace") + F.col("same_family") + F.col("over_mrp")).alias("screened_out"), shortfall.alias("shortfall"))
+
+
 def set_diversity(rows: DataFrame) -> DataFrame:
     """Per target: distinct brands, tiers and marketplaces of its members, price spread in tenths of a percent, and notes."""
     m = members(rows)

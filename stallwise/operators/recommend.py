@@ -134,7 +134,8 @@ def price_bounds(p: Parts) -> DataFrame:
     market = F.least(half_up(F.col("floor_zone") * 0.92), half_up(F.col("ceiling") * 0.85))
     t = t.withColumn("market_floor", market).withColumn("break_even_floor", half_up(F.col("break_even") * 1.02))
     t = t.withColumn("floor", F.greatest("market_floor", "break_even_floor"))
-    return t.select("product_id", "ceiling", "ceiling_source", "market_floor", "break_even_floor", "floor", "middle", (F.col("ceiling") < F.col("floor")).alias("conflict"))
+    source = F.when(F.col("break_even_floor") >= F.col("market_floor"), "break_even").otherwise("market")
+    return t.select("product_id", "ceiling", "ceiling_source", "market_floor", "break_even_floor", "floor", source.alias("floor_source"), "middle", (F.col("ceiling") < F.col("floor")).alias("conflict"))
 
 
 def strategy_prices(p: Parts) -> DataFrame:
@@ -157,7 +158,7 @@ def strategy_prices(p: Parts) -> DataFrame:
     lifted = F.greatest(low, F.col("fast"))
     t = t.withColumn("balanced", psych_snap(clamp(F.col("raw_balanced"), lifted, high), lifted, high))
     t = t.withColumn("premium", psych_snap(clamp(F.col("raw_premium"), F.col("balanced"), high), F.col("balanced"), high))
-    bound = lambda c: F.when(F.col(c) > high, "ceiling").when(F.col(c) < low, "floor")
+    bound = lambda c: F.when(F.col(c) > high, F.concat(F.lit("ceiling: "), F.col("ceiling_source"))).when(F.col(c) < low, F.concat(F.lit("floor: "), F.col("floor_source")))
     return t.withColumns({f"{k}_bound": bound(f"raw_{k}") for k in ("fast", "balanced", "premium")})
 
 
@@ -183,3 +184,13 @@ def recommendation(p: Parts) -> DataFrame:
     status = F.when(F.col("current_price").isNull(), "no_current_price").when(F.coalesce("members", F.lit(0)) < LEAST_MEMBERS, "too_few_comparables").when(F.coalesce("conflict", F.lit(False)), "no_valid_price").otherwise("ok")
     collapsed = F.size(F.array_distinct(F.array("fast", "balanced", "premium"))) < 3
     return t.select("product_id", "current_price", F.coalesce("members", F.lit(0)).alias("members"), status.alias("status"), "fast", "balanced", "premium", "evidence", "distortion", F.when(F.col("fast").isNotNull(), collapsed).alias("collapsed"))
+
+
+def refusals(p: Parts) -> DataFrame:
+    """Every product that gets no prices for want of evidence: the reason, and what would help."""
+    priced = p.prices.select("product_id", F.lit(True).alias("priced"))
+    t = cs.coverage_explained(p.r, p.coverage).join(priced, "product_id", "left").join(p.r.seller_cost.select("product_id", "cost"), "product_id", "left")
+    reason = F.when(F.col("priced").isNull(), "no_current_price").when(~F.col("sufficient"), "too_few_comparables")
+    screened = F.when(F.col("screened_out") > 0, F.concat(F.lit("review screened out: "), F.col("screened_out").cast("string")))
+    helps = F.concat_ws(" | ", "shortfall", F.lit("capture more of this type on its marketplaces"), screened, F.when(F.col("cost").isNull(), "enter a seller cost"))
+    return t.select("product_id", reason.alias("reason"), helps.alias("what_would_help")).where("reason IS NOT NULL")

@@ -183,6 +183,17 @@ evidence AS (
 """
 
 
+_EXPLAINED = """
+explained AS (
+  SELECT product_id, CASE WHEN p_size IS NULL AND grade IS NULL AND category IS NULL THEN 'none' ELSE coalesce(level, 'insufficient') END AS level, direct >= 5 AS meets_target, direct + comparable >= 3 AS sufficient, no_marketplace + same_family + over_mrp AS screened_out,
+    CASE WHEN p_size IS NULL AND grade IS NULL AND category IS NULL THEN 'no specifications' WHEN direct >= 5 THEN NULL WHEN candidates < 5 THEN 'candidates: ' || candidates || ' of 5 needed'
+      ELSE 'direct: ' || direct || ' of ' || candidates || '; ' || concat_ws(', ', CASE WHEN no_marketplace > 0 THEN no_marketplace || ' on no shared marketplace' END, CASE WHEN same_family > 0 THEN same_family || ' of a family already in' END,
+        CASE WHEN over_mrp > 0 THEN over_mrp || ' over the MRP' END, CASE WHEN reference > 0 THEN reference || ' too far in price or specs' END, CASE WHEN comparable > 0 THEN comparable || ' comparable only' END) END AS shortfall
+  FROM (
+    SELECT p.product_id, p_size, grade, category, level, coalesce(candidates, 0) AS candidates, coalesce(direct, 0) AS direct, coalesce(comparable, 0) AS comparable, coalesce(reference, 0) AS reference, coalesce(no_marketplace, 0) AS no_marketplace, coalesce(over_mrp, 0) AS over_mrp, coalesce(same_family, 0) AS same_family
+    FROM product p LEFT JOIN coverage USING (product_id)))"""
+
+
 def _sql(body: str, recommend: bool = False) -> str:
     return f"WITH RECURSIVE {_ROLES.strip()}" + (f",\n{_RECOMMEND.strip()}" if recommend else "") + f"\n{body}"
 
@@ -256,7 +267,8 @@ ORACLE_SQL = {
     "pool_position": _sql(f"SELECT product_id, price, sits_above + 1 AS rank, total + 1 AS of, total, {_h('sits_above * 10000 / total')} AS percentile_bp, undercuts, sits_above FROM (SELECT product_id, price, count(*) AS total, count_if(c_price < price) AS sits_above, count_if(c_price > price) AS undercuts FROM member WHERE price IS NOT NULL GROUP BY ALL)"),
     "variant_siblings": _sql("SELECT a.product_id, b.product_id AS sibling_id FROM product a JOIN product b USING (identity_id) WHERE a.product_id <> b.product_id"),
     "derive_model_name": _sql("SELECT product_id, product_type AS model FROM product"),
-    "compact_prices": _sql("SELECT product_id, CASE WHEN p >= 100000 THEN printf('%.1f', p / 100000) || 'L' WHEN p >= 1000 THEN printf('%.1f', p / 1000) || 'k' ELSE printf('%.0f', p) END AS label FROM (SELECT product_id, universal_effective / 100 AS p FROM price)"),
+    "compact_prices": _sql(f"""SELECT product_id, '₹' || CASE WHEN p >= 10000000 THEN (h // 100) || '.' || lpad(CAST(h % 100 AS VARCHAR), 2, '0') || 'L' WHEN p >= 100000 THEN (k // 10) || '.' || (k % 10) || 'k' ELSE CAST(q AS VARCHAR) END AS label
+      FROM (SELECT product_id, universal_effective AS p, {_h('universal_effective / 100000')} AS h, {_h('universal_effective / 10000')} AS k, {_h('universal_effective / 100')} AS q FROM price)"""),
     "psych_snap": _sql(f", snap AS (SELECT *, {_STEP} AS step FROM (SELECT product_id, universal_effective AS p, {_h('universal_effective * 0.9::DOUBLE')} AS low, {_h('universal_effective * 1.1::DOUBLE')} AS high FROM price)), climb AS (SELECT product_id, p, low, high, step, CAST(greatest(floor(p / step) * step - 100, 100) AS BIGINT) AS x FROM snap UNION ALL SELECT product_id, p, low, high, step, x + step FROM climb WHERE x < low), top AS (SELECT product_id, p, low, high, step, max(x) AS x FROM climb GROUP BY ALL), eased AS (SELECT *, CASE WHEN x > high THEN x - step ELSE x END AS y FROM top) SELECT product_id, p AS universal_effective, CASE WHEN y < low OR y > high THEN high ELSE y END AS snapped FROM eased"),
     "distribution_stats": _sql("SELECT product_type, count(*) AS n, min(universal_effective) AS least, quantile_cont(universal_effective, 0.25) AS q1, quantile_cont(universal_effective, 0.5) AS median, quantile_cont(universal_effective, 0.75) AS q3, max(universal_effective) AS most, quantile_cont(universal_effective, 0.75) - quantile_cont(universal_effective, 0.25) AS iqr FROM price JOIN product USING (product_id) GROUP BY product_type"),
     "weighted_quantile": _sql(f", {_WPRICE}, {_weighted('wd', 'wprice', 'product_type', 'universal_effective', 'weight', 'product_id')} SELECT product_type, wq1, wq2, wq3 FROM wd"),
@@ -281,10 +293,27 @@ ORACLE_SQL = {
     "market_anchor": _sql("SELECT product_id, own_n, normal, anchor FROM anchors", True),
     "market_distortion": _sql("SELECT distortion, count(*) AS products FROM anchors GROUP BY distortion", True),
     "price_zones": _sql("SELECT * FROM zones", True),
-    "price_bounds": _sql("SELECT product_id, ceiling, ceiling_source, market_floor, break_even_floor, floor, middle, conflict FROM bounds", True),
+    "price_bounds": _sql("SELECT product_id, ceiling, ceiling_source, market_floor, break_even_floor, floor, CASE WHEN break_even_floor >= market_floor THEN 'break_even' ELSE 'market' END AS floor_source, middle, conflict FROM bounds", True),
     "source_overview": _sql(f"""SELECT r_regionkey AS marketplace_id, r_name AS marketplace_name, last_run, attempted, succeeded, coalesce(runs, 0) AS runs, coalesce(listings, 0) AS listings, confidence_bp, coalesce(confirmed, 0) AS confirmed FROM region
       LEFT JOIN (SELECT marketplace_id, max(d) AS last_run, arg_max(a, d) AS attempted, arg_max(s, d) AS succeeded, count(*) AS runs FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS d, count(*) AS a, count_if(event_type <> 'error') AS s FROM events GROUP BY ALL) GROUP BY marketplace_id) run ON run.marketplace_id = r_regionkey
       LEFT JOIN (SELECT marketplace_id, count(*) AS listings, {_h('sum(confidence_pct) * 100 / count(*)')} AS confidence_bp, count_if(human_confirmed) AS confirmed FROM listing GROUP BY marketplace_id) l ON l.marketplace_id = r_regionkey"""),
+    "recent_runs": _sql(f"SELECT *, {_h('pages_succeeded * 10000 / pages_attempted')} AS success_bp FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS run_date, count(*) AS pages_attempted, count_if(event_type <> 'error') AS pages_succeeded FROM events GROUP BY ALL) ORDER BY run_date DESC, marketplace_id"),
+    "recent_rejections": _sql("SELECT e.event_id AS rejection_id, e.event_id - 1 AS document_id, CASE WHEN e.event_id % 3 = 0 THEN 'listing' ELSE 'offer' END AS target_entity, e.ts AS captured_at, CAST(d.user_id % 5 AS INT) AS marketplace_id, d.event_type AS page_kind FROM events e LEFT JOIN events d ON d.event_id = e.event_id - 1 AND d.event_type <> 'error' WHERE e.event_type = 'error' ORDER BY captured_at DESC, rejection_id DESC"),
+    "field_coverage": _sql(f"""SELECT marketplace_id, field, count(*) AS total, count(v) AS filled, {_h('count(v) * 10000 / count(*)')} AS coverage_bp FROM (
+      SELECT marketplace_id, 'specifications' AS field, CAST(grade AS BIGINT) AS v FROM listing JOIN product USING (product_id) UNION ALL SELECT marketplace_id, 'rating', CASE WHEN listing_id IN (SELECT listing_id FROM review) THEN 1 END FROM listing
+      UNION ALL SELECT marketplace_id, 'selling_price', selling FROM observation UNION ALL SELECT marketplace_id, 'mrp', mrp FROM observation UNION ALL SELECT marketplace_id, 'sale_label', disc FROM observation WHERE sale_label IS NOT NULL UNION ALL SELECT marketplace_id, 'sale_label', NULL FROM observation WHERE sale_label IS NULL) GROUP BY ALL"""),
+    "match_quality": _sql("SELECT product_id, min(confidence_pct) IS NOT NULL AS known, min(confidence_pct) AS min_confidence, count_if(NOT human_confirmed) AS auto_matched, count(listing_id) AS listings FROM product LEFT JOIN listing USING (product_id) GROUP BY product_id"),
+    "spec_tally": _sql(f"""SELECT *, {_h('(match + partial + differ) * 10000 / (4 * candidates)')} AS compared_bp FROM (
+      SELECT product_id, count(*) AS candidates, CAST(sum((s_size >= 0.98::DOUBLE)::INT + coalesce((s_grade >= 0.98::DOUBLE)::INT, 0) + s_material + s_large) AS BIGINT) AS match, CAST(sum((s_size > 0.15::DOUBLE AND s_size < 0.98::DOUBLE)::INT + coalesce((s_grade > 0.15::DOUBLE AND s_grade < 0.98::DOUBLE)::INT, 0)) AS BIGINT) AS partial,
+        CAST(sum((s_size <= 0.15::DOUBLE)::INT + coalesce((s_grade <= 0.15::DOUBLE)::INT, 0) + 2 - s_material - s_large) AS BIGINT) AS differ, count_if(s_grade IS NULL) AS missing FROM compared GROUP BY product_id)"""),
+    "coverage_explained": _sql(", " + _EXPLAINED + " SELECT product_id, level, meets_target, sufficient, screened_out, shortfall FROM explained"),
+    "refusals": _sql(", " + _EXPLAINED + """ SELECT product_id, CASE WHEN universal_effective IS NULL THEN 'no_current_price' ELSE 'too_few_comparables' END AS reason,
+      concat_ws(' | ', shortfall, 'capture more of this type on its marketplaces', CASE WHEN screened_out > 0 THEN 'review screened out: ' || screened_out END, CASE WHEN cost IS NULL THEN 'enter a seller cost' END) AS what_would_help
+      FROM explained LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN seller_cost USING (product_id) WHERE universal_effective IS NULL OR NOT sufficient"""),
+    "address_request": _sql("SELECT product_id, min_price FROM summary JOIN (SELECT product_id, p_size FROM product) USING (product_id) WHERE (lower(canonical_name) LIKE '%brand#1%' OR lower(brand) LIKE '%brand#1%' OR lower(product_type) LIKE '%brand#1%') AND brand IN ('Brand#1', 'Brand#12') AND min_price < 5000000 AND rating_tenths >= 30 AND list_has_any(marketplaces, [0, 2]) AND any_in_stock AND p_size >= 10"),
+    "price_labels": _sql(f"""SELECT product_id, '₹' || CASE WHEN len(q) <= 3 THEN q ELSE ltrim(reverse(regexp_replace(reverse(q[:-4]), '(..)', '\\1,', 'g')), ',') || ',' || q[-3:] END AS price,
+      CASE WHEN bp < 0 THEN '-' WHEN bp > 0 THEN '+' ELSE '' END || (t // 10) || '.' || (t % 10) || '%' AS trend
+      FROM (SELECT *, {_h('abs(bp) / 10')} AS t FROM (SELECT product_id, CAST({_h('current_price / 100')} AS VARCHAR) AS q, {_h('(current_price - first_price) * 10000 / first_price')} AS bp FROM history))"""),
 }
 # A body that starts with a comma goes on with the common table expressions.
 ORACLE_SQL = {k: v.replace("\n, ", ",\n", 1) if "\n, " in v else v for k, v in ORACLE_SQL.items()}

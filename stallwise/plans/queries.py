@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from ..functions.scalar import compact_money, model_name, scaled
+from ..functions.scalar import compact_money, grouped_money, model_name, percent_label, scaled
 from ..operators import catalogue as cat
 from ..operators import competitive as cs
 from ..operators import fees, history, prices, provenance, recommend, reviews, stats
@@ -476,3 +476,53 @@ def recommendation(r):
 @_query
 def source_overview(r):
     return provenance.source_overview(r)
+
+
+@_query
+def recent_runs(r):
+    return provenance.recent_runs(r)
+
+
+@_query
+def recent_rejections(r):
+    return provenance.recent_rejections(r)
+
+
+@_query
+def field_coverage(r):
+    return provenance.field_coverage(r)
+
+
+@_query
+def match_quality(r):
+    return provenance.match_quality(r)
+
+
+@_query
+def spec_tally(r):
+    return cs.spec_tally(cs.candidate_pairs(cs.profiles(r)))
+
+
+@_query
+def coverage_explained(r):
+    return cs.coverage_explained(r, cs.coverage_level(cs.classified(_scored(r))))
+
+
+@_query
+def refusals(r):
+    return recommend.refusals(recommend.Parts(r))
+
+
+#: A request as a page's address holds it.
+ADDRESS = {"q": "brand#1", "brand": "Brand#1,Brand#12,", "price": "0,1,9", "rating": "r3", "mp": "0,2,x", "stock": "1", "spec_size": "10 to 25,25 and more", "sort": "price_asc"}
+
+
+@_query
+def address_request(r):
+    return cat.catalogue(r, cat.criteria_of(ADDRESS, ((0, 2_500_000), (2_500_000, 5_000_000)))).select("product_id", "min_price")
+
+
+@_query
+def price_labels(r):
+    t = history.history_stats(r)
+    return t.select("product_id", grouped_money(F.col("current_price")).alias("price"), percent_label(F.col("trend_bp"), signed=True).alias("trend"))

@@ -55,6 +55,8 @@ class Roles:
     seller_cost: DataFrame
     tree: DataFrame
     capture_run: DataFrame
+    raw_document: DataFrame
+    rejected_record: DataFrame
     as_of: str = AS_OF
 
 
@@ -118,4 +120,9 @@ def load_roles(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Roles:
     )
     events = read("events").select("event_id", "ts", "user_id", "event_type")
     capture_run = events.groupBy((F.col("user_id") % 5).cast("int").alias("marketplace_id"), F.to_date("ts").alias("run_date")).agg(F.count("*").alias("pages_attempted"), F.count_if(F.col("event_type") != "error").alias("pages_succeeded"))
-    return Roles(product, spec, registry, marketplace, seller, listing, offer, observation, promotion, fee_rule, review, yearly, cost, tree, capture_run, as_of)
+    # What failed to parse names the page captured just before it, which may not have been kept.
+    raw_document = events.where("event_type <> 'error'").select(F.col("event_id").alias("document_id"), (F.col("user_id") % 5).cast("int").alias("marketplace_id"), F.col("ts").alias("fetched_at"), F.col("event_type").alias("page_kind"))
+    rejected = events.where("event_type = 'error'").select(
+        F.col("event_id").alias("rejection_id"), (F.col("event_id") - 1).alias("document_id"), F.when(F.col("event_id") % 3 == 0, "listing").otherwise("offer").alias("target_entity"), F.col("ts").alias("captured_at")
+    )
+    return Roles(product, spec, registry, marketplace, seller, listing, offer, observation, promotion, fee_rule, review, yearly, cost, tree, capture_run, raw_document, rejected, as_of)

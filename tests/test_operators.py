@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from stallwise.functions.scalar import half_up, model_name, price_proximity, psych_snap, token_jaccard
+from stallwise.functions.scalar import compact_money, grouped_money, half_up, model_name, percent_label, price_proximity, psych_snap, token_jaccard
 from stallwise.operators import catalogue, competitive, hedonic, history, prices, stats
 
 D = datetime.date
@@ -77,3 +77,24 @@ def test_merged_prices_keep_every_offer(spark, monkeypatch):
     monkeypatch.setattr(history, "with_layers", lambda rows, promotion: rows.withColumns({"universal_effective": F.col("selling") + F.col("shipping"), "sale_label": F.lit(None).cast("string")}))
     got = {r.offer_id: r.price for r in history.merged_price_offers(type("R", (), {"promotion": None})()).collect()}
     assert got == {10: 850, 11: None, 12: 990}
+
+
+def test_labels_of_money_and_shares(spark):
+    df = spark.createDataFrame([(None,), (0,), (99_949,), (123_450,), (12_345_678,), (-1_234_567_890,)], "x long")
+    got = [tuple(r) for r in df.select(compact_money(F.col("x")), grouped_money(F.col("x"))).collect()]
+    assert got[:5] == [("—", "—"), ("₹0", "₹0"), ("₹999", "₹999"), ("₹1.2k", "₹1,235"), ("₹1.23L", "₹1,23,457")]
+    assert got[5][1] == "-₹1,23,45,679"
+    r = one(spark, a=percent_label(F.lit(1234), signed=True), b=percent_label(F.lit(-55)), c=percent_label(F.lit(None).cast("long")), d=percent_label(F.lit(0), signed=True))
+    assert tuple(r) == ("+12.3%", "-0.6%", "—", "0.0%")
+
+
+def test_addresses_become_criteria():
+    ladder = ((0, 100), (100, None))
+    c = catalogue.criteria_of({"q": "a", "brand": "x,,y", "price": "1,7", "rating": "r4", "mp": "2,z", "stock": "0", "spec_size": "s,m", "spec_grade": "", "cat": "", "page": "3"}, ladder)
+    assert c == catalogue.Criteria(query="a", brands=("x", "y"), buckets=((100, None),), rating_tenths=40, marketplaces=(2,), specs=(("size", ("s", "m")),))
+    assert catalogue.criteria_of({}) == catalogue.Criteria()
+
+
+def test_verdicts_and_coverage_without_candidates(spark):
+    r = one(spark, **{k: competitive.verdict(kind, F.lit(x).cast("double")) for k, kind, x in (("a", "integer", 0.98), ("b", "integer", 0.15), ("c", "text", 0.01), ("d", "boolean", None))})
+    assert tuple(r) == ("match", "differ", "partial", "missing")
