@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -10,9 +9,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..sources.roles import REGISTRY, Roles
+from ..sources.staging import Stages
 from .fees import fee_rule_asof, with_net
 from .prices import commercial_state, current_effective_price
+from .ranking import keyed, place_all, sort_key, top_of_each
 from .reviews import review_metrics, review_velocity
+from .trees import paths, rooted, subtrees
 
 #: Ladders of price-bucket edges, in rupees.
 PRICE_LADDERS = ((500, 1000, 2000, 5000), (1000, 2500, 5000, 10000), (5000, 10000, 20000, 40000), (10000, 25000, 50000, 100000), (25000, 50000, 100000, 200000))
@@ -42,24 +44,6 @@ class Criteria:
     marketplaces: tuple[int, ...] = ()
     in_stock_only: bool = False
     materials: tuple[str, ...] = ()
-    #: (attribute, labels asked for); all attributes must match, each by one of its labels.
-    specs: tuple[tuple[str, tuple[str, ...]], ...] = ()
-    #: Node of the tree under which a product must be sold.
-    node: str | None = None
-
-
-def criteria_of(params: Mapping[str, str], ladder: tuple[tuple[int, int | None], ...] = ()) -> Criteria:
-    """A request's parameters as criteria: lists are joined by commas, prices are places in ``ladder``, specs have the prefix spec_.
-
-    Unknown parameters, ratings and price places ask for nothing.
-    """
-    many = lambda key: tuple(x for x in params.get(key, "").split(",") if x)
-    places = {str(k): edges for k, edges in enumerate(ladder)}
-    specs = tuple((key.removeprefix("spec_"), many(key)) for key in params if key.startswith("spec_") and params[key])
-    return Criteria(
-        query=params.get("q", ""), product_type=params.get("pt") or None, node=params.get("cat") or None, brands=many("brand"), buckets=tuple(places[k] for k in many("price") if k in places),
-        rating_tenths=dict(RATING_OPTIONS).get(params.get("rating", "")), marketplaces=tuple(int(x) for x in many("mp") if x.isdigit()), in_stock_only=params.get("stock") == "1", specs=specs,
-    )
 
 
 def in_scope(c: Criteria) -> Column:
@@ -105,19 +89,20 @@ def results(flags: DataFrame) -> DataFrame:
 SORTS = {"relevance": ("review_count", False), "reviews": ("review_count", False), "price_asc": ("min_price", True), "price_desc": ("min_price", False), "rating": ("rating_tenths", False), "recent": ("first_seen_at", False)}
 
 
-def sorted_results(rows: DataFrame, sort: str, top: int) -> DataFrame:
-    """The first ``top`` rows of a sort, with their place; ties go to the lesser id."""
-    column, ascending = SORTS[sort]
-    order = [F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column), F.col("product_id")]
-    # Only the few rows that are left are numbered in one place.
-    return rows.orderBy(*order).limit(top).withColumn("place", F.row_number().over(W.orderBy(*order)))
+def by_sort(rows: DataFrame, *sorts: str) -> DataFrame:
+    """Rows once for each of the sorts, with a key that puts missing values last."""
+    key = lambda column: F.unix_date(column) if column == "first_seen_at" else F.col(column)
+    return keyed(rows, {sort: sort_key(key(SORTS[sort][0]), SORTS[sort][1]) for sort in sorts}, "product_id")
 
 
-def sorted_whole(rows: DataFrame, sort: str) -> DataFrame:
-    """(product_id, place) of all rows of a sort; ties go to the lesser id. Places are counted by range partition."""
-    column, ascending = SORTS[sort]
-    ordered = rows.orderBy(F.asc_nulls_last(column) if ascending else F.desc_nulls_last(column), "product_id").select("product_id")
-    return ordered.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1] + 1)).toDF("product_id long, place long")
+def sorted_results(rows: DataFrame, top: int, *sorts: str) -> DataFrame:
+    """(sort, product_id, place) of the first ``top`` rows of each sort; ties go to the lesser id."""
+    return top_of_each(by_sort(rows, *sorts), top, "product_id")
+
+
+def sorted_whole(rows: DataFrame, *sorts: str) -> DataFrame:
+    """(sort, product_id, place) of all rows of each sort; ties go to the lesser id. Places are counted by range partition."""
+    return place_all(by_sort(rows, *sorts), "product_id", Stages(rows.sparkSession))
 
 
 def facet_brand(flags: DataFrame) -> DataFrame:
@@ -167,23 +152,19 @@ def facet_specs(flags: DataFrame, r: Roles) -> DataFrame:
 
 
 def category_path(tree: DataFrame) -> DataFrame:
-    """Every node with its names from the root, by one join for each of the tree's three fixed levels."""
-    parent, root = tree.select(F.col("id").alias("p_id"), F.col("parent_id").alias("g_id"), F.col("name").alias("p_name")), tree.select(F.col("id").alias("r_id"), F.col("name").alias("r_name"))
-    joined = tree.join(parent, F.col("parent_id") == F.col("p_id"), "left").join(root, F.col("g_id") == F.col("r_id"), "left")
-    return joined.select("id", "level", F.concat_ws("/", "r_name", "p_name", "name").alias("path"))
+    """Every node with its names from the root, in a tree of any depth."""
+    return paths(rooted(tree))
 
 
 def category_subtree(tree: DataFrame) -> DataFrame:
     """(ancestor, id) of every node and everything under it, itself included."""
-    one = tree.where("parent_id IS NOT NULL").select(F.col("parent_id").alias("ancestor"), "id")
-    two = one.select(F.col("ancestor").alias("a"), F.col("id").alias("b")).join(one.select(F.col("ancestor").alias("b"), "id"), "b").select(F.col("a").alias("ancestor"), "id")
-    return tree.select(F.col("id").alias("ancestor"), "id").union(one).union(two)
+    return subtrees(rooted(tree))
 
 
 def sold_under(r: Roles, node: str) -> DataFrame:
     """(product_id) of the products sold by a seller under a node of the tree, itself included."""
     under = category_subtree(r.tree).where(F.col("ancestor") == node).select("id")
-    return r.offer.select("product_id", F.concat(F.lit("s"), F.col("seller_id")).alias("id")).join(F.broadcast(under), "id", "left_semi").select("product_id").distinct()
+    return r.offer.select("product_id", F.concat(F.lit("s"), F.col("seller_id")).alias("id")).join(under, "id", "left_semi").select("product_id").distinct()
 
 
 def spec_options(r: Roles) -> DataFrame:
@@ -198,23 +179,6 @@ def spec_options(r: Roles) -> DataFrame:
     return rows.groupBy("product_id").agg(F.map_from_entries(F.collect_list(F.struct("attribute_key", "label"))).alias("specs"))
 
 
-def spec_predicate(c: Criteria) -> Column:
-    """Whether a row's ``specs`` match every attribute asked for; an attribute without labels, or one that no registry entry filters by, asks for nothing."""
-    known = {key for key, _, _, _, _, filterable, *_ in REGISTRY if filterable}
-    out = F.lit(True)
-    for key, labels in c.specs:
-        if labels and key in known:
-            out = out & F.coalesce(F.element_at("specs", key).isin(*labels), F.lit(False))
-    return out
-
-
-def catalogue(r: Roles, c: Criteria) -> DataFrame:
-    """A whole catalogue request: scope, subtree, all groups and all specs."""
-    rows = product_summary(r)
-    rows = rows.join(sold_under(r, c.node), "product_id", "left_semi") if c.node else rows
-    return results(flagged(rows, c)).join(spec_options(r), "product_id", "left").where(spec_predicate(c))
-
-
 def taxonomy_products(r: Roles) -> DataFrame:
     """Distinct products sold under every node of the tree, and of every product type."""
     sold = r.offer.select("product_id", F.concat(F.lit("s"), F.col("seller_id")).alias("id")).distinct()

@@ -205,6 +205,70 @@ _STEP = "CASE WHEN p < 100000 THEN 1000 WHEN p < 1000000 THEN 5000 ELSE 10000 EN
 _NET = f"selling - {_h('selling * referral_bp / 10000')} - fixed_fee * 100 - shipping - {_h('(%s + fixed_fee * 100 + shipping) * 18 / 100' % _h('selling * referral_bp / 10000'))}"
 _SPEC_LONG = "long_spec AS (SELECT product_id, 'size' AS attribute_key, 0 AS ord, CAST(p_size AS VARCHAR) AS value, CASE WHEN p_size < 10 THEN 'up to 10' WHEN p_size < 25 THEN '10 to 25' ELSE '25 and more' END AS option FROM product UNION ALL SELECT product_id, 'grade', 1, CAST(grade AS VARCHAR), CAST(grade AS VARCHAR) FROM product WHERE grade IS NOT NULL UNION ALL SELECT product_id, 'material', 2, category, category FROM product UNION ALL SELECT product_id, 'large', 3, CASE WHEN p_size > 25 THEN '1' END, CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END FROM product)"
 
+
+
+def _short(c: str) -> str:
+    """Rupees with a suffix: 2.5k, 1L."""
+    plain = lambda x: f"regexp_replace(CAST({x} AS VARCHAR), '\\.0$', '')"
+    return f"CASE WHEN {c} >= 100000 THEN {plain(f'{c} / 100000')} || 'L' WHEN {c} >= 1000 THEN {plain(f'{c} / 1000')} || 'k' ELSE CAST({c} AS VARCHAR) END"
+
+
+def _browse(tail: str, scope: str, ok: dict[str, str], specs: str, typed: str | None = None) -> str:
+    """A catalogue page the plain way: each group's predicate by itself, and a pool for each facet. ``specs`` holds only where there is one product type."""
+    test = {g: ok.get(g, "true") for g in ("brand", "price", "rating", "market", "stock")}
+    flags = ", ".join(f"coalesce({v}, false) AS ok_{g}" for g, v in test.items())
+    kind = f"'{typed}' AS product_type" if typed else "CASE WHEN min(product_type) = max(product_type) THEN min(product_type) END AS product_type FROM scope"
+    return _sql(f""", scope AS (
+  SELECT s.*, p_size, grade FROM summary s JOIN (SELECT product_id, p_size, grade FROM product) USING (product_id) WHERE {scope}),
+only_type AS (SELECT {kind}),
+ladder AS (
+  SELECT CASE WHEN top <= 8000 THEN [500, 1000, 2000, 5000] WHEN top <= 16000 THEN [1000, 2500, 5000, 10000] WHEN top <= 64000 THEN [5000, 10000, 20000, 40000] WHEN top <= 160000 THEN [10000, 25000, 50000, 100000] ELSE [25000, 50000, 100000, 200000] END AS edges
+  FROM (SELECT max(min_price) / 100 AS top FROM scope) WHERE top IS NOT NULL),
+buckets AS (SELECT unnest(range(0, 5)) AS bucket, unnest(list_concat([0], edges)) AS low, unnest(list_concat(edges, [NULL])) AS high FROM ladder),
+asked2 AS (
+  SELECT *, {flags}, (SELECT product_type FROM only_type) IS NULL OR ({specs}) AS ok_specs
+  FROM (SELECT scope.*, bucket FROM scope LEFT JOIN buckets ON min_price >= low * 100 AND (high IS NULL OR min_price < high * 100))),
+spec_pool AS (SELECT product_id, p_size, grade, category FROM asked2 WHERE {_BUT['specs']} AND (SELECT product_type FROM only_type) IS NOT NULL),
+spec_options AS (
+  SELECT 'spec:size' AS facet, CASE WHEN p_size < 10 THEN 'up to 10' WHEN p_size < 25 THEN '10 to 25' ELSE '25 and more' END AS option, CASE WHEN p_size < 10 THEN 0 WHEN p_size < 25 THEN 1 ELSE 2 END AS pos FROM spec_pool
+  UNION ALL SELECT 'spec:grade', CAST(grade AS VARCHAR), NULL FROM spec_pool WHERE grade IS NOT NULL UNION ALL SELECT 'spec:material', category, NULL FROM spec_pool UNION ALL SELECT 'spec:large', CASE WHEN p_size > 25 THEN 'true' ELSE 'false' END, CASE WHEN p_size > 25 THEN 0 ELSE 1 END FROM spec_pool),
+facets AS (
+  SELECT 'brand' AS facet, brand AS option, brand AS label, NULL AS pos, count(*) AS n FROM asked2 WHERE {_BUT['brand']} GROUP BY brand
+  UNION ALL SELECT 'price', CAST(bucket AS VARCHAR), CASE WHEN low = 0 THEN 'Under ₹' || h WHEN high IS NULL THEN '₹' || l || ' & above' ELSE '₹' || l || ' – ₹' || h END, bucket, n FROM (
+    SELECT *, {_short('low')} AS l, {_short('high')} AS h FROM buckets JOIN (SELECT bucket, count(*) AS n FROM asked2 WHERE {_BUT['price']} GROUP BY bucket) USING (bucket))
+  UNION ALL SELECT 'rating', option, label, pos, count(*) FROM asked2, (VALUES ('r4', '4★ & above', 40, 0), ('r35', '3.5★ & above', 35, 1), ('r3', '3★ & above', 30, 2)) o(option, label, least_rating, pos) WHERE {_BUT['rating']} AND coalesce(rating_tenths, 0) >= least_rating GROUP BY ALL
+  UNION ALL SELECT 'marketplace', CAST(m AS VARCHAR), CAST(m AS VARCHAR), m, count(*) FROM (SELECT unnest(marketplaces) AS m FROM asked2 WHERE {_BUT['market']}) GROUP BY m
+  UNION ALL SELECT 'availability', 'in_stock', 'In stock', 0, count(*) FROM asked2 WHERE {_BUT['stock']} AND any_in_stock
+  UNION ALL SELECT facet, option, CASE option WHEN 'true' THEN 'Yes' WHEN 'false' THEN 'No' ELSE option END, any_value(pos), count(*) FROM spec_options WHERE facet IN (SELECT facet FROM spec_options GROUP BY facet HAVING count(DISTINCT option) > 1) GROUP BY facet, option)
+{tail}""")
+
+
+_FACETS = "SELECT facet, option, label, n, row_number() OVER (PARTITION BY facet ORDER BY CASE WHEN pos IS NULL THEN -n ELSE pos END, option) AS place FROM facets"
+_RESULTS = f"SELECT row_number() OVER (ORDER BY %s, product_id) AS place, product_id, canonical_name, brand, min_price, max_price, rating_tenths, review_count, listings, any_in_stock FROM asked2 WHERE {_BUT[None]}"
+_MIXED = {
+    "scope": "s.product_id IN (SELECT product_id FROM offer JOIN seller USING (seller_id, marketplace_id) WHERE marketplace_id = 1)", "specs": "p_size >= 10 AND p_size < 25",
+    "ok": {"brand": "brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7')", "market": "list_has_any(marketplaces, [0, 1, 2, 3])", "price": "bucket IN (2, 3, 4)"},
+}
+_TYPED = {"scope": "product_type = 'hot plate'", "typed": "hot plate", "specs": "p_size >= 10 AND category IN ('SMALL', 'LARGE', 'PROMO') AND coalesce(grade BETWEEN 1 AND 4, false)", "ok": {"stock": "any_in_stock", "rating": "coalesce(rating_tenths, 0) >= 30", "price": "bucket IN (1, 2, 3, 4)"}}
+_SINGLE = {
+    "scope": "contains(lower(canonical_name), 'hot plate') OR contains(lower(brand), 'hot plate') OR contains(lower(product_type), 'hot plate')", "specs": "p_size >= 10 AND p_size > 25",
+    "ok": {"brand": "brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#11', 'Brand#12', 'Brand#13', 'Brand#21', 'Brand#22')", "market": "list_has_any(marketplaces, [1, 2])"},
+}
+_SELLER = {"scope": "s.product_id IN (SELECT product_id FROM offer WHERE seller_id = 3)", "specs": "p_size >= 10 AND p_size < 25", "ok": {"stock": "any_in_stock"}}
+_ADDRESS = {
+    "scope": "contains(lower(canonical_name), 'brand#1') OR contains(lower(brand), 'brand#1') OR contains(lower(product_type), 'brand#1')", "specs": "p_size >= 10",
+    "ok": {"brand": "brand IN ('Brand#1', 'Brand#12')", "price": "bucket IN (1, 2, 3)", "rating": "coalesce(rating_tenths, 0) >= 30", "market": "list_has_any(marketplaces, [0, 2])", "stock": "any_in_stock"},
+}
+
+
+def _envelope(name: str, request: dict, breadcrumb: str, children: str, types: str) -> str:
+    """One request's envelope, as a statement of its own in brackets."""
+    tail = f"SELECT '{name}' AS request, (SELECT count(*) FROM asked2 WHERE {_BUT[None]}) AS total, (SELECT count(*) FROM scope) AS scope_total, (SELECT product_type FROM only_type) AS product_type, {breadcrumb} AS breadcrumb, ({children}) AS children, ({types}) AS types"
+    return "(" + _browse(tail, **request).replace("\n, ", ",\n", 1) + ")"
+
+
+_ROOTS = "SELECT string_agg(id, ',' ORDER BY id) FROM tree WHERE parent_id IS NULL"
+
 ORACLE_SQL = {
     "current_effective_price": _sql("SELECT product_id, universal_effective, listing_id, offer_id, landed, conditional_best, universal_discount, marketplace_id, seller_id FROM price"),
     "join_chain": _sql("SELECT p.product_id, product_type, l.listing_id, l.marketplace_id, confidence_pct, human_confirmed, count(*) AS offers FROM product p JOIN listing l USING (product_id) JOIN offer o ON o.listing_id = l.listing_id GROUP BY ALL"),
@@ -256,10 +320,17 @@ ORACLE_SQL = {
     "category_subtree": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT * FROM under"),
     "taxonomy_counts": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT ancestor AS id, count(offer_id) AS offers FROM under LEFT JOIN offer ON under.id = 's' || seller_id GROUP BY ancestor"),
     "marketplace_category_map": _sql("SELECT r_regionkey AS marketplace_id, category, EXISTS (SELECT 1 FROM listing l JOIN product p USING (product_id) WHERE l.marketplace_id = r_regionkey AND p.category = c.category) AS mapped FROM region, (SELECT DISTINCT category FROM product) c"),
-    "catalogue_request": _sql(
-        "SELECT s.product_id, min_price, rating_tenths, listings FROM summary s JOIN (SELECT product_id, p_size, grade FROM product) p ON p.product_id = s.product_id WHERE brand IN ('Brand#1', 'Brand#2', 'Brand#3', 'Brand#4', 'Brand#5', 'Brand#6', 'Brand#7') AND list_has_any(marketplaces, [0, 1, 2, 3])"
-        " AND p_size >= 10 AND category IN ('SMALL', 'LARGE', 'PROMO') AND grade BETWEEN 1 AND 4 AND s.product_id IN (SELECT product_id FROM offer JOIN seller USING (seller_id, marketplace_id) WHERE marketplace_id = 1)"
-    ),
+    "catalogue_request": _browse(_RESULTS % "min_price DESC NULLS LAST", **_MIXED),
+    "catalogue_typed": _browse(_RESULTS % "review_count DESC", **_TYPED),
+    "catalogue_single": _browse(_RESULTS % "coalesce(rating_tenths, 0) DESC", **_SINGLE),
+    "catalogue_facets": _browse(_FACETS, **_MIXED),
+    "catalogue_facets_typed": _browse(_FACETS, **_TYPED),
+    "catalogue_facets_single": _browse(_FACETS, **_SINGLE),
+    "catalogue_envelope": " UNION ALL ".join((
+        _envelope("mixed", _MIXED, "'r1'", "SELECT string_agg(id, ',' ORDER BY id) FROM tree WHERE parent_id = 'r1'", "SELECT ''"), _envelope("typed", _TYPED, "''", _ROOTS, "SELECT ''"), _envelope("single", _SINGLE, "''", _ROOTS, "SELECT ''"),
+        _envelope("seller", _SELLER, "(SELECT 'r' || n_regionkey || ',n' || n_nationkey || ',s3' FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_suppkey = 3)", "SELECT ''", "SELECT string_agg(DISTINCT product_type, ',' ORDER BY product_type) FROM offer JOIN product USING (product_id) WHERE seller_id = 3"),
+    )),
+    "departments": _sql(", walk AS (SELECT id, id AS department, name AS department_name, 1 AS depth FROM tree WHERE parent_id IS NULL UNION ALL SELECT t.id, w.department, w.department_name, w.depth + 1 FROM tree t JOIN walk w ON t.parent_id = w.id) SELECT *, false AS cyclic FROM walk"),
     "taxonomy_products": _sql(", under AS (SELECT id AS ancestor, id FROM tree UNION ALL SELECT u.ancestor, t.id FROM under u JOIN tree t ON t.parent_id = u.id) SELECT ancestor AS id, count(DISTINCT product_id) AS products FROM under LEFT JOIN offer ON under.id = 's' || seller_id GROUP BY ancestor UNION ALL SELECT 't:' || product_type, count(*) FROM product GROUP BY product_type"),
     "rendered_specs": _sql("SELECT product_id, 'size' AS attribute_key, p_size || ' cm' AS shown FROM product UNION ALL SELECT product_id, 'grade', CAST(grade AS VARCHAR) FROM product WHERE grade IS NOT NULL UNION ALL SELECT product_id, 'material', category FROM product UNION ALL SELECT product_id, 'large', CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END FROM product"),
     "listing_offers": _sql("SELECT s.listing_id, offer_id, seller_id, in_stock, landed, universal_effective, row_number() OVER (PARTITION BY s.listing_id ORDER BY universal_effective, offer_id) AS place, v.rating_tenths, review_count, velocity_milli FROM state s LEFT JOIN velocity v ON v.listing_id = s.listing_id"),
@@ -310,7 +381,7 @@ ORACLE_SQL = {
     "refusals": _sql(", " + _EXPLAINED + """ SELECT product_id, CASE WHEN universal_effective IS NULL THEN 'no_current_price' ELSE 'too_few_comparables' END AS reason,
       concat_ws(' | ', shortfall, 'capture more of this type on its marketplaces', CASE WHEN screened_out > 0 THEN 'review screened out: ' || screened_out END, CASE WHEN cost IS NULL THEN 'enter a seller cost' END) AS what_would_help
       FROM explained LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN seller_cost USING (product_id) WHERE universal_effective IS NULL OR NOT sufficient"""),
-    "address_request": _sql("SELECT product_id, min_price FROM summary JOIN (SELECT product_id, p_size FROM product) USING (product_id) WHERE (lower(canonical_name) LIKE '%brand#1%' OR lower(brand) LIKE '%brand#1%' OR lower(product_type) LIKE '%brand#1%') AND brand IN ('Brand#1', 'Brand#12') AND min_price < 5000000 AND rating_tenths >= 30 AND list_has_any(marketplaces, [0, 2]) AND any_in_stock AND p_size >= 10"),
+    "address_request": _browse("SELECT place, product_id, min_price FROM (" + _RESULTS % "min_price ASC NULLS LAST" + ")", **_ADDRESS),
     "price_labels": _sql(f"""SELECT product_id, '₹' || CASE WHEN len(q) <= 3 THEN q ELSE ltrim(reverse(regexp_replace(reverse(q[:-4]), '(..)', '\\1,', 'g')), ',') || ',' || q[-3:] END AS price,
       CASE WHEN bp < 0 THEN '-' WHEN bp > 0 THEN '+' ELSE '' END || (t // 10) || '.' || (t % 10) || '%' AS trend
       FROM (SELECT *, {_h('abs(bp) / 10')} AS t FROM (SELECT product_id, CAST({_h('current_price / 100')} AS VARCHAR) AS q, {_h('(current_price - first_price) * 10000 / first_price')} AS bp FROM history))"""),

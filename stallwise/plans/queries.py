@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions.scalar import compact_money, grouped_money, model_name, percent_label, scaled
 from ..operators import catalogue as cat
 from ..operators import competitive as cs
-from ..operators import fees, history, prices, provenance, recommend, reviews, stats
+from ..operators import browse, fees, history, prices, provenance, recommend, reviews, stats, trees
 from ..operators.hedonic import hedonic_fit
 from ..sources.roles import load_roles
 
@@ -186,13 +186,56 @@ def search_catalogue(r):
     return cat.results(cat.flagged(cat.product_summary(r), REQUEST)).select("product_id", "canonical_name", "min_price", "rating_tenths", "review_count")
 
 
-#: A request with a subtree and several specs at once.
-SPEC_REQUEST = cat.Criteria(brands=("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6", "Brand#7"), marketplaces=(0, 1, 2, 3), specs=(("size", ("10 to 25", "25 and more")), ("material", ("SMALL", "LARGE", "PROMO")), ("grade", ("1", "2", "3", "4")), ("large", ()), ("colour", ("red",))), node="r1")
+#: A request in a scope of several product types, where specs ask for nothing; one of a single type; and one whose scope happens to hold a single type.
+MIXED_REQUEST = browse.Request(brands=("Brand#1", "Brand#2", "Brand#3", "Brand#4", "Brand#5", "Brand#6", "Brand#7"), marketplaces=(0, 1, 2, 3), specs=(("size", ("10 to 25",)), ("colour", ("red",))), prices=("2", "3", "4"), node="r1", sort="price_desc")
+TYPED_REQUEST = browse.Request(product_type="hot plate", specs=(("size", ("10 to 25", "25 and more")), ("material", ("SMALL", "LARGE", "PROMO")), ("grade", ("1", "2", "3", "4")), ("large", ()), ("colour", ("red",))), in_stock_only=True, rating="r3", prices=("1", "2", "3", "4"))
+SINGLE_REQUEST = browse.Request(query="HOT plate", specs=(("size", ("10 to 25", "25 and more")), ("large", ("true",))), brands=("Brand#1", "Brand#2", "Brand#3", "Brand#11", "Brand#12", "Brand#13", "Brand#21", "Brand#22"), marketplaces=(1, 2), rating="r9", sort="rating")
 
 
 @_query
 def catalogue_request(r):
-    return cat.catalogue(r, SPEC_REQUEST).select("product_id", "min_price", "rating_tenths", "listings")
+    return browse.Page(r, MIXED_REQUEST).results()
+
+
+@_query
+def catalogue_typed(r):
+    return browse.Page(r, TYPED_REQUEST).results()
+
+
+@_query
+def catalogue_single(r):
+    return browse.Page(r, SINGLE_REQUEST).results()
+
+
+@_query
+def catalogue_facets(r):
+    return browse.Page(r, MIXED_REQUEST).facets()
+
+
+@_query
+def catalogue_facets_typed(r):
+    return browse.Page(r, TYPED_REQUEST).facets()
+
+
+@_query
+def catalogue_facets_single(r):
+    return browse.Page(r, SINGLE_REQUEST).facets()
+
+
+def _envelope(r, request):
+    lists = ("breadcrumb", "children", "types")
+    return browse.Page(r, request).envelope().withColumns({c: F.array_join(c, ",") for c in lists})
+
+
+@_query
+def catalogue_envelope(r):
+    at_seller = browse.Request(node="s3", specs=(("size", ("10 to 25",)),), in_stock_only=True)
+    requests = {"mixed": MIXED_REQUEST, "typed": TYPED_REQUEST, "single": SINGLE_REQUEST, "seller": at_seller}
+    out = None
+    for name, request in requests.items():
+        one = _envelope(r, request).select(F.lit(name).alias("request"), "*")
+        out = one if out is None else out.union(one)
+    return out
 
 
 @_query
@@ -227,22 +270,12 @@ def search_products(r):
 
 @_query
 def catalogue_sorted(r):
-    rows = cat.product_summary(r)
-    out = None
-    for sort in cat.SORTS:
-        one = cat.sorted_results(rows, sort, 20).select(F.lit(sort).alias("sort"), "place", "product_id")
-        out = one if out is None else out.union(one)
-    return out
+    return cat.sorted_results(cat.product_summary(r), 20, *cat.SORTS)
 
 
 @_query
 def catalogue_sorted_whole(r):
-    rows = cat.product_summary(r)
-    out = None
-    for sort in cat.SORTS:
-        one = cat.sorted_whole(rows, sort).select(F.lit(sort).alias("sort"), "place", "product_id")
-        out = one if out is None else out.union(one)
-    return out
+    return cat.sorted_whole(cat.product_summary(r), *cat.SORTS)
 
 
 @_query
@@ -298,6 +331,11 @@ def category_path(r):
     return cat.category_path(r.tree)
 
 
+@_query
+def departments(r):
+    return trees.departments(trees.rooted(r.tree))
+
+
 @_query
 def category_subtree(r):
     return cat.category_subtree(r.tree)
@@ -513,13 +551,13 @@ def refusals(r):
     return recommend.refusals(recommend.Parts(r))
 
 
-#: A request as a page's address holds it.
-ADDRESS = {"q": "brand#1", "brand": "Brand#1,Brand#12,", "price": "0,1,9", "rating": "r3", "mp": "0,2,x", "stock": "1", "spec_size": "10 to 25,25 and more", "sort": "price_asc"}
+#: A request as a page's address holds it; the ladder has no place 9, and no rating r9.
+ADDRESS = {"q": "brand#1", "brand": "Brand#1,Brand#12,", "price": "1,2,3,9", "rating": "r3", "mp": "0,2,x", "stock": "1", "spec_size": "10 to 25,25 and more", "sort": "price_asc"}
 
 
 @_query
 def address_request(r):
-    return cat.catalogue(r, cat.criteria_of(ADDRESS, ((0, 2_500_000), (2_500_000, 5_000_000)))).select("product_id", "min_price")
+    return browse.Page(r, browse.request_of(ADDRESS)).results().select("place", "product_id", "min_price")
 
 
 @_query

@@ -4,7 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from stallwise.functions.scalar import compact_money, grouped_money, half_up, model_name, percent_label, price_proximity, psych_snap, token_jaccard
-from stallwise.operators import catalogue, competitive, hedonic, history, prices, stats
+from stallwise.operators import browse, catalogue, competitive, hedonic, history, prices, stats
 
 D = datetime.date
 
@@ -66,7 +66,7 @@ def test_regression_needs_rows_and_variety():
 def test_whole_sorts_place_every_row(spark):
     rows = spark.range(1000).select(F.col("id").alias("product_id"), F.when(F.col("id") % 7 != 0, F.col("id") % 5).alias("min_price")).repartition(8)
     want = sorted(range(1000), key=lambda i: (i % 7 == 0, i % 5 if i % 7 else 0, i))
-    got = sorted((r.place, r.product_id) for r in catalogue.sorted_whole(rows, "price_asc").collect())
+    got = sorted((r.place, r.product_id) for r in catalogue.sorted_whole(rows, "price_asc").where("sort = 'price_asc'").collect())
     assert got == [(k + 1, i) for k, i in enumerate(want)]
 
 
@@ -88,11 +88,10 @@ def test_labels_of_money_and_shares(spark):
     assert tuple(r) == ("+12.3%", "-0.6%", "—", "0.0%")
 
 
-def test_addresses_become_criteria():
-    ladder = ((0, 100), (100, None))
-    c = catalogue.criteria_of({"q": "a", "brand": "x,,y", "price": "1,7", "rating": "r4", "mp": "2,z", "stock": "0", "spec_size": "s,m", "spec_grade": "", "cat": "", "page": "3"}, ladder)
-    assert c == catalogue.Criteria(query="a", brands=("x", "y"), buckets=((100, None),), rating_tenths=40, marketplaces=(2,), specs=(("size", ("s", "m")),))
-    assert catalogue.criteria_of({}) == catalogue.Criteria()
+def test_addresses_become_requests():
+    q = browse.request_of({"q": "a", "brand": "x,,y", "price": "1,7", "rating": "r4", "mp": "2,z", "stock": "0", "spec_size": "s,m", "spec_grade": "", "cat": "", "page": "3", "sort": "best"})
+    assert q == browse.Request(query="a", brands=("x", "y"), prices=("1", "7"), rating="r4", marketplaces=(2,), specs=(("size", ("s", "m")),))
+    assert browse.request_of({}) == browse.Request()
 
 
 def test_verdicts_and_coverage_without_candidates(spark):
