@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -156,15 +156,22 @@ def references(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
     return rows.where("tier_now = 'reference'").withColumn("place", F.row_number().over(best)).where(F.col("place") <= policy.most_reference)
 
 
-def coverage_level(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
-    """Per target: counts by tier and reason, effective comparables in hundredths, and the level."""
+def by_target(rows: DataFrame, policy: Policy = POLICY) -> DataFrame:
+    """Coverage of each target with its members as an array: all that later stages need of its candidates, in one aggregate. The cap on members bounds the array."""
+    held = [c for c in rows.columns if c != "product_id"]
+    return coverage_level(rows, policy, F.collect_list(F.when(F.col("tier_now").isin("direct", "comparable"), F.struct(*held))).alias("members"))
+
+
+def coverage_level(rows: DataFrame, policy: Policy = POLICY, *more: Column) -> DataFrame:
+    """Per target: counts by tier and reason, effective comparables in hundredths, the level, and what ``more`` aggregates."""
     is_ = lambda t: F.count_if(F.col("tier_now") == t)
     why = lambda x: F.count_if((F.col("tier_now") == "excluded") & (F.col("reason") == x))
-    got = rows.groupBy("product_id").agg(F.count("*").alias("candidates"), is_("direct").alias("direct"), is_("comparable").alias("comparable"), is_("reference").alias("reference"), why("marketplace").alias("no_marketplace"), why("mrp").alias("over_mrp"), why("family").alias("same_family"), F.coalesce(F.sum("weight_milli"), F.lit(0)).alias("w"))
+    got = rows.groupBy("product_id").agg(F.count("*").alias("candidates"), is_("direct").alias("direct"), is_("comparable").alias("comparable"), is_("reference").alias("reference"), why("marketplace").alias("no_marketplace"), why("mrp").alias("over_mrp"), why("family").alias("same_family"), F.coalesce(F.sum("weight_milli"), F.lit(0)).alias("w"), *more)
+    extra = [c for c in got.columns if c == "members"]
     effective = half_up(F.col("w") / 10)
     total = F.col("direct") + F.col("comparable")
     level = F.when((F.col("direct") >= policy.target) & (effective >= policy.target * 70), "strong").when((total >= policy.target) & (effective >= policy.target * 55), "adequate").when(total >= policy.minimum, "thin").otherwise("insufficient")
-    return got.select("product_id", "candidates", "direct", "comparable", "reference", "no_marketplace", "over_mrp", "same_family", effective.alias("effective_hundredths"), level.alias("level"))
+    return got.select("product_id", "candidates", "direct", "comparable", "reference", "no_marketplace", "over_mrp", "same_family", effective.alias("effective_hundredths"), level.alias("level"), *extra)
 
 
 def verdict(data_type: str, score):

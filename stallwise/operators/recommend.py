@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalar import clamp, half_up, psych_snap
 from ..sources.roles import REGISTRY, Roles
+from ..sources.staging import Stages
 from . import competitive as cs
 from .fees import break_even, fee_rule_asof
 from .hedonic import hedonic_fit
@@ -23,22 +26,40 @@ _CAPS = {"strong": "high", "adequate": "medium-high", "thin": "medium"}
 
 
 class Parts:
-    """The frames that a recommendation is joined from.
+    """The tables that a recommendation is made of, staged one after the other in shared storage.
 
-    Those that many others are made of are persisted, so that they are computed once; a lost block is
-    computed again.
+    Offers' states are staged first, then what each target's candidates come to: a row with its coverage and its few
+    members. Everything later reads these and not the lineage behind them. ``once`` stages what several later
+    frames read; ``finish`` stages an answer and deletes all that it was made of.
     """
 
     def __init__(self, r: Roles):
         self.r = r
-        self.state = commercial_state(r).persist()
-        self.prices = current_effective_price(r, self.state).persist()
-        self.rows = cs.classified(cs.with_similarity(cs.candidate_pairs(cs.profiles(r, self.state)))).persist()
-        self.members = cs.members(self.rows).persist()
-        self.coverage = cs.coverage_level(self.rows)
+        self.stages = Stages(r.product.sparkSession)
+        self._made: dict[str, DataFrame] = {}
+        self.state = self.once("state", lambda: commercial_state(r))
+        self.prices = self.once("prices", lambda: current_effective_price(r, self.state))
+        profiles = self.once("profiles", lambda: cs.profiles(r, self.state))
+        targets = self.once("targets", lambda: cs.by_target(cs.classified(cs.with_similarity(cs.candidate_pairs(profiles)))))
+        self.coverage = targets.drop("members")
+        self.members = targets.select("product_id", F.inline("members"))
         self.competition = competition_stats(self.state)
         self.mrp = applicable_mrp(self.state, self.prices)
-        self.history = history_stats(r).persist()
+
+    @property
+    def history(self) -> DataFrame:
+        return self.once("history", lambda: history_stats(self.r))
+
+    def once(self, name: str, make: Callable[[], DataFrame]) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self.stages.put(name, make())
+        return self._made[name]
+
+    def finish(self, answer: DataFrame) -> DataFrame:
+        out = self.stages.put("answer", answer)
+        self.stages.drop(*self._made)
+        self._made.clear()
+        return out
 
 
 def product_strength(p: Parts) -> DataFrame:
@@ -71,7 +92,7 @@ def pool_position(p: Parts) -> DataFrame:
 
 def member_stats(p: Parts) -> DataFrame:
     """Weighted distribution of each target's members."""
-    return weighted_distribution(p.members, "product_id", "c_price", "weight_milli", "c_product_id")
+    return p.once("member_stats", lambda: weighted_distribution(p.members, "product_id", "c_price", "weight_milli", "c_product_id"))
 
 
 def own_stats(p: Parts) -> DataFrame:
@@ -140,7 +161,8 @@ def price_bounds(p: Parts) -> DataFrame:
 
 def strategy_prices(p: Parts) -> DataFrame:
     """Fast, balanced and premium prices of every target that passes the gate and has no conflict, with what binds them."""
-    t = market_anchor(p).join(price_bounds(p), "product_id").join(evidence_score(p).select("product_id", "evidence"), "product_id").join(p.coverage.select("product_id", (F.col("direct") + F.col("comparable")).alias("n_members")), "product_id").join(hedonic_fit(p.members).select("product_id", "trusted", "predicted"), "product_id", "left")
+    anchors, bounds, evidence, fits = p.once("anchors", lambda: market_anchor(p)), p.once("bounds", lambda: price_bounds(p)), p.once("evidence", lambda: evidence_score(p)), p.once("fits", lambda: hedonic_fit(p.members))
+    t = anchors.join(bounds, "product_id").join(evidence.select("product_id", "evidence"), "product_id").join(p.coverage.select("product_id", (F.col("direct") + F.col("comparable")).alias("n_members")), "product_id").join(fits.select("product_id", "trusted", "predicted"), "product_id", "left")
     t = t.where((F.col("n_members") >= LEAST_MEMBERS) & ~F.col("conflict"))
     cap = EVIDENCED_CAP * F.col("anchor")
     t = t.withColumn("premium_evidence", F.when(F.coalesce("trusted", F.lit(False)), half_up(clamp(F.col("predicted") - F.col("comp_median"), -cap, cap))).otherwise(0))
@@ -177,10 +199,10 @@ def sanity_checks(p: Parts, strategies: DataFrame) -> DataFrame:
 
 def recommendation(p: Parts) -> DataFrame:
     """A row for every product: its strategies, or why there are none."""
-    s = strategy_prices(p).select("product_id", "fast", "balanced", "premium", "evidence", "distortion")
+    s = p.once("strategies", lambda: strategy_prices(p)).select("product_id", "fast", "balanced", "premium", "evidence", "distortion")
     members = p.coverage.select("product_id", (F.col("direct") + F.col("comparable")).alias("members"))
     priced = p.prices.select("product_id", F.col("universal_effective").alias("current_price"))
-    t = p.r.product.select("product_id").join(priced, "product_id", "left").join(members, "product_id", "left").join(price_bounds(p).select("product_id", "conflict"), "product_id", "left").join(s, "product_id", "left")
+    t = p.r.product.select("product_id").join(priced, "product_id", "left").join(members, "product_id", "left").join(p.once("bounds", lambda: price_bounds(p)).select("product_id", "conflict"), "product_id", "left").join(s, "product_id", "left")
     status = F.when(F.col("current_price").isNull(), "no_current_price").when(F.coalesce("members", F.lit(0)) < LEAST_MEMBERS, "too_few_comparables").when(F.coalesce("conflict", F.lit(False)), "no_valid_price").otherwise("ok")
     collapsed = F.size(F.array_distinct(F.array("fast", "balanced", "premium"))) < 3
     return t.select("product_id", "current_price", F.coalesce("members", F.lit(0)).alias("members"), status.alias("status"), "fast", "balanced", "premium", "evidence", "distortion", F.when(F.col("fast").isNotNull(), collapsed).alias("collapsed"))

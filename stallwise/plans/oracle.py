@@ -194,6 +194,64 @@ explained AS (
     FROM product p LEFT JOIN coverage USING (product_id)))"""
 
 
+def _det(m: list[list[str]]) -> str:
+    """Determinant of a 3 x 3 matrix of expressions."""
+    (a, b, c), (d, e, f), (g, h, i) = m
+    return f"({a} * ({e} * {i} - {f} * {h}) - {b} * ({d} * {i} - {f} * {g}) + {c} * ({d} * {h} - {e} * {g}))"
+
+
+_RIDGE = "0.000001::DOUBLE"
+_N = "(n + 0.000001::DOUBLE)"
+_MATRIX = [["p0", "r01", "r02"], ["r01", "p1", "r12"], ["r02", "r12", "p2"]]
+_CRAMER = ", ".join(f"{_det([[f'g{i}' if j == k else _MATRIX[i][j] for j in range(3)] for i in range(3)])} / {_det(_MATRIX)} AS b{k}" for k in range(3))
+_FIT = f"""
+moments AS (
+  SELECT product_id, count(*) AS n, avg(ln(c_price::DOUBLE)) AS my, var_pop(ln(c_price::DOUBLE)) AS vy, any_value(size)::DOUBLE AS t0, any_value(grade)::DOUBLE AS t1, any_value(tier)::DOUBLE AS t2,
+    avg(c_size) AS m0, avg(c_grade) AS m1, avg(c_tier) AS m2, stddev_pop(c_size) AS d0, stddev_pop(c_grade) AS d1, stddev_pop(c_tier) AS d2,
+    covar_pop(c_size, ln(c_price::DOUBLE)) AS y0, covar_pop(c_grade, ln(c_price::DOUBLE)) AS y1, covar_pop(c_tier, ln(c_price::DOUBLE)) AS y2, covar_pop(c_size, c_grade) AS c01, covar_pop(c_size, c_tier) AS c02, covar_pop(c_grade, c_tier) AS c12,
+    count(DISTINCT c_size) > 1 AS v0, count(DISTINCT c_grade) > 1 AND count(c_grade) = count(*) AND any_value(grade) IS NOT NULL AS v1, count(DISTINCT c_tier) > 1 AS v2
+  FROM member GROUP BY product_id),
+strengths AS (SELECT product_id, unnest([0, 1, 2]) AS f, unnest([v0, v1, v2]) AS v, unnest([abs(y0) / (d0 * sqrt(vy)), abs(y1) / (d1 * sqrt(vy)), abs(y2) / (d2 * sqrt(vy))]) AS s, n, vy FROM moments WHERE n >= 5),
+picked AS (
+  SELECT product_id, coalesce(bool_or(f = 0), false) AS u0, coalesce(bool_or(f = 1), false) AS u1, coalesce(bool_or(f = 2), false) AS u2, count(*) AS k
+  FROM (SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY CASE WHEN vy = 0 THEN 0 ELSE round(s / 0.000000001::DOUBLE) END DESC, f) AS place FROM strengths WHERE v) WHERE place <= greatest(1, (n - 2) // 2) GROUP BY product_id),
+system AS (
+  SELECT m.*, k, u0, u1, u2, CASE WHEN u0 THEN {_N} ELSE 1 END AS p0, CASE WHEN u1 THEN {_N} ELSE 1 END AS p1, CASE WHEN u2 THEN {_N} ELSE 1 END AS p2,
+    CASE WHEN u0 AND u1 THEN n * c01 / (d0 * d1) ELSE 0 END AS r01, CASE WHEN u0 AND u2 THEN n * c02 / (d0 * d2) ELSE 0 END AS r02, CASE WHEN u1 AND u2 THEN n * c12 / (d1 * d2) ELSE 0 END AS r12,
+    CASE WHEN u0 THEN n * y0 / d0 ELSE 0 END AS g0, CASE WHEN u1 THEN n * y1 / d1 ELSE 0 END AS g1, CASE WHEN u2 THEN n * y2 / d2 ELSE 0 END AS g2
+  FROM moments m JOIN picked USING (product_id)),
+solved AS (SELECT *, n * my / {_N} AS b, {_CRAMER} FROM system),
+fits AS (
+  SELECT product_id, m.n, coalesce(k, 0) AS features, {_h('adjusted * 1000')} AS adjusted_r2_milli, predicted, coalesce(adjusted >= 0.5::DOUBLE AND predicted > 0, false) AS trusted
+  FROM moments m LEFT JOIN (
+    SELECT product_id, k, 1 - (1 - CASE WHEN vy = 0 THEN 0 ELSE 1 - (n * (my - b) * (my - b) + n * vy - 2 * (b0 * g0 + b1 * g1 + b2 * g2) + b0 * (b0 * (p0 - {_RIDGE}) + b1 * r01 + b2 * r02) + b1 * (b0 * r01 + b1 * (p1 - {_RIDGE}) + b2 * r12) + b2 * (b0 * r02 + b1 * r12 + b2 * (p2 - {_RIDGE}))) / (n * vy) END) * (n - 1) / (n - k - 1) AS adjusted,
+      {_h('exp(least(b + CASE WHEN u0 THEN (t0 - m0) / d0 * b0 ELSE 0 END + CASE WHEN u1 THEN (t1 - m1) / d1 * b1 ELSE 0 END + CASE WHEN u2 THEN (t2 - m2) / d2 * b2 ELSE 0 END, 40))')} AS predicted
+    FROM solved) USING (product_id))"""
+
+
+def _snap(p: str, low: str, high: str) -> str:
+    """A charm price between two bounds: the grid point under ``p`` less a rupee, moved up to ``low`` (a few steps, as ``p`` lies between the bounds), else ``high``."""
+    step = f"CASE WHEN {p} < 100000 THEN 1000 WHEN {p} < 1000000 THEN 5000 ELSE 10000 END"
+    tried = f"list_transform(range(0, 5), lambda k: greatest({p} // ({step}) * ({step}) - 100, 100) + k * ({step}))"
+    return f"coalesce(list_filter({tried}, lambda x: x >= {low} AND x <= {high})[1], {high})"
+
+
+_STRATEGIES = f"""{_FIT.strip()},
+gate AS (
+  SELECT *, CASE WHEN trusted THEN {_h('least(greatest(predicted - comp_median, -0.25::DOUBLE * anchor), 0.25::DOUBLE * anchor)')} ELSE 0 END AS worth,
+    CASE evidence WHEN 'high' THEN 1.0::DOUBLE WHEN 'medium-high' THEN 0.8::DOUBLE WHEN 'medium' THEN 0.55::DOUBLE WHEN 'low' THEN 0.35::DOUBLE ELSE 0.5::DOUBLE END AS travel
+  FROM anchors JOIN bounds USING (product_id) JOIN evidence USING (product_id) JOIN (SELECT product_id, direct + comparable AS n_members FROM coverage) USING (product_id) LEFT JOIN (SELECT product_id, coalesce(trusted, false) AS trusted, predicted FROM fits) USING (product_id)
+  WHERE n_members >= 3 AND NOT conflict),
+raws AS (
+  SELECT *, greatest(least({_h('own_min * 0.985::DOUBLE')}, anchor), {_h('anchor * 0.85::DOUBLE')}) AS raw_fast, {_h('anchor + worth * travel * 0.6::DOUBLE')} AS raw_balanced,
+    CASE WHEN worth > 0 THEN least(greatest(own_max, anchor) + {_h('worth * travel')}, {_h('own_median * 1.25::DOUBLE')}) ELSE least(greatest(own_max, anchor), greatest({_h('own_median')}, own_max, anchor)) END AS raw_premium
+  FROM gate),
+fasts AS (SELECT *, SNAP_FAST AS fast FROM (SELECT *, least(greatest(raw_fast, floor), ceiling) AS p1 FROM raws)),
+balances AS (SELECT *, SNAP_BALANCED AS balanced FROM (SELECT *, least(greatest(raw_balanced, lifted), ceiling) AS p2 FROM (SELECT *, greatest(floor, fast) AS lifted FROM fasts))),
+strategies AS (SELECT *, SNAP_PREMIUM AS premium FROM (SELECT *, least(greatest(raw_premium, balanced), ceiling) AS p3 FROM balances))""".replace("SNAP_FAST", _snap("p1", "floor", "ceiling")).replace("SNAP_BALANCED", _snap("p2", "lifted", "ceiling")).replace("SNAP_PREMIUM", _snap("p3", "balanced", "ceiling"))
+_BOUND = "CASE WHEN {0} > ceiling THEN 'ceiling: ' || ceiling_source WHEN {0} < floor THEN 'floor: ' || CASE WHEN break_even_floor >= market_floor THEN 'break_even' ELSE 'market' END END"
+
+
 def _sql(body: str, recommend: bool = False) -> str:
     return f"WITH RECURSIVE {_ROLES.strip()}" + (f",\n{_RECOMMEND.strip()}" if recommend else "") + f"\n{body}"
 
@@ -365,6 +423,16 @@ ORACLE_SQL = {
     "market_distortion": _sql("SELECT distortion, count(*) AS products FROM anchors GROUP BY distortion", True),
     "price_zones": _sql("SELECT * FROM zones", True),
     "price_bounds": _sql("SELECT product_id, ceiling, ceiling_source, market_floor, break_even_floor, floor, CASE WHEN break_even_floor >= market_floor THEN 'break_even' ELSE 'market' END AS floor_source, middle, conflict FROM bounds", True),
+    "hedonic": _sql(f", {_FIT.strip()} SELECT * FROM fits"),
+    "strategy_prices": _sql(f", {_STRATEGIES} SELECT product_id, fast, balanced, premium, {_BOUND.format('raw_fast')} AS fast_bound, {_BOUND.format('raw_balanced')} AS balanced_bound, {_BOUND.format('raw_premium')} AS premium_bound FROM strategies", True),
+    "sanity_checks": _sql(f""", {_STRATEGIES} SELECT product_id, abs(fast - anchor) <= 0.35::DOUBLE * anchor AND abs(balanced - anchor) <= 0.35::DOUBLE * anchor AND abs(premium - anchor) <= 0.35::DOUBLE * anchor AS near_anchor,
+      coalesce(greatest(fast, balanced, premium) <= mrp.applicable_mrp, true) AS under_mrp, least(fast, balanced, premium) >= floor AS over_floor, fast <= balanced AND balanced <= premium AS ordered, worth > 0 AS supported,
+      greatest(fast, balanced, premium) <= {_h("1.02::DOUBLE * CASE WHEN worth > 0 THEN %s ELSE greatest(own_max, anchor) END" % _h("own_median * 1.25::DOUBLE"))} AS within_own_market, distortion = 'normal' AS undistorted, coalesce(middle >= break_even_floor, true) AS viable
+      FROM strategies LEFT JOIN mrp USING (product_id)""", True),
+    "recommendation": _sql(f""", {_STRATEGIES} SELECT product_id, universal_effective AS current_price, coalesce(direct + comparable, 0) AS members,
+      CASE WHEN universal_effective IS NULL THEN 'no_current_price' WHEN coalesce(direct + comparable, 0) < 3 THEN 'too_few_comparables' WHEN coalesce(b.conflict, false) THEN 'no_valid_price' ELSE 'ok' END AS status, fast, balanced, premium, s.evidence, s.distortion,
+      CASE WHEN fast IS NOT NULL THEN fast = balanced OR balanced = premium OR fast = premium END AS collapsed
+      FROM product LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id) LEFT JOIN (SELECT product_id, direct, comparable FROM coverage) USING (product_id) LEFT JOIN (SELECT product_id, conflict FROM bounds) b USING (product_id) LEFT JOIN (SELECT product_id, fast, balanced, premium, evidence, distortion FROM strategies) s USING (product_id)""", True),
     "source_overview": _sql(f"""SELECT r_regionkey AS marketplace_id, r_name AS marketplace_name, last_run, attempted, succeeded, coalesce(runs, 0) AS runs, coalesce(listings, 0) AS listings, confidence_bp, coalesce(confirmed, 0) AS confirmed FROM region
       LEFT JOIN (SELECT marketplace_id, max(d) AS last_run, arg_max(a, d) AS attempted, arg_max(s, d) AS succeeded, count(*) AS runs FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS d, count(*) AS a, count_if(event_type <> 'error') AS s FROM events GROUP BY ALL) GROUP BY marketplace_id) run ON run.marketplace_id = r_regionkey
       LEFT JOIN (SELECT marketplace_id, count(*) AS listings, {_h('sum(confidence_pct) * 100 / count(*)')} AS confidence_bp, count_if(human_confirmed) AS confirmed FROM listing GROUP BY marketplace_id) l ON l.marketplace_id = r_regionkey"""),

@@ -508,7 +508,8 @@ def sanity_checks(r):
 
 @_query
 def recommendation(r):
-    return recommend.recommendation(recommend.Parts(r))
+    p = recommend.Parts(r)
+    return p.finish(recommend.recommendation(p))
 
 
 @_query

@@ -55,12 +55,50 @@ def test_price_ladder_of_an_empty_scope(spark):
     assert catalogue.price_ladder(spark.createDataFrame([], "min_price long")) == ()
 
 
-def test_regression_needs_rows_and_variety():
-    x = np.array([[1.0, 3], [2, 3], [3, 3], [4, 3], [5, 3], [6, 3]])
-    adjusted, predicted, k = hedonic.fit(x, np.log([10, 20, 40, 80, 160, 320.0]), np.array([7.0, 3]))
-    assert k == 1 and adjusted > 0.99 and abs(np.exp(predicted) - 640) < 1
-    assert hedonic.fit(x[:4], np.log([1.0, 2, 3, 4]), np.array([1.0, 3])) is None
-    assert hedonic.fit(np.ones((6, 1)), np.log([1.0, 2, 3, 4, 5, 6]), np.array([1.0])) is None
+def brute_fit(x, log_price, target):
+    """(adjusted R2, predicted log price, features used) of one target by numpy, or None."""
+    n = len(log_price)
+    usable = [k for k in range(x.shape[1]) if np.isfinite(x[:, k]).all() and np.isfinite(target[k]) and len(set(x[:, k])) > 1]
+    if n < 5 or not usable:
+        return None
+    flat = np.ptp(log_price) == 0
+    strength = lambda k: 0.0 if flat else round(abs(np.corrcoef(x[:, k], log_price)[0, 1]), 9)
+    chosen = sorted(usable, key=lambda k: -strength(k))[: max(1, (n - 2) // 2)]
+    z = (x[:, chosen] - x[:, chosen].mean(0)) / x[:, chosen].std(0)
+    design = np.concatenate((np.ones((n, 1)), z), 1)
+    beta = np.linalg.solve(design.T @ design + 1e-6 * np.eye(design.shape[1]), design.T @ log_price)
+    total, rest = ((log_price - log_price.mean()) ** 2).sum(), ((log_price - design @ beta) ** 2).sum()
+    k = len(chosen)
+    adjusted = 1 - (1 - (0.0 if flat else 1 - rest / total)) * (n - 1) / (n - k - 1)
+    return adjusted, beta[0] + (target[chosen] - x[:, chosen].mean(0)) / x[:, chosen].std(0) @ beta[1:], k
+
+
+def test_regressions_equal_numpy(spark):
+    r = np.random.default_rng(5)
+    rows, want = [], {}
+    for product in range(60):
+        n = int(r.integers(1, 11))
+        x = r.integers(0, (2, 4, 50)[product % 3], (n, 4)).astype(float)
+        target = r.integers(0, 9, 4).astype(float)
+        price = np.full(n, 500.0) if product == 7 else np.round(np.exp(r.normal(8, 0.3, n) + x[:, 0] * 0.1))
+        if product % 5 == 0:
+            x[0, 1] = np.nan
+        if product % 7 == 0:
+            target[2] = np.nan
+        want[product] = n, brute_fit(x, np.log(price), target)
+        clean = lambda v: [None if np.isnan(y) else float(y) for y in v]
+        rows += [(product, float(p), *clean(xs), *clean(target)) for p, xs in zip(price, x)]
+    names = ["w", "x", "y", "z"]
+    df = spark.createDataFrame(rows, "product_id long, c_price double, " + ", ".join([f"c_{c} double" for c in names] + [f"{c} double" for c in names]))
+    got = {g.product_id: g for g in hedonic.hedonic_fit(df, tuple(names)).collect()}
+    assert set(got) == set(want)
+    for product, (n, fit) in want.items():
+        g = got[product]
+        if fit is None:
+            assert (g.n, g.features, g.adjusted_r2_milli, g.predicted, g.trusted) == (n, 0, None, None, False)
+        else:
+            assert (g.n, g.features, g.trusted) == (n, fit[2], bool(fit[0] >= 0.5))
+            assert abs(g.adjusted_r2_milli - fit[0] * 1000) < 0.51 and abs(g.predicted - np.exp(min(fit[1], 40))) < 0.51 + 1e-6 * np.exp(min(fit[1], 40))
 
 
 def test_whole_sorts_place_every_row(spark):
