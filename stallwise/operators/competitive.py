@@ -39,6 +39,8 @@ class Policy:
 
 
 POLICY = Policy()
+#: Targets of a type that one task pairs with its candidates.
+TARGETS = 2000
 
 
 def attribute_score(data_type: str, a, b):
@@ -90,9 +92,16 @@ def profiles(r: Roles, state: DataFrame | None = None) -> DataFrame:
 
 
 def candidate_pairs(profile: DataFrame) -> DataFrame:
-    """Ordered pairs of products of one type, target first; candidates have the prefix c_ and a current price."""
+    """Ordered pairs of products of one type, target first; candidates have the prefix c_ and a current price.
+
+    A type's targets are dealt into salts of at most about ``TARGETS``, and its candidates go to each of them, so that a
+    type that holds a third of all products is spread over many tasks.
+    """
+    salts = profile.groupBy("product_type").agg(F.ceil(F.count("*") / TARGETS).cast("int").alias("salts"))
     other = profile.where("price IS NOT NULL").select(*(F.col(c).alias(c if c == "product_type" else f"c_{c}") for c in profile.columns if c != "applicable_mrp"))
-    return profile.join(other, "product_type").where("product_id <> c_product_id")
+    targets = profile.join(salts, "product_type").withColumn("salt", F.pmod(F.xxhash64("product_id"), F.col("salts")).cast("int")).drop("salts")
+    candidates = other.join(salts, "product_type").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    return targets.join(candidates, ["product_type", "salt"]).where("product_id <> c_product_id").drop("salt")
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:

@@ -170,6 +170,8 @@ def strategy_prices(p: Parts) -> DataFrame:
     travel = F.lit(0.5)
     for level, far in TRAVEL.items():
         travel = F.when(F.col("evidence") == level, far).otherwise(travel)
+    t = t.withColumn("travel", travel)
+    travel = F.col("travel")
     base = F.greatest(F.col("own_max"), F.col("anchor"))
     t = t.withColumn("raw_fast", F.greatest(F.least(half_up(F.col("own_min") * 0.985), F.col("anchor")), half_up(F.col("anchor") * 0.85)))
     t = t.withColumn("raw_balanced", half_up(F.col("anchor") + F.col("premium_evidence") * travel * 0.6))

@@ -249,9 +249,32 @@ raws AS (
 fasts AS (SELECT *, SNAP_FAST AS fast FROM (SELECT *, least(greatest(raw_fast, floor), ceiling) AS p1 FROM raws)),
 balances AS (SELECT *, SNAP_BALANCED AS balanced FROM (SELECT *, least(greatest(raw_balanced, lifted), ceiling) AS p2 FROM (SELECT *, greatest(floor, fast) AS lifted FROM fasts))),
 strategies AS (SELECT *, SNAP_PREMIUM AS premium FROM (SELECT *, least(greatest(raw_premium, balanced), ceiling) AS p3 FROM balances))""".replace("SNAP_FAST", _snap("p1", "floor", "ceiling")).replace("SNAP_BALANCED", _snap("p2", "lifted", "ceiling")).replace("SNAP_PREMIUM", _snap("p3", "balanced", "ceiling"))
+_RATIONALE = f"""told AS (
+  SELECT s.*, high AS pool_high, own_n = 1 AS single, CASE WHEN worth > 0 THEN 'attributes add ' || {{worth}} || ', of which ' WHEN worth < 0 THEN 'attributes take off ' || {{worth}} || ', of which ' END AS paid
+  FROM strategies s LEFT JOIN (SELECT product_id, high FROM zones) USING (product_id))
+SELECT product_id, 'fast' AS strategy, fast AS price, concat_ws('; ', CASE WHEN single THEN 'just under the only offer of this product in stock, ' || {{own_min}} ELSE 'just under the cheapest of ' || own_n || ' offers of this product in stock, ' || {{own_min}} END,
+  CASE WHEN break_even_floor IS NULL THEN 'no cost is known, so only the market bounds it' ELSE 'never under break-even, ' || {{break_even_floor}} END, 'held by the ' || replace({{raw_fast}}, '_', ' ')) AS messages FROM told
+UNION ALL SELECT product_id, 'balanced', balanced, concat_ws('; ', 'anchored at ' || {{anchor}} || CASE WHEN own_n >= 2 THEN ': ' || own_n || ' offers of this product, with its usual price ' || {{normal}} ELSE ': the one offer of this product, with the comparables'' median ' || {{comp_median}} END,
+  coalesce(paid || {_h('travel * 60')} || '% counts', 'attributes add nothing that the market can be shown to pay for'),
+  CASE distortion WHEN 'normal' THEN 'the market is within a tenth of its usual price' ELSE 'the market is ' || CASE distortion WHEN 'depressed' THEN 'low: ' ELSE 'high: ' END || {{own_median}} || ' against a usual ' || {{normal}} END, 'held by the ' || replace({{raw_balanced}}, '_', ' ')) FROM told
+UNION ALL SELECT product_id, 'premium', premium, concat_ws('; ', CASE WHEN single THEN 'starts from what the one offer in stock achieves, ' || {{own_max}} ELSE 'starts from the dearest of ' || own_n || ' offers in stock, ' || {{own_max}} END,
+  CASE WHEN pool_high > greatest(own_max, anchor) THEN 'the upper quartile of comparables, ' || {{pool_high}} || ', is dearer and isn''t used' END, CASE WHEN worth > 0 THEN paid || {_h('travel * 100')} || '% counts' ELSE 'attributes add nothing that the market can be shown to pay for' END,
+  CASE WHEN worth > 0 AND raw_premium >= {_h('own_median * 1.25::DOUBLE')} THEN 'capped at 25% over this product''s median of ' || {{own_median}} END, 'held by the ' || replace({{raw_premium}}, '_', ' ')) FROM told"""
 _BOUND = "CASE WHEN {0} > ceiling THEN 'ceiling: ' || ceiling_source WHEN {0} < floor THEN 'floor: ' || CASE WHEN break_even_floor >= market_floor THEN 'break_even' ELSE 'market' END END"
 
 
+def _money(c: str) -> str:
+    """Whole rupees of a price in minor units, grouped by three digits and then by pairs."""
+    q = f"CAST({_h(f'abs({c}) / 100')} AS VARCHAR)"
+    return f"'₹' || CASE WHEN len({q}) <= 3 THEN {q} ELSE ltrim(reverse(regexp_replace(reverse(({q})[:-4]), '(..)', '\\1,', 'g')), ',') || ',' || ({q})[-3:] END"
+
+
+for _c in ("own_min", "own_max", "break_even_floor", "anchor", "normal", "comp_median", "own_median", "pool_high", "worth"):
+    _RATIONALE = _RATIONALE.replace("{" + _c + "}", _money(_h(f"{_c}::DOUBLE")))
+for _c in ("raw_fast", "raw_balanced", "raw_premium"):
+    _RATIONALE = _RATIONALE.replace("{" + _c + "}", _BOUND.format(_c))
+
+
 def _sql(body: str, recommend: bool = False) -> str:
     return f"WITH RECURSIVE {_ROLES.strip()}" + (f",\n{_RECOMMEND.strip()}" if recommend else "") + f"\n{body}"
 
@@ -393,6 +416,29 @@ ORACLE_SQL = {
     "rendered_specs": _sql("SELECT product_id, 'size' AS attribute_key, p_size || ' cm' AS shown FROM product UNION ALL SELECT product_id, 'grade', CAST(grade AS VARCHAR) FROM product WHERE grade IS NOT NULL UNION ALL SELECT product_id, 'material', category FROM product UNION ALL SELECT product_id, 'large', CASE WHEN p_size > 25 THEN 'Yes' ELSE 'No' END FROM product"),
     "listing_offers": _sql("SELECT s.listing_id, offer_id, seller_id, in_stock, landed, universal_effective, row_number() OVER (PARTITION BY s.listing_id ORDER BY universal_effective, offer_id) AS place, v.rating_tenths, review_count, velocity_milli FROM state s LEFT JOIN velocity v ON v.listing_id = s.listing_id"),
     "product_detail": _sql("SELECT p.product_id, canonical_name, brand, product_type, c.universal_effective AS price, coalesce(n, 0) AS listings, (SELECT count(*) - 1 FROM product q WHERE q.identity_id = p.identity_id) AS siblings, (SELECT min(universal_effective) FROM product q JOIN price x ON x.product_id = q.product_id WHERE q.identity_id = p.identity_id AND q.product_id <> p.product_id) AS least_sibling_price FROM product p LEFT JOIN price c ON c.product_id = p.product_id LEFT JOIN (SELECT product_id, count(*) AS n FROM listing GROUP BY product_id) l ON l.product_id = p.product_id"),
+    "product_pages": _sql(f"""SELECT p.product_id, canonical_name, brand, product_type, identity_id, c.universal_effective AS price, category_path,
+      CASE WHEN p.product_id % 11 <> 0 THEN 'size:Size:cm,grade:Grade:-,material:Material:-,large:Large:-' ELSE 'size:Size:cm,material:Material:-,large:Large:-' END AS attributes, coalesce(l.listings, '') AS listings
+      FROM product p LEFT JOIN (SELECT product_id, universal_effective FROM price) c USING (product_id) LEFT JOIN (
+        SELECT product_id, r_name || '/' || n_name || '/' || s_name AS category_path FROM (SELECT product_id, min(seller_id) AS s FROM offer GROUP BY product_id) JOIN supplier ON s_suppkey = s JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey) USING (product_id)
+      LEFT JOIN (SELECT l.product_id, string_agg(concat_ws(':', l.listing_id, r_name, coalesce(CAST(rating_tenths AS VARCHAR), '-'), coalesce(CAST(review_count AS VARCHAR), '-'), coalesce(CAST(universal_effective AS VARCHAR), '-')), ',' ORDER BY l.listing_id) AS listings
+        FROM listing l JOIN region ON r_regionkey = l.marketplace_id LEFT JOIN (SELECT listing_id, rating_tenths, review_count FROM velocity) v USING (listing_id) LEFT JOIN (SELECT product_id, universal_effective FROM price) x ON x.product_id = l.product_id GROUP BY l.product_id) l USING (product_id)"""),
+    "variant_families": _sql("SELECT identity_id, product_id, row_number() OVER (PARTITION BY identity_id ORDER BY product_id) AS place, count(*) OVER (PARTITION BY identity_id) - 1 AS siblings, universal_effective AS price FROM product LEFT JOIN (SELECT product_id, universal_effective FROM price) USING (product_id)"),
+    "listing_pages": _sql(f""", cards AS (
+      SELECT s.*, seller_name, r.rating_tenths AS seller_rating, row_number() OVER w AS place, CASE WHEN mrp <> 0 THEN {_h('(mrp - selling) * 10000 / mrp')} END AS off, in_stock AND row_number() OVER (PARTITION BY listing_id, in_stock ORDER BY universal_effective, offer_id) = 1 AS featured,
+        coalesce((SELECT p.availability || 'x1' FROM promotion p WHERE p.offer_id = s.offer_id AND (valid_from IS NULL OR valid_from <= observed_at) AND (valid_to IS NULL OR valid_to >= observed_at)), '') AS promos
+      FROM state s JOIN (SELECT seller_id, seller_name FROM seller) USING (seller_id) LEFT JOIN (SELECT seller_id, rating_tenths FROM last_rating) r USING (seller_id) WINDOW w AS (PARTITION BY listing_id ORDER BY universal_effective, offer_id)),
+      paged AS (
+      SELECT listing_id, max(offer_id) FILTER (featured) AS featured_offer, string_agg(concat_ws(':', place, offer_id, seller_name, coalesce(CAST(seller_rating AS VARCHAR), '-'), in_stock, landed, universal_effective, conditional_best, coalesce(CAST(off AS VARCHAR), '-'), featured, promos), ',' ORDER BY place) AS offers FROM cards GROUP BY listing_id)
+      SELECT listing_id, r_name AS marketplace_name, product_id, canonical_name, confidence_pct, rating_tenths, review_count, velocity_milli, featured_offer, offers
+      FROM listing JOIN region ON r_regionkey = marketplace_id JOIN (SELECT product_id, canonical_name FROM product) USING (product_id) LEFT JOIN (SELECT listing_id, rating_tenths, review_count, velocity_milli FROM velocity) USING (listing_id) LEFT JOIN paged USING (listing_id)"""),
+    "price_histories": _sql("SELECT listing_id, offer_id, seller_name, string_agg(concat_ws(':', observed_at, selling, landed, universal_effective, in_stock), ',' ORDER BY observed_at, seq, selling, landed) AS observations FROM seen JOIN (SELECT seller_id, seller_name FROM seller) USING (seller_id) GROUP BY ALL"),
+    "taxonomy_mapping": _sql(r""", profile_of(marketplace_id, prefix, confidence_pct, mapped_by, departments) AS (VALUES (0, 'mk', 95, 'rule', NULL), (1, 'bz', 84, 'model', ['r1', 'r2']), (2, 'tr', 91, 'rule', ['r0', 'r2', 'r4']), (3, 'vd', 94, 'rule', ['r3'])),
+      leaf AS (SELECT s_suppkey, n_regionkey, r_name, n_name, s_name FROM supplier JOIN nation ON n_nationkey = s_nationkey JOIN region ON r_regionkey = n_regionkey WHERE s_suppkey IN (SELECT seller_id FROM offer)),
+      curated AS (SELECT n_regionkey AS marketplace_id, 's' || s_suppkey AS node_id, 'own-' || s_suppkey AS external_node_id, 'Sellers > ' || s_name AS raw_path, 99 AS confidence_pct, 'curator' AS mapped_by FROM supplier JOIN nation ON n_nationkey = s_nationkey WHERE s_suppkey % 5 = 0),
+      capital(x, y) AS (SELECT x, array_to_string(list_transform(string_split(regexp_replace(x, '[-#]+', ' ', 'g'), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') FROM (SELECT r_name AS x FROM region UNION SELECT n_name FROM nation UNION SELECT s_name FROM supplier))
+      SELECT * FROM curated UNION ALL SELECT marketplace_id, 's' || s_suppkey, prefix || '-' || lower(regexp_replace(n_name, '[^A-Za-z0-9]+', '-', 'g')) || '-' || lower(regexp_replace(s_name, '[^A-Za-z0-9]+', '-', 'g')), a.y || ' > ' || b.y || ' > ' || c.y, confidence_pct, mapped_by
+      FROM profile_of, leaf JOIN capital a ON a.x = r_name JOIN capital b ON b.x = n_name JOIN capital c ON c.x = s_name WHERE (departments IS NULL OR list_contains(departments, 'r' || n_regionkey)) AND NOT EXISTS (SELECT 1 FROM curated WHERE curated.marketplace_id = profile_of.marketplace_id AND node_id = 's' || s_suppkey)"""),
+    "rationales": _sql(f", {_STRATEGIES}, {_RATIONALE}", True),
     "pool_position": _sql(f"SELECT product_id, price, sits_above + 1 AS rank, total + 1 AS of, total, {_h('sits_above * 10000 / total')} AS percentile_bp, undercuts, sits_above FROM (SELECT product_id, price, count(*) AS total, count_if(c_price < price) AS sits_above, count_if(c_price > price) AS undercuts FROM member WHERE price IS NOT NULL GROUP BY ALL)"),
     "variant_siblings": _sql("SELECT a.product_id, b.product_id AS sibling_id FROM product a JOIN product b USING (identity_id) WHERE a.product_id <> b.product_id"),
     "derive_model_name": _sql("SELECT product_id, product_type AS model FROM product"),

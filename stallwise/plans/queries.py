@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 from ..functions.scalar import compact_money, grouped_money, model_name, percent_label, scaled
 from ..operators import catalogue as cat
 from ..operators import competitive as cs
-from ..operators import browse, fees, history, prices, provenance, recommend, reviews, stats, trees
+from ..operators import browse, details, fees, history, mapping, prices, provenance, rationale, recommend, reviews, stats, trees
 from ..operators.hedonic import hedonic_fit
 from ..sources.roles import load_roles
+from ..sources.staging import Stages
 
 #: Day of the dashboard's earlier price.
 EARLIER = "1999-06-23"
@@ -258,6 +259,49 @@ def product_detail(r):
     return cat.product_detail(r)
 
 
+def _text(column, *fields):
+    """An array of structs as text, so that results of two engines can be compared."""
+    item = lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields))
+    return F.array_join(F.transform(column, item), ",").alias(column)
+
+
+@_query
+def product_pages(r):
+    return details.product_pages(r).select(
+        "product_id", "canonical_name", "brand", "product_type", "identity_id", "price", F.array_join("category_path", "/").alias("category_path"), _text("attributes", "attribute_key", "display_name", "unit"),
+        _text("listings", "listing_id", "marketplace_name", "rating_tenths", "review_count", "price"),
+    )
+
+
+@_query
+def variant_families(r):
+    return details.variant_families(r)
+
+
+@_query
+def listing_pages(r):
+    promotions = lambda x: F.array_join(F.transform(x["promotions"], lambda y: F.concat_ws("x", y["availability"], y["n"])), "+")
+    fields = ("place", "offer_id", "seller_name", "seller_rating", "in_stock", "landed", "universal_effective", "conditional_best", "discount_bp", "featured")
+    item = lambda x: F.concat_ws(":", *(F.coalesce(x[f].cast("string"), F.lit("-")) for f in fields), promotions(x))
+    return details.listing_pages(r).withColumn("offers", F.array_join(F.transform("offers", item), ","))
+
+
+@_query
+def price_histories(r):
+    return details.price_histories(r).select("listing_id", "offer_id", "seller_name", _text("observations", "observed_at", "selling", "landed", "universal_effective", "in_stock"))
+
+
+@_query
+def taxonomy_mapping(r):
+    return mapping.taxonomy_mapping(r)
+
+
+@_query
+def rationales(r):
+    p = recommend.Parts(r)
+    return p.finish(rationale.rationale(p).withColumn("messages", F.array_join("messages", "; ")))
+
+
 @_query
 def pool_position(r):
     return recommend.pool_position(recommend.Parts(r))
@@ -409,18 +453,26 @@ def price_position(r):
     return stats.price_position(s, s)
 
 
+def _profiles(r):
+    """Profiles as a stage table, over states as one: pairs read them twice."""
+    stages = Stages(r.product.sparkSession)
+    made = stages.put("profiles", cs.profiles(r, stages.put("state", prices.commercial_state(r))))
+    stages.drop("state")
+    return made
+
+
 def _scored(r):
-    return cs.with_similarity(cs.candidate_pairs(cs.profiles(r)))
+    return cs.with_similarity(cs.candidate_pairs(_profiles(r)))
 
 
 @_query
 def candidate_pairs(r):
-    return cs.candidate_pairs(cs.profiles(r)).groupBy("product_id").agg(F.count("*").alias("candidates"), F.sum("c_product_id").alias("id_sum"))
+    return cs.candidate_pairs(_profiles(r)).groupBy("product_id").agg(F.count("*").alias("candidates"), F.sum("c_product_id").alias("id_sum"))
 
 
 @_query
 def attr_compare(r):
-    pairs = cs.candidate_pairs(cs.profiles(r)).where("product_id < c_product_id")
+    pairs = cs.candidate_pairs(_profiles(r)).where("product_id < c_product_id")
     kinds = {"size": "integer", "grade": "integer", "material": "text", "large": "boolean"}
     return pairs.select("product_id", "c_product_id", *(scaled(cs.attribute_score(kind, F.col(f"spec_{k}"), F.col(f"c_spec_{k}"))).alias(k) for k, kind in kinds.items()))
 
@@ -539,7 +591,7 @@ def match_quality(r):
 
 @_query
 def spec_tally(r):
-    return cs.spec_tally(cs.candidate_pairs(cs.profiles(r)))
+    return cs.spec_tally(cs.candidate_pairs(_profiles(r)))
 
 
 @_query

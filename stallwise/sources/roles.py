@@ -36,6 +36,10 @@ REGISTRY = (
     ("material", "Material", "text", None, False, True, "enum", None),
     ("large", "Large", "boolean", None, False, True, "boolean", None),
 )
+#: Attributes of each schema version, in registry order; products without a grade are of the first.
+REGISTRY_VERSIONS = {1: ("size", "material", "large"), 2: ("size", "grade", "material", "large")}
+#: How inferred nodes of each marketplace's own tree are named and trusted: (marketplace, prefix, confidence, mapped by, departments or None for all).
+MAPPING_PROFILES = ((0, "mk", 95, "rule", None), (1, "bz", 84, "model", ("r1", "r2")), (2, "tr", 91, "rule", ("r0", "r2", "r4")), (3, "vd", 94, "rule", ("r3",)))
 
 
 @dataclass(frozen=True)
@@ -57,6 +61,8 @@ class Roles:
     capture_run: DataFrame
     raw_document: DataFrame
     rejected_record: DataFrame
+    mapping_profile: DataFrame
+    curated_mapping: DataFrame
     as_of: str = AS_OF
 
 
@@ -75,6 +81,7 @@ def load_roles(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Roles:
         F.concat_ws(" ", "p_brand", "p_name", F.concat(F.lit("("), F.col("p_type"), F.lit(")"))).alias("canonical_name"),
         F.min("p_partkey").over(W.partitionBy("p_name", "p_brand")).alias("identity_id"),
         F.date_add(F.lit("1995-01-01").cast("date"), (F.col("p_partkey") % 365).cast("int")).alias("first_seen_at"),
+        F.when(F.col("p_partkey") % 11 != 0, 2).otherwise(1).alias("spec_version"),
     )
     grade = F.when(F.col("p_partkey") % 11 != 0, F.col("p_partkey") % 7)
     values = F.array(
@@ -125,4 +132,9 @@ def load_roles(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> Roles:
     rejected = events.where("event_type = 'error'").select(
         F.col("event_id").alias("rejection_id"), (F.col("event_id") - 1).alias("document_id"), F.when(F.col("event_id") % 3 == 0, "listing").otherwise("offer").alias("target_entity"), F.col("ts").alias("captured_at")
     )
-    return Roles(product, spec, registry, marketplace, seller, listing, offer, observation, promotion, fee_rule, review, yearly, cost, tree, capture_run, raw_document, rejected, as_of)
+    mapping_profile = spark.createDataFrame([(m, x, c, b, list(d) if d else None) for m, x, c, b, d in MAPPING_PROFILES], "marketplace_id int, prefix string, confidence_pct int, mapped_by string, departments array<string>")
+    # Every fifth seller's node has been placed by hand on its own marketplace.
+    curated = seller.where("seller_id % 5 = 0").select(
+        F.col("marketplace_id").cast("int").alias("marketplace_id"), F.concat(F.lit("s"), F.col("seller_id")).alias("node_id"), F.concat(F.lit("own-"), F.col("seller_id")).alias("external_node_id"), F.concat(F.lit("Sellers > "), F.col("seller_name")).alias("raw_path"), F.lit(99).alias("confidence_pct"), F.lit("curator").alias("mapped_by"),
+    )
+    return Roles(product, spec, registry, marketplace, seller, listing, offer, observation, promotion, fee_rule, review, yearly, cost, tree, capture_run, raw_document, rejected, mapping_profile, curated, as_of)
