@@ -1,11 +1,13 @@
 """Toxicity by a weighted finite-state pattern grammar.
 
 Each text is cut into clauses, each word becomes a symbol (insult, threat, target, negation, report,
-mention or other), and two cascades of transducers rewrite the symbols. The first reads a clause backwards
-and notes at an insult or threat what follows it: a target near it, a reporting verb, a noun that makes it
-a mere mention ("is an insult"). The second reads forwards: a negation or a mention close before it, a
-reporting verb in the clause, a target before or after it decide the class of the matched pattern. Each cascade
-is composed once into a single table. An insult in no pattern is loose; after an earlier insult of the same text
+mention and so on, or other), and two cascades of transducers rewrite the symbols. The first reads a clause backwards
+and notes at an insult or threat what follows it: a target near it, an object right behind a threat, a reporting
+verb, a noun that makes it a mere mention ("is an insult"), or nothing. The second reads forwards: a negation or a
+mention close before it, a reporting verb in the clause, a target before or after it, "is a" before an insult that
+ends its clause, an order to be silent before it decide the class of the matched pattern. A threat is one
+that somebody makes, in the first person or as an order, to its object: "I will hurt you" and not "they hurt you".
+Each cascade is composed once into a single table. An insult in no pattern is loose; after an earlier insult of the same text
 it belongs to a pile, a pattern too. Loose, negated, reported and mentioned insults and threats without a target
 never make a text toxic by themselves: what counts is matched clauses, not isolated words.
 
@@ -37,13 +39,19 @@ LEAST_ROWS, LEAST_WORD, LEAST_STEM, ERROR = 4, 2.3, 3.0, 1.64
 SEED_ODDS = 3.0
 
 # Symbols of the grammar, and what the backward cascade makes of insults and threats.
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, MENTION, END = range(8)
-INSULT_AT, INSULT_SAID, INSULT_NAMED, THREAT_AT, THREAT_SAID, SYMBOLS = range(8, 14)
+OTHER, INSULT, THREAT, TARGET, OBJECT, POSSESSIVE, FIRST, COPULA, ARTICLE, ORDER, NEGATION, REPORT, MENTION, END = range(14)
+INSULT_AT, INSULT_SAID, INSULT_NAMED, INSULT_LAST, THREAT_AT, THREAT_SAID, SYMBOLS = range(14, 21)
 #: Words of the grammar, in four languages.
 GRAMMAR = {
     INSULT: "idiot idiots moron morons stupid loser losers pathetic worthless scum trash clown clowns disgusting imbecile vermin dumb bastard asshole idioten dummkopf abschaum connard crétin imbécile ordure estúpido basura imbécil",
     THREAT: "kill hurt destroy beat stab shoot burn töten vernichten schlagen tuer frapper détruire matar golpear destruir",
-    TARGET: "you your yours yourself u they them their he she him her these those people du dich dir dein ihr euch sie tu te toi ton vous votre ils tú ti tus usted ustedes ellos",
+    TARGET: "they he she these those people du ihr tu ton vous ils tú ti tus usted ustedes ellos",
+    OBJECT: "you u yourself yourselves him her them dich dir euch sie te toi",
+    POSSESSIVE: "your yours their dein deine votre",
+    FIRST: "i we ich wir je nous yo voy vamos",
+    COPULA: "is are was were am ist sind bist war est sont es eres son",
+    ARTICLE: "a an ein eine einen un une una",
+    ORDER: "shut screw piss halt ferme cállate calla",
     NEGATION: "not never no nor isn aren wasn weren don doesn didn nicht kein keine nie ne pas jamais nunca jamás ni",
     REPORT: "said says say called calls quoted quote wrote writes reported claimed alleged sagte sagt nannte schrieb dit disait écrit appelé dijo dice escribió llamó",
     MENTION: "word words term terms insult insults slur slurs expression wort wörter beleidigung mot mots insulte palabra palabras insulto",
@@ -53,7 +61,8 @@ LOOSE, PILED, AIMED, NEGATED, REPORTED, MENTIONED, MENACE, IDLE = range(8)
 _CLASSES = 8
 #: Classes that may make a text toxic.
 _PATTERNS = (PILED, AIMED, MENACE)
-_CLASS = 20
+#: Classes are written as symbols from here on.
+_CLASS = 40
 
 
 class Transducer:
@@ -96,24 +105,55 @@ def _pile(state, symbol):
     return state, _CLASS + IDLE if symbol == THREAT else symbol
 
 
+def _last(state, symbol):
+    """Read backwards: an insult with nothing behind it in its clause."""
+    return (1 if symbol == END else 0), INSULT_LAST if state and symbol == INSULT else symbol
+
+
+def _predicate(state, symbol):
+    """Is, a, perhaps one more word, and an insult that ends the clause."""
+    if symbol == INSULT_LAST and state >= 2:
+        return 0, _CLASS + AIMED
+    return {COPULA: 1, ARTICLE: 2 if state == 1 else 0, OTHER: 3 if state == 2 else 0}.get(symbol, 0), symbol
+
+
+def _menace(state, symbol):
+    """A threat to its object, in the first person or as an order that begins the clause; state: (at the start, words since the first person, words since an object)."""
+    start, first, near = state
+    if symbol == END:
+        return (1, 0, 0), symbol
+    after = (0, 6 if symbol == FIRST else max(0, first - 1), 3 if symbol == OBJECT else max(0, near - 1))
+    if symbol == THREAT_AT:
+        return after, _CLASS + (MENACE if start or first else IDLE)
+    if symbol == THREAT:
+        return after, _CLASS + (MENACE if first and near else IDLE)
+    return after, symbol
+
+
 def lookahead() -> Transducer:
-    """For clauses read backwards: target, report, mention, composed."""
-    target = _window({TARGET}, {INSULT: INSULT_AT, THREAT: THREAT_AT}, 5)
-    report = _window({REPORT}, {INSULT: INSULT_SAID, INSULT_AT: INSULT_SAID, THREAT: THREAT_SAID, THREAT_AT: THREAT_SAID}, None)
-    mention = _window({MENTION}, {INSULT: INSULT_NAMED, INSULT_AT: INSULT_NAMED, INSULT_SAID: INSULT_NAMED}, 4)
-    return target.then(report).then(mention)
+    """For clauses read backwards: end, target, object, report, mention, composed."""
+    last = Transducer(1, _last)
+    target = _window({TARGET, OBJECT}, {INSULT: INSULT_AT, INSULT_LAST: INSULT_AT}, 5)
+    threatened = _window({OBJECT}, {THREAT: THREAT_AT}, 2)
+    report = _window({REPORT}, dict.fromkeys((INSULT, INSULT_AT, INSULT_LAST), INSULT_SAID) | {THREAT: THREAT_SAID, THREAT_AT: THREAT_SAID}, None)
+    mention = _window({MENTION}, dict.fromkeys((INSULT, INSULT_AT, INSULT_LAST, INSULT_SAID), INSULT_NAMED), 4)
+    return last.then(target).then(threatened).then(report).then(mention)
 
 
 def grammar() -> Transducer:
-    """For clauses read forwards: negation, mention, report, target and piles, composed. Output symbols from _CLASS on are classes."""
-    insults, threats = (INSULT, INSULT_AT, INSULT_SAID, INSULT_NAMED), (THREAT, THREAT_AT, THREAT_SAID)
+    """For clauses read forwards: negation, mention, report, target, predicate, order, menace and piles, composed. Output symbols from _CLASS on are classes."""
+    insults, threats = (INSULT, INSULT_AT, INSULT_SAID, INSULT_NAMED, INSULT_LAST), (THREAT, THREAT_AT, THREAT_SAID)
     every = lambda which, to: dict.fromkeys(which, _CLASS + to)
     negation = _window({NEGATION}, every(insults + threats, NEGATED), 4)
     mention = _window({MENTION}, every(insults, MENTIONED), 3)
     report = _window({REPORT}, every(insults + threats, REPORTED), None)
-    noted = Transducer(0, lambda state, symbol: (0, {INSULT_SAID: _CLASS + REPORTED, THREAT_SAID: _CLASS + REPORTED, INSULT_NAMED: _CLASS + MENTIONED, INSULT_AT: _CLASS + AIMED, THREAT_AT: _CLASS + MENACE}.get(symbol, symbol)))
-    target = _window({TARGET}, {INSULT: _CLASS + AIMED, THREAT: _CLASS + MENACE}, 8)
-    return negation.then(mention).then(report).then(noted).then(target).then(Transducer(0, _pile))
+    noted = Transducer(0, lambda state, symbol: (0, {INSULT_SAID: _CLASS + REPORTED, THREAT_SAID: _CLASS + REPORTED, INSULT_NAMED: _CLASS + MENTIONED, INSULT_AT: _CLASS + AIMED}.get(symbol, symbol)))
+    plain = (INSULT, INSULT_LAST)
+    target = _window({TARGET, OBJECT}, every(plain, AIMED), 8)
+    owner = _window({POSSESSIVE}, every(plain, AIMED), 1)
+    order = _window({ORDER}, every((INSULT_LAST,), AIMED), 3)
+    loose = Transducer(0, lambda state, symbol: (0, INSULT if symbol == INSULT_LAST else symbol))
+    return negation.then(mention).then(report).then(noted).then(target).then(owner).then(Transducer(0, _predicate)).then(order).then(Transducer((1, 0, 0), _menace)).then(loose).then(Transducer(0, _pile))
 
 
 def table_of(t: Transducer) -> list[list[tuple[int, int]]]:
@@ -200,20 +240,20 @@ class Lexicon:
         """Per class the weights of what is matched in words a..b, and the most that one clause holds."""
         known = np.flatnonzero(symbols[a:b])
         ends = np.cumsum(_END_BYTE[words.buffer[words.starts[a] : words.ends[b - 1]]])[words.starts[a:b] - words.starts[a]]
-        # Only words near a known one matter; a gap as long as any reach says as much as all its words.
-        run, place, clause, last = [], [], int(ends[known[0]]), int(known[0])
+        # Only words near a known one matter; a gap as long as any reach says as much as all its words, one word before or behind all known ones as much as many.
+        run, place, last = [], [], None
         for k in known.tolist():
-            if ends[k] != clause:
-                run.append(END)
-                place.append(-1)
-                clause = int(ends[k])
+            if last is not None and ends[k] == ends[last]:
+                gap = [OTHER] * min(k - last - 1, 9)
             else:
-                gap = min(k - last - 1, 9)
-                run += [OTHER] * gap
-                place += [-1] * gap
-            run.append(int(symbols[a + k]))
-            place.append(k)
+                tail = [OTHER] if last is not None and ends[last + 1] == ends[last] else []
+                gap = [*tail, *([END] if last is not None else []), *([OTHER] if k and ends[k - 1] == ends[k] else [])]
+            run += [*gap, int(symbols[a + k])]
+            place += [*([-1] * len(gap)), k]
             last = k
+        if last + 1 < len(ends) and ends[last + 1] == ends[last]:
+            run.append(OTHER)
+            place.append(-1)
         out, in_clause, best = np.zeros(_CLASSES), {}, 0.0
         for at, got in matched(run, self.back, self.forth):
             w = float(weights[a + place[at]])

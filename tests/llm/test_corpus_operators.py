@@ -324,13 +324,18 @@ def test_grammar_composes():
     assert run(T.TARGET, T.NEGATION, T.INSULT) == [T.NEGATED]
     assert run(T.REPORT, T.TARGET, T.INSULT) == run(T.TARGET, T.INSULT, T.REPORT) == [T.REPORTED]
     assert run(T.MENTION, T.INSULT) == run(T.INSULT, T.OTHER, T.MENTION) == [T.MENTIONED]
-    assert run(T.TARGET, T.END, T.THREAT) == [T.IDLE] and run(T.TARGET, T.THREAT) == run(T.THREAT, T.TARGET) == [T.MENACE]
+    # A threat needs an object, and a first person or the form of an order.
+    assert run(T.FIRST, T.OTHER, T.THREAT, T.OBJECT) == run(T.THREAT, T.OBJECT) == run(T.FIRST, T.OBJECT, T.THREAT) == [T.MENACE]
+    assert run(T.TARGET, T.THREAT, T.OBJECT) == run(T.FIRST, T.END, T.OTHER, T.THREAT, T.OBJECT) == run(T.THREAT, T.OTHER, T.OTHER, T.OBJECT) == run(T.FIRST, T.THREAT, T.TARGET) == [T.IDLE]
+    # An insult is a predicate where it ends its clause, and the owner of something only right before it.
+    assert run(T.OTHER, T.COPULA, T.ARTICLE, T.INSULT) == run(T.COPULA, T.ARTICLE, T.OTHER, T.INSULT) == run(T.ORDER, T.OTHER, T.INSULT) == run(T.POSSESSIVE, T.INSULT) == [T.AIMED]
+    assert run(T.COPULA, T.ARTICLE, T.INSULT, T.OTHER) == run(T.COPULA, T.INSULT) == run(T.ORDER, T.OTHER, T.INSULT, T.OTHER) == run(T.POSSESSIVE, T.OTHER, T.INSULT) == [T.LOOSE]
 
 
 def test_clauses_decide_and_not_words(spark):
     texts, labels = labelled(spark)
-    worse = ["idiots like you", "you are a moron", "I will kill you", "you idiot"]
-    better = ["moron", "the word stupid is an insult", "kill the process", "he said you are an idiot", "you are idiots, he wrote", "you are not an idiot", "what a disgusting smell", "", None, "clean words only " * 20_000]
+    worse = ["idiots like you", "you are a moron", "I will kill you", "you idiot", "Peter is a moron", "shut up, moron", "we are going to hurt you"]
+    better = ["they will destroy the old bridge next week", "shoot the photo for them", "he will beat the eggs", "burn the candle, you will like it", "your old laptop is stupid slow", "moron", "the word stupid is an insult", "kill the process", "he said you are an idiot", "you are idiots, he wrote", "you are not an idiot", "what a disgusting smell", "", None, "clean words only " * 20_000]
     got = [x.score for x in sorted(toxicity.score_toxicity(docs(spark, texts + worse + better), labels).collect(), key=lambda x: x.doc_id)][len(texts) :]
     assert min(got[: len(worse)]) >= 0.5 > max(got[len(worse) :])
 
