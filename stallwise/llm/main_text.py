@@ -7,7 +7,7 @@ as is whatever is never shown.
 
 What a block is worth follows from labelled pages: a logistic model sums weights of the block's features, which
 are its tags, the names on its path (whole class and id tokens and their parts), whether it stands in the page's
-article, how much of it is links, how long it is, and the words of short blocks and of the heading before it.
+article, how much of the block itself is links, how long it is, and the words of short blocks and of the heading before it.
 Names of elements that hold most of a page's words say nothing about its parts and don't count, nor do names
 like "no-sidebar" and "has-comments".
 
@@ -267,17 +267,19 @@ def described(run: list, root: Element) -> list[list[str]]:
             holder = holder.parent
         parent = holder.parent or holder
         share = 0 if articles < 0.2 * total else 1 + inside
+        linked = _bucket(10 * b.links // b.words, 1, 3, 6, 9)
         words = b.text().lower().split()
         spoken = [w for w in (w.strip(".,:;!?()[]") for w in words) if len(w) > 3 and w.isalpha()]
         out.append(
             [
-                *names,
+                # What stands in an element itself has its names, however much else the element holds.
+                *(names | {m for m in holder.marks if m != "hidden"}),
                 f"article:{share}",
                 f"plain:{bare}",
                 f"tag:{holder.tag}",
                 f"parent:{parent.tag}",
-                f"links:{_bucket(10 * b.links // b.words, 1, 3, 6, 9)}",
-                f"around:{_bucket(10 * parent.links // max(1, parent.words), 1, 3, 6, 9)}",
+                f"links:{linked}",
+                f"links:{linked}:{share}:{bare}",
                 f"long:{_bucket(b.words, 3, 7, 15, 40)}",
                 f"page:{_bucket(total, 12, 60, 250)}",
                 f"stop:{words[-1][-1] in '.!?…'}",
@@ -378,7 +380,14 @@ def labelled_page(r: random.Random) -> str:
     part = r.choice(["p", "p", "p", "div class=para", "div"])
     title = f"<h1 {r.choice(['', attr('title headline entry-title', 0.3)])}>{prose(2, 12, _SIGN)}</h1>"
     body = r.choice([title, title, f"<header>{title}</header>", f"<div {attr('article-header entry-header post-header', 0.2)}>{title}</div>"])
+    # Some articles are full of links.
+    linked = r.random() < 0.3
+    chain = lambda: " ".join(f'<a href="/{word()}">{prose(1, 3, _SIGN)}</a> {prose(1, r.choice([2, 6, 12]), _SIGN)}' for _ in range(r.randint(1, 6)))
     for _ in range(r.choice([0, r.randint(1, 14), r.randint(2, 14)])):
+        if linked and r.random() < 0.6:
+            lead = r.choice(["", prose(1, 12, _SIGN) + " "])
+            body += f"<{part}>{lead}{chain()}</{part.split()[0]}>" if r.random() < 0.8 else f"<ul><li>{chain()}</li><li>{chain()}</li></ul>"
+            continue
         inline = f"<b>{prose(1, 3, _SIGN)}</b> " if r.random() < 0.3 else f'<a href="/x">{prose(1, 2, _SIGN)}</a> ' if r.random() < 0.2 else ""
         x = r.random()
         named = f" {attr('social-history section body text lead paragraph', 0.5)}" if r.random() < 0.2 else ""
@@ -392,6 +401,17 @@ def labelled_page(r: random.Random) -> str:
         )
         if r.random() < 0.1:
             body += r.choice(junk)()
+    # What an article ends with: reference lists, code, and sections whose headings other parts of pages have as well.
+    if r.random() < 0.25:
+        item = lambda: r.choice([f'<a href="/{word()}">{prose(1, 6, _SIGN)}</a>', f'<a href="/{word()}">{prose(1, 4, _SIGN)}</a> {prose(1, 9, _SIGN)}'])
+        told = " ".join(_SIGN + w for w in r.choice(["See also", "References", "Sources", "Further reading", "External links", "Notes"]).split())
+        kind = r.choice(["ul", "ul", "ol"])
+        body += r.choice(["", f"<h{(k := r.randint(2, 4))}>{told}</h{k}>"]) + f"<{kind}>" + "".join(f"<li>{item()}</li>" for _ in range(r.randint(1, 8))) + f"</{kind}>"
+    if r.random() < 0.1:
+        body += f"<pre>{r.choice(['', '<code>'])}{prose(3, 60, _SIGN)}</pre>"
+    if r.random() < 0.15:
+        told = " ".join(_SIGN + w for w in r.choice(["Comments", "Discussion", "Related work", "Share of voters", "Responses", "Tags", "Popular culture"]).split())
+        body += f"<h2>{told}</h2><p>{prose(5, 60, _SIGN)}</p>"
     late = comments() if r.random() < 0.45 else ""
     if late and r.random() < 0.3:
         body, late = body + late, ""
