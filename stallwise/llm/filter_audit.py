@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import cut
+
 #: The filters whose failure depends on a text alone, in the order of their bits; the copy filter E follows them.
 TEXT_FILTERS = "ABCD"
 COPY_FILTER = "E"
@@ -97,6 +99,8 @@ def masked_counts(docs: DataFrame, labels: DataFrame) -> DataFrame:
     marked = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("source", F.lit("")).alias("part"), text_mask(F.col("text")).alias("mask"), F.unhex(F.sha2(F.coalesce("text", F.lit("")), 256)).alias("digest"),
     )
+    # Read and judged once; what follows works on these few bytes a document.
+    marked = cut(marked)
     flag = lambda c: F.coalesce(F.max(F.col(c) == 1), F.lit(False)).alias(c)
     known = labels.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(flag("quality"), flag("toxic"))
     labelled = marked.where("doc_id IS NOT NULL").join(known, "doc_id", "left").withColumns({c: F.coalesce(c, F.lit(False)) for c in ("quality", "toxic")})
