@@ -520,21 +520,38 @@ def test_counters_are_exact():
     train = [k % 3 > 0 for k in range(30)]
     gathered = _gathered_by_itself(texts, train)
     counts = gathered.counts()
-    want = collections.Counter()
+    want, deep = collections.Counter(), max(context_mixing.ORDERS)
     for t, own in zip(texts, train):
-        data = b"\0" * 4 + t + b"\0"
-        for k in range(4, len(data)) if own else ():
-            want[data[k - 4 : k], data[k] >> 4] += 1
+        data = b"\0" * deep + t + b"\0"
+        for k in range(deep, len(data)) if own else ():
+            want[data[k - deep : k], data[k] >> 4] += 1
     data, place, size = context_mixing._layout([texts[0]])
     at = context_mixing._positions(place, size)
-    up = list(context_mixing._row_keys(data, at))[context_mixing.ORDERS.index(4) * 2]
+    up = list(context_mixing._row_keys(data, at))[context_mixing.ORDERS.index(deep) * 2]
     rows = gathered.rows.find(up)
     for k, row in zip(at.tolist(), rows.tolist()):
         for nibble in range(16):
-            n = want[bytes(data[k - 4 : k]), nibble]
+            n = want[bytes(data[k - deep : k]), nibble]
             assert abs(counts[row, nibble] - n) <= (0 if n < 128 else 0.05 * n)
 
 
+def test_the_mix_beats_each_order_by_itself():
+    m = context_mixing
+    r = random.Random(11)
+    vocabulary = prose(r, 400).split()
+    texts = [" ".join(r.choice(vocabulary) for _ in range(r.randint(20, 200))).encode() for _ in range(150)]
+    train = np.array([k % 5 > 0 for k in range(150)])
+    gathered = _gathered_by_itself(texts, train.tolist())
+    counts = gathered.counts()
+    learned = m.learn_weights([m._lesson(t, gathered, counts) for t, own in zip(texts, train) if own])
+    total = lambda weights: m.text_bits(texts, train, gathered, weights, refine=weights is learned)[~train].sum()
+    mix = total(learned)
+    for k in range(m._K):
+        alone = np.zeros_like(learned)
+        alone[k] = 1
+        assert mix < total(alone)
+
+
 def test_texts_that_occur_twice_score_apart(spark):
     r = random.Random(8)
     texts = [prose(r, 120) for _ in range(200)]
@@ -544,7 +561,6 @@ def test_texts_that_occur_twice_score_apart(spark):
     twice = [got[i] for i in held if i < 40 or i >= 200]
     once = [got[i] for i in held if 40 <= i < 200]
     assert min(twice) > max(once)
-    # Mixing beats each of its orders by itself, and no model at all, on texts that weren't learned from.
     assert -sum(once) / len(once) / math.log10(2) < 5
 
 
