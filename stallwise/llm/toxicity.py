@@ -158,7 +158,8 @@ def grammar() -> Transducer:
 
 def table_of(t: Transducer) -> list[list[tuple[int, int]]]:
     """All reachable states of a composed transducer as a table: [state][symbol] -> (state, symbol written)."""
-    names, out = {t.start: 0}, []
+    # Equal entries are one object, also after they have been sent to a worker, so that a table takes a few megabytes.
+    names, out, entries = {t.start: 0}, [], {}
     queue = [t.start]
     while queue:
         row = []
@@ -168,7 +169,8 @@ def table_of(t: Transducer) -> list[list[tuple[int, int]]]:
             if after not in names:
                 names[after] = len(names)
                 queue.append(after)
-            row.append((names[after], wrote))
+            entry = (names[after], wrote)
+            row.append(entries.setdefault(entry, entry))
         out.append(row)
     return out
 
