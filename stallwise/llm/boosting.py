@@ -62,13 +62,13 @@ class BoostedTrees:
 
 
 def threshold_for(score: np.ndarray, y: np.ndarray, precision: float | None = None, recall: float | None = None) -> float:
-    """The lowest score at which precision is reached, or the highest at which recall still is; on data that weren't fitted."""
+    """The score of the lowest positive at which precision is reached, or the highest score at which recall still is; on data that weren't fitted."""
     if not len(y) or not y.any():
         return 1.1
     order = np.argsort(-score, kind="stable")
     hits = np.cumsum(y[order])
     if precision is not None:
-        good = np.flatnonzero(hits / np.arange(1, len(y) + 1) >= precision)
+        good = np.flatnonzero((hits / np.arange(1, len(y) + 1) >= precision) & (y[order] == 1))
         return float(score[order[good[-1]]]) if len(good) else 1.1
     need = np.flatnonzero(hits >= recall * y.sum())
     return float(score[order[need[0]]])

@@ -2,14 +2,16 @@
 
 Base spans follow exact formats (email, ip, card, phone) and are always reported. High-recall
 generators propose further, overlapping spans: disguised addresses, telephone numbers without a plus
-sign, numbers with odd separators or a wrong check digit, account and identity numbers. Boosted trees score
+sign, numbers with odd separators, account and identity numbers. Boosted trees score
 every candidate by its format and its surroundings, which tell how much other personal data stands near; per
-kind, the lowest score at which labelled candidates that weren't learned from reach PRECISION is the threshold.
-Of overlapping selected spans the best stays; none may overlap a base span.
+kind, the score of the lowest personal candidate at which candidates that weren't learned from reach PRECISION
+is the threshold. Of overlapping selected spans one whose check digit is right stays before others, then the best;
+none may overlap a base span. A number with a wrong check digit is none of a card, unless a word says that it is.
 
 Labels are made, on a bounded sample of documents. The personal data that base formats find there is written in
-another dress in its own place (label 1), and known formats (label 1) and look-alikes (label 0) are written into
-the documents' contexts, both with and without words that usually stand near them. Thresholds are set on kinds of
+another dress in its own place (label 1), cards there get a wrong check digit as well (label 0), and known formats
+(label 1) and look-alikes (label 0) are written into the documents' contexts, both with and without words that
+usually stand near them. Thresholds are set on kinds of
 look-alikes that the trees didn't see as well. What base formats don't know in a real text is never taken as a label.
 
 Whole texts are searched; positions are code points. Null and empty texts have no spans. Rows without a
@@ -47,7 +49,7 @@ _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _GENERATORS = (
     ("email", re.compile(r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++[\x20]?(?:\[at\]|\(at\)|\{at\})[\x20]?[A-Za-z0-9-]++(?:[\x20]?(?:\.|\[dot\]|\(dot\))[\x20]?[A-Za-z0-9-]{2,}+)+", re.I | re.A)),
-    ("phone", re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.])\(?[0-9]{2,4}\)?[\x20./-]{1,2}[0-9]{2,4}[\x20./-][0-9]{2,5}(?:[\x20./-][0-9]{2,4})?(?![0-9A-Za-z]|[./-][0-9])")),
     ("card", re.compile(r"(?<![0-9A-Za-z])[0-9]{4}(?:[\x20._/-]{1,2}[0-9]{3,6}){2,4}(?![0-9A-Za-z])")),
     ("card", re.compile(r"(?<![0-9A-Za-z.+_-])[0-9]{13,19}+(?![0-9A-Za-z])")),
     ("ip", re.compile(r"(?<![0-9A-Fa-f:])(?:[0-9A-Fa-f]{1,4}:){3,7}[0-9A-Fa-f]{1,4}(?![0-9A-Fa-f:])")),
@@ -115,12 +117,21 @@ def candidates(text: str) -> list[tuple[str, int, int]]:
     """What the generators propose; spans may overlap."""
     if not _DIGIT.search(text) and "at" + "]" not in text and "at)" not in text and "at}" not in text:
         return []
-    return [(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text)]
+    return [(kind, *m.span()) for kind, pattern in _GENERATORS for m in pattern.finditer(text) if kind != "phone" or sum("0" <= c <= "9" for c in m[0]) <= 15]
 
 
 _ALL = KINDS + EXTRA_KINDS
 
 
+def checked(kind: str, s: str) -> bool:
+    """Whether a card's or an account's check digits are right."""
+    if kind == "iban":
+        s = re.sub(r"[^0-9A-Z]", "", s)
+        return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
+    digits = re.sub(r"[^0-9]", "", s)
+    return kind == "card" and 13 <= len(digits) <= 19 and luhn(digits)
+
+
 def _is_date(groups: list[str]) -> bool:
     """Whether number groups read as a day, in any usual order."""
     if len(groups) != 3:
@@ -152,7 +163,7 @@ def describe(text: str, kind: str, a: int, b: int, near_base: int = 0) -> list[f
         *(float(kind == k) for k in _ALL),
         len(s), len(digits), len(groups), max(groups), min(groups), len(seps),
         float("(" in s), float("-" in s), float("." in s), float("/" in s), float(" " in s), float(":" in s),
-        float(len(digits) >= 13 and luhn(digits)), float(len(set(digits)) <= 2),
+        float(checked(kind, s)), float(len(set(digits)) <= 2),
         float(all(int(g) < 256 for g in re.findall(r"[0-9]{1,9}", s)[:4])),
         float(digits[:2] in ("19", "20")), float(digits[:1] == "0"),
         float(any(w in _CUE_WORDS[kind] for w in words)), float(any(w in c for w in words for c in _CUE_WORDS.values())),
@@ -171,10 +182,15 @@ def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
     parts = lambda s, sep: sep.join(s[k : k + 4] for k in range(0, len(s), 4))
     day = lambda sep: r.choice([f"{r.randint(1950, 2039)}{sep}{r.randint(1, 12):02}{sep}{r.randint(1, 28):02}", f"{r.randint(1, 28):02}{sep}{r.randint(1, 12):02}{sep}{r.randint(1950, 2039)}"])
 
-    def card(wrong=False):
-        s = d(15)
+    def card(wrong=False, n=16):
+        s = d(n - 1)
         return s + r.choice([c for c in "0123456789" if luhn(s + c) != wrong])
 
+    def account(country, n, wrong=False):
+        own = d(n)
+        check = 98 - int(own + "".join(str(int(c, 36)) for c in country) + "00") % 97
+        return country + f"{1 + check % 97 if wrong else check:02}" + own
+
     identity = lambda: f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"
     # Each kind: dresses that are learned from, and one that isn't.
     good = {
@@ -182,15 +198,15 @@ def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
         "phone": ([lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}"], [lambda: f"{d(3)}.{d(3)}.{d(4)}"]),
         "card": ([lambda: parts(card(), r.choice([".", "_"])), card, lambda: card(True)], [lambda: parts(card(), "/")]),
         "ip": ([lambda: ":".join("%x" % r.randrange(65536) for _ in range(8))], [lambda: ":".join("%04x" % r.randrange(65536) for _ in range(8))]),
-        "iban": ([lambda: r.choice(["DE", "FR", "ES"]) + parts(d(2) + d(18), " ")], [lambda: r.choice(["GB", "IT"]) + d(20)]),
+        "iban": ([lambda: parts(account(r.choice(["DE", "FR", "ES"]), 18), r.choice([" ", ""]))], [lambda: account(r.choice(["GB", "IT"]), 20)]),
         "national_id": ([identity], [identity]),
     }
     bad = {
         "email": ([lambda: f"{word()} (at) {word()}.{word()[:2]}"], [lambda: f"{word()} [at] {word()}.{word()}"]),
         "phone": ([identity, lambda: day(r.choice("-./ ")), lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{r.randint(1, 9)}{d(1)}.{d(2)}.{d(3)}"], [lambda: day("-"), lambda: f"{d(3)}/{d(3)}/{d(2)}"]),
-        "card": ([lambda: parts(card(True), r.choice([".", "_"])), lambda: d(r.randint(13, 19))], [lambda: parts(d(20), "/"), lambda: "1" + "0" * 12 + d(1)]),
+        "card": ([lambda: parts(card(True), r.choice([".", "_"])), lambda: card(True), lambda: card(True, r.randint(13, 19))], [lambda: parts(d(20), "/"), lambda: "1" + "0" * 12 + d(1)]),
         "ip": ([lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{d(2)}"], [lambda: f"{d(1)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}"]),
-        "iban": ([lambda: r.choice(["AB", "XK", "PN"]) + parts(d(2) + d(14), "")], [lambda: "QT" + parts(d(2) + d(14), "")]),
+        "iban": ([lambda: r.choice(["AB", "XK", "PN"]) + d(16), lambda: parts(account(r.choice(["DE", "FR", "ES"]), 18, True), r.choice([" ", ""]))], [lambda: "QT" + d(16)]),
         "national_id": ([lambda: f"{r.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", lambda: f"{d(3)}-00-{d(4)}"], [lambda: f"{d(3)}-{d(2)}-0000"]),
     }
     other = lambda: r.choice([f"{word()}@{word()}.com", f"{r.randint(1, 223)}.{d(2)}.{d(2)}.{d(2)}", f"+1 ({d(3)}) 555-{d(4)}"])
@@ -201,27 +217,31 @@ def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
         s = (good if label else bad)[kind][strange][which]()
         own = r.choice(sorted(_CUE_WORDS[kind])) + r.choice([": ", " ", " = "])
         away = r.choice(sorted(_OTHER_CUES)) + r.choice([": ", " ", " no "])
-        # A word that fits stands near both, more often near what is meant; a wrong check digit takes more than that.
-        bare = kind == "card" and s.isdigit() and not luhn(s)
+        # A word that fits stands near both, more often near what is meant, and always near a wrong check digit that is meant.
+        bare = kind == "card" and s.isdigit()
+        wrong = bare and not luhn(s)
         x = r.random()
-        cue = (own if x < 0.5 else "") if label else (own if x < 0.15 and not bare else away if x < 0.45 else "")
-        near = int(label and (bare or r.random() < 0.5)) * r.randint(1, 3)
+        cue = (own if x < 0.5 or wrong else "") if label else (own if x < 0.15 and not wrong else away if x < 0.45 else "")
+        near = int(r.random() < (0.5 if label or wrong else 0.2)) * r.randint(1, 3)
         context = r.choice(contexts) if contexts else ""
         cut = r.randint(0, len(context))
         before = context[max(0, cut - _AROUND) : cut] + " " + (other() + " " if near and r.random() < 0.5 else "") + cue
+        # A bare number with a right check digit is a base span, unless digits stand before it.
+        if bare and (not wrong or r.random() < 0.3):
+            before += d(r.randint(1, 3)) + " "
         yield before + s + " " + context[cut : cut + _AROUND], kind, len(before), len(before) + len(s), label, near
 
 
-def _dressed(kind: str, s: str) -> tuple[str, str] | None:
-    """Personal data of a base format in a dress that only the generators know: (kind, text)."""
+def _dressed(kind: str, s: str) -> list[tuple[str, int]]:
+    """Personal data of a base format in a dress that only the generators know, and what no longer is any: (text, label)."""
     if kind == "email":
-        return kind, s.replace("@", " [at] ")
+        return [(s.replace("@", " [at] "), 1)]
     if kind == "phone":
-        return kind, s.lstrip("+").partition(" ")[2] or s[1:]
+        return [(s.lstrip("+").partition(" ")[2] or s[1:], 1)]
     if kind == "card":
         digits = re.sub(r"[^0-9]", "", s)
-        return kind, digits[:-1] + str((int(digits[-1]) + 1) % 10)
-    return None
+        return [(".".join(digits[k : k + 4] for k in range(0, len(digits), 4)), 1), (digits[:-1] + str((int(digits[-1]) + 1) % 10), 0)]
+    return []
 
 
 def _sampled(batches):
@@ -232,23 +252,24 @@ def _sampled(batches):
             if not text:
                 continue
             middle = len(text) // 2
-            out.append((text[max(0, middle - _AROUND) : middle + _AROUND], "", 0, 0, 0))
+            out.append((text[max(0, middle - _AROUND) : middle + _AROUND], "", 0, 0, 0, 0))
             base = base_spans(text)
             for kind, a, b in base[:SAMPLE_EACH]:
-                dressed = _dressed(kind, text[a:b])
-                before = text[max(0, a - _AROUND) : a]
-                for other, x, y in candidates(before + dressed[1] + text[b : b + _AROUND]) if dressed else []:
-                    if other == kind and x < len(before) + len(dressed[1]) and len(before) < y:
-                        out.append((before + dressed[1] + text[b : b + _AROUND], kind, x, y, _near(base, a, b)))
-        columns = list(zip(*out)) or [[]] * 5
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64()))], ["text", "kind", "a", "b", "near"])
+                before, after = text[max(0, a - _AROUND) : a], text[b : b + _AROUND]
+                for dressed, label in _dressed(kind, text[a:b]):
+                    for other, x, y in candidates(before + dressed + after):
+                        if other == kind and x < len(before) + len(dressed) and len(before) < y:
+                            meant = label or any(w.lower() in _CUE_WORDS[kind] for w in _WORD.findall(before)[-5:])
+                            out.append((before + dressed + after, kind, x, y, int(meant), _near(base, a, b)))
+        columns = list(zip(*out)) or [[]] * 6
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), *[pa.int64()] * 4))], ["text", "kind", "a", "b", "label", "near"])
 
 
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE, seed: int = 3):
     """Boosted trees and the threshold of each kind."""
-    rows = sorted(map(tuple, sample_below(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(_sampled, "text string, kind string, a long, b long, near long").collect()))
+    rows = sorted(map(tuple, sample_below(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text").mapInArrow(_sampled, "text string, kind string, a long, b long, label long, near long").collect()))
     contexts = [r[0] for r in rows if not r[1]]
-    found = [(*r[:4], 1, r[4]) for r in rows if r[1]]
+    found = [r for r in rows if r[1]]
     seen = len(found) + made
     found += [*_made(contexts, made), *_made(contexts, made // 2, seed=12, strange=True)]
     x = np.array([describe(*r[:4], r[5]) for r in found])
@@ -259,7 +280,7 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE, see
     held[seen:] = True
     model = BoostedTrees().fit(x[~held], y[~held])
     score = model.score(x)
-    return model, {k: max(0.5, threshold_for(score[held & (kinds == k)], y[held & (kinds == k)], precision=PRECISION)) for k in _ALL}
+    return model, {k: threshold_for(score[held & (kinds == k)], y[held & (kinds == k)], precision=PRECISION) for k in _ALL}
 
 
 def find(text: str, model, thresholds) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -270,9 +291,9 @@ def find(text: str, model, thresholds) -> tuple[list[tuple[str, int, int]], list
     more = []
     if offered:
         scores = model.score(np.array([describe(text, *c, _near(base, *c[1:])) for c in offered]))
-        chosen = sorted((-s, c) for s, c in zip(scores, offered) if s >= thresholds[c[0]])
+        chosen = sorted((not checked(c[0], text[c[1] : c[2]]), -s, c) for s, c in zip(scores, offered) if s >= thresholds[c[0]])
         cover: dict[int, None] = {}
-        for _, (kind, a, b) in chosen:
+        for *_, (kind, a, b) in chosen:
             if not any(p in cover for p in range(a, b)):
                 cover.update(dict.fromkeys(range(a, b)))
                 more.append((kind, a, b))
