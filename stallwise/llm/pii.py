@@ -191,14 +191,15 @@ def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
         check = 98 - int(own + "".join(str(int(c, 36)) for c in country) + "00") % 97
         return country + f"{1 + check % 97 if wrong else check:02}" + own
 
+    person = lambda: r.choice([word(), f"{word()[0]}.{word()}", f"{word()}.{word()}", f"{word()}_{word()}"])
     identity = lambda: f"{r.randint(1, 665):03}-{r.randint(1, 99):02}-{r.randint(1, 9999):04}"
     # Each kind: dresses that are learned from, and one that isn't.
     good = {
-        "email": ([lambda: f"{word()}.{word()}{r.choice([' [at] ', '(at)', '[at]'])}{word()}{r.choice(['.', ' [dot] '])}{r.choice(['com', 'org', 'net', 'de'])}"], [lambda: f"{word()}{r.randint(1, 99)} (at) {word()}(dot){r.choice(['io', 'fr'])}"]),
+        "email": ([lambda: f"{person()}{r.choice([' [at] ', ' (at) ', '(at)', '[at]'])}{word()}{r.choice(['.', ' [dot] '])}{r.choice(['com', 'org', 'net', 'de'])}"], [lambda: f"{word()}{r.randint(1, 99)} (at) {word()}(dot){r.choice(['io', 'fr'])}"]),
         "phone": ([lambda: f"({d(3)}) {d(3)}-{d(4)}", lambda: f"{d(3)}-{d(3)}-{d(4)}", lambda: f"0{d(3)} {d(3)} {d(4)}"], [lambda: f"{d(3)}.{d(3)}.{d(4)}"]),
         "card": ([lambda: parts(card(), r.choice([".", "_"])), card, lambda: card(True)], [lambda: parts(card(), "/")]),
         "ip": ([lambda: ":".join("%x" % r.randrange(65536) for _ in range(8))], [lambda: ":".join("%04x" % r.randrange(65536) for _ in range(8))]),
-        "iban": ([lambda: parts(account(r.choice(["DE", "FR", "ES"]), 18), r.choice([" ", ""]))], [lambda: account(r.choice(["GB", "IT"]), 20)]),
+        "iban": ([lambda: parts(account(r.choice(["DE", "FR", "ES"]), r.randint(11, 26)), r.choice([" ", ""]))], [lambda: account(r.choice(["GB", "IT"]), 20)]),
         "national_id": ([identity], [identity]),
     }
     bad = {
@@ -206,7 +207,7 @@ def _made(contexts: list[str], n: int, seed: int = 11, strange: bool = False):
         "phone": ([identity, lambda: day(r.choice("-./ ")), lambda: f"{d(2)} {d(3)} {d(3)}", lambda: f"{r.randint(1, 9)}{d(1)}.{d(2)}.{d(3)}"], [lambda: day("-"), lambda: f"{d(3)}/{d(3)}/{d(2)}"]),
         "card": ([lambda: parts(card(True), r.choice([".", "_"])), lambda: card(True), lambda: card(True, r.randint(13, 19))], [lambda: parts(d(20), "/"), lambda: "1" + "0" * 12 + d(1)]),
         "ip": ([lambda: f"{r.randint(10, 23)}:{r.randint(10, 59)}:{r.randint(10, 59)}:{d(2)}"], [lambda: f"{d(1)}:{d(2)}:{d(2)}:{d(2)}:{d(2)}"]),
-        "iban": ([lambda: r.choice(["AB", "XK", "PN"]) + d(16), lambda: parts(account(r.choice(["DE", "FR", "ES"]), 18, True), r.choice([" ", ""]))], [lambda: "QT" + d(16)]),
+        "iban": ([lambda: r.choice(["AB", "XK", "PN"]) + d(16), lambda: parts(account(r.choice(["DE", "FR", "ES"]), r.randint(11, 26), True), r.choice([" ", ""]))], [lambda: "QT" + d(16)]),
         "national_id": ([lambda: f"{r.choice(['000', '666', '9' + d(2)])}-{d(2)}-{d(4)}", lambda: f"{d(3)}-00-{d(4)}"], [lambda: f"{d(3)}-{d(2)}-0000"]),
     }
     other = lambda: r.choice([f"{word()}@{word()}.com", f"{r.randint(1, 223)}.{d(2)}.{d(2)}.{d(2)}", f"+1 ({d(3)}) 555-{d(4)}"])
