@@ -81,3 +81,21 @@ def percent_label(bp: Column, signed: bool = False) -> Column:
     tenths = half_up(F.abs(bp) / 10)
     sign = F.when(bp < 0, "-").when((bp > 0) & F.lit(signed), "+").otherwise("")
     return F.when(bp.isNull(), "—").otherwise(F.concat(sign, F.floor(tenths / 10).cast("string"), F.lit("."), (tenths % 10).cast("string"), F.lit("%")))
+
+
+def age_label(then: Column, now: Column) -> Column:
+    """How long ago: minutes below an hour, hours below a day, else days, each rounded from the one before, halves up; null is a dash."""
+    minutes = half_up((F.unix_micros(now.cast("timestamp")) - F.unix_micros(then.cast("timestamp"))) / 60_000_000)
+    hours = half_up(minutes / 60)
+    told = F.when(minutes < 60, F.concat(minutes.cast("string"), F.lit("m"))).when(hours < 24, F.concat(hours.cast("string"), F.lit("h"))).otherwise(F.concat(half_up(hours / 24).cast("string"), F.lit("d")))
+    return F.when(then.isNull(), "—").otherwise(F.concat(told, F.lit(" ago")))
+
+
+def day_label(day: Column, year: bool = True) -> Column:
+    """A day as 4 Jan 2024, or without its year; null is a dash."""
+    return F.coalesce(F.date_format(day, "d MMM yyyy" if year else "d MMM"), F.lit("—"))
+
+
+def moment_label(at: Column) -> Column:
+    """A moment as 4 Jan 2024, 05:30 pm; null is a dash."""
+    return F.coalesce(F.concat(F.date_format(at, "d MMM yyyy, hh:mm "), F.lower(F.date_format(at, "a"))), F.lit("—"))

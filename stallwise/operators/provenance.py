@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import half_up
+from ..functions.scalar import age_label, day_label, half_up, moment_label
 from ..sources.roles import Roles
 
 
@@ -22,6 +22,14 @@ def recent_runs(r: Roles) -> DataFrame:
     return r.capture_run.withColumn("success_bp", half_up(F.col("pages_succeeded") * 10000 / F.col("pages_attempted"))).orderBy(F.desc("run_date"), "marketplace_id")
 
 
+def capture_ages(r: Roles) -> DataFrame:
+    """Every kept document and rejected record: when it was captured, as a day, as a moment and as an age at the latest capture of all."""
+    at = lambda df, what, key, when: df.select(F.lit(what).alias("entity"), F.col(key).alias("id"), F.col(when).alias("at"))
+    rows = at(r.raw_document, "document", "document_id", "fetched_at").unionByName(at(r.rejected_record, "rejection", "rejection_id", "captured_at"))
+    rows = rows.crossJoin(F.broadcast(rows.agg(F.max("at").alias("now"))))  # one row
+    return rows.select("entity", "id", day_label(F.col("at")).alias("day"), day_label(F.col("at"), year=False).alias("short_day"), moment_label(F.col("at")).alias("moment"), age_label(F.col("at"), F.col("now")).alias("age"))
+
+
 def recent_rejections(r: Roles) -> DataFrame:
     """Rejected records, the latest first, with the document that they came from where it was kept."""
     rows = r.rejected_record.join(r.raw_document, "document_id", "left")

@@ -483,6 +483,9 @@ ORACLE_SQL = {
       LEFT JOIN (SELECT marketplace_id, max(d) AS last_run, arg_max(a, d) AS attempted, arg_max(s, d) AS succeeded, count(*) AS runs FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS d, count(*) AS a, count_if(event_type <> 'error') AS s FROM events GROUP BY ALL) GROUP BY marketplace_id) run ON run.marketplace_id = r_regionkey
       LEFT JOIN (SELECT marketplace_id, count(*) AS listings, {_h('sum(confidence_pct) * 100 / count(*)')} AS confidence_bp, count_if(human_confirmed) AS confirmed FROM listing GROUP BY marketplace_id) l ON l.marketplace_id = r_regionkey"""),
     "recent_runs": _sql(f"SELECT *, {_h('pages_succeeded * 10000 / pages_attempted')} AS success_bp FROM (SELECT CAST(user_id % 5 AS INT) AS marketplace_id, CAST(ts AS DATE) AS run_date, count(*) AS pages_attempted, count_if(event_type <> 'error') AS pages_succeeded FROM events GROUP BY ALL) ORDER BY run_date DESC, marketplace_id"),
+    "capture_ages": _sql("""SELECT CASE WHEN event_type = 'error' THEN 'rejection' ELSE 'document' END AS entity, event_id AS id, coalesce(strftime(ts, '%-d %b %Y'), '—') AS day, coalesce(strftime(ts, '%-d %b'), '—') AS short_day, coalesce(strftime(ts, '%-d %b %Y, %I:%M ') || lower(strftime(ts, '%p')), '—') AS moment,
+      CASE WHEN m IS NULL THEN '—' WHEN m < 60 THEN m || 'm ago' WHEN h < 24 THEN h || 'h ago' ELSE CAST(floor(h / 24 + 0.5) AS BIGINT) || 'd ago' END AS age
+      FROM (SELECT *, CAST(floor(m / 60 + 0.5) AS BIGINT) AS h FROM (SELECT *, CAST(floor((epoch_us(max(ts) OVER ()) - epoch_us(ts)) / 60000000 + 0.5) AS BIGINT) AS m FROM events WHERE event_type IS NOT NULL))"""),
     "recent_rejections": _sql("SELECT e.event_id AS rejection_id, e.event_id - 1 AS document_id, CASE WHEN e.event_id % 3 = 0 THEN 'listing' ELSE 'offer' END AS target_entity, e.ts AS captured_at, CAST(d.user_id % 5 AS INT) AS marketplace_id, d.event_type AS page_kind FROM events e LEFT JOIN events d ON d.event_id = e.event_id - 1 AND d.event_type <> 'error' WHERE e.event_type = 'error' ORDER BY captured_at DESC, rejection_id DESC"),
     "field_coverage": _sql(f"""SELECT marketplace_id, field, count(*) AS total, count(v) AS filled, {_h('count(v) * 10000 / count(*)')} AS coverage_bp FROM (
       SELECT marketplace_id, 'specifications' AS field, CAST(grade AS BIGINT) AS v FROM listing JOIN product USING (product_id) UNION ALL SELECT marketplace_id, 'rating', CASE WHEN listing_id IN (SELECT listing_id FROM review) THEN 1 END FROM listing

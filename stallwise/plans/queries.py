@@ -574,6 +574,11 @@ def recent_runs(r):
     return provenance.recent_runs(r)
 
 
+@_query
+def capture_ages(r):
+    return provenance.capture_ages(r)
+
+
 @_query
 def recent_rejections(r):
     return provenance.recent_rejections(r)

@@ -3,7 +3,7 @@ import datetime
 import numpy as np
 from pyspark.sql import functions as F
 
-from stallwise.functions.scalar import compact_money, grouped_money, half_up, model_name, percent_label, price_proximity, psych_snap, token_jaccard
+from stallwise.functions.scalar import age_label, compact_money, day_label, grouped_money, half_up, model_name, moment_label, percent_label, price_proximity, psych_snap, token_jaccard
 from stallwise.operators import browse, catalogue, competitive, hedonic, history, prices, stats
 
 D = datetime.date
@@ -135,3 +135,11 @@ def test_addresses_become_requests():
 def test_verdicts_and_coverage_without_candidates(spark):
     r = one(spark, **{k: competitive.verdict(kind, F.lit(x).cast("double")) for k, kind, x in (("a", "integer", 0.98), ("b", "integer", 0.15), ("c", "text", 0.01), ("d", "boolean", None))})
     assert tuple(r) == ("match", "differ", "partial", "missing")
+
+
+def test_labels_of_days_and_ages(spark):
+    rows = [(x,) for x in ("2024-03-09 23:59:00", "2024-03-09 23:00:31", "2024-03-09 22:30:00", "2024-03-09 00:30:00", "2024-03-08 13:29:59", "2024-02-01 12:00:00", None)]
+    df = spark.createDataFrame(rows, "x string").select(F.to_timestamp("x").alias("x"))
+    assert [r[0] for r in df.select(age_label(F.col("x"), F.lit("2024-03-10"))).collect()] == ["1m ago", "59m ago", "2h ago", "1d ago", "1d ago", "38d ago", "—"]
+    got = [tuple(r) for r in df.select(day_label(F.col("x")), day_label(F.col("x"), year=False), moment_label(F.col("x"))).collect()]
+    assert got[2] == ("9 Mar 2024", "9 Mar", "9 Mar 2024, 10:30 pm") and got[3][2] == "9 Mar 2024, 12:30 am" and got[6] == ("—",) * 3

@@ -9,7 +9,7 @@ import pytest
 import __spark_entry__ as entry
 
 DIR = "/root/testdata/sf0.001"
-NAMES = ["current_effective_price", "price_ladder_rows", "history_stats", "sale_windows", "merged_price_grid", "tracked_summary", "marketplace_comparison", "facet_specs", "catalogue_sorted", "category_subtree", "departments", "catalogue_facets", "catalogue_typed", "catalogue_envelope", "product_pages", "listing_pages", "price_histories", "taxonomy_mapping", "rationales", "psych_snap", "weighted_distribution", "competitive_set", "price_bounds", "hedonic", "sanity_checks", "recommendation", "source_overview", "recent_rejections", "field_coverage", "match_quality", "spec_tally", "coverage_explained", "refusals", "address_request", "price_labels", "compact_prices"]
+NAMES = ["current_effective_price", "price_ladder_rows", "history_stats", "sale_windows", "merged_price_grid", "tracked_summary", "marketplace_comparison", "facet_specs", "catalogue_sorted", "category_subtree", "departments", "catalogue_facets", "catalogue_typed", "catalogue_envelope", "product_pages", "listing_pages", "price_histories", "taxonomy_mapping", "rationales", "psych_snap", "weighted_distribution", "competitive_set", "price_bounds", "hedonic", "sanity_checks", "recommendation", "source_overview", "recent_rejections", "capture_ages", "field_coverage", "match_quality", "spec_tally", "coverage_explained", "refusals", "address_request", "price_labels", "compact_prices"]
 
 
 def plain(v):
