@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from .common import cut
 from .components import components
-from .kernels import distinct_sorted, mix64, pieces, shingle_hashes, split_words
+from .kernels import distinct_sorted, mix64, pieces, shingle_hashes, split_words, texts_of
 
 #: A shingle found at least so often, counting tasks in which it stands three times, has a long list.
 LONG_LIST = 8
@@ -110,18 +110,22 @@ _PROFILE = ["doc_id", "mark", "n", "hi", "lo", "sketch", "token", "c"]
 def _profile(width: int):
     """Documents (doc_id, text, mark) -> a row for each (doc_id, mark, n, hi, lo, sketch), and rows (token, c) for shingles that a task sees often."""
 
-    def tally(parts):
-        v, c = np.unique(np.concatenate(parts), return_counts=True)
-        often = c >= 3
-        k = int(often.sum())
+    def tally(v):
+        # Sorted in place, and counted only where a shingle stands three times: a task's memory stays near that of the tally itself.
+        v.sort()
+        at = np.flatnonzero(v[2:] == v[:-2])
+        at = at[np.concatenate((np.ones(1, bool), v[at[1:]] != v[at[1:] - 1]))] if len(at) else at
+        tokens = v[at]
+        c = np.searchsorted(v, tokens, "right") - at
+        k = len(at)
         gone = pa.nulls(k, pa.int64())
-        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, pa.nulls(k, pa.binary()), pa.array(_signed(v[often])), pa.array(c[often].astype(np.int64))], _PROFILE)
+        return pa.RecordBatch.from_arrays([gone, gone, gone, gone, gone, pa.nulls(k, pa.binary()), pa.array(_signed(tokens)), pa.array(c.astype(np.int64))], _PROFILE)
 
     def of(batches):
-        seen, size = [], 0
+        seen, size = np.empty(_TALLY, np.uint64), 0
         for batch in batches:
             ids, marks = batch.column(0), batch.column(2)
-            for begin, v, first in _sets(batch.column(1).to_pylist(), width):
+            for begin, v, first in _sets(texts_of(batch.column(1)), width):
                 n = np.diff(first)
                 total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(v, dtype=np.uint64)))
                 other = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix64(v), dtype=np.uint64)))
@@ -130,13 +134,15 @@ def _profile(width: int):
                     [ids.slice(begin, len(n)), marks.slice(begin, len(n)), pa.array(n), pa.array(_signed(total[first[1:]] - total[first[:-1]])), pa.array(_signed(other[first[1:]] - other[first[:-1]])), pa.array(_sketches(v, first), pa.binary()), gone, gone],
                     _PROFILE,
                 )
-                seen.append(v)
-                size += len(v)
-                if size > _TALLY:
-                    yield tally(seen)
-                    seen, size = [], 0
-        if seen:
-            yield tally(seen)
+                while len(v):
+                    some = v[: _TALLY - size]
+                    seen[size : size + len(some)] = some
+                    size, v = size + len(some), v[len(some) :]
+                    if size == _TALLY:
+                        yield tally(seen)
+                        size = 0
+        if size:
+            yield tally(seen[:size])
 
     return of
 
@@ -148,7 +154,7 @@ def _prefixes(width: int, num: int, den: int, shared):
         long_tokens, often = shared.value
         for batch in batches:
             ids = batch.column(0)
-            for begin, v, first in _sets(batch.column(1).to_pylist(), width):
+            for begin, v, first in _sets(texts_of(batch.column(1)), width):
                 n = np.diff(first)
                 take = n - (n * num + den - 1) // den + (n > 0)
                 at = np.searchsorted(long_tokens, v)
@@ -274,7 +280,7 @@ def _arrays(width: int):
 
     def of(batches):
         for batch in batches:
-            for begin, v, first in _sets(batch.column(4).to_pylist(), width):
+            for begin, v, first in _sets(texts_of(batch.column(4)), width):
                 columns = [batch.column(k).slice(begin, len(first) - 1) for k in range(4)]
                 yield pa.RecordBatch.from_arrays([*columns, pa.array([v[a:b].tobytes() for a, b in zip(first, first[1:])], pa.binary())], ["key", "salt", "side", "doc", "set"])
 

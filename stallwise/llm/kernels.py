@@ -79,6 +79,11 @@ def pieces(texts: Iterable[str | None], limit: int = PIECE_BYTES):
         yield begin, run
 
 
+def texts_of(column):
+    """The texts of an Arrow column one after another, so that a batch isn't held twice."""
+    return (x.as_py() for x in column)
+
+
 def split_words(run: list[bytes], plain: bool = False) -> Words:
     """Splits a run into words and hashes them.
 
