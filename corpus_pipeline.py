@@ -6,7 +6,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
-from stallwise.llm.common import cut, table
+from stallwise.llm.common import bound_batches, cut, table
 from stallwise.llm.decontaminate import drop_contaminated
 from stallwise.llm.jaccard_join import keep_one_of_each
 from stallwise.llm.packing import pack
@@ -16,11 +16,12 @@ from stallwise.sources.session import ship_package
 
 
 def _stage(f):
-    """A stage may be called by itself, so each sees to it that workers can import the package."""
+    """A stage may be called by itself, so each sees to it that workers can import the package and get batches of bounded size."""
 
     @wraps(f)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         ship_package(spark)
+        bound_batches(spark)
         return f(spark, docs, sf_dir)
 
     return run
