@@ -262,3 +262,20 @@ def search_products(r: Roles, query: str, category: str | None = None) -> DataFr
     listings = r.listing.groupBy("product_id").agg(F.count("*").alias("listings"))
     price = current_effective_price(r).select("product_id", F.col("universal_effective").alias("price"))
     return rows.select("product_id", "canonical_name", "brand").join(listings, "product_id", "left").join(price, "product_id", "left").join(review_metrics(r).select("product_id", "rating_tenths"), "product_id", "left").withColumn("listings", F.coalesce("listings", F.lit(0)))
+
+
+#: Sellers of a group that one task pairs with all its members.
+GROUP_PART = 1000
+
+
+def seller_group_members(r: Roles) -> DataFrame:
+    """Each seller with every other of its group. Groups are few, so a group's sellers are dealt into parts, each of which meets all its members in one task."""
+    one = r.seller.select("seller_id", "seller_group")
+    n = int(one.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = one.groupBy("seller_group").agg(F.ceil(F.count("*") / GROUP_PART).cast("int").alias("parts"))
+    dealt = one.join(parts, "seller_group")
+    sellers = dealt.withColumn("part", F.pmod(F.xxhash64("seller_id"), F.col("parts")).cast("int")).drop("parts")
+    members = dealt.select("seller_group", F.col("seller_id").alias("member_id"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    # A number of partitions of its own: by their bytes all of these would be put into one. Nothing is broadcast.
+    sellers, members = (x.repartition(n, "seller_group", "part") for x in (sellers, members))
+    return sellers.hint("shuffle_hash").join(members, ["seller_group", "part"]).where("seller_id <> member_id").select("seller_id", "member_id")
