@@ -56,9 +56,9 @@ def request_of(params: Mapping[str, str]) -> Request:
     )
 
 
-def scope(r: Roles, q: Request) -> DataFrame:
+def scope(r: Roles, q: Request, summary: DataFrame | None = None) -> DataFrame:
     """Summaries of the products in scope, each with a map of its filterable specs to the labels that filters ask for."""
-    rows = product_summary(r)
+    rows = product_summary(r) if summary is None else summary
     if q.query:
         text = F.lit(q.query.lower())
         rows = rows.where(F.contains(F.lower("canonical_name"), text) | F.contains(F.lower("brand"), text) | F.contains(F.lower("product_type"), text))
@@ -68,12 +68,12 @@ def scope(r: Roles, q: Request) -> DataFrame:
 
 
 class Page:
-    """The answer to a request over a staged scope."""
+    """The answer to a request over a staged scope. Pages of one catalogue can share its summary."""
 
-    def __init__(self, r: Roles, q: Request):
+    def __init__(self, r: Roles, q: Request, summary: DataFrame | None = None):
         self.r, self.q = r, q
         self.stages = Stages(r.product.sparkSession)
-        staged = self.stages.put("scope", scope(r, q))
+        staged = self.stages.put("scope", scope(r, q) if summary is None else scope(r, q, summary))
         only = F.when(F.min("product_type") == F.max("product_type"), F.min("product_type"))
         top = F.max("min_price") / 100
         edges = F.array(*map(F.lit, PRICE_LADDERS[-1]))
