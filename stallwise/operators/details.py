@@ -62,26 +62,24 @@ def siblings_of(r: Roles, asked: DataFrame) -> DataFrame:
 
 
 def offer_cards(r: Roles, state: DataFrame) -> DataFrame:
-    """Offers as a listing shows them: seller and rating, prices, discount off the list price, promotions in force by class, and whether the offer is the featured one.
+    """Offers, with the numbers of their promotions by class, as a listing shows them: seller and rating, prices, discount off the list price, promotions in force by class, and whether the offer is the featured one.
 
     Featured is the first in stock by effective price. Classes without a promotion in force are left out.
     """
-    promotions = r.promotion.join(state.select("offer_id", "observed_at"), "offer_id").where("(valid_from IS NULL OR valid_from <= observed_at) AND (valid_to IS NULL OR valid_to >= observed_at)")
-    classes = promotions.groupBy("offer_id", "availability").agg(F.count("*").alias("n")).groupBy("offer_id").agg(_ordered("promotions", "availability", "n"))
     rated = seller_latest_rating(r).select("seller_id", F.col("rating_tenths").alias("seller_rating"))
     off = F.when(F.col("mrp") != 0, half_up((F.col("mrp") - F.col("selling")) * 10000 / F.col("mrp")))
     order = W.partitionBy("listing_id").orderBy("universal_effective", "offer_id")
-    rows = state.join(r.seller.select("seller_id", "seller_name"), "seller_id", "left").join(rated, "seller_id", "left").join(classes, "offer_id", "left")
+    rows = state.join(r.seller.select("seller_id", "seller_name"), "seller_id", "left").join(rated, "seller_id", "left")
     rows = rows.withColumn("place", F.row_number().over(order)).withColumn("first", F.min(F.when(F.col("in_stock"), F.col("place"))).over(W.partitionBy("listing_id")))
     return rows.select(
         "listing_id", "place", "offer_id", "seller_name", "seller_rating", "in_stock", "landed", "universal_effective", "conditional_best", off.alias("discount_bp"),
-        F.coalesce("promotions", F.array().cast(rows.schema["promotions"].dataType)).alias("promotions"), F.coalesce(F.col("place") == F.col("first"), F.lit(False)).alias("featured"),
+        F.col("classes").alias("promotions"), F.coalesce(F.col("place") == F.col("first"), F.lit(False)).alias("featured"),
     )
 
 
 def listing_pages(r: Roles, state: DataFrame | None = None) -> DataFrame:
     """Per listing: marketplace, product, review figures, its featured offer (null when all are out of stock) and all its offers by effective price."""
-    state = Stages(r.product.sparkSession).put("state", commercial_state(r)) if state is None else state
+    state = commercial_state(r, classes=True) if state is None else state
     cards = offer_cards(r, state)
     fields = [c for c in cards.columns if c != "listing_id"]
     offers = cards.groupBy("listing_id").agg(F.max(F.when(F.col("featured"), F.col("offer_id"))).alias("featured_offer"), _ordered("offers", *fields))
