@@ -8,10 +8,13 @@ over its surroundings, and a logistic layer. A candidate's score is that of its
 threshold keeps RECALL of held-out labelled findings; selected spans stay unless base spans or an earlier one
 hold them whole.
 
-Labelled findings are made, on a bounded sample of documents: known key formats, placeholders and look-alikes
-written into its contexts; its own base findings without the words that give them away, in their own place; and, as
-look-alikes, parts of its e-mail addresses. Other candidates of the sample aren't taken as labels. Each is
-learned window by window; a window of a long candidate counts as a secret where it shows most of one.
+Labelled findings are made of every document: known key formats, placeholders and look-alikes written into
+its context; its own base findings without the words that give them away, in their own place; and, as
+look-alikes, the candidates in its e-mail addresses. Other candidates aren't taken as labels. Each is
+learned window by window, equal windows once; a window of a long candidate counts as a secret where it shows most of one.
+Windows are dealt over tasks that grow with them. In each of EPOCHS rounds every task learns from all of its own,
+starting at the common network, and their networks are averaged. Thresholds come from counts of all held-out windows by
+score.
 
 Whole texts are searched; positions are code points. Null and empty texts have no spans. Rows without a
 doc_id are left out, repeated rows are searched each. Extra columns are ignored.
@@ -23,19 +26,21 @@ import base64
 import hashlib
 import random
 import re
+import zlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .boosting import threshold_for
-from .common import sample_below
+from .common import cut
 from .pii import base_spans as pii_spans
 from .pii import joined
 
-#: Bounds on the labelled findings: sampled documents, candidates of each, made findings.
-SAMPLE_DOCS, SAMPLE_EACH, MADE = 2000, 4, 4000
+#: Findings made in each document, and in all of them at least; windows that one task learns from, about.
+MADE_EACH, MADE, TASK_WINDOWS = 2, 4000, 16_000
+#: Scores are counted in steps of this in log-odds.
+SCORE_STEP = 0.001
 #: Windows of a candidate that are learned from at most, spread over it; all of them are scored.
 SAMPLE_WINDOWS = 8
 WINDOW, BEFORE, AFTER, STEP, WIDTH, FILTERS = 112, 32, 32, 40, 5, 24
@@ -211,63 +216,134 @@ def _made(contexts: list[str], n: int, seed: int = 17):
         yield before + lead + s + tail + " " + context[cut : cut + 60], kind, len(before), at + len(s) + len(tail), [(at, at + len(s))] * label
 
 
-def _sampled(batches):
-    """Documents -> windows of labelled candidates, and a context of each document."""
-    for batch in batches:
-        out = []
-        for text in batch.column(0).to_pylist():
-            if not text:
-                continue
-            middle = len(text) // 2
-            out.append((text[max(0, middle - 60) : middle + 60], b"", "", 0, 0, 0))
-            n = 0
-            for kind, a, b in base_spans(text)[:SAMPLE_EACH]:
-                # The value alone, where the whole assignment stood.
-                value = _ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
-                if len(value) >= 16:
-                    before = text[max(0, a - BEFORE) : a]
-                    out += [("", *lesson) for lesson in _lessons(before + value + text[b : b + WINDOW], "token", len(before), len(before) + len(value), [(len(before), len(before) + len(value))])]
-            mails = [(a, b) for kind, a, b in pii_spans(text) if kind == "email"] if "@" in text else []
-            for kind, a, b in candidates(text):
-                if n < SAMPLE_EACH and any(x < b and a < y for x, y in mails):
-                    n += 1
-                    out += [("", *lesson) for lesson in _lessons(text, kind, a, b, [])]
-        columns = list(zip(*out)) or [[]] * 6
-        types = (pa.string(), pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["context", "window", "kind", "a", "b", "label"])
-
-
-def thresholds(score: np.ndarray, y: np.ndarray, kinds: np.ndarray) -> dict[str, float]:
+def _labelled(made: int):
+    """Documents -> windows of labelled candidates. ``made``: findings written into each document's context."""
+
+    def of(batches):
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(2))):
+                text = text or ""
+                middle = len(text) // 2
+                context = text[max(0, middle - 60) : middle + 60]
+                out += [lesson for m in _made([context], made, zlib.crc32(f"{doc_id} {text}".encode("utf-8", "replace"))) for lesson in _lessons(*m)]
+                for kind, a, b in base_spans(text):
+                    # The value alone, where the whole assignment stood.
+                    value = _ASSIGN.match(text, a)[2] if kind == "assign" else text[a:b]
+                    if len(value) >= 16:
+                        before = text[max(0, a - BEFORE) : a]
+                        out += _lessons(before + value + text[b : b + WINDOW], "token", len(before), len(before) + len(value), [(len(before), len(before) + len(value))])
+                mails = np.array([(a, b) for kind, a, b in pii_spans(text) if kind == "email"] if "@" in text else []).reshape(-1, 2)
+                for kind, a, b in candidates(text) if len(mails) else ():
+                    # Addresses don't overlap, so the first that ends behind a candidate's start is the only one to look at.
+                    k = int(np.searchsorted(mails[:, 1], a, "right"))
+                    if k < len(mails) and mails[k, 0] < b:
+                        out += _lessons(text, kind, a, b, [])
+            columns = list(zip(*out)) or [[]] * 5
+            types = (pa.binary(), pa.string(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["window", "kind", "a", "b", "label"])
+
+    return of
+
+
+def _whole(batches) -> list[tuple]:
+    """A task's lessons, in an order that doesn't depend on how they came."""
+    return sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns)))
+
+
+def _round(network: CharNetwork, seed: int):
+    """A task's lessons -> the network that it learned from them, starting at a common one, times their number."""
+
+    def of(batches):
+        from pyspark import TaskContext
+
+        rows = _whole(batches)
+        if rows:
+            own = CharNetwork()
+            own.p = dict(network.p)
+            own.fit([(r[0], r[2], r[3]) for r in rows], np.array([r[4] for r in rows], float), seed=seed, epochs=1)
+            flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64)
+            yield _weighed(TaskContext.get().partitionId(), len(rows), flat * len(rows))
+
+    return of
+
+
+def _weighed(task: int, n: int, total: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "n", "total"])
+
+
+def _added_up(batches):
+    """Networks of some tasks -> their sum, in the order of tasks."""
+    rows = _whole(batches)
+    if rows:
+        yield _weighed(rows[0][0], sum(r[1] for r in rows), sum(np.frombuffer(r[2]) for r in rows))
+
+
+def _odds(p):
+    p = np.clip(p, 1e-9, 1 - 1e-9)
+    return np.log(p / (1 - p))
+
+
+def _binned(network: CharNetwork):
+    def of(batches):
+        for batch in batches:
+            window, kind, a, b, label = (c.to_pylist() for c in batch.columns)
+            step = np.floor(_odds(network.score(list(zip(window, a, b)))) / SCORE_STEP).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.string()), pa.array(label, pa.int64()), pa.array(step)], ["kind", "label", "step"])
+
+    return of
+
+
+def thresholds(score: np.ndarray, y: np.ndarray, kinds: np.ndarray, n: np.ndarray | None = None) -> dict[str, float]:
     """Of each kind a score that keeps RECALL of its positive findings: halfway, in log-odds, between the highest such score and the next negative finding below it.
 
-    A kind without any positives takes the threshold of all kinds together.
+    A kind without any positives takes the threshold of all kinds together. n: how many findings each stands for.
     """
     if not y.any():
         raise ValueError("no held-out labelled findings to set thresholds by")
-    odds = lambda p: np.log(np.clip(p, 1e-9, 1 - 1e-9) / (1 - np.clip(p, 1e-9, 1 - 1e-9)))
+    n = np.ones(len(y)) if n is None else n
     out = {}
     for kind in EXTRA_KINDS:
         mine = kinds == kind
         if not y[mine].any():
             mine = np.ones(len(y), bool)
-        most = threshold_for(score[mine], y[mine], recall=RECALL)
+        order = np.flatnonzero(mine)[np.argsort(-score[mine], kind="stable")]
+        hits = np.cumsum(n[order] * y[order])
+        most = score[order[np.flatnonzero(hits >= RECALL * hits[-1])[0]]]
         below = score[mine & (y == 0) & (score < most)]
-        half = (odds(most) + (odds(below.max()) if len(below) else odds(most) - 2)) / 2
+        half = (_odds(most) + (_odds(below.max()) if len(below) else _odds(most) - 2)) / 2
         out[kind] = float(min(most, 1 / (1 + np.exp(-half))))
     return out
 
 
-def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS, made: int = MADE, seed: int = 3):
-    """The network and the threshold of each kind."""
-    sample = sample_below(docs.select("doc_id", "text"), "doc_id", sample_docs).select("text")
-    rows = sorted(map(tuple, sample.mapInArrow(_sampled, "context string, window binary, kind string, a long, b long, label long").collect()))
-    found = [(bytes(r[1]), *r[2:]) for r in rows if r[2]] + [x for m in _made([r[0] for r in rows if not r[2]], made) for x in _lessons(*m)]
-    views = [(r[0], r[2], r[3]) for r in found]
-    y, kinds = np.array([r[4] for r in found], float), np.array([r[1] for r in found])
-    held = np.random.default_rng(seed).random(len(y)) < 0.25
-    network = CharNetwork().fit([v for v, h in zip(views, held) if not h], y[~held])
-    score = network.score(views)
-    return network, thresholds(score[held], y[held], kinds[held])
+def labelled_windows(docs: DataFrame, made_each: int = MADE_EACH) -> DataFrame:
+    """(window, kind, a, b, label) of all labelled findings of all documents, equal ones once."""
+    return docs.select("doc_id", "text").mapInArrow(_labelled(made_each), "window binary, kind string, a long, b long, label long").distinct()
+
+
+def learn(docs: DataFrame, made: int = MADE, seed: int = 3):
+    """The network and the threshold of each kind, from all documents."""
+    network = CharNetwork()
+    many = docs.count()
+    if not many:
+        return network, dict.fromkeys(EXTRA_KINDS, 1.1)
+    lessons = cut(labelled_windows(docs, max(MADE_EACH, -(-made // many))))
+    held = F.pmod(F.xxhash64("window", F.lit(seed)), F.lit(4)) == 0
+    tasks = max(1, -(-lessons.count() // TASK_WINDOWS))
+    dealt = cut(lessons.where(~held).repartition(tasks, "window"))
+    names, shapes = sorted(network.p), {k: v.shape for k, v in network.p.items()}
+    ends = np.cumsum([network.p[k].size for k in names])[:-1]
+    for k in range(EPOCHS):
+        # In two steps, so that the driver adds up no more networks than the root of the tasks' number.
+        sums = dealt.mapInArrow(_round(network, k), "task long, n long, total binary")
+        if tasks > 4:
+            sums = sums.repartition(int(tasks**0.5) + 1, "task").mapInArrow(_added_up, "task long, n long, total binary")
+        got = sorted(map(tuple, sums.collect()))
+        mean = sum(np.frombuffer(r[2]) for r in got) / sum(r[1] for r in got)
+        network.p = {name: x.reshape(shapes[name]).astype(np.float32) for name, x in zip(names, np.split(mean, ends))}
+    counted = lessons.where(held).mapInArrow(_binned(network), "kind string, label long, step long").groupBy("kind", "label", "step").count().orderBy("kind", "label", "step").collect()
+    kinds, label, step, n = (np.array(x) for x in zip(*counted))
+    return network, thresholds(1 / (1 + np.exp(-step * SCORE_STEP)), label.astype(float), kinds, n.astype(float))
 
 
 def find(text: str, model) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

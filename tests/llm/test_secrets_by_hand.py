@@ -61,3 +61,12 @@ def test_recall_and_precision_by_hand(learned):
         spurious += [(line, x) for x in found if x != mine]
     assert hit >= 0.85 * len(MEANT), missed
     assert hit >= 0.85 * (hit + len(spurious)), spurious
+
+
+def test_every_finding_of_every_document_is_learned_from(spark):
+    own = [[f"{17 * i + k:032x}" for k in range(6)] for i in range(2500)]
+    docs = spark.createDataFrame([(i, "see " + " and ".join(x)) for i, x in enumerate(own)], "doc_id long, text string")
+    windows = {bytes(x.window)[x.a : x.b].decode() for x in secrets.labelled_windows(docs, 1).where("label = 1").collect()}
+    assert {x for each in own for x in each} <= windows
+    copies = secrets.labelled_windows(docs.limit(1).union(docs.limit(1)), 0)
+    assert copies.count() == copies.distinct().count() == 6
