@@ -41,6 +41,8 @@ from .pii import joined
 MADE_EACH, MADE, TASK_WINDOWS = 2, 4000, 16_000
 #: Scores are counted in steps of this in log-odds.
 SCORE_STEP = 0.001
+#: Parts of a network that are added up apart, and units of 1 that sums are counted in.
+PARTS, FINE = 16, 1 << 24
 #: Windows of a candidate that are learned from at most, spread over it; all of them are scored.
 SAMPLE_WINDOWS = 8
 WINDOW, BEFORE, AFTER, STEP, WIDTH, FILTERS = 112, 32, 32, 40, 5, 24
@@ -252,31 +254,40 @@ def _whole(batches) -> list[tuple]:
 
 
 def _round(network: CharNetwork, seed: int):
-    """A task's lessons -> the network that it learned from them, starting at a common one, times their number."""
+    """A task's lessons -> the network that it learned from them, starting at a common one, times their number: in PARTS parts, in units of 1 / FINE."""
 
     def of(batches):
-        from pyspark import TaskContext
-
         rows = _whole(batches)
         if rows:
             own = CharNetwork()
             own.p = dict(network.p)
             own.fit([(r[0], r[2], r[3]) for r in rows], np.array([r[4] for r in rows], float), seed=seed, epochs=1)
             flat = np.concatenate([own.p[k].ravel() for k in sorted(own.p)]).astype(np.float64)
-            yield _weighed(TaskContext.get().partitionId(), len(rows), flat * len(rows))
+            yield _parts({k: x for k, x in enumerate(np.array_split(np.rint(flat * len(rows) * FINE).astype(np.int64), PARTS))}, len(rows))
 
     return of
 
 
-def _weighed(task: int, n: int, total: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([task], pa.int64()), pa.array([n], pa.int64()), pa.array([total.tobytes()], pa.binary())], ["task", "n", "total"])
+def _parts(total: dict[int, np.ndarray], n: int) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(list(total), pa.int64()), pa.array([n] * len(total), pa.int64()), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["part", "n", "total"])
 
 
 def _added_up(batches):
-    """Networks of some tasks -> their sum, in the order of tasks."""
-    rows = _whole(batches)
-    if rows:
-        yield _weighed(rows[0][0], sum(r[1] for r in rows), sum(np.frombuffer(r[2]) for r in rows))
+    """Parts of many tasks' networks -> each part's sum, one row at a time. Whole numbers come to the same in any order."""
+    total: dict[int, np.ndarray] = {}
+    n: dict[int, int] = {}
+    for batch in batches:
+        for part, many, raw in zip(*(c.to_pylist() for c in batch.columns)):
+            total[part] = total.get(part, 0) + np.frombuffer(raw, np.int64)
+            n[part] = n.get(part, 0) + many
+    for part, x in total.items():
+        yield _parts({part: x}, n[part])
+
+
+def network_sums(dealt: DataFrame, network: CharNetwork, seed: int) -> DataFrame:
+    """(part, n, total): what all tasks learned, added up by part, so that the driver gets one network however many tasks there are."""
+    form = "part long, n long, total binary"
+    return dealt.mapInArrow(_round(network, seed), form).repartition(PARTS, "part").mapInArrow(_added_up, form)
 
 
 def _odds(p):
@@ -334,12 +345,8 @@ def learn(docs: DataFrame, made: int = MADE, seed: int = 3):
     names, shapes = sorted(network.p), {k: v.shape for k, v in network.p.items()}
     ends = np.cumsum([network.p[k].size for k in names])[:-1]
     for k in range(EPOCHS):
-        # In two steps, so that the driver adds up no more networks than the root of the tasks' number.
-        sums = dealt.mapInArrow(_round(network, k), "task long, n long, total binary")
-        if tasks > 4:
-            sums = sums.repartition(int(tasks**0.5) + 1, "task").mapInArrow(_added_up, "task long, n long, total binary")
-        got = sorted(map(tuple, sums.collect()))
-        mean = sum(np.frombuffer(r[2]) for r in got) / sum(r[1] for r in got)
+        got = sorted(map(tuple, network_sums(dealt, network, k).collect()))
+        mean = np.concatenate([np.frombuffer(r[2], np.int64) for r in got]) / FINE / got[0][1]
         network.p = {name: x.reshape(shapes[name]).astype(np.float32) for name, x in zip(names, np.split(mean, ends))}
     counted = lessons.where(held).mapInArrow(_binned(network), "kind string, label long, step long").groupBy("kind", "label", "step").count().orderBy("kind", "label", "step").collect()
     kinds, label, step, n = (np.array(x) for x in zip(*counted))

@@ -70,3 +70,26 @@ def test_every_finding_of_every_document_is_learned_from(spark):
     assert {x for each in own for x in each} <= windows
     copies = secrets.labelled_windows(docs.limit(1).union(docs.limit(1)), 0)
     assert copies.count() == copies.distinct().count() == 6
+
+
+def test_the_driver_gets_one_network_however_many_tasks_learn(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(secrets, "TASK_WINDOWS", 400)
+    docs = spark.createDataFrame([(i, f"page {i} tells of the harbour and of the boats that came in") for i in range(400)], "doc_id long, text string")
+    fetched = []
+    frame = type(docs)
+    collect = frame.collect
+    monkeypatch.setattr(frame, "collect", lambda self: fetched.append(collect(self)) or fetched[-1])
+    secrets.learn(docs)
+    network = secrets.CharNetwork()
+    size = sum(x.size for x in network.p.values())
+    held = [sum(len(x) for row in rows for x in row if isinstance(x, (bytes, bytearray))) for rows in fetched]
+    assert 0 < max(held) <= 8 * size
+    # The parts come to the mean of the tasks' own networks.
+    dealt = secrets.labelled_windows(docs, 4).repartition(7, "window").localCheckpoint()
+    parts = sorted(map(tuple, collect(secrets.network_sums(dealt, network, 0))))
+    own = collect(dealt.mapInArrow(secrets._round(network, 0), "part long, n long, total binary"))
+    whole = np.concatenate([sum(np.frombuffer(r.total, np.int64) for r in own if r.part == k) for k in range(secrets.PARTS)])
+    assert np.array_equal(np.concatenate([np.frombuffer(x, np.int64) for _, _, x in parts]), whole)
+    assert {n for _, n, _ in parts} == {dealt.count()} and len({r.part for r in own}) == secrets.PARTS and len(whole) == size
